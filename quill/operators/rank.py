@@ -11,8 +11,9 @@ Two shapes cover every ordered operator in the library:
 * **Value order** (prefix by id, corpus offsets, vocabulary ids): rows are
   range-partitioned on the order key (Spark samples the bounds), numbered
   inside each partition, and shifted by the totals of earlier partitions, a
-  table with one row per partition.  Callers pass a *total* order (ending in a
-  unique id) so a recomputed task reproduces the same numbers.
+  table with one row per partition.  The numbered rows are checkpointed
+  (reliable checkpoint) so the totals and the rows come from one
+  materialisation; callers pass a *total* order (ending in a unique id).
 
 Neither shape puts a whole group in one task: a hot group is spread over many
 buckets / range partitions.
@@ -113,6 +114,11 @@ def running_total(
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright(F.col("_mid"), 33))
     )
+    # The numbering depends on sampled range bounds and on row order inside
+    # partitions; materialise it once (reliable checkpoint in the shared
+    # checkpoint folder) so every branch below, and any recomputed task, sees
+    # the same numbers.
+    d = d.checkpoint(eager=True)
     if weight is None:
         d = d.withColumn("_in", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     else:

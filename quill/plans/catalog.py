@@ -170,3 +170,102 @@ def split_three_way(spark, d):
 
 def shuffle_rows(spark, d):
     return P.shuffle(docs(spark, d).select("doc_id"), SEED, "doc_id")
+
+
+# ------------------------------------------------------------ text, tokens, windows
+
+from quill.operators import text as TX  # noqa: E402
+from quill.operators import windows as WN  # noqa: E402
+
+PAD = "[PAD]"
+
+
+def _two_labels(spark, d):
+    return docs(spark, d).select("doc_id", "text", F.col("lang").alias("label_lang"),
+                                 F.col("source").alias("label_source"))
+
+
+def control_prompt(spark, d):
+    return TX.control_prompt(_two_labels(spark, d), ["label_lang", "label_source"]).select("doc_id", "prompt")
+
+
+def training_text(spark, d):
+    df = _two_labels(spark, d)
+    return TX.training_text(df, ["label_lang", "label_source"], "<eos>", use_cc=(F.col("doc_id") % 2 == 0)).select(
+        "doc_id", "train_text")
+
+
+def tokenize_pad(spark, d):
+    return TX.tokenize_pad(docs(spark, d), 128, PAD)
+
+
+def _vocab(spark, d):
+    return TX.build_vocab(TX.token_rows(docs(spark, d)), min_count=5, pad=PAD)
+
+
+def build_vocab(spark, d):
+    return _vocab(spark, d)
+
+
+def encode_tokens(spark, d):
+    return TX.encode(TX.token_rows(docs(spark, d)), _vocab(spark, d)).select("doc_id", "pos", "token_id")
+
+
+def decode_text(spark, d):
+    vocab = _vocab(spark, d)
+    enc = TX.encode(TX.token_rows(docs(spark, d)), vocab).select("doc_id", "pos", "token_id")
+    # Pad (n = 0) and unknown ids (no vocabulary row) are skipped.
+    return TX.decode(enc, vocab.where(F.col("n") > 0))
+
+
+def pack_blocks(spark, d):
+    return WN.pack_blocks(docs(spark, d), ["doc_id"], "doc_id", batch_rows=1000, block=128)
+
+
+def _offsets(spark, d):
+    return WN.corpus_offsets(WN.with_token_counts(docs(spark, d)).select("doc_id", "n_tokens"), ["doc_id"])
+
+
+def corpus_offsets(spark, d):
+    return _offsets(spark, d).select("doc_id", "n_tokens", "start_offset")
+
+
+def corpus_windows(spark, d):
+    return WN.corpus_windows(_offsets(spark, d), 128, 128)
+
+
+def windows_lookback(spark, d):
+    return WN.strided_windows(WN.with_token_counts(docs(spark, d)), "n_tokens", 1024, 512, "lookback",
+                              keep=["doc_id"])
+
+
+def windows_forward(spark, d):
+    return WN.strided_windows(WN.with_token_counts(docs(spark, d)), "n_tokens", 256, 128, "forward",
+                              keep=["doc_id"])
+
+
+def masked_windows(spark, d):
+    """Forward windows (64 / 32) over the 128-token padded ids of every text,
+    with context and padding targets masked to -100."""
+    ids = TX.encode(TX.tokenize_pad(docs(spark, d), 128, PAD).select("doc_id", "pos", "token"), _vocab(spark, d))
+    seqs = docs(spark, d).select("doc_id", F.lit(128).alias("n"))
+    w = WN.strided_windows(seqs, "n", 64, 32, "forward", keep=["doc_id"])
+    w = w.select("doc_id", "begin", "end", "trg_len",
+                 F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("pos"))
+    j = w.join(ids, ["doc_id", "pos"])
+    rel = F.col("pos") - F.col("begin")
+    target = (F.when(rel < (F.col("end") - F.col("begin")) - F.col("trg_len"), F.lit(-100))
+              .when(F.col("token") == F.lit(PAD), F.lit(-100)).otherwise(F.col("token_id"))).cast("long")
+    return j.select("doc_id", "begin", rel.cast("long").alias("pos"), target.alias("target"))
+
+
+def parse_generated(spark, d):
+    df = docs(spark, d)
+    prompt = F.concat(F.col("lang"), F.lit("\t"), F.col("source"), F.lit("\n\n"))
+    g = df.select("doc_id", F.concat(prompt, F.col("text")).alias("g"), F.length(prompt).alias("n"))
+    return TX.parse_generated(g, "g", F.col("n"), ["label_lang", "label_source"], keep=["doc_id"])
+
+
+def expand_prompts(spark, d):
+    _, q = _lang_quotas(spark, d, 600)
+    return TX.expand_prompts(q, 8, 2)

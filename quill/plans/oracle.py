@@ -99,3 +99,87 @@ union all
 select doc_id, case when r <= ceil(n * 0.02::double) then 'validation' else 'train' end as split from b"""
 
 SQL["shuffle_rows"] = f"select doc_id, row_number() over (order by {H}, doc_id) as shuffle_key from documents"
+
+TOKS = r"regexp_extract_all(text, '\S+')"
+
+VOCAB = rf"""(with c as (select tok as token, count(*) as n
+                  from (select unnest({TOKS}) as tok from documents) group by tok having count(*) >= 5)
+   select cast(row_number() over (order by n desc, token) - 1 as bigint) as token_id, token, n from c
+   union all select (select count(*) from c) as token_id, '[PAD]' as token, 0 as n)"""
+
+TOKROWS = f"""(select doc_id, unnest(range(len(toks))) as pos, unnest(toks) as token
+   from (select doc_id, {TOKS} as toks from documents))"""
+
+SQL["control_prompt"] = "select doc_id, lang || chr(9) || source || chr(10) || chr(10) as prompt from documents"
+
+SQL["training_text"] = """
+select doc_id, case when doc_id % 2 = 0 then lang || chr(9) || source || chr(10) || chr(10) || text || '<eos>'
+                    else text end as train_text from documents"""
+
+SQL["tokenize_pad"] = f"""
+select doc_id, p as pos, coalesce(toks[p + 1], '[PAD]') as token,
+       case when p < len(toks) then 1 else 0 end as mask,
+       case when p < len(toks) then toks[p + 1] end as target
+from (select doc_id, {TOKS} as toks from documents) cross join range(128) as r(p)"""
+
+SQL["build_vocab"] = f"select token_id, token, n from {VOCAB}"
+
+SQL["encode_tokens"] = f"""
+select t.doc_id, t.pos, coalesce(v.token_id, -1) as token_id from {TOKROWS} t left join {VOCAB} v using (token)"""
+
+SQL["decode_text"] = f"""
+select t.doc_id, string_agg(t.token, ' ' order by t.pos) as text
+from {TOKROWS} t join (select * from {VOCAB} where n > 0) v using (token) group by t.doc_id"""
+
+SQL["pack_blocks"] = f"""
+with d as (select doc_id, {TOKS} as toks, row_number() over (order by doc_id) as rn from documents),
+t as (select doc_id, (rn - 1) // 1000 as batch, unnest(range(len(toks))) as p, unnest(toks) as token from d),
+o as (select batch, token, row_number() over (partition by batch order by doc_id, p) - 1 as off from t),
+b as (select batch, count(*) // 128 as nb from o group by batch),
+bb as (select batch, nb, coalesce(sum(nb) over (order by batch rows between unbounded preceding and 1 preceding), 0) as before from b)
+select cast(before + off // 128 as bigint) as block_id, cast(off % 128 as bigint) as pos, token
+from o join bb using (batch) where off // 128 < nb"""
+
+OFFSETS = f"""(select doc_id, n_tokens,
+   cast(coalesce(sum(n_tokens) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start_offset
+   from (select doc_id, cast(len({TOKS}) as bigint) as n_tokens from documents))"""
+
+SQL["corpus_offsets"] = f"select doc_id, n_tokens, start_offset from {OFFSETS}"
+
+SQL["corpus_windows"] = f"""
+with n as (select cast(sum(len({TOKS})) as bigint) as n from documents),
+w as (select unnest(range(0, n, 128)) as i, n from n)
+select cast(i // 128 as bigint) as window_id, i as "begin", least(i + 128, n) as "end",
+       least(i + 128, n) - case when i = 0 then 0 else least(i, n) end as trg_len
+from w where i = 0 or least(i, n) < n"""
+
+SQL["windows_lookback"] = f"""
+with w as (select doc_id, n, unnest(range(0, n, 512)) as i from (select doc_id, cast(len({TOKS}) as bigint) as n from documents))
+select doc_id, greatest(i + 512 - 1024, 0) as "begin", least(i + 512, n) as "end", least(i + 512, n) - i as trg_len from w"""
+
+SQL["windows_forward"] = f"""
+with w as (select doc_id, n, unnest(range(0, n, 128)) as i from (select doc_id, cast(len({TOKS}) as bigint) as n from documents))
+select doc_id, i as "begin", least(i + 256, n) as "end",
+       least(i + 256, n) - case when i = 0 then 0 else least(i + 128, n) end as trg_len
+from w where i = 0 or least(i + 128, n) < n"""
+
+SQL["masked_windows"] = f"""
+with ids as (
+  select d.doc_id, r.p as pos, coalesce(d.toks[r.p + 1], '[PAD]') as token
+  from (select doc_id, {TOKS} as toks from documents) d cross join range(128) as r(p)),
+enc as (select ids.doc_id, ids.pos, ids.token, coalesce(v.token_id, -1) as token_id from ids left join {VOCAB} v using (token)),
+w as (select i as b, least(i + 64, 128) as e, least(i + 64, 128) - case when i = 0 then 0 else least(i + 32, 128) end as trg
+      from range(0, 128, 32) as r(i) where i = 0 or least(i + 32, 128) < 128)
+select enc.doc_id, w.b as "begin", enc.pos - w.b as pos,
+       cast(case when enc.pos - w.b < (w.e - w.b) - w.trg then -100 when enc.token = '[PAD]' then -100 else enc.token_id end as bigint) as target
+from enc join w on enc.pos >= w.b and enc.pos < w.e"""
+
+SQL["parse_generated"] = r"""
+with g as (select doc_id, lang || chr(9) || source || chr(10) || chr(10) || text as g,
+                  length(lang || chr(9) || source || chr(10) || chr(10)) as n from documents)
+select doc_id, string_split(trim(substring(g, 1, n), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), chr(9))[1] as label_lang,
+       string_split(trim(substring(g, 1, n), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), chr(9))[2] as label_source,
+       trim(regexp_replace(substring(g, n + 1), '\s+', ' ', 'g')) as text from g"""
+
+SQL["expand_prompts"] = f"""
+select label, unnest(range(1, (quota // 8 + 1) * 8 * 2 + 1)) as seq_no from {QUOTAS.format(total=600)} where quota > 0"""

@@ -19,18 +19,38 @@ def l2_norm(v) -> Column:
 
 
 def clip_l2(v, c: float) -> Column:
-    """Scale a vector so its L2 norm is at most ``c`` (per-record clipping)."""
-    n = l2_norm(v)
-    scale = F.when(n > F.lit(c), F.lit(c) / n).otherwise(F.lit(1.0))
-    return F.transform(_dbl(v), lambda x: x * scale)
+    """Scale a vector so its L2 norm is at most ``c`` (per-record clipping).
+
+    The norm is computed once per row and handed to the element-wise step
+    through ``aggregate``'s finish function (a value referenced inside a
+    ``transform`` lambda would be recomputed for every element)."""
+    v = _c(v)
+
+    def finish(acc):
+        n = F.sqrt(acc)
+        scale = F.when(n > F.lit(c), F.lit(c) / n).otherwise(F.lit(1.0))
+        return F.transform(v, lambda x: x.cast("double") * scale)
+
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"), finish)
 
 
 def log_softmax(v, temperature: float = 1.0) -> Column:
-    """``x/T - max(x/T) - ln(sum(exp(x/T - max)))`` element-wise."""
-    scaled = F.transform(_dbl(v), lambda x: x / F.lit(float(temperature)))
-    m = F.array_max(scaled)
-    lse = F.log(F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-    return F.transform(scaled, lambda x: x - m - lse)
+    """``x/T - logsumexp(x/T)`` element-wise; one streaming pass computes the
+    log-sum-exp (running max and rescaled sum), the finish step subtracts it."""
+    v = _c(v)
+    t = F.lit(float(temperature))
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def merge(acc, x):
+        z = x.cast("double") / t
+        m = F.greatest(acc["m"], z)
+        return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(z - m)).alias("s"))
+
+    def finish(acc):
+        lse = acc["m"] + F.log(acc["s"])
+        return F.transform(v, lambda x: x.cast("double") / t - lse)
+
+    return F.aggregate(v, init, merge, finish)
 
 
 def softmax(v, temperature: float = 1.0) -> Column:

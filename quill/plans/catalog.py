@@ -269,3 +269,112 @@ def parse_generated(spark, d):
 def expand_prompts(spark, d):
     _, q = _lang_quotas(spark, d, 600)
     return TX.expand_prompts(q, 8, 2)
+
+
+# ------------------------------------------------------------ vectors and losses
+
+from quill.operators import privacy as PV  # noqa: E402
+from quill.operators import vectors as VC  # noqa: E402
+from quill.operators.rank import value_rank  # noqa: E402
+
+T_KD = 2.0
+
+
+def _emb(spark, d):
+    return io.table(spark, d, "embeddings")
+
+
+def softmax_t(spark, d):
+    return VC.softmax_long(_emb(spark, d), "vec_id", "embedding", T_KD).select(
+        "vec_id", "pos", F.round("p", 6).alias("p"))
+
+
+def log_softmax_t(spark, d):
+    return VC.softmax_long(_emb(spark, d), "vec_id", "embedding", T_KD, log=True, name="logp").select(
+        "vec_id", "pos", F.round("logp", 6).alias("logp"))
+
+
+def mean_vector(spark, d):
+    m = VC.mean_vector(_emb(spark, d), "embedding", "label")
+    return m.select("label", "pos", F.round("mean", 6).alias("mean"))
+
+
+def append_mean_vector(spark, d):
+    out = VC.append_mean_vectors(_emb(spark, d), "vec_id", "embedding", 1)
+    return out.select("vec_id", "pos", F.round("value", 6).alias("value"))
+
+
+def _kd_pairs(spark, d):
+    e = _emb(spark, d).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("student"))
+    return VC.with_teacher_mean(e, "student", "label")
+
+
+def kd_kl(spark, d):
+    return VC.kd_kl(_kd_pairs(spark, d), "student", "teacher", T_KD, "label").select(
+        "label", F.round("kl", 6).alias("kl"))
+
+
+def kd_sequence_loss(spark, d):
+    pairs = value_rank(_kd_pairs(spark, d), ["vec_id"], by=["label"], name="_r").withColumn("seq_pos", F.col("_r") - 1)
+    return VC.kd_sequence_loss(pairs, "student", "teacher", T_KD, "label", "seq_pos", 5).select(
+        "label", F.round("kl", 6).alias("kl"))
+
+
+def hidden_mse(spark, d):
+    return VC.hidden_mse(_kd_pairs(spark, d), "student", "teacher", "label").select(
+        "label", F.round("mse", 6).alias("mse"))
+
+
+def kd_loss(spark, d):
+    pairs = _kd_pairs(spark, d)
+    a = VC.kd_loss(pairs, "student", "teacher", "label", "label", T_KD, 0.4, 0.1)
+    b = VC.kd_loss(pairs, "student", "teacher", "label", "label", T_KD, 0.0, 0.0)
+    return a.unionByName(b).select("label", "lambda", F.round("loss", 6).alias("loss"))
+
+
+# ------------------------------------------------------------ privacy
+
+def _scaled(spark, d):
+    e = _emb(spark, d)
+    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * (
+        F.lit(1) + F.col("vec_id") % 3)).alias("v"))
+
+
+def clip_vectors(spark, d):
+    c = PV.clip_vectors(_scaled(spark, d), "v", 1.5)
+    return VC.to_long(c, "vec_id", "v").select("vec_id", "pos", F.round("value", 6).alias("value"))
+
+
+def dp_clipped_mean(spark, d):
+    return PV.dp_mean(_scaled(spark, d), "v", "label", 1.5, 0.0).select(
+        "label", "pos", F.round("mean", 6).alias("mean"))
+
+
+def dp_histogram(spark, d):
+    sigma = PV.gaussian_sigma(2.0, 1e-5, 1.0)
+    h = PV.dp_label_histogram(docs(spark, d), "lang", sigma, seed=SEED)
+    return h.select("label", F.round("noisy_n", 6).alias("noisy_n"))
+
+
+def dp_sigma(spark, d):
+    langs = docs(spark, d).select(F.col("lang").alias("label")).distinct()
+    g = langs.select("label", F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0, 4.0)])).alias("epsilon"))
+    return g.select("label", "epsilon", F.round(PV.gaussian_sigma_col(F.col("epsilon"), 1e-5, 1.0), 6).alias("sigma"))
+
+
+def bounded_contributions(spark, d):
+    ev = io.table(spark, d, "events").select("event_id", "user_id")
+    return PV.bound_contributions(ev, "user_id", 10, SEED, "event_id")
+
+
+def privacy_ledger(spark, d):
+    ev = io.table(spark, d, "events")
+    mech = ev.select(F.col("event_type").alias("run"), (F.lit(50.0) + F.abs("value")).alias("sigma"),
+                     F.lit(1).alias("steps"))
+    led = PV.privacy_ledger(mech, 1e-5, range(2, 65))
+    return led.select("run", "order", F.round("epsilon", 6).alias("epsilon"))
+
+
+def budget_compose(spark, d):
+    ev = io.table(spark, d, "events").select(F.col("event_type").alias("run"), F.lit(1).cast("long").alias("epsilon"))
+    return PV.compose(ev)

@@ -183,3 +183,92 @@ select doc_id, string_split(trim(substring(g, 1, n), ' ' || chr(9) || chr(10) ||
 
 SQL["expand_prompts"] = f"""
 select label, unnest(range(1, (quota // 8 + 1) * 8 * 2 + 1)) as seq_no from {QUOTAS.format(total=600)} where quota > 0"""
+
+EMB = "(select vec_id, label, unnest(range(len(embedding))) as pos, unnest(embedding)::double as x from embeddings)"
+
+SQL["softmax_t"] = f"""
+with e as (select vec_id, pos, x / 2.0 as x from {EMB}),
+m as (select vec_id, max(x) as m from e group by vec_id),
+s as (select e.vec_id, e.pos, e.x - m.m as z from e join m using (vec_id)),
+l as (select vec_id, ln(sum(exp(z))) as lse from s group by vec_id)
+select s.vec_id, s.pos, round(exp(s.z - l.lse), 6) as p from s join l using (vec_id)"""
+
+SQL["log_softmax_t"] = f"""
+with e as (select vec_id, pos, x / 2.0 as x from {EMB}),
+m as (select vec_id, max(x) as m from e group by vec_id),
+s as (select e.vec_id, e.pos, e.x - m.m as z from e join m using (vec_id)),
+l as (select vec_id, ln(sum(exp(z))) as lse from s group by vec_id)
+select s.vec_id, s.pos, round(s.z - l.lse, 6) as logp from s join l using (vec_id)"""
+
+SQL["mean_vector"] = f"select label, pos, round(avg(x), 6) as mean from {EMB} group by label, pos"
+
+SQL["append_mean_vector"] = f"""
+select vec_id, pos, round(x, 6) as value from {EMB}
+union all
+select (select max(vec_id) from embeddings) + 1 as vec_id, pos, round(avg(x), 6) as value from {EMB} group by pos"""
+
+KD = f"""
+e as {EMB},
+t as (select label, pos, avg(x) as t from e group by label, pos),
+j as (select e.vec_id, e.label, e.pos, e.x as s, t.t as t from e join t using (label, pos)),
+z as (select vec_id, label, pos, s, t, s / 2.0 - max(s / 2.0) over (partition by vec_id) as zs,
+             t / 2.0 - max(t / 2.0) over (partition by vec_id) as zt,
+             s - max(s) over (partition by vec_id) as z1 from j),
+lse as (select vec_id, ln(sum(exp(zs))) as ls, ln(sum(exp(zt))) as lt, ln(sum(exp(z1))) as l1 from z group by vec_id),
+r as (select z.vec_id, z.label,
+             sum(exp(zt - lt) * ((zt - lt) - (zs - ls))) as kl,
+             sum((s - t) * (s - t)) as se, count(*) as dim,
+             -max(case when z.pos = z.label then z1 - l1 end) as ce
+      from z join lse using (vec_id) group by z.vec_id, z.label)"""
+
+SQL["kd_kl"] = f"with {KD} select label, round(4.0 * sum(kl) / count(*), 6) as kl from r group by label"
+
+SQL["kd_sequence_loss"] = f"""
+with {KD}, q as (select *, row_number() over (partition by label order by vec_id) - 1 as seq_pos from r)
+select label, round(4.0 * sum(kl), 6) as kl from q where seq_pos >= 5 group by label"""
+
+SQL["hidden_mse"] = f"with {KD} select label, round(sum(se) / sum(dim), 6) as mse from r group by label"
+
+SQL["kd_loss"] = f"""
+with {KD}
+select label, 0.4::double as lambda,
+       round(0.6 * avg(ce) + 0.4 * (4.0 * sum(kl) / count(*)) + 0.1 * (sum(se) / sum(dim)), 6) as loss from r group by label
+union all
+select label, 0.0::double as lambda, round(1.0 * avg(ce), 6) as loss from r group by label"""
+
+SCALED = f"(select vec_id, label, pos, x * (1 + vec_id % 3) as x from {EMB})"
+
+CLIPPED = f"""(select s.vec_id, s.label, s.pos, s.x * case when n.nrm > 1.5 then 1.5 / n.nrm else 1.0 end as x
+   from {SCALED} s join (select vec_id, sqrt(sum(x * x)) as nrm from {SCALED} group by vec_id) n using (vec_id))"""
+
+SQL["clip_vectors"] = f"select vec_id, pos, round(x, 6) as value from {CLIPPED}"
+
+SQL["dp_clipped_mean"] = f"select label, pos, round(sum(x) / count(*), 6) as mean from {CLIPPED} group by label, pos"
+
+
+def _u(seed: int, key: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {key}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+
+
+SQL["dp_histogram"] = (f"""
+select label, round(greatest(0.0, n + {{sigma}} * sqrt(-2.0 * ln({_u(42, 'label')})) * cos(2 * pi() * {_u(43, 'label')})), 6) as noisy_n
+from (select lang as label, count(*) as n from documents group by lang)""").replace(
+    "{sigma}", repr(float(__import__("quill.operators.privacy", fromlist=["x"]).gaussian_sigma(2.0, 1e-5, 1.0))))
+
+SQL["dp_sigma"] = """
+with l as (select distinct lang as label from documents),
+g as (select unnest([0.5, 1.0, 2.0, 4.0]::double[]) as epsilon),
+c as (select sqrt(2.0 * ln(1.0 / 1e-5)) as L)
+select label, epsilon, round(1.0 / (sqrt(L * L + 2.0 * epsilon) - L), 6) as sigma from l, g, c"""
+
+SQL["bounded_contributions"] = """
+select event_id, user_id from (
+  select event_id, user_id, row_number() over (partition by user_id order by md5('42:' || event_id), event_id) as r from events)
+where r <= 10"""
+
+SQL["privacy_ledger"] = """
+with p as (select event_type as run, sum(1.0 / (2.0 * (50.0 + abs(value)) * (50.0 + abs(value)))) as rho from events group by event_type)
+select run, cast(o as integer) as "order", round(o * rho + ln(1.0 / 1e-5) / (o - 1), 6) as epsilon
+from p, range(2, 65) as r(o)"""
+
+SQL["budget_compose"] = "select event_type as run, cast(count(*) as bigint) as epsilon from events group by event_type"

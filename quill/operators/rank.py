@@ -47,6 +47,19 @@ def _names(xs) -> list[str]:
     return list(xs)
 
 
+def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null matches null (a start context is null)."""
+    keys = list(keys)
+    if not keys:
+        raise ValueError("join_on needs keys")
+    bb = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return a.join(bb, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def hash_rank(
     df: DataFrame,
     seed,
@@ -74,12 +87,12 @@ def hash_rank(
         counts = counts.where(F.col("_before") < F.lit(limit))
     elif isinstance(limit, DataFrame):
         q = limit.select(*by, F.col("quota").alias("_quota"))
-        counts = counts.join(q, by).where(F.col("_before") < F.col("_quota"))
+        counts = join_on(counts, q, by).where(F.col("_before") < F.col("_quota"))
         quota_col = "_quota"
     counts = counts.drop("_n")
     # Without groups the bucket table holds at most 16**digits rows: broadcast.
     side = F.broadcast(counts) if not by else counts
-    d = d.join(side, [*by, "_b"])
+    d = join_on(d, side, [*by, "_b"]) if by else d.join(side, "_b")
     wr = Window.partitionBy(*by, "_b").orderBy("_h", *ids)
     d = d.withColumn(name, F.col("_before") + F.row_number().over(wr))
     if isinstance(limit, int):
@@ -132,7 +145,7 @@ def running_total(
     d = d.join(F.broadcast(parts), "_part").withColumn(name, F.col("_pbefore") + F.col("_in"))
     if by:
         start = d.groupBy(*by).agg(F.min(name).alias("_gstart"))
-        d = d.join(start, by).withColumn(name, F.col(name) - F.col("_gstart")).drop("_gstart")
+        d = join_on(d, start, by).withColumn(name, F.col(name) - F.col("_gstart")).drop("_gstart")
     return d.drop("_w", "_mid", "_part", "_in", "_pbefore")
 
 

@@ -30,6 +30,10 @@ def training_text(df: DataFrame, labels: Sequence[str], eos: str, use_cc=True, t
     return df.withColumn(name, F.when(flag, cc).otherwise(_c(text)))
 
 
+def tokens_col(text) -> Column:
+    return tokens(text)
+
+
 def token_array(df: DataFrame, text: str = "text", name: str = "tokens") -> DataFrame:
     return df.withColumn(name, tokens(text))
 

@@ -378,3 +378,128 @@ def privacy_ledger(spark, d):
 def budget_compose(spark, d):
     ev = io.table(spark, d, "events").select(F.col("event_type").alias("run"), F.lit(1).cast("long").alias("epsilon"))
     return PV.compose(ev)
+
+
+# ------------------------------------------------------------ count models, candidates, scoring
+
+from quill.operators import evaluate as EV  # noqa: E402
+from quill.operators import generate as GN  # noqa: E402
+from quill.operators import model as MD  # noqa: E402
+
+PUBLIC = ["src0", "src1"]
+
+
+def _lang_token_counts(spark, d):
+    return MD.count_ngrams(docs(spark, d), label="lang", order=1)
+
+
+def topk_candidates(spark, d):
+    top = MD.top_k(_lang_token_counts(spark, d), ["label"], [F.col("n").desc(), F.col("token").asc()], 50)
+    return top.select("label", "token", F.col("n").cast("long").alias("n"), F.col("rk").cast("long").alias("rk"))
+
+
+def topp_candidates(spark, d):
+    kept = MD.top_p(_lang_token_counts(spark, d), ["label"], 9, 10)
+    return kept.select("label", "token", F.col("n").cast("long").alias("n"))
+
+
+def penalised_candidates(spark, d):
+    counts = _lang_token_counts(spark, d)
+    tot = counts.groupBy("label").agg(F.sum("n").alias("_tot"))
+    df = docs(spark, d)
+    first = df.groupBy(F.col("lang").alias("label")).agg(F.min("doc_id").alias("doc_id"))
+    seen = (df.join(first, "doc_id").select("label", F.explode(TX.tokens_col("text")).alias("token"))
+            .distinct().withColumn("_seen", F.lit(True)))
+    c = counts.join(tot, "label").join(seen, ["label", "token"], "left")
+    score = MD.repetition_penalty(F.log(F.col("n") / F.col("_tot")), F.coalesce(F.col("_seen"), F.lit(False)), 1.2)
+    return c.select("label", "token", F.round(score, 6).alias("score"))
+
+
+def _dp_bigram_by_lang(spark, d, df=None):
+    src = df if df is not None else docs(spark, d)
+    return MD.fit_ngram(src, label="lang", order=2, k=200, sigma=0.0, tau=2.0, seed=SEED)
+
+
+def fit_bigram(spark, d):
+    return _dp_bigram_by_lang(spark, d).select("label", "prev", "token", "n")
+
+
+def _train_test(spark, d):
+    df = docs(spark, d)
+    return df.where(F.col("doc_id") % 10 != 0), df.where(F.col("doc_id") % 10 == 0)
+
+
+def _train_model(spark, d):
+    train, _ = _train_test(spark, d)
+    return MD.NgramModel.from_bigrams(MD.count_ngrams(train, order=2), alpha=1.0, kappa=1.0)
+
+
+def ngram_nll(spark, d):
+    _, test = _train_test(spark, d)
+    rows = MD.bigram_rows(test, "doc_id")
+    scored = EV.score_pairs(_train_model(spark, d), rows)
+    return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.avg("nll"), 6).alias("nll"))
+
+
+def ppl_macro(spark, d):
+    _, test = _train_test(spark, d)
+    t = EV.stream_targets(test, "doc_id", 128, 128)
+    r = EV.ppl_macro(EV.score_pairs(_train_model(spark, d), t))
+    return r.select("n_windows", F.round("ppl", 6).alias("ppl"))
+
+
+def _ppl_weighted(spark, d):
+    _, test = _train_test(spark, d)
+    t = EV.doc_lookback_targets(test, "doc_id", 1024, 512)
+    return EV.ppl_weighted(EV.score_pairs(_train_model(spark, d), t), "doc_id")
+
+
+def ppl_weighted(spark, d):
+    return _ppl_weighted(spark, d).select("doc_id", F.round("ppl", 6).alias("ppl"))
+
+
+def ppl_mean_std(spark, d):
+    r = EV.mean_std(_ppl_weighted(spark, d), "ppl")
+    return r.select(F.round("ppl_mean", 6).alias("ppl_mean"), F.round("ppl_std", 6).alias("ppl_std"))
+
+
+def _private(spark, d):
+    return docs(spark, d).where(~F.col("source").isin(*PUBLIC))
+
+
+def distil_mix(spark, d):
+    teacher = MD.count_ngrams(_private(spark, d), order=2)
+    conv = io.table(spark, d, "conversations")
+    student = MD.count_ngrams(conv, order=2)
+    return MD.mle_mix(teacher, student, 0.4).select("prev", "token", F.round("p", 6).alias("p"))
+
+
+def dp_distil(spark, d):
+    priv = _private(spark, d)
+    teacher = MD.marginalise(_dp_bigram_by_lang(spark, d, priv))
+    student = MD.fit_ngram(priv, order=2, k=200, sigma=0.0, tau=2.0, seed=SEED)
+    return MD.mle_mix(teacher, student, 0.4).select("prev", "token", F.round("p", 6).alias("p"))
+
+
+def _langs(spark, d):
+    return docs(spark, d).select(F.col("lang").alias("label")).distinct()
+
+
+def generate_greedy(spark, d):
+    model = _dp_bigram_by_lang(spark, d)
+    return GN.generate(model, GN.prompts_per_label(_langs(spark, d), 3), 12, greedy=True).select(
+        "seq_id", "label", "text")
+
+
+def _generate_text(spark, d):
+    model = _dp_bigram_by_lang(spark, d)
+    return GN.generate(model, GN.prompts_per_label(_langs(spark, d), 50), 12, k=50, p=0.9,
+                       temperature=1.0, penalty=1.0, no_repeat=True, seed=SEED)
+
+
+def generate_text(spark, d):
+    return _generate_text(spark, d).select("seq_id", "label", "text")
+
+
+def generated_no_repeat(spark, d):
+    return GN.repeated_bigrams(_generate_text(spark, d))

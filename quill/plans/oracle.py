@@ -272,3 +272,125 @@ select run, cast(o as integer) as "order", round(o * rho + ln(1.0 / 1e-5) / (o -
 from p, range(2, 65) as r(o)"""
 
 SQL["budget_compose"] = "select event_type as run, cast(count(*) as bigint) as epsilon from events group by event_type"
+
+LANGTOK = f"(select lang as label, tok as token, count(*)::double as n from (select lang, unnest({TOKS}) as tok from documents) group by lang, tok)"
+
+SQL["topk_candidates"] = f"""
+select label, token, cast(n as bigint) as n, cast(rk as bigint) as rk from (
+  select *, row_number() over (partition by label order by n desc, token) as rk from {LANGTOK}) where rk <= 50"""
+
+SQL["topp_candidates"] = f"""
+select label, token, cast(n as bigint) as n from (
+  select *, coalesce(sum(n) over (partition by label order by n desc, token rows between unbounded preceding and 1 preceding), 0) as higher,
+         sum(n) over (partition by label) as total from {LANGTOK}) where 10 * higher < 9 * total"""
+
+SQL["penalised_candidates"] = f"""
+with c as (select *, ln(n / sum(n) over (partition by label)) as s from {LANGTOK}),
+f as (select lang as label, min(doc_id) as doc_id from documents group by lang),
+seen as (select distinct f.label, unnest({TOKS}) as token from documents d join f using (doc_id))
+select c.label, c.token, round(case when seen.token is not null then case when s < 0 then s * 1.2 else s / 1.2 end else s end, 6) as score
+from c left join seen on seen.label = c.label and seen.token = c.token"""
+
+
+def _pairs(where: str, extra: str = "") -> str:
+    return f"""(select doc_id{extra}, i, case when i = 0 then null else toks[i] end as prev, toks[i + 1] as token
+      from (select doc_id{extra}, toks, unnest(range(len(toks))) as i
+            from (select doc_id{extra}, {TOKS} as toks from {where})))"""
+
+
+def _dp_counts(where: str, by_label: bool) -> str:
+    lab = "lang as label, " if by_label else ""
+    grp = "lang, " if by_label else ""
+    return f"""(with f as (select doc_id, lang, prev, token, min(i) as fi from {_pairs(where, ', lang')} group by doc_id, lang, prev, token),
+      r as (select *, row_number() over (partition by doc_id order by fi) as rk from f)
+    select {lab}prev, token, count(*)::double as n from r where rk <= 200 group by {grp}prev, token having count(*) >= 2)"""
+
+
+SQL["fit_bigram"] = f"select label, prev, token, n from {_dp_counts('documents', True)}"
+
+
+def _raw_counts(where: str) -> str:
+    return f"(select prev, token, count(*)::double as n from {_pairs(where)} group by prev, token)"
+
+
+TRAIN_MODEL = f"""
+bg as {_raw_counts('documents where doc_id % 10 <> 0')},
+uni as (select token, sum(n) as n from bg group by token),
+tot as (select sum(n) as big_n, count(*)::double as v from uni),
+ctx as (select prev, sum(n) as ch from bg group by prev)"""
+
+NLL = """-ln((coalesce(bg.n, 0.0) + 1.0 * ((coalesce(uni.n, 0.0) + 1.0) / (tot.big_n + 1.0 * (tot.v + 1.0))))
+          / (coalesce(ctx.ch, 0.0) + 1.0))"""
+
+
+def _scored(targets: str, cols: str) -> str:
+    return f"""(select {cols}, {NLL} as nll from {targets} te
+      left join uni on uni.token = te.token
+      left join bg on bg.prev is not distinct from te.prev and bg.token = te.token
+      left join ctx on ctx.prev is not distinct from te.prev
+      cross join tot)"""
+
+
+SQL["ngram_nll"] = f"""
+with {TRAIN_MODEL}
+select doc_id, count(*) as n_tokens, round(avg(nll), 6) as nll
+from {_scored(_pairs('documents where doc_id % 10 = 0'), 'te.doc_id')} group by doc_id"""
+
+STREAM = f"""(with d as (select doc_id, {TOKS} as toks from documents where doc_id % 10 = 0 and len({TOKS}) > 0),
+     o as (select doc_id, toks, coalesce(sum(len(toks)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as so,
+                  lag(toks[len(toks)]) over (order by doc_id) as carry from d),
+     t as (select doc_id, so, carry, toks, unnest(range(len(toks))) as i from o),
+     g as (select so + i as g, case when i = 0 then carry else toks[i] end as prev, toks[i + 1] as token from t),
+     w as (select *, case when g < 128 then 0 else (g // 128) * 128 end as wi from g)
+   select wi // 128 as "window", prev, token from w where g > wi)"""
+
+SQL["ppl_macro"] = f"""
+with {TRAIN_MODEL},
+s as {_scored(STREAM, 'te."window"')},
+w as (select "window", avg(nll) as nll from s group by "window")
+select count(*) as n_windows, round(exp(avg(nll)), 6) as ppl from w"""
+
+LOOKBACK = f"""(with d as (select doc_id, {TOKS} as toks from documents where doc_id % 10 = 0),
+     t as (select doc_id, len(toks) as n, toks, unnest(range(len(toks))) as i from d),
+     w as (select doc_id, n, (i // 512) * 512 as wi, i, case when i = 0 then null else toks[i] end as prev, toks[i + 1] as token from t)
+   select doc_id, wi, least(wi + 512, n) - wi as trg, n, prev, token from w where i > greatest(wi + 512 - 1024, 0))"""
+
+PPLW = f"""(with {TRAIN_MODEL},
+   s as {_scored(LOOKBACK, 'te.doc_id, te.wi, te.trg, te.n')},
+   w as (select doc_id, wi, avg(nll) as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi)
+   select doc_id, exp(sum(nll * trg) / any_value(n)) as ppl from w group by doc_id)"""
+
+SQL["ppl_weighted"] = f"select doc_id, round(ppl, 6) as ppl from {PPLW}"
+
+SQL["ppl_mean_std"] = f"select round(avg(ppl), 6) as ppl_mean, round(stddev_pop(ppl), 6) as ppl_std from {PPLW}"
+
+
+def _mix(teacher: str, student: str) -> str:
+    return f"""
+with tt as {teacher}, ss as {student},
+qt as (select prev, token, n / sum(n) over (partition by prev) as q from tt),
+qs as (select prev, token, n / sum(n) over (partition by prev) as q from ss)
+select case when qt.token is null then qs.prev else qt.prev end as prev, coalesce(qt.token, qs.token) as token,
+       round(0.4 * coalesce(qt.q, 0.0) + 0.6 * coalesce(qs.q, 0.0), 6) as p
+from qt full outer join qs on qt.prev is not distinct from qs.prev and qt.token = qs.token"""
+
+
+PRIVATE = "documents where source not in ('src0', 'src1')"
+CONV = "(select turn as doc_id, text from conversations)"
+
+SQL["distil_mix"] = _mix(_raw_counts(PRIVATE), _raw_counts(CONV))
+
+SQL["dp_distil"] = _mix(f"(select prev, token, sum(n) as n from {_dp_counts(PRIVATE, True)} group by prev, token)",
+                        _dp_counts(PRIVATE, False))
+
+SQL["generate_greedy"] = f"""
+with recursive dpb as {_dp_counts('documents', True)},
+best as (select label, prev, token from (select *, row_number() over (partition by label, prev order by n desc, token) as r from dpb) where r = 1),
+seqs as (select label, s from (select distinct lang as label from documents) l cross join range(1, 4) as r(s)),
+gen(label, s, step, prev, txt) as (
+  select label, s, 0, NULL::varchar, ''::varchar from seqs
+  union all
+  select g.label, g.s, g.step + 1, b.token, case when g.step = 0 then b.token else g.txt || ' ' || b.token end
+  from gen g join best b on b.label = g.label and b.prev is not distinct from g.prev where g.step < 12)
+select label || ':' || s as seq_id, label, txt as text from gen
+qualify row_number() over (partition by label, s order by step desc) = 1"""

@@ -503,3 +503,40 @@ def generate_text(spark, d):
 
 def generated_no_repeat(spark, d):
     return GN.repeated_bigrams(_generate_text(spark, d))
+
+
+# ------------------------------------------------------------ synthetic table, batched map, model report
+
+from quill.operators import udf as UD  # noqa: E402
+from quill.plans import report as RP  # noqa: E402
+from quill.plans import synthesis as SY  # noqa: E402
+
+
+def synthetic_rows(spark, d):
+    """Conversations stand in for generated rows (label = role, text emptied
+    for every ninth conversation): clean, cut to quotas (total 300), shuffle,
+    store, read back."""
+    from quill.session import scratch_path
+
+    conv = io.table(spark, d, "conversations")
+    gen = conv.select("conv_id", "turn", F.when(F.col("conv_id") % 9 == 0, F.lit("")).otherwise(F.col("text")).alias("text"),
+                      F.col("role").alias("label"))
+    quotas = SY.label_quotas(conv.select(F.col("role").alias("label")), "label", 300)
+    out = SY.finish_synthetic(gen, quotas, SEED, ["conv_id", "turn"])
+    path = io.write_synthetic(out.select("text", "label", "conv_id", "turn"), scratch_path(spark, "synthetic"),
+                              128, "conversations", 2.0)
+    return spark.read.parquet(path).select("conv_id", "turn", "text", "label")
+
+
+def map_batches(spark, d):
+    return UD.map_batches(docs(spark, d).select("doc_id", "text"), UD.word_count, "doc_id long, n_words long")
+
+
+def model_report(spark, d):
+    train, test = _train_test(spark, d)
+    public = train.where(F.col("source").isin(*PUBLIC))
+    private = train.where(~F.col("source").isin(*PUBLIC))
+    generated = generate_greedy(spark, d)
+    models = RP.build_models(private, public, generated, epsilon=2.0, delta=1e-5, noise=False)
+    r = RP.model_report(test, models)
+    return r.select("model", "epsilon", F.round("ppl", 6).alias("ppl"))

@@ -394,3 +394,89 @@ gen(label, s, step, prev, txt) as (
   from gen g join best b on b.label = g.label and b.prev is not distinct from g.prev where g.step < 12)
 select label || ':' || s as seq_id, label, txt as text from gen
 qualify row_number() over (partition by label, s order by step desc) = 1"""
+
+SQL["synthetic_rows"] = r"""
+with r as (select conv_id, turn, trim(regexp_replace(case when conv_id % 9 = 0 then '' else text end, '\s+', ' ', 'g')) as text,
+                  role as label from conversations),
+q as (select role as label, cast(round_even(n * (300.0::double / sum(n) over ()), 0) as bigint) as quota
+      from (select role, count(*) as n from conversations group by role)),
+k as (select *, row_number() over (partition by label order by md5('42:' || conv_id || ':' || turn), conv_id, turn) as rk
+      from r where length(text) > 0)
+select conv_id, turn, text, label from k join q using (label) where rk <= quota and quota > 0"""
+
+SQL["map_batches"] = f"select doc_id, cast(len({TOKS}) as bigint) as n_words from documents"
+
+
+def _uni_dp(where: str) -> str:
+    return f"""(with p as (select doc_id, unnest(range(len(toks))) as i, unnest(toks) as token
+                      from (select doc_id, {TOKS} as toks from {where})),
+      f as (select doc_id, token, min(i) as fi from p group by doc_id, token),
+      r as (select *, row_number() over (partition by doc_id order by fi) as rk from f)
+    select token, count(*)::double as n from r where rk <= 200 group by token having count(*) >= 2)"""
+
+
+def _uni_raw(where: str) -> str:
+    return f"(select tok as token, count(*)::double as n from (select unnest({TOKS}) as tok from {where}) group by tok)"
+
+
+def _prob(tag: str, uni: str, bg: str | None) -> str:
+    """p(token | prev) of one smoothed count model for every distinct target pair."""
+    head = f"""{tag}_u as {uni}, {tag}_t as (select sum(n) as big_n, count(*)::double as v from {tag}_u)"""
+    p1 = f"((coalesce({tag}_u.n, 0.0) + 1.0) / ({tag}_t.big_n + 1.0 * ({tag}_t.v + 1.0)))"
+    if bg is None:
+        body = f"""{tag}_p as (select tp.prev, tp.token, {p1} as p from tp left join {tag}_u on {tag}_u.token = tp.token cross join {tag}_t)"""
+        return head + ",\n" + body
+    head += f""", {tag}_b as {bg}, {tag}_c as (select prev, sum(n) as ch from {tag}_b group by prev)"""
+    body = f"""{tag}_p as (select tp.prev, tp.token,
+         (coalesce({tag}_b.n, 0.0) + 1.0 * {p1}) / (coalesce({tag}_c.ch, 0.0) + 1.0) as p
+       from tp left join {tag}_u on {tag}_u.token = tp.token
+       left join {tag}_b on {tag}_b.prev is not distinct from tp.prev and {tag}_b.token = tp.token
+       left join {tag}_c on {tag}_c.prev is not distinct from tp.prev cross join {tag}_t)"""
+    return head + ",\n" + body
+
+
+def _mixp(tag: str, t: str, s: str) -> str:
+    return f"""{tag}_p as (select a.prev, a.token, 0.4 * a.p + 0.6 * b.p as p from {t}_p a
+       join {s}_p b on a.prev is not distinct from b.prev and a.token = b.token)"""
+
+
+TRAIN_PRIV = "documents where doc_id % 10 <> 0 and source not in ('src0', 'src1')"
+TRAIN_PUB = "documents where doc_id % 10 <> 0 and source in ('src0', 'src1')"
+
+
+def _model_report_sql() -> str:
+    gen = SQL["generate_greedy"].replace("with recursive ", "")
+    gen_body = gen[: gen.index("select label || ':' || s as seq_id")]
+    gen_ctes = gen_body.rstrip().rstrip(",")
+    generated = """(select label || ':' || s as doc_id, txt as text from gen
+      qualify row_number() over (partition by label, s order by step desc) = 1)"""
+    dp_uni = _uni_dp(TRAIN_PRIV)
+    t_dpkd = _dp_counts(TRAIN_PRIV, False)
+    t_cc = f"(select prev, token, sum(n) as n from {_dp_counts(TRAIN_PRIV, True)} group by prev, token)"
+    syn = _raw_counts(generated)
+    pub_bg = _raw_counts(TRAIN_PUB)
+    ctes = [
+        gen_ctes,
+        f"tg as {STREAM}",
+        "tp as (select distinct prev, token from tg)",
+        _prob("m_dpsgd", dp_uni, None),
+        _prob("m_tdpkd", f"(select token, sum(n) as n from {t_dpkd} group by token)", t_dpkd),
+        _prob("m_tcc", f"(select token, sum(n) as n from {t_cc} group by token)", t_cc),
+        _prob("m_syn", f"(select token, sum(n) as n from {syn} group by token)", syn),
+        _prob("m_spre", _uni_raw(TRAIN_PUB), None),
+        _prob("m_tpre", f"(select token, sum(n) as n from {pub_bg} group by token)", pub_bg),
+        _mixp("m_sdpkd", "m_tdpkd", "m_dpsgd"),
+        _mixp("m_ssynkd", "m_tcc", "m_syn"),
+    ]
+    rows = [("student_dpkd", "m_sdpkd", "2.0"), ("student_syn_kd", "m_ssynkd", "2.0"), ("student_syn", "m_syn", "2.0"),
+            ("student_dpsgd", "m_dpsgd", "2.0"), ("student_pretrained", "m_spre", "NULL"),
+            ("teacher_dpkd", "m_tdpkd", "1.0"), ("teacher_cc", "m_tcc", "2.0"), ("teacher_pretrained", "m_tpre", "NULL")]
+    sel = []
+    for name, tag, eps in rows:
+        sel.append(f"""select '{name}' as model, cast({eps} as double) as epsilon, round(exp(avg(nll)), 6) as ppl from (
+      select tg."window", avg(-ln({tag}_p.p)) as nll from tg join {tag}_p on {tag}_p.prev is not distinct from tg.prev
+      and {tag}_p.token = tg.token group by tg."window")""")
+    return "with recursive " + ",\n".join(ctes) + "\n" + "\nunion all\n".join(sel)
+
+
+SQL["model_report"] = _model_report_sql()

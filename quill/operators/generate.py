@@ -76,7 +76,9 @@ def generate(model: DataFrame, prompts: DataFrame, steps: int, k: int = 50, p: f
     count model ``(label, prev, token, n)``; start context is null.  Output
     ``(seq_id, label, text, n_tokens)``."""
     width = 1 if greedy else k + steps
-    cands = candidate_lists(model, ["label", "prev"], width)
+    # Read at every step: materialise once (reliable checkpoint) instead of
+    # recomputing the model for each join.
+    cands = candidate_lists(model, ["label", "prev"], width).checkpoint(eager=True)
     state = prompts.select("seq_id", "label", F.lit(None).cast("string").alias("prev"),
                            F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
     for step in range(steps):

@@ -47,6 +47,22 @@ def bigram_rows(df: DataFrame, id_col: str, text: str = "text", keep: Sequence[s
     return d.select(id_col, *keep, F.col("pos").cast("long").alias("pos"), "_bg.prev", "_bg.token")
 
 
+def pair_keys(toks: Column) -> Column:
+    """Every token with its previous token as one string ``prev + ' ' + token``
+    (tokens hold no blanks, so the split is unambiguous; the start context is
+    the empty string).  Strings let ``array_distinct`` hash instead of
+    comparing structs pairwise."""
+    none = F.array(F.lit(""))
+    keys = F.zip_with(F.concat(none, toks), F.concat(toks, F.array(F.lit(None).cast("string"))),
+                      lambda p, t: F.when(t.isNotNull(), F.concat(p, F.lit(" "), t)))
+    return F.filter(keys, lambda x: x.isNotNull())
+
+
+def split_pair_key(key: Column) -> tuple[Column, Column]:
+    prev = F.substring_index(key, " ", 1)
+    return F.when(prev == "", F.lit(None)).otherwise(prev), F.substring_index(key, " ", -1)
+
+
 def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order: int = 2,
               k: int | None = None, sigma: float = 0.0, tau: float | None = None, seed=None) -> DataFrame:
     """Document-level n-gram counts with bounded contributions and noise.
@@ -57,18 +73,26 @@ def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order
     noise and keys under ``tau`` are dropped.  Output
     ``(label?, prev?, token, n)`` with ``n`` a double.
 
-    The bounding happens inside each row (``array_distinct`` + ``slice``); the
-    only shuffle is the count, a partial aggregate.
+    The bounding happens inside each row (``array_distinct`` keeps first
+    occurrences in order, ``slice`` keeps k); the only shuffle is the count,
+    a partial aggregate.
     """
     lab = _names(label)
-    d = df.select(*[F.col(c).alias("label") for c in lab], tokens(text).alias("_t"))
-    items = pair_array(F.col("_t")) if order == 2 else F.transform(F.col("_t"), lambda t: F.struct(t.alias("token")))
+    lcols = [F.col(c).alias("label") for c in lab]
+    d = df.select(*lcols, tokens(text).alias("_t"))
+    items = pair_keys(F.col("_t")) if order == 2 else F.col("_t")
     items = F.array_distinct(items)
     if k is not None:
         items = F.slice(items, 1, int(k))
-    keys = (["label"] if lab else []) + (["prev"] if order == 2 else []) + ["token"]
-    x = d.select(*(["label"] if lab else []), F.explode(items).alias("_k"))
-    x = x.select(*(["label"] if lab else []), *[F.col("_k")[c].alias(c) for c in keys if c != "label"])
+    lkeep = ["label"] if lab else []
+    x = d.select(*lkeep, F.explode(items).alias("_k"))
+    if order == 2:
+        prev, tok = split_pair_key(F.col("_k"))
+        x = x.select(*lkeep, prev.alias("prev"), tok.alias("token"))
+        keys = lkeep + ["prev", "token"]
+    else:
+        x = x.select(*lkeep, F.col("_k").alias("token"))
+        keys = lkeep + ["token"]
     counts = x.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
     if sigma:
         counts = counts.withColumn("n", F.col("n") + F.lit(float(sigma)) * gaussian(seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys]))

@@ -132,13 +132,23 @@ class NgramModel:
     kappa: float = 1.0
 
     @classmethod
-    def from_bigrams(cls, bigrams: DataFrame, alpha: float = 1.0, kappa: float = 1.0) -> "NgramModel":
-        uni = bigrams.groupBy("token").agg(F.sum("n").alias("n"))
-        return cls(uni, bigrams.select("prev", "token", "n"), alpha, kappa)
+    def from_bigrams(cls, bigrams: DataFrame, alpha: float = 1.0, kappa: float = 1.0,
+                     materialize: bool = True) -> "NgramModel":
+        """A bigram model from a ``(prev, token, n)`` table.  The table is read by
+        three joins and a totals job, so it is materialised once (reliable
+        checkpoint) unless ``materialize=False``."""
+        b = bigrams.select("prev", "token", "n")
+        if materialize:
+            b = b.checkpoint(eager=True)
+        uni = b.groupBy("token").agg(F.sum("n").alias("n"))
+        return cls(uni, b, alpha, kappa)
 
     @classmethod
-    def unigram(cls, unigrams: DataFrame, alpha: float = 1.0) -> "NgramModel":
-        return cls(unigrams.select("token", "n"), None, alpha, 1.0)
+    def unigram(cls, unigrams: DataFrame, alpha: float = 1.0, materialize: bool = True) -> "NgramModel":
+        u = unigrams.select("token", "n")
+        if materialize:
+            u = u.checkpoint(eager=True)
+        return cls(u, None, alpha, 1.0)
 
     def prob(self, pairs: DataFrame, name: str = "p") -> DataFrame:
         """Add ``name`` = p(token | prev) to a table of distinct ``(prev, token)``.

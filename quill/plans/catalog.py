@@ -29,6 +29,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return io.table(spark, d, "documents")
 
 
+def tdocs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for token-level work: spread over the cluster when the scan
+    has fewer splits than cores."""
+    return io.spread(docs(spark, d), "doc_id")
+
+
 # ------------------------------------------------------------ flagship
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -196,11 +202,11 @@ def training_text(spark, d):
 
 
 def tokenize_pad(spark, d):
-    return TX.tokenize_pad(docs(spark, d), 128, PAD)
+    return TX.tokenize_pad(tdocs(spark, d), 128, PAD)
 
 
 def _vocab(spark, d):
-    return TX.build_vocab(TX.token_rows(docs(spark, d)), min_count=5, pad=PAD)
+    return TX.build_vocab(TX.token_rows(tdocs(spark, d)), min_count=5, pad=PAD)
 
 
 def build_vocab(spark, d):
@@ -208,22 +214,22 @@ def build_vocab(spark, d):
 
 
 def encode_tokens(spark, d):
-    return TX.encode(TX.token_rows(docs(spark, d)), _vocab(spark, d)).select("doc_id", "pos", "token_id")
+    return TX.encode(TX.token_rows(tdocs(spark, d)), _vocab(spark, d)).select("doc_id", "pos", "token_id")
 
 
 def decode_text(spark, d):
     vocab = _vocab(spark, d)
-    enc = TX.encode(TX.token_rows(docs(spark, d)), vocab).select("doc_id", "pos", "token_id")
+    enc = TX.encode(TX.token_rows(tdocs(spark, d)), vocab).select("doc_id", "pos", "token_id")
     # Pad (n = 0) and unknown ids (no vocabulary row) are skipped.
     return TX.decode(enc, vocab.where(F.col("n") > 0))
 
 
 def pack_blocks(spark, d):
-    return WN.pack_blocks(docs(spark, d), ["doc_id"], "doc_id", batch_rows=1000, block=128)
+    return WN.pack_blocks(tdocs(spark, d), ["doc_id"], "doc_id", batch_rows=1000, block=128)
 
 
 def _offsets(spark, d):
-    return WN.corpus_offsets(WN.with_token_counts(docs(spark, d)).select("doc_id", "n_tokens"), ["doc_id"])
+    return WN.corpus_offsets(WN.with_token_counts(tdocs(spark, d)).select("doc_id", "n_tokens"), ["doc_id"])
 
 
 def corpus_offsets(spark, d):
@@ -235,20 +241,20 @@ def corpus_windows(spark, d):
 
 
 def windows_lookback(spark, d):
-    return WN.strided_windows(WN.with_token_counts(docs(spark, d)), "n_tokens", 1024, 512, "lookback",
+    return WN.strided_windows(WN.with_token_counts(tdocs(spark, d)), "n_tokens", 1024, 512, "lookback",
                               keep=["doc_id"])
 
 
 def windows_forward(spark, d):
-    return WN.strided_windows(WN.with_token_counts(docs(spark, d)), "n_tokens", 256, 128, "forward",
+    return WN.strided_windows(WN.with_token_counts(tdocs(spark, d)), "n_tokens", 256, 128, "forward",
                               keep=["doc_id"])
 
 
 def masked_windows(spark, d):
     """Forward windows (64 / 32) over the 128-token padded ids of every text,
     with context and padding targets masked to -100."""
-    ids = TX.encode(TX.tokenize_pad(docs(spark, d), 128, PAD).select("doc_id", "pos", "token"), _vocab(spark, d))
-    seqs = docs(spark, d).select("doc_id", F.lit(128).alias("n"))
+    ids = TX.encode(TX.tokenize_pad(tdocs(spark, d), 128, PAD).select("doc_id", "pos", "token"), _vocab(spark, d))
+    seqs = tdocs(spark, d).select("doc_id", F.lit(128).alias("n"))
     w = WN.strided_windows(seqs, "n", 64, 32, "forward", keep=["doc_id"])
     w = w.select("doc_id", "begin", "end", "trg_len",
                  F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("pos"))
@@ -390,7 +396,7 @@ PUBLIC = ["src0", "src1"]
 
 
 def _lang_token_counts(spark, d):
-    return MD.count_ngrams(docs(spark, d), label="lang", order=1)
+    return MD.count_ngrams(tdocs(spark, d), label="lang", order=1)
 
 
 def topk_candidates(spark, d):
@@ -406,7 +412,7 @@ def topp_candidates(spark, d):
 def penalised_candidates(spark, d):
     counts = _lang_token_counts(spark, d)
     tot = counts.groupBy("label").agg(F.sum("n").alias("_tot"))
-    df = docs(spark, d)
+    df = tdocs(spark, d)
     first = df.groupBy(F.col("lang").alias("label")).agg(F.min("doc_id").alias("doc_id"))
     seen = (df.join(first, "doc_id").select("label", F.explode(TX.tokens_col("text")).alias("token"))
             .distinct().withColumn("_seen", F.lit(True)))
@@ -416,7 +422,7 @@ def penalised_candidates(spark, d):
 
 
 def _dp_bigram_by_lang(spark, d, df=None):
-    src = df if df is not None else docs(spark, d)
+    src = df if df is not None else tdocs(spark, d)
     return MD.fit_ngram(src, label="lang", order=2, k=200, sigma=0.0, tau=2.0, seed=SEED)
 
 
@@ -425,7 +431,7 @@ def fit_bigram(spark, d):
 
 
 def _train_test(spark, d):
-    df = docs(spark, d)
+    df = tdocs(spark, d)
     return df.where(F.col("doc_id") % 10 != 0), df.where(F.col("doc_id") % 10 == 0)
 
 
@@ -464,7 +470,7 @@ def ppl_mean_std(spark, d):
 
 
 def _private(spark, d):
-    return docs(spark, d).where(~F.col("source").isin(*PUBLIC))
+    return tdocs(spark, d).where(~F.col("source").isin(*PUBLIC))
 
 
 def distil_mix(spark, d):
@@ -529,7 +535,7 @@ def synthetic_rows(spark, d):
 
 
 def map_batches(spark, d):
-    return UD.map_batches(docs(spark, d).select("doc_id", "text"), UD.word_count, "doc_id long, n_words long")
+    return UD.map_batches(tdocs(spark, d).select("doc_id", "text"), UD.word_count, "doc_id long, n_words long")
 
 
 def model_report(spark, d):

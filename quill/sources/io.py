@@ -35,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread rows over at least ``min_partitions`` (default: the cluster's
+    parallelism) when the scan yields fewer splits, e.g. one large row group.
+    A scan that already has enough splits is left alone: no extra shuffle at
+    scale.  Spreading on the row id also pre-partitions later joins on it."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
+
+
 def read_corpus(spark: SparkSession, path: str, config: str | None = None, split: str | None = None,
                 config_col: str = "source", split_col: str = "split") -> DataFrame:
     """A named corpus, optionally one configuration and one split; the

@@ -147,9 +147,10 @@ def prefix(df: DataFrame, n: int, order: Sequence) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, frac: float, seed, ids) -> DataFrame:
-    """Exactly ``round(frac * rows)`` rows without replacement (pandas ``sample(frac)``)."""
-    rows = df.count()
-    return exact_take(df, int(round(frac * rows)), seed=seed, ids=ids)
+    """Exactly ``round(frac * rows)`` rows without replacement (pandas
+    ``sample(frac)``); the row count comes from the hash-bucket table."""
+    return hash_rank(df, seed, ids, limit=lambda n: F.bround(n.cast("double") * F.lit(float(frac)), 0),
+                     name="_r").drop("_r")
 
 
 def split_sizes(rows: int, test_size: float) -> int:
@@ -160,10 +161,11 @@ def split_sizes(rows: int, test_size: float) -> int:
 def split_exact(df: DataFrame, test_size: float, seed, ids, test: str = "test", train: str = "train",
                 col: str = "split") -> DataFrame:
     """Label every row ``test`` or ``train``; the test part has exactly
-    ``ceil(test_size * rows)`` rows chosen in hash order."""
-    n_test = split_sizes(df.count(), test_size)
-    ranked = hash_rank(df, seed, ids, name="_r")
-    return ranked.withColumn(col, F.when(F.col("_r") <= F.lit(n_test), F.lit(test)).otherwise(F.lit(train))).drop("_r")
+    ``ceil(test_size * rows)`` rows chosen in hash order.  One pass: the row
+    count is read off the hash-bucket table."""
+    ranked = hash_rank(df, seed, ids, name="_r", total="_rows")
+    n_test = F.ceil(F.col("_rows").cast("double") * F.lit(float(test_size)))
+    return ranked.withColumn(col, F.when(F.col("_r") <= n_test, F.lit(test)).otherwise(F.lit(train))).drop("_r", "_rows")
 
 
 def split_three_way(df: DataFrame, test_size: float, val_size: float, seed, ids, col: str = "split") -> DataFrame:

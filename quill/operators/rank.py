@@ -65,16 +65,21 @@ def hash_rank(
     seed,
     ids: Sequence[str] | str,
     by: Sequence[str] | str = (),
-    limit: int | DataFrame | None = None,
+    limit=None,
     name: str = "rank",
     digits: int = 4,
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``name`` = 1-based position of each row in hash order within ``by``.
 
-    ``limit`` keeps only rows with rank <= limit: an int for every group, or a
-    DataFrame ``(*by, quota)`` giving one quota per group (groups without a
-    quota row are dropped).  The bucket table has at most 16**digits rows per
-    group; without ``by`` it is bounded and broadcast.
+    ``limit`` keeps only rows with rank <= limit.  It is an int for every
+    group, a DataFrame ``(*by, quota)`` with one quota per group (groups
+    without a quota row are dropped), or a function of the group's row count
+    (a Column) such as ``lambda n: F.ceil(n * 0.02)``.  The row count comes
+    from the bucket table, so sizing a sample needs no extra pass.  ``total``
+    names an output column holding the group's row count.  The bucket table
+    has at most 16**digits rows per group; without ``by`` it is bounded and
+    broadcast.
     """
     ids = _names(ids)
     by = _names(by)
@@ -82,13 +87,20 @@ def hash_rank(
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    quota_col = None
+    if callable(limit) or total:
+        counts = counts.withColumn("_tot", F.sum("_n").over(Window.partitionBy(*by)))
+    lim = None
     if isinstance(limit, int):
-        counts = counts.where(F.col("_before") < F.lit(limit))
+        lim = F.lit(limit)
     elif isinstance(limit, DataFrame):
         q = limit.select(*by, F.col("quota").alias("_quota"))
-        counts = join_on(counts, q, by).where(F.col("_before") < F.col("_quota"))
-        quota_col = "_quota"
+        counts = join_on(counts, q, by)
+        lim = F.col("_quota")
+    elif callable(limit):
+        counts = counts.withColumn("_quota", limit(F.col("_tot")))
+        lim = F.col("_quota")
+    if lim is not None:
+        counts = counts.where(F.col("_before") < lim)
     counts = counts.drop("_n")
     # Without groups the bucket table holds at most 16**digits rows: broadcast.
     side = F.broadcast(counts) if not by else counts
@@ -97,8 +109,12 @@ def hash_rank(
     d = d.withColumn(name, F.col("_before") + F.row_number().over(wr))
     if isinstance(limit, int):
         d = d.where(F.col(name) <= F.lit(limit))
-    elif quota_col:
-        d = d.where(F.col(name) <= F.col(quota_col)).drop(quota_col)
+    elif lim is not None:
+        d = d.where(F.col(name) <= F.col("_quota")).drop("_quota")
+    if total:
+        d = d.withColumnRenamed("_tot", total)
+    elif "_tot" in d.columns:
+        d = d.drop("_tot")
     return d.drop("_h", "_b", "_before")
 
 

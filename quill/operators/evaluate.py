@@ -81,3 +81,11 @@ def ppl_macro(scored: DataFrame) -> DataFrame:
     """``exp(mean over windows of the window's mean NLL)`` and the window count."""
     w = scored.groupBy("window").agg(F.avg("nll").alias("_nll"))
     return w.agg(F.count(F.lit(1)).alias("n_windows"), F.exp(F.avg("_nll")).alias("ppl"))
+
+
+def score_generated(gen: DataFrame, model, id_col: str = "seq_id", max_len: int = 1024, stride: int = 512,
+                    text: str = "text") -> DataFrame:
+    """Self-perplexity of generated sequences: lookback windows, token-weighted
+    (``(id, ppl)``); ``mean_std`` over it gives the mean and spread."""
+    t = doc_lookback_targets(gen.select(id_col, text), id_col, max_len, stride, text)
+    return ppl_weighted(score_pairs(model, t), id_col)

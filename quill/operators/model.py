@@ -208,7 +208,7 @@ def mle_mix(teacher: DataFrame, student: DataFrame, lam: float) -> DataFrame:
 # ------------------------------------------------------------ candidates
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rk",
-          salts: int = 16, salt_key: str = "token") -> DataFrame:
+          salts: int = 64, salt_key: str = "token") -> DataFrame:
     """Exact top ``k`` rows per group with their 1-based rank.  Two phases: the
     top ``k`` of each of ``salts`` hash slices of a group, then the top ``k``
     of those candidates, so a huge group never sits in one task."""

@@ -546,3 +546,26 @@ def model_report(spark, d):
     models = RP.build_models(private, public, generated, epsilon=2.0, delta=1e-5, noise=False)
     r = RP.model_report(test, models)
     return r.select("model", "epsilon", F.round("ppl", 6).alias("ppl"))
+
+
+def synthetic_table(spark, d):
+    """The whole synthesis chain on the corpus: quotas from the label counts
+    (total 600), 8 x 2 candidates per batch, sampled generation (12 steps,
+    k 50, p 0.9) from the DP bigram by label, cleaning, cut to quota, shuffle,
+    store, read back."""
+    from quill.session import scratch_path
+
+    train = tdocs(spark, d).select(F.col("lang").alias("label"))
+    path = SY.synthesize(train, _dp_bigram_by_lang(spark, d), total=600, steps=12,
+                         folder=scratch_path(spark, "synthesize"), dataset="documents", epsilon=2.0,
+                         batch=8, returns=2, k=50, p=0.9, seed=SEED)
+    return spark.read.parquet(path).select("text", "label", "seq_id", "shuffle_key")
+
+
+def generated_ppl(spark, d):
+    """Self-perplexity (mean and population spread) of the greedy sequences
+    under the label-marginalised DP bigram teacher."""
+    teacher = MD.NgramModel.from_bigrams(MD.marginalise(_dp_bigram_by_lang(spark, d)))
+    per = EV.score_generated(generate_greedy(spark, d), teacher)
+    r = EV.mean_std(per, "ppl")
+    return r.select(F.round("ppl_mean", 6).alias("ppl_mean"), F.round("ppl_std", 6).alias("ppl_std"))

@@ -480,3 +480,32 @@ def _model_report_sql() -> str:
 
 
 SQL["model_report"] = _model_report_sql()
+
+
+def _generated_ppl_sql() -> str:
+    gen = SQL["generate_greedy"].replace("with recursive ", "")
+    gen_ctes = gen[: gen.index("select label || ':' || s as seq_id")].rstrip().rstrip(",")
+    seqs = """(select label || ':' || s as doc_id, txt as text from gen
+      qualify row_number() over (partition by label, s order by step desc) = 1)"""
+    teach = f"(select prev, token, sum(n) as n from dpb group by prev, token)"
+    return f"""with recursive {gen_ctes},
+m_b as {teach},
+m_u as (select token, sum(n) as n from m_b group by token),
+m_t as (select sum(n) as big_n, count(*)::double as v from m_u),
+m_c as (select prev, sum(n) as ch from m_b group by prev),
+d as (select doc_id, {TOKS} as toks from {seqs}),
+t as (select doc_id, len(toks) as n, toks, unnest(range(len(toks))) as i from d),
+w as (select doc_id, n, (i // 512) * 512 as wi, i, case when i = 0 then null else toks[i] end as prev, toks[i + 1] as token from t),
+tg as (select doc_id, wi, least(wi + 512, n) - wi as trg, n, prev, token from w where i > greatest(wi + 512 - 1024, 0)),
+s as (select tg.doc_id, tg.wi, tg.trg, tg.n,
+        -ln((coalesce(m_b.n, 0.0) + 1.0 * ((coalesce(m_u.n, 0.0) + 1.0) / (m_t.big_n + 1.0 * (m_t.v + 1.0))))
+            / (coalesce(m_c.ch, 0.0) + 1.0)) as nll
+      from tg left join m_u on m_u.token = tg.token
+      left join m_b on m_b.prev is not distinct from tg.prev and m_b.token = tg.token
+      left join m_c on m_c.prev is not distinct from tg.prev cross join m_t),
+pw as (select doc_id, wi, avg(nll) as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi),
+pp as (select doc_id, exp(sum(nll * trg) / any_value(n)) as ppl from pw group by doc_id)
+select round(avg(ppl), 6) as ppl_mean, round(stddev_pop(ppl), 6) as ppl_std from pp"""
+
+
+SQL["generated_ppl"] = _generated_ppl_sql()

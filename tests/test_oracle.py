@@ -47,7 +47,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_sampled():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert set(q) - set(s) == {"generate_text", "generated_no_repeat"}
+    assert set(q) - set(s) == {"generate_text", "generated_no_repeat", "synthetic_table"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
@@ -61,7 +61,7 @@ def test_matches_oracle(spark, con, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", ["generate_text", "generated_no_repeat"])
+@pytest.mark.parametrize("name", ["generate_text", "generated_no_repeat", "synthetic_table"])
 def test_sampled_queries_run(spark, name):
     rows = E.queries()[name](spark, SF_SMALL).collect()
     assert rows

@@ -41,3 +41,17 @@ def test_streaming_prompt_counts_equal_batch(spark, tmp_path):
     got = {r.prompt: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.prompt: r.n for r in P.prompt_counts(docs).collect()}
     assert got == want
+
+
+def test_synthesis_chain_fills_quotas_exactly(spark):
+    from quill.plans import catalog as C
+    from quill.plans.synthesis import label_quotas
+
+    out = C.synthetic_table(spark, SF_SMALL)
+    q = {r.label: r.quota for r in label_quotas(C.docs(spark, SF_SMALL).select(F.col("lang").alias("label")),
+                                                "label", 600).collect()}
+    per = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    assert per == q
+    assert out.where(F.length("text") == 0).count() == 0
+    keys = sorted(r.shuffle_key for r in out.collect())
+    assert keys == list(range(1, len(keys) + 1))

@@ -186,9 +186,7 @@ def take_per_group(df: DataFrame, by: Sequence[str] | str, quotas: DataFrame, or
                    name: str = "rn") -> DataFrame:
     """First ``quota`` rows of each group in a value order, with their 1-based rank."""
     by = [by] if isinstance(by, str) else list(by)
-    ranked = value_rank(df, order, by=by, name=name)
-    q = quotas.select(*by, F.col("quota").alias("_q"))
-    return ranked.join(q, by).where(F.col(name) <= F.col("_q")).drop("_q")
+    return value_rank(df, order, by=by, name=name, limit=quotas)
 
 
 def shuffle(df: DataFrame, seed, ids, name: str = "shuffle_key") -> DataFrame:

@@ -1,6 +1,8 @@
 """Exact ranks, cut-offs and running sums without a single-partition sort.
 
-Two shapes cover every ordered operator in the library:
+Every ordered operator reduces to "prefix sums over an order-preserving
+bucket" (:func:`bucket_rank`) or, for orders that have no cheap bucket, a
+range-partitioned numbering (:func:`running_total`):
 
 * **Hash order** (random samples, splits, shuffles, per-group cuts):
   rows are ranked by ``md5(seed:id)``.  The first hex digits of the hash form
@@ -8,7 +10,10 @@ Two shapes cover every ordered operator in the library:
   aggregate), prefix-summing that small table and ranking inside each bucket
   gives an exact global rank.  A cut-off ``n`` only shuffles the buckets that
   start before the cut.
-* **Value order** (prefix by id, corpus offsets, vocabulary ids): rows are
+* **Integral value order** (prefix by id, corpus offsets, rank in a group):
+  the bucket is a value range ``floor((key - min) / width)`` (at most 65,536
+  ranges; a unique key puts at most ``width`` rows in one).
+* **Other value orders** (vocabulary ids by count, nucleus sums): rows are
   range-partitioned on the order key (Spark samples the bounds), numbered
   inside each partition, and shifted by the totals of earlier partitions, a
   table with one row per partition.  The numbered rows are checkpointed
@@ -60,33 +65,35 @@ def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner")
     return a.join(bb, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hash_rank(
+def bucket_rank(
     df: DataFrame,
-    seed,
-    ids: Sequence[str] | str,
+    bucket: Column,
+    order: Sequence,
     by: Sequence[str] | str = (),
     limit=None,
     name: str = "rank",
-    digits: int = 4,
     total: str | None = None,
+    weight: Column | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Add ``name`` = 1-based position of each row in hash order within ``by``.
-
-    ``limit`` keeps only rows with rank <= limit.  It is an int for every
-    group, a DataFrame ``(*by, quota)`` with one quota per group (groups
-    without a quota row are dropped), or a function of the group's row count
-    (a Column) such as ``lambda n: F.ceil(n * 0.02)``.  The row count comes
-    from the bucket table, so sizing a sample needs no extra pass.  ``total``
-    names an output column holding the group's row count.  The bucket table
-    has at most 16**digits rows per group; without ``by`` it is bounded and
-    broadcast.
+    """Rank rows inside ``by`` groups by ``order`` through an order-preserving
+    ``bucket`` (a bucket that sorts before another holds only rows that sort
+    before it).
+
+    Without ``weight``, ``name`` is the 1-based rank.  With ``weight``, it is the
+    exclusive running sum of the weight.  ``limit`` (only without weight)
+    keeps rank <= limit: an int, a DataFrame ``(*by, quota)``, or a function of
+    the group's row count.  Only buckets that start before the cut reach the
+    ranking shuffle.  ``bounded`` says the bucket table is known to be small
+    (at most a fixed number of buckets and no groups), so it is broadcast.
     """
-    ids = _names(ids)
     by = _names(by)
-    d = df.withColumn("_h", hash_hex(seed, *ids)).withColumn("_b", hash_bucket(F.col("_h"), digits))
-    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    order = _cols(order)
+    d = df.withColumn("_b", bucket)
+    wexpr = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = d.groupBy(*by, "_b").agg(wexpr.alias("_n"))
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0).cast("long")))
     if callable(limit) or total:
         counts = counts.withColumn("_tot", F.sum("_n").over(Window.partitionBy(*by)))
     lim = None
@@ -102,11 +109,14 @@ def hash_rank(
     if lim is not None:
         counts = counts.where(F.col("_before") < lim)
     counts = counts.drop("_n")
-    # Without groups the bucket table holds at most 16**digits rows: broadcast.
-    side = F.broadcast(counts) if not by else counts
+    side = F.broadcast(counts) if (bounded and not by) else counts
     d = join_on(d, side, [*by, "_b"]) if by else d.join(side, "_b")
-    wr = Window.partitionBy(*by, "_b").orderBy("_h", *ids)
-    d = d.withColumn(name, F.col("_before") + F.row_number().over(wr))
+    wr = Window.partitionBy(*by, "_b").orderBy(*order)
+    if weight is None:
+        d = d.withColumn(name, F.col("_before") + F.row_number().over(wr))
+    else:
+        wx = wr.rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn(name, F.col("_before") + F.coalesce(F.sum(weight).over(wx), F.lit(0).cast("long")))
     if isinstance(limit, int):
         d = d.where(F.col(name) <= F.lit(limit))
     elif lim is not None:
@@ -115,7 +125,56 @@ def hash_rank(
         d = d.withColumnRenamed("_tot", total)
     elif "_tot" in d.columns:
         d = d.drop("_tot")
-    return d.drop("_h", "_b", "_before")
+    return d.drop("_b", "_before")
+
+
+def hash_rank(
+    df: DataFrame,
+    seed,
+    ids: Sequence[str] | str,
+    by: Sequence[str] | str = (),
+    limit=None,
+    name: str = "rank",
+    digits: int = 4,
+    total: str | None = None,
+) -> DataFrame:
+    """Add ``name`` = 1-based position of each row in hash order
+    ``(md5(seed:id), id)`` within ``by``; see :func:`bucket_rank` for ``limit``
+    and ``total``.  The bucket is the first ``digits`` hex digits of the hash:
+    at most 16**digits buckets per group, balanced by construction, so a hot
+    group is spread over many tasks; without ``by`` the bucket table is
+    bounded and broadcast."""
+    ids = _names(ids)
+    d = df.withColumn("_h", hash_hex(seed, *ids))
+    out = bucket_rank(d, hash_bucket(F.col("_h"), digits), [F.col("_h"), *ids], by, limit, name, total,
+                      bounded=True)
+    return out.drop("_h")
+
+
+_INTEGRAL = ("LongType", "IntegerType", "ShortType", "ByteType")
+MAX_BUCKETS = 1 << 16
+
+
+def key_bucket(df: DataFrame, key: str, buckets: int = MAX_BUCKETS) -> Column:
+    """Value-range bucket of an integral key: ``floor((key - min) / width)`` with
+    ``width = ceil((max - min + 1) / buckets)``.  Min and max are one scalar
+    aggregate.  For a unique key a bucket holds at most ``width`` rows."""
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if r["lo"] is None:
+        return F.lit(0).cast("long")
+    lo, hi = int(r["lo"]), int(r["hi"])
+    width = max(1, -(-(hi - lo + 1) // buckets))
+    return F.floor((F.col(key).cast("long") - F.lit(lo)) / F.lit(width)).cast("long")
+
+
+def _integral_key(df: DataFrame, order) -> str | None:
+    """The leading order column when it is an integral column in ascending order."""
+    if not order:
+        return None
+    first = order[0]
+    if not isinstance(first, str) or first not in df.columns:
+        return None
+    return first if type(df.schema[first].dataType).__name__ in _INTEGRAL else None
 
 
 def running_total(
@@ -165,14 +224,43 @@ def running_total(
     return d.drop("_w", "_mid", "_part", "_in", "_pbefore")
 
 
-def value_rank(df: DataFrame, order: Sequence, by: Sequence[str] | str = (), name: str = "rank") -> DataFrame:
-    """1-based rank in a total ``order`` within ``by`` groups (value order)."""
-    return running_total(df, order, None, by, name="_rb").withColumn(name, F.col("_rb") + 1).drop("_rb")
+def value_rank(df: DataFrame, order: Sequence, by: Sequence[str] | str = (), name: str = "rank",
+               limit=None) -> DataFrame:
+    """1-based rank in a total ``order`` within ``by`` groups (value order).
+
+    An order that leads with an ascending integral column is ranked through
+    value-range buckets (no sort of the whole table; a ``limit`` only ranks
+    the buckets before the cut).  Other orders use the range-partitioned
+    numbering of :func:`running_total`."""
+    order = list(order) if not isinstance(order, (str, Column)) else [order]
+    key = _integral_key(df, order)
+    if key is not None:
+        return bucket_rank(df, key_bucket(df, key), order, by, limit, name, bounded=True)
+    out = running_total(df, order, None, by, name="_rb").withColumn(name, F.col("_rb") + 1).drop("_rb")
+    if isinstance(limit, int):
+        out = out.where(F.col(name) <= F.lit(limit))
+    elif isinstance(limit, DataFrame):
+        byl = _names(by)
+        out = join_on(out, limit.select(*byl, F.col("quota").alias("_q")), byl).where(
+            F.col(name) <= F.col("_q")).drop("_q")
+    return out
+
+
+def offsets(df: DataFrame, order: Sequence, weight: Column, by: Sequence[str] | str = (),
+            name: str = "before") -> DataFrame:
+    """Exclusive running sum of ``weight`` in ``order`` within ``by`` (value order);
+    value-range buckets for an ascending integral leading key, else
+    :func:`running_total`."""
+    order = list(order) if not isinstance(order, (str, Column)) else [order]
+    key = _integral_key(df, order)
+    if key is not None:
+        return bucket_rank(df, key_bucket(df, key), order, by, None, name, weight=weight.cast("long"), bounded=True)
+    return running_total(df, order, weight, by, name=name)
 
 
 def exact_take(df: DataFrame, n: int, seed=None, ids=None, order=None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows: the first ``n`` in hash order (``seed``/``ids``)
     or in a value ``order``.  Never a single-partition ``orderBy().limit()``."""
     if order is not None:
-        return value_rank(df, order, name="_r").where(F.col("_r") <= F.lit(n)).drop("_r")
+        return value_rank(df, order, name="_r", limit=int(n)).drop("_r")
     return hash_rank(df, seed, ids, limit=int(n), name="_r").drop("_r")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.text import tokens
-from quill.operators.rank import running_total, value_rank
+from quill.operators.rank import offsets, running_total, value_rank
 
 
 def _c(c) -> Column:
@@ -66,7 +66,7 @@ def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens")
 
 def corpus_offsets(df: DataFrame, order: Sequence, size: str = "n_tokens", name: str = "start_offset") -> DataFrame:
     """Each row's start offset in the concatenation of all rows in ``order``."""
-    return running_total(df, order, F.col(size), name=name)
+    return offsets(df, order, F.col(size), name=name)
 
 
 def corpus_windows(offsets: DataFrame, max_len: int, stride: int, size: str = "n_tokens",
@@ -94,9 +94,9 @@ def pack_blocks(df: DataFrame, order: Sequence, id_col: str, batch_rows: int = 1
     cols = list(dict.fromkeys([id_col, *order]))
     d = df.select(*cols, F.size(tokens(text)).cast("long").alias("_nt"))
     d = value_rank(d, order, name="_r").withColumn("batch", ((F.col("_r") - 1) / F.lit(batch_rows)).cast("long"))
-    d = running_total(d, order, F.col("_nt"), by=["batch"], name="_off")
+    d = offsets(d, order, F.col("_nt"), by=["batch"], name="_off")
     batches = d.groupBy("batch").agg((F.sum("_nt") / F.lit(block)).cast("long").alias("_nb"))
-    batches = running_total(batches, ["batch"], F.col("_nb"), name="_bb")
+    batches = offsets(batches, ["batch"], F.col("_nb"), name="_bb")
     starts = d.select(id_col, "batch", "_off").join(batches, "batch")
     # Join per-row offsets to the rows first, then explode: one row per text
     # crosses the shuffle, not one row per token.

@@ -57,3 +57,26 @@ def test_empty_input(spark):
     df = _ids(spark, 0)
     assert exact_take(df, 10, seed=1, ids="doc_id").count() == 0
     assert value_rank(df, ["doc_id"]).count() == 0
+
+
+def test_value_rank_integral_sparse_keys(spark):
+    from quill.operators.rank import offsets
+
+    ids = [-5, 0, 3, 10 ** 12, 10 ** 12 + 1, 7, 8, 9] + list(range(100, 300, 7))
+    df = spark.createDataFrame([(i, i % 5 + 1) for i in ids], "k long, w long").repartition(3)
+    got = {r.k: r.rank for r in value_rank(df, ["k"]).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(ids))}
+    assert {r.k for r in exact_take(df, 5, order=["k"]).collect()} == set(sorted(ids)[:5])
+    offs = {r.k: r.before for r in offsets(df, ["k"], F.col("w")).collect()}
+    acc, want = 0, {}
+    for k in sorted(ids):
+        want[k] = acc
+        acc += k % 5 + 1
+    assert offs == want
+
+
+def test_value_rank_grouped_with_quota(spark):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("g"))
+    q = spark.createDataFrame([("0", 4), ("1", 1)], "g string, quota long")
+    got = sorted((r.g, r.doc_id, r.rn) for r in value_rank(df, ["doc_id"], by=["g"], name="rn", limit=q).collect())
+    assert got == [("0", 0, 1), ("0", 3, 2), ("0", 6, 3), ("0", 9, 4), ("1", 1, 1)]

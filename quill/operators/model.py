@@ -64,13 +64,16 @@ def split_pair_key(key: Column) -> tuple[Column, Column]:
 
 
 def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order: int = 2,
-              k: int | None = None, sigma: float = 0.0, tau: float | None = None, seed=None) -> DataFrame:
+              k: int | None = None, sigma: float = 0.0, tau: float | str | None = None, seed=None,
+              delta_key: float = 1e-6) -> DataFrame:
     """Document-level n-gram counts with bounded contributions and noise.
 
     Each text contributes at most once to a key and to at most ``k`` distinct
     keys (its first ``k`` in text order), so one document changes at most
     ``k`` counts by 1 (L2 sensitivity sqrt(k)).  Counts get ``N(0, sigma^2)``
-    noise and keys under ``tau`` are dropped.  Output
+    noise and keys under ``tau`` are dropped.  ``tau="auto"`` releases an
+    unknown key set safely: ``1 + sigma sqrt(2 ln(k / delta_key))``, which
+    costs an extra ``delta_key`` in the ledger.  Output
     ``(label?, prev?, token, n)`` with ``n`` a double.
 
     The bounding happens inside each row (``array_distinct`` keeps first
@@ -96,6 +99,10 @@ def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order
     counts = x.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
     if sigma:
         counts = counts.withColumn("n", F.col("n") + F.lit(float(sigma)) * gaussian(seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys]))
+    if tau == "auto":
+        from quill.operators.privacy import key_threshold
+
+        tau = key_threshold(float(sigma), int(k or 1), delta_key)
     if tau is not None:
         counts = counts.where(F.col("n") >= F.lit(float(tau)))
     return counts

@@ -48,3 +48,35 @@ def test_bound_contributions(spark):
     df = spark.range(500).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"))
     out = PV.bound_contributions(df, "user_id", 10, 42, "event_id")
     assert max(r["count"] for r in out.groupBy("user_id").count().collect()) == 10
+
+
+def test_noisy_release_paths(spark):
+    from quill.operators import model as MD
+    from tests.conftest import SF_SMALL
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    sigma = PV.gaussian_sigma(2.0, 1e-5, math.sqrt(50))
+    exact = {(r.prev, r.token): r.n for r in MD.fit_ngram(docs, k=50).collect()}
+    a = MD.fit_ngram(docs, k=50, sigma=sigma, tau="auto", seed=3).collect()
+    b = MD.fit_ngram(docs, k=50, sigma=sigma, tau="auto", seed=3).collect()
+    tau = PV.key_threshold(sigma, 50, 1e-6)
+    assert sorted(a) == sorted(b)  # seeded test noise is repeatable
+    assert all(r.n >= tau for r in a)
+    raw = MD.fit_ngram(docs, k=50, sigma=sigma, seed=3).collect()  # no threshold: every key, noisy
+    assert len(raw) == len(exact) and any(r.n != exact[(r.prev, r.token)] for r in raw)
+    prod = MD.fit_ngram(docs, k=50, sigma=sigma, tau="auto").collect()  # seed=None: Spark randn
+    assert all(r.n >= tau for r in prod)
+    h = PV.dp_label_histogram(docs, "lang", sigma, seed=None).collect()
+    assert len(h) == 4 and all(r.noisy_n >= 0 for r in h)
+
+
+def test_report_with_noise_runs(spark):
+    from quill.plans import report as RP
+    from tests.conftest import SF_SMALL
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    train, test = docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0")
+    pub, priv = train.where("source in ('src0','src1')"), train.where("source not in ('src0','src1')")
+    models = RP.build_models(priv, pub, train.limit(20), epsilon=2.0, delta=1e-5, noise=True, seed=5, tau=1.0)
+    rows = RP.model_report(test, models).collect()
+    assert len(rows) == 8 and all(r.ppl > 1 and math.isfinite(r.ppl) for r in rows)

@@ -141,8 +141,13 @@ def allocate(counts: DataFrame, total: int, key: str = "label", n: str = "n") ->
 
 # ---------------------------------------------------------------- sampling / splitting
 
-def prefix(df: DataFrame, n: int, order: Sequence) -> DataFrame:
-    """The first ``n`` rows in a total ``order`` (positional slice ``[:n]``)."""
+def prefix(df: DataFrame, n: int | None, order: Sequence, frac: float | None = None) -> DataFrame:
+    """The first ``n`` rows in a total ``order`` (positional slice ``[:n]``), or
+    the first ``round(frac * rows)`` rows; the row count comes from the
+    bucket table, not a separate pass."""
+    if frac is not None:
+        return value_rank(df, order, name="_r",
+                          limit=lambda rows: F.bround(rows.cast("double") * F.lit(float(frac)), 0)).drop("_r")
     return exact_take(df, n, order=order)
 
 

@@ -237,7 +237,15 @@ def value_rank(df: DataFrame, order: Sequence, by: Sequence[str] | str = (), nam
     if key is not None:
         return bucket_rank(df, key_bucket(df, key), order, by, limit, name, bounded=True)
     out = running_total(df, order, None, by, name="_rb").withColumn(name, F.col("_rb") + 1).drop("_rb")
-    if isinstance(limit, int):
+    if callable(limit):
+        byl = _names(by)
+        tot = out.groupBy(*byl).agg(F.count(F.lit(1)).alias("_tot")) if byl else None
+        if tot is None:
+            rows = out.count()
+            out = out.where(F.col(name) <= limit(F.lit(rows)))
+        else:
+            out = join_on(out, tot, byl).where(F.col(name) <= limit(F.col("_tot"))).drop("_tot")
+    elif isinstance(limit, int):
         out = out.where(F.col(name) <= F.lit(limit))
     elif isinstance(limit, DataFrame):
         byl = _names(by)

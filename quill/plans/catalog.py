@@ -116,8 +116,10 @@ def value_counts(spark, d):
 
 
 def _prefix_labelled(spark, d):
+    """The leading 90 % of the corpus in id order (900 of 1,000 rows at sf0.01),
+    labelled lang/source: the positional scan prefix before counting."""
     df = docs(spark, d).select("doc_id", F.concat_ws("/", "lang", "source").alias("label"))
-    return P.prefix(df, 900, ["doc_id"])
+    return P.prefix(df, None, ["doc_id"], frac=0.9)
 
 
 def frequent_labels(spark, d):

@@ -21,7 +21,9 @@ QUOTAS = """(select lang as label, n,
         cast(round_even(n * (cast({total} as double) / sum(n) over ()), 0) as bigint) as quota
    from (select lang, count(*) as n from documents group by lang))"""
 
-PREFIX900 = "(select doc_id, lang || '/' || source as label from documents order by doc_id limit 900)"
+PREFIX900 = """(select doc_id, label from (
+   select doc_id, lang || '/' || source as label, row_number() over (order by doc_id) as r, count(*) over () as n
+   from documents) where r <= round_even(n * 0.9::double, 0))"""
 
 SQL: dict[str, str] = {}
 

@@ -128,6 +128,21 @@ def bucket_rank(
     return d.drop("_b", "_before")
 
 
+HOT_ROWS = 1_000_000
+MAX_HOT_GROUPS = 1_000_000
+
+
+def hot_groups(df: DataFrame, by: Sequence[str], min_rows: int = HOT_ROWS,
+               max_groups: int = MAX_HOT_GROUPS) -> DataFrame:
+    """Groups holding more than ``max(min_rows, rows / max_groups)`` rows, as
+    ``(*by, _hot)``.  There are at most ``max_groups`` of them, a proven
+    bound, so the table may be broadcast."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gs"))
+    rows = sizes.agg(F.sum("_gs")).first()[0] or 0
+    cut = max(int(min_rows), int(rows) // int(max_groups))
+    return sizes.where(F.col("_gs") > F.lit(cut)).select(*by, F.lit(True).alias("_hot"))
+
+
 def hash_rank(
     df: DataFrame,
     seed,
@@ -137,18 +152,28 @@ def hash_rank(
     name: str = "rank",
     digits: int = 4,
     total: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``name`` = 1-based position of each row in hash order
     ``(md5(seed:id), id)`` within ``by``; see :func:`bucket_rank` for ``limit``
-    and ``total``.  The bucket is the first ``digits`` hex digits of the hash:
-    at most 16**digits buckets per group, balanced by construction, so a hot
-    group is spread over many tasks; without ``by`` the bucket table is
-    bounded and broadcast."""
+    and ``total``.
+
+    The bucket is the first ``digits`` hex digits of the hash (balanced by
+    construction).  Without ``by`` that is at most 16**digits buckets, broadcast.
+    With ``by``, only hot groups (see :func:`hot_groups`) are split into hash
+    buckets; every other group is one bucket of at most ``hot_rows`` rows.
+    Many small groups (users) then cost one bucket row each, and a group
+    holding a third of the table is still spread over 16**digits tasks."""
     ids = _names(ids)
+    by = _names(by)
     d = df.withColumn("_h", hash_hex(seed, *ids))
-    out = bucket_rank(d, hash_bucket(F.col("_h"), digits), [F.col("_h"), *ids], by, limit, name, total,
-                      bounded=True)
-    return out.drop("_h")
+    bucket = hash_bucket(F.col("_h"), digits)
+    if by:
+        hot = hot_groups(df, by, hot_rows)
+        d = join_on(d, F.broadcast(hot), by, "left")
+        bucket = F.when(F.col("_hot"), bucket).otherwise(F.lit(""))
+    out = bucket_rank(d, bucket, [F.col("_h"), *ids], by, limit, name, total, bounded=True)
+    return out.drop("_h", "_hot")
 
 
 _INTEGRAL = ("LongType", "IntegerType", "ShortType", "ByteType")

@@ -80,3 +80,14 @@ def test_value_rank_grouped_with_quota(spark):
     q = spark.createDataFrame([("0", 4), ("1", 1)], "g string, quota long")
     got = sorted((r.g, r.doc_id, r.rn) for r in value_rank(df, ["doc_id"], by=["g"], name="rn", limit=q).collect())
     assert got == [("0", 0, 1), ("0", 3, 2), ("0", 6, 3), ("0", 9, 4), ("1", 1, 1)]
+
+
+def test_hot_group_split_into_buckets_same_result(spark):
+    # one group holds most rows; forcing it hot (tiny threshold) must not change ranks
+    df = spark.range(3000).select(F.col("id").alias("doc_id"),
+                                  F.when(F.col("id") < 2000, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"))
+    a = {(r.g, r.doc_id): r.rank for r in hash_rank(df, 9, "doc_id", by="g").collect()}
+    b = {(r.g, r.doc_id): r.rank for r in hash_rank(df, 9, "doc_id", by="g", hot_rows=100).collect()}
+    assert a == b
+    c = hash_rank(df, 9, "doc_id", by="g", limit=5, hot_rows=100)
+    assert {r.g: r["count"] for r in c.groupBy("g").count().collect()} == {g: 5 for g in ["hot", *map(str, range(7))]}

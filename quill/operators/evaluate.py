@@ -30,12 +30,20 @@ def mean_std(df: DataFrame, col: str, prefix: str = "ppl") -> DataFrame:
 
 
 def score_pairs(model, targets: DataFrame, name: str = "nll") -> DataFrame:
-    """Add ``name`` = -ln p(token | prev) to every target row."""
+    """Add ``name`` = -ln p(token | prev) to every target row.  The model is
+    evaluated once per distinct pair, then joined back."""
     pairs = targets.select("prev", "token").distinct()
     probs = model.prob(pairs, "_p").select("prev", "token", (-F.log("_p")).alias(name))
     return join_on(targets, probs, ["prev", "token"])
 
 
+def score_counted(model, targets: DataFrame, keys: list[str], name: str = "nll") -> DataFrame:
+    """Pre-aggregate target tokens to ``(keys..., prev, token, cnt)`` before the
+    join to the model (repeated pairs cross the shuffle once), then score."""
+    agg = targets.groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    return score_pairs(model, agg, name)
+
+
 def doc_lookback_targets(docs: DataFrame, id_col: str, max_len: int, stride: int, text: str = "text") -> DataFrame:
     """Scored tokens of each text under lookback windows:
     ``(id, window, trg_len, n, prev, token)``."""
@@ -49,9 +57,11 @@ def doc_lookback_targets(docs: DataFrame, id_col: str, max_len: int, stride: int
 
 
 def ppl_weighted(scored: DataFrame, id_col: str) -> DataFrame:
-    """``exp(sum_w NLL_w * trg_len_w / n)`` per text."""
-    w = scored.groupBy(id_col, "window").agg(F.avg("nll").alias("_nll"), F.first("trg_len").alias("_trg"),
-                                             F.first("n").alias("_n"))
+    """``exp(sum_w NLL_w * trg_len_w / n)`` per text; ``scored`` holds counted
+    targets (``cnt``) or single tokens."""
+    cnt = F.col("cnt") if "cnt" in scored.columns else F.lit(1)
+    w = scored.groupBy(id_col, "window").agg((F.sum(F.col("nll") * cnt) / F.sum(cnt)).alias("_nll"),
+                                             F.first("trg_len").alias("_trg"), F.first("n").alias("_n"))
     return w.groupBy(id_col).agg(F.exp(F.sum(F.col("_nll") * F.col("_trg")) / F.first("_n")).alias("ppl"))
 
 
@@ -79,7 +89,8 @@ def stream_targets(docs: DataFrame, id_col: str, max_len: int, stride: int, text
 
 def ppl_macro(scored: DataFrame) -> DataFrame:
     """``exp(mean over windows of the window's mean NLL)`` and the window count."""
-    w = scored.groupBy("window").agg(F.avg("nll").alias("_nll"))
+    cnt = F.col("cnt") if "cnt" in scored.columns else F.lit(1)
+    w = scored.groupBy("window").agg((F.sum(F.col("nll") * cnt) / F.sum(cnt)).alias("_nll"))
     return w.agg(F.count(F.lit(1)).alias("n_windows"), F.exp(F.avg("_nll")).alias("ppl"))
 
 
@@ -88,4 +99,4 @@ def score_generated(gen: DataFrame, model, id_col: str = "seq_id", max_len: int
     """Self-perplexity of generated sequences: lookback windows, token-weighted
     (``(id, ppl)``); ``mean_std`` over it gives the mean and spread."""
     t = doc_lookback_targets(gen.select(id_col, text), id_col, max_len, stride, text)
-    return ppl_weighted(score_pairs(model, t), id_col)
+    return ppl_weighted(score_counted(model, t, [id_col, "window", "trg_len", "n"]), id_col)

@@ -445,21 +445,22 @@ def _train_model(spark, d):
 def ngram_nll(spark, d):
     _, test = _train_test(spark, d)
     rows = MD.bigram_rows(test, "doc_id")
-    scored = EV.score_pairs(_train_model(spark, d), rows)
-    return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.avg("nll"), 6).alias("nll"))
+    scored = EV.score_counted(_train_model(spark, d), rows, ["doc_id"])
+    return scored.groupBy("doc_id").agg(F.sum("cnt").alias("n_tokens"),
+                                        F.round(F.sum(F.col("nll") * F.col("cnt")) / F.sum("cnt"), 6).alias("nll"))
 
 
 def ppl_macro(spark, d):
     _, test = _train_test(spark, d)
     t = EV.stream_targets(test, "doc_id", 128, 128)
-    r = EV.ppl_macro(EV.score_pairs(_train_model(spark, d), t))
+    r = EV.ppl_macro(EV.score_counted(_train_model(spark, d), t, ["window"]))
     return r.select("n_windows", F.round("ppl", 6).alias("ppl"))
 
 
 def _ppl_weighted(spark, d):
     _, test = _train_test(spark, d)
     t = EV.doc_lookback_targets(test, "doc_id", 1024, 512)
-    return EV.ppl_weighted(EV.score_pairs(_train_model(spark, d), t), "doc_id")
+    return EV.ppl_weighted(EV.score_counted(_train_model(spark, d), t, ["doc_id", "window", "trg_len", "n"]), "doc_id")
 
 
 def ppl_weighted(spark, d):

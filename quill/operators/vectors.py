@@ -77,11 +77,16 @@ def ce_row(student: Column, target: Column) -> Column:
     return -F.get(log_softmax(student, 1.0), target)
 
 
+def align(student: DataFrame, teacher: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Pair student and teacher outputs for the same input (inner equi-join)."""
+    return student.join(teacher, list(on))
+
+
 def with_teacher_mean(df: DataFrame, vec: str, by: str, name: str = "teacher") -> DataFrame:
     """Attach each row's group mean vector as its teacher output (equi-join on
     the group; the mean table has one row per group)."""
     t = long_to_array(mean_vector(df, vec, by, "mean"), [by], "mean", name)
-    return df.join(t, by)
+    return align(df, t, [by])
 
 
 def kd_kl(df: DataFrame, student: str, teacher: str, temperature: float, batch: str) -> DataFrame:

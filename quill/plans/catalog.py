@@ -253,18 +253,21 @@ def windows_forward(spark, d):
 
 
 def masked_windows(spark, d):
-    """Forward windows (64 / 32) over the 128-token padded ids of every text,
-    with context and padding targets masked to -100."""
-    ids = TX.encode(TX.tokenize_pad(tdocs(spark, d), 128, PAD).select("doc_id", "pos", "token"), _vocab(spark, d))
-    seqs = tdocs(spark, d).select("doc_id", F.lit(128).alias("n"))
-    w = WN.strided_windows(seqs, "n", 64, 32, "forward", keep=["doc_id"])
-    w = w.select("doc_id", "begin", "end", "trg_len",
-                 F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("pos"))
-    j = w.join(ids, ["doc_id", "pos"])
-    rel = F.col("pos") - F.col("begin")
-    target = (F.when(rel < (F.col("end") - F.col("begin")) - F.col("trg_len"), F.lit(-100))
-              .when(F.col("token") == F.lit(PAD), F.lit(-100)).otherwise(F.col("token_id"))).cast("long")
-    return j.select("doc_id", "begin", rel.cast("long").alias("pos"), target.alias("target"))
+    """Forward windows (64 / 32) over the 128-token padded ids of every text:
+    each window's slice of the id array with context positions masked
+    (``mask_targets``) and padding masked (``mask_value``) to -100."""
+    from quill.functions.arrays import mask_targets, mask_value
+
+    vocab = _vocab(spark, d)
+    pad_id = vocab.where(F.col("token") == PAD).first()["token_id"]
+    ids = TX.encode(TX.tokenize_pad(tdocs(spark, d), 128, PAD).select("doc_id", "pos", "token"), vocab)
+    arrays = VC.long_to_array(ids.select("doc_id", "pos", "token_id"), ["doc_id"], "token_id", "ids")
+    w = WN.strided_windows(arrays.select("doc_id", F.size("ids").alias("n")), "n", 64, 32, "forward", keep=["doc_id"])
+    j = w.join(arrays, "doc_id")
+    piece = F.slice(F.col("ids"), F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))
+    target = mask_value(mask_targets(piece, F.col("trg_len").cast("int")), F.lit(pad_id).cast("long"))
+    return j.select("doc_id", "begin", F.posexplode(target).alias("pos", "target")).select(
+        "doc_id", "begin", F.col("pos").cast("long").alias("pos"), "target")
 
 
 def parse_generated(spark, d):

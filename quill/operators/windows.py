@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.text import tokens
-from quill.operators.rank import offsets, running_total, value_rank
+from quill.operators.rank import offsets, value_rank
 
 
 def _c(c) -> Column:

@@ -7,7 +7,6 @@ emit many shards and Parquet is used between stages.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -62,3 +62,14 @@ def test_stratified_sample_no_group_over_quota(spark):
     s = P.stratified_sample(df, "label", q, 3, "doc_id")
     per = {r.label: r["count"] for r in s.groupBy("label").count().collect()}
     assert per == {r.label: r.quota for r in q.collect()}
+
+
+def test_union_all_by_name_and_label_columns(spark):
+    a = spark.createDataFrame([("x", 1)], "text string, doc_id long")
+    b = spark.createDataFrame([(2, "y")], "doc_id long, text string")
+    strata = [P.with_label(a, "German"), P.with_label(b, "French")]
+    u = P.union_all(strata)
+    assert sorted((r.doc_id, r.text, r.label) for r in u.collect()) == [(1, "x", "German"), (2, "y", "French")]
+    two = spark.createDataFrame([("t", "a", "b")], "text string, label_lang string, label_source string")
+    assert P.label_columns(two) == ["label_lang", "label_source"]
+    assert P.prompt_counts(two).first().prompt == "a\tb\n\n"

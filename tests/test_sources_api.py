@@ -37,5 +37,5 @@ def test_kd_loss_user_terms(spark):
 
 
 def test_run_name_and_synthetic_name():
-    assert io.run_name("gpt2", "dataset", 2.0, "DPKD") == "gpt2-dataset-2.0-DPKD"
-    assert io.synthetic_name(128, "big_patent", 2.0) == "128_big_patent_2.0_dp_synthetic_data"
+    assert io.run_name("student", "documents", 2.0, "DPKD") == "student-documents-2.0-DPKD"
+    assert io.synthetic_name(128, "documents", 2.0) == "128_documents_2.0_dp_synthetic_data"

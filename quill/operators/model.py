@@ -99,6 +99,9 @@ def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order
     counts = x.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
     if sigma:
         counts = counts.withColumn("n", F.col("n") + F.lit(float(sigma)) * gaussian(seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys]))
+        if seed is None:
+            # Real noise is drawn once: a recomputed stage must not redraw it.
+            counts = counts.checkpoint(eager=True)
     if tau == "auto":
         from quill.operators.privacy import key_threshold
 

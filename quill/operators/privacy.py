@@ -55,14 +55,23 @@ def dp_mean(df: DataFrame, vec: str, by, c: float, sigma: float, seed=None, name
     x = df.select(*by, F.posexplode(clip_l2(vec, c)).alias("pos", "_x"))
     agg = x.groupBy(*by, F.col("pos").cast("long").alias("pos")).agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
     noise = F.lit(0.0) if sigma == 0 else F.lit(sigma * c) * gaussian(seed, *[F.col(b) for b in by], F.col("pos"))
-    return agg.select(*by, "pos", ((F.col("_s") + noise) / F.col("_n")).alias(name))
+    out = agg.select(*by, "pos", ((F.col("_s") + noise) / F.col("_n")).alias(name))
+    return _drawn_once(out, sigma, seed)
+
+
+def _drawn_once(df: DataFrame, sigma: float, seed) -> DataFrame:
+    """Materialise a release carrying real (unseeded) noise, so a recomputed
+    stage never redraws it; seeded test noise is a function of the row and
+    needs no copy."""
+    return df.checkpoint(eager=True) if sigma and seed is None else df
 
 
 def dp_label_histogram(df: DataFrame, label: str, sigma: float, seed=None, name: str = "noisy_n") -> DataFrame:
     """Label counts plus Gaussian noise, clamped at 0 (sensitivity 1 per row)."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
     noise = gaussian(seed, F.col("label"))
-    return counts.select("label", F.greatest(F.lit(0.0), F.col("_n") + F.lit(sigma) * noise).alias(name))
+    out = counts.select("label", F.greatest(F.lit(0.0), F.col("_n") + F.lit(sigma) * noise).alias(name))
+    return _drawn_once(out, sigma, seed)
 
 
 def bound_contributions(df: DataFrame, who: str, k: int, seed, ids) -> DataFrame:

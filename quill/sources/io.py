@@ -60,10 +60,11 @@ def read_corpus(spark: SparkSession, path: str, config: str | None = None, split
 
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet", split_col: str = "split",
                  shards: int | None = None, mode: str = "error") -> None:
-    """One folder per split (``split=train`` ...), many shards each."""
-    w = df
-    if shards:
-        w = w.repartition(shards)
+    """One folder per split (``split=train`` ...), at least ``shards`` files in
+    all: the rows are only redistributed when the input has fewer partitions
+    (CSV with multi-line texts cannot be split on read, so many shards
+    matter)."""
+    w = spread(df, None, shards) if shards else df
     writer = w.write.mode(mode).partitionBy(split_col)
     if fmt == "csv":
         writer.options(**_CSV_WRITE).csv(path)

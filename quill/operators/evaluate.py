@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quill.functions.text import tokens
 from quill.operators.model import bigram_rows
 from quill.operators.rank import join_on
-from quill.operators.windows import corpus_offsets, with_token_counts
+from quill.operators.windows import corpus_offsets
 
 
 def mean_std(df: DataFrame, col: str, prefix: str = "ppl") -> DataFrame:
@@ -47,8 +47,8 @@ def score_counted(model, targets: DataFrame, keys: list[str], name: str = "nll")
 def doc_lookback_targets(docs: DataFrame, id_col: str, max_len: int, stride: int, text: str = "text") -> DataFrame:
     """Scored tokens of each text under lookback windows:
     ``(id, window, trg_len, n, prev, token)``."""
-    d = with_token_counts(docs.select(id_col, text), text, "n")
-    rows = bigram_rows(d, id_col, text, keep=["n"])
+    d = docs.select(id_col, tokens(text).alias("_toks")).withColumn("n", F.size("_toks").cast("long"))
+    rows = bigram_rows(d, id_col, keep=["n"], toks="_toks")
     i = (F.col("pos") / F.lit(stride)).cast("long") * F.lit(stride)
     begin = F.greatest(i + F.lit(stride - max_len), F.lit(0))
     end = F.least(i + F.lit(stride), F.col("n"))
@@ -72,12 +72,13 @@ def stream_targets(docs: DataFrame, id_col: str, max_len: int, stride: int, text
     The context of a text's first token is the last token of the text that
     ends where this one starts (an equi-join on offsets), never a corpus-sized
     array or string."""
-    d = with_token_counts(docs.select(id_col, text), text, "n_tokens").where(F.col("n_tokens") > 0)
-    d = d.withColumn("_last", F.element_at(tokens(text), -1))
+    d = docs.select(id_col, tokens(text).alias("_toks")).withColumn("n_tokens", F.size("_toks").cast("long"))
+    d = d.where(F.col("n_tokens") > 0).withColumn("_last", F.element_at("_toks", -1))
     offs = corpus_offsets(d.select(id_col, "n_tokens", "_last"), [id_col])
     ends = offs.select((F.col("start_offset") + F.col("n_tokens")).alias("_end"), F.col("_last").alias("_carry"))
     info = offs.join(ends, F.col("start_offset") == F.col("_end"), "left").select(id_col, "start_offset", "_carry")
-    rows = bigram_rows(d.select(id_col, text).join(info, id_col), id_col, text, keep=["start_offset", "_carry"])
+    rows = bigram_rows(d.select(id_col, "_toks").join(info, id_col), id_col, keep=["start_offset", "_carry"],
+                       toks="_toks")
     rows = rows.withColumn("prev", F.when(F.col("pos") == 0, F.col("_carry")).otherwise(F.col("prev")))
     g = F.col("start_offset") + F.col("pos")
     i = F.when(g < F.lit(max_len), F.lit(0).cast("long")).otherwise(

@@ -40,9 +40,12 @@ def pair_array(toks: Column) -> Column:
     return F.filter(pairs, lambda x: x["token"].isNotNull())
 
 
-def bigram_rows(df: DataFrame, id_col: str, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """``(id, keep..., pos, prev, token)``, one row per token; no shuffle."""
-    d = df.select(id_col, *keep, tokens(text).alias("_t"))
+def bigram_rows(df: DataFrame, id_col: str, text: str = "text", keep: Sequence[str] = (),
+                toks: str | None = None) -> DataFrame:
+    """``(id, keep..., pos, prev, token)``, one row per token; no shuffle.
+    ``toks`` names an existing token-array column (tokenised once upstream)."""
+    src = F.col(toks) if toks else tokens(text)
+    d = df.select(id_col, *keep, src.alias("_t"))
     d = d.select(id_col, *keep, F.posexplode(pair_array(F.col("_t"))).alias("pos", "_bg"))
     return d.select(id_col, *keep, F.col("pos").cast("long").alias("pos"), "_bg.prev", "_bg.token")
 

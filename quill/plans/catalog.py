@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quill.operators import evaluate as EV
+from quill.operators import generate as GN
+from quill.operators import model as MD
 from quill.operators import prepare as P
+from quill.operators import privacy as PV
+from quill.operators import text as TX
+from quill.operators import udf as UD
+from quill.operators import vectors as VC
+from quill.operators import windows as WN
+from quill.operators.rank import value_rank
+from quill.plans import report as RP
+from quill.plans import synthesis as SY
 from quill.sources import io
 
 SEED = 42
@@ -182,8 +193,6 @@ def shuffle_rows(spark, d):
 
 # ------------------------------------------------------------ text, tokens, windows
 
-from quill.operators import text as TX  # noqa: E402
-from quill.operators import windows as WN  # noqa: E402
 
 PAD = "[PAD]"
 
@@ -284,9 +293,6 @@ def expand_prompts(spark, d):
 
 # ------------------------------------------------------------ vectors and losses
 
-from quill.operators import privacy as PV  # noqa: E402
-from quill.operators import vectors as VC  # noqa: E402
-from quill.operators.rank import value_rank  # noqa: E402
 
 T_KD = 2.0
 
@@ -393,9 +399,6 @@ def budget_compose(spark, d):
 
 # ------------------------------------------------------------ count models, candidates, scoring
 
-from quill.operators import evaluate as EV  # noqa: E402
-from quill.operators import generate as GN  # noqa: E402
-from quill.operators import model as MD  # noqa: E402
 
 PUBLIC = ["src0", "src1"]
 
@@ -519,10 +522,6 @@ def generated_no_repeat(spark, d):
 
 # ------------------------------------------------------------ synthetic table, batched map, model report
 
-from quill.operators import udf as UD  # noqa: E402
-from quill.plans import report as RP  # noqa: E402
-from quill.plans import synthesis as SY  # noqa: E402
-
 
 def synthetic_rows(spark, d):
     """Conversations stand in for generated rows (label = role, text emptied

@@ -167,7 +167,9 @@ def hash_rank(
     ids = _names(ids)
     by = _names(by)
     d = df.withColumn("_h", hash_hex(seed, *ids))
-    bucket = hash_bucket(F.col("_h"), digits)
+    # A non-null bucket keeps Catalyst from inferring an isnotnull(...) filter
+    # that would hash every row a second time.
+    bucket = F.coalesce(hash_bucket(F.col("_h"), digits), F.lit(""))
     if by:
         hot = hot_groups(df, by, hot_rows)
         d = join_on(d, F.broadcast(hot), by, "left")
@@ -189,7 +191,8 @@ def key_bucket(df: DataFrame, key: str, buckets: int = MAX_BUCKETS) -> Column:
         return F.lit(0).cast("long")
     lo, hi = int(r["lo"]), int(r["hi"])
     width = max(1, -(-(hi - lo + 1) // buckets))
-    return F.floor((F.col(key).cast("long") - F.lit(lo)) / F.lit(width)).cast("long")
+    # Nulls sort first: bucket -1 (and a non-null bucket needs no inferred filter).
+    return F.coalesce(F.floor((F.col(key).cast("long") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
 
 
 def _integral_key(df: DataFrame, order) -> str | None:

@@ -9,6 +9,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _driver_memory() -> str:
+    """About 60 % of physical memory, at most 16 GB (local mode runs all tasks
+    in the driver JVM); ``QUILL_DRIVER_MEMORY`` overrides."""
+    env = os.environ.get("QUILL_DRIVER_MEMORY")
+    if env:
+        return env
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    mb = max(1024, min(16 * 1024, int(total * 0.6 / (1 << 20))))
+    return f"{mb}m"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quill") -> SparkSession:
     """Local session used by tests and bench; a cluster passes its own session."""
     spark = (
@@ -23,7 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("QUILL_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", _driver_memory())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -574,3 +574,20 @@ def generated_ppl(spark, d):
     per = EV.score_generated(generate_greedy(spark, d), teacher)
     r = EV.mean_std(per, "ppl")
     return r.select(F.round("ppl_mean", 6).alias("ppl_mean"), F.round("ppl_std", 6).alias("ppl_std"))
+
+
+def prepared_splits(spark, d):
+    """The whole preparation job: leading 90 % of rows by id, labels
+    lang/source seen more than 25 times, ``(text, label)``, 2 % test then 2 %
+    val, written as CSV splits and read back ``(split, text, label)``."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    from quill.plans import corpora
+    from quill.session import scratch_path
+
+    df = docs(spark, d).select("doc_id", "text", F.concat_ws("/", "lang", "source").alias("label"))
+    out = scratch_path(spark, "prepared")
+    corpora.prepare_frequent(df, "text", "label", "doc_id", out, 25, 0.02, 0.02, SEED, scan_frac=0.9,
+                             fmt="csv", shards=8)
+    back = io.read_splits(spark, out, _parse_datatype_string("text string, label string"), fmt="csv")
+    return back.select("split", "text", "label")

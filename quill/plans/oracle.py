@@ -511,3 +511,13 @@ select round(avg(ppl), 6) as ppl_mean, round(stddev_pop(ppl), 6) as ppl_std from
 
 
 SQL["generated_ppl"] = _generated_ppl_sql()
+
+SQL["prepared_splits"] = f"""
+with k as (select * from {PREFIX900} where label in (select label from {PREFIX900} group by label having count(*) > 25)),
+kk as (select k.doc_id, k.label, d.text from k join documents d using (doc_id)),
+a as (select *, row_number() over (order by {H}, doc_id) as r, count(*) over () as n from kk),
+t as (select doc_id, label, text, r <= ceil(n * 0.02::double) as is_test from a),
+b as (select *, row_number() over (order by md5('43:' || doc_id), doc_id) as r, count(*) over () as n from t where not is_test)
+select 'test' as split, text, label from t where is_test
+union all
+select case when r <= ceil(n * 0.02::double) then 'val' else 'train' end as split, text, label from b"""

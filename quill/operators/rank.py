@@ -191,8 +191,11 @@ def key_bucket(df: DataFrame, key: str, buckets: int = MAX_BUCKETS) -> Column:
         return F.lit(0).cast("long")
     lo, hi = int(r["lo"]), int(r["hi"])
     width = max(1, -(-(hi - lo + 1) // buckets))
-    # Nulls sort first: bucket -1 (and a non-null bucket needs no inferred filter).
-    return F.coalesce(F.floor((F.col(key).cast("long") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    # Exact integer division (no double rounding for keys beyond 2^53); nulls
+    # sort first: bucket -1 (and a non-null bucket needs no inferred filter).
+    name = key.replace("`", "``")
+    b = F.expr(f"(CAST(`{name}` AS BIGINT) - CAST({lo} AS BIGINT)) div CAST({width} AS BIGINT)")
+    return F.coalesce(b, F.lit(-1).cast("long"))
 
 
 def _integral_key(df: DataFrame, order) -> str | None:

@@ -91,3 +91,11 @@ def test_hot_group_split_into_buckets_same_result(spark):
     assert a == b
     c = hash_rank(df, 9, "doc_id", by="g", limit=5, hot_rows=100)
     assert {r.g: r["count"] for r in c.groupBy("g").count().collect()} == {g: 5 for g in ["hot", *map(str, range(7))]}
+
+
+def test_value_rank_huge_keys_exact(spark):
+    base = 2 ** 62
+    ids = [base + i * 3 for i in range(50)] + [base - 7, 2 ** 63 - 1]
+    df = spark.createDataFrame([(k,) for k in ids], "k long")
+    got = {r.k: r.rank for r in value_rank(df, ["k"]).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(ids))}

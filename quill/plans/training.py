@@ -22,19 +22,26 @@ def _ledger_rows(spark: SparkSession, run: str, sigma: float, delta: float, step
 
 def fit_teacher(train: DataFrame, labels: Sequence[str], epsilon: float, delta: float, out: str,
                 metrics: str, run: str, k: int = 200, text: str = "text", seed=None) -> DataFrame:
-    """DP bigram conditioned on the control code (all label columns joined),
-    sigma calibrated for (epsilon, delta) with sensitivity sqrt(k) and an
-    automatic key-release threshold.  Writes the model and appends
-    ``(run, metric, value)`` rows for the spent epsilon.  Returns the model."""
+    """DP bigram conditioned on the control code (all label columns joined).
+
+    The budget's delta is split evenly: half for the Gaussian counts (sigma
+    calibrated for (epsilon, delta/2) with sensitivity sqrt(k)), half for
+    releasing an unknown key set (the automatic threshold).  Writes the model
+    and appends ``(run, metric, value)`` rows: the RDP epsilon at delta/2 and
+    both delta parts.  Returns the model."""
     code = control_prompt_expr(list(labels), end="")  # a null label is an error, not a skip
-    sigma = PV.gaussian_sigma(epsilon, delta, math.sqrt(k))
+    d_gauss, d_keys = delta / 2, delta / 2
+    sigma = PV.gaussian_sigma(epsilon, d_gauss, math.sqrt(k))
     model = MD.fit_ngram(train.select(code.alias("label"), text), text, label="label", k=k, sigma=sigma,
-                         tau="auto", seed=seed)
+                         tau="auto", seed=seed, delta_key=d_keys)
     model.write.mode("overwrite").parquet(out)
-    spent = _ledger_rows(train.sparkSession, run, sigma / math.sqrt(k), delta)
-    io.append_metrics(spent.select("run", F.lit("final_epsilon_rdp").alias("metric"), F.col("epsilon").alias("value")),
-                      metrics)
-    return train.sparkSession.read.parquet(out)
+    spark = train.sparkSession
+    spent = _ledger_rows(spark, run, sigma / math.sqrt(k), d_gauss)
+    rows = spent.select("run", F.lit("final_epsilon_rdp").alias("metric"), F.col("epsilon").alias("value")).unionByName(
+        spark.createDataFrame([(run, "delta_gaussian", d_gauss), (run, "delta_key_release", d_keys)],
+                              "run string, metric string, value double"))
+    io.append_metrics(rows, metrics)
+    return spark.read.parquet(out)
 
 
 def distil_student(teacher: DataFrame, student_text: DataFrame, lam: float, out: str, text: str = "text",

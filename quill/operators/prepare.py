@@ -120,6 +120,25 @@ def table_stats(df: DataFrame, col: str, stage: str) -> DataFrame:
     )
 
 
+def frequency_stats(df: DataFrame, col: str, min_count: int, before: str = "before",
+                    after: str = "after") -> DataFrame:
+    """Rows and distinct labels before and after the frequency filter, from one
+    count per label (a partial aggregate) instead of filtering and recounting:
+    ``(stage, n_rows, n_labels)``.  Null labels count as rows only before."""
+    per = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    keep = F.col(col).isNotNull() & (F.col("_n") > F.lit(min_count))
+    t = per.agg(
+        F.sum("_n").cast("long").alias("_r0"), F.count(col).alias("_l0"),
+        F.coalesce(F.sum(F.when(keep, F.col("_n"))), F.lit(0)).cast("long").alias("_r1"),
+        F.count(F.when(keep, F.lit(1))).alias("_l1"),
+    )
+    rows = F.array(
+        F.struct(F.lit(before).alias("stage"), F.col("_r0").alias("n_rows"), F.col("_l0").alias("n_labels")),
+        F.struct(F.lit(after).alias("stage"), F.col("_r1").alias("n_rows"), F.col("_l1").alias("n_labels")),
+    )
+    return t.select(F.explode(rows).alias("_s")).select("_s.stage", "_s.n_rows", "_s.n_labels")
+
+
 def prompt_counts(df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """Rows per control-code prompt (every label column, TAB-joined, blank line)."""
     from quill.functions.text import control_prompt_expr

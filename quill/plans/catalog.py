@@ -142,9 +142,7 @@ def filter_frequent(spark, d):
 
 
 def table_stats(spark, d):
-    df = _prefix_labelled(spark, d)
-    return P.table_stats(df, "label", "before").unionByName(
-        P.table_stats(P.filter_frequent(df, "label", 25), "label", "after"))
+    return P.frequency_stats(_prefix_labelled(spark, d), "label", 25)
 
 
 def prompt_counts(spark, d):

@@ -73,3 +73,12 @@ def test_union_all_by_name_and_label_columns(spark):
     two = spark.createDataFrame([("t", "a", "b")], "text string, label_lang string, label_source string")
     assert P.label_columns(two) == ["label_lang", "label_source"]
     assert P.prompt_counts(two).first().prompt == "a\tb\n\n"
+
+
+def test_frequency_stats_equals_filter_then_count(spark):
+    rows = [(i, None if i % 11 == 0 else f"l{i % 5 if i < 60 else 9}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, label string")
+    got = {r.stage: (r.n_rows, r.n_labels) for r in P.frequency_stats(df, "label", 10).collect()}
+    b = P.table_stats(df, "label", "before").first()
+    a = P.table_stats(P.filter_frequent(df, "label", 10), "label", "after").first()
+    assert got == {"before": (b.n_rows, b.n_labels), "after": (a.n_rows, a.n_labels)}

@@ -297,6 +297,24 @@ def offsets(df: DataFrame, order: Sequence, weight: Column, by: Sequence[str] |
     return running_total(df, order, weight, by, name=name)
 
 
+def rank_and_offset(df: DataFrame, key: str, weight: Column, rank: str = "rank",
+                    offset: str = "before") -> DataFrame:
+    """One bucketed pass over an integral unique ``key`` giving both the
+    1-based rank and the exclusive running sum of ``weight``."""
+    d = df.withColumn("_b", key_bucket(df, key)).withColumn("_w", weight.cast("long"))
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_s"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0).cast("long")).alias("_nb"),
+                           F.coalesce(F.sum("_s").over(w), F.lit(0).cast("long")).alias("_sb"))
+    # At most MAX_BUCKETS rows: broadcast.
+    d = d.join(F.broadcast(counts), "_b")
+    wr = Window.partitionBy("_b").orderBy(key)
+    d = d.withColumn(rank, F.col("_nb") + F.row_number().over(wr)).withColumn(
+        offset, F.col("_sb") + F.coalesce(F.sum("_w").over(wr.rowsBetween(Window.unboundedPreceding, -1)),
+                                          F.lit(0).cast("long")))
+    return d.drop("_b", "_w", "_nb", "_sb")
+
+
 def exact_take(df: DataFrame, n: int, seed=None, ids=None, order=None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows: the first ``n`` in hash order (``seed``/``ids``)
     or in a value ``order``.  Never a single-partition ``orderBy().limit()``."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.text import tokens
-from quill.operators.rank import offsets, value_rank
+from quill.operators.rank import offsets, rank_and_offset, value_rank
 
 
 def _c(c) -> Column:
@@ -93,10 +93,19 @@ def pack_blocks(df: DataFrame, order: Sequence, id_col: str, batch_rows: int = 1
     ``(block_id, pos, token)`` with block ids numbered across batches."""
     cols = list(dict.fromkeys([id_col, *order]))
     d = df.select(*cols, F.size(tokens(text)).cast("long").alias("_nt"))
-    d = value_rank(d, order, name="_r").withColumn("batch", ((F.col("_r") - 1) / F.lit(batch_rows)).cast("long"))
-    d = offsets(d, order, F.col("_nt"), by=["batch"], name="_off")
-    batches = d.groupBy("batch").agg((F.sum("_nt") / F.lit(block)).cast("long").alias("_nb"))
-    batches = offsets(batches, ["batch"], F.col("_nb"), name="_bb")
+    if len(order) == 1 and isinstance(order[0], str) and type(d.schema[order[0]].dataType).__name__ in (
+            "LongType", "IntegerType", "ShortType", "ByteType"):
+        # One bucketed pass: row rank (for batches) and token offset together.
+        d = rank_and_offset(d, order[0], F.col("_nt"), rank="_r", offset="_g")
+        d = d.withColumn("batch", ((F.col("_r") - 1) / F.lit(batch_rows)).cast("long"))
+        per = d.groupBy("batch").agg(F.min("_g").alias("_b0"), (F.sum("_nt") / F.lit(block)).cast("long").alias("_nb"))
+        d = d.join(per.select("batch", "_b0"), "batch").withColumn("_off", F.col("_g") - F.col("_b0"))
+        batches = offsets(per.select("batch", "_nb"), ["batch"], F.col("_nb"), name="_bb")
+    else:
+        d = value_rank(d, order, name="_r").withColumn("batch", ((F.col("_r") - 1) / F.lit(batch_rows)).cast("long"))
+        d = offsets(d, order, F.col("_nt"), by=["batch"], name="_off")
+        batches = d.groupBy("batch").agg((F.sum("_nt") / F.lit(block)).cast("long").alias("_nb"))
+        batches = offsets(batches, ["batch"], F.col("_nb"), name="_bb")
     starts = d.select(id_col, "batch", "_off").join(batches, "batch")
     # Join per-row offsets to the rows first, then explode: one row per text
     # crosses the shuffle, not one row per token.

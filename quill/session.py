@@ -66,3 +66,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for written intermediate tables."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/quill-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20,
+               text_split_bytes: int = 64 << 20) -> dict[str, str]:
+    """Settings these jobs assume on a cluster, sized from the input volume.
+
+    * scans split text at ``text_split_bytes``: one tokenised split explodes
+      to many token rows, so splits are smaller than Spark's 128 MB default;
+    * AQE starts from enough shuffle partitions for ~``target_partition_bytes``
+      each (at least 2 per core) and coalesces small ones; skew-join
+      splitting stays on for hot tokens and contexts;
+    * checkpoints no longer referenced are cleaned.
+
+    The checkpoint folder itself (``spark.checkpoint.dir``) is the cluster's
+    shared storage and is not chosen here.
+    """
+    parts = max(2 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(text_split_bytes),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }

@@ -39,3 +39,12 @@ def test_kd_loss_user_terms(spark):
 def test_run_name_and_synthetic_name():
     assert io.run_name("student", "documents", 2.0, "DPKD") == "student-documents-2.0-DPKD"
     assert io.synthetic_name(128, "documents", 2.0) == "128_documents_2.0_dp_synthetic_data"
+
+
+def test_scale_conf_sizes_partitions():
+    from quill.session import scale_conf
+
+    c = scale_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (128 << 20) + 1
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from quill.functions.hashing import uniform
 from quill.operators.model import candidate_lists
-from quill.operators.rank import join_on
 
 
 def _cmp(a: Column, b: Column) -> Column:
@@ -76,13 +75,17 @@ def generate(model: DataFrame, prompts: DataFrame, steps: int, k: int = 50, p: f
     count model ``(label, prev, token, n)``; start context is null.  Output
     ``(seq_id, label, text, n_tokens)``."""
     width = 1 if greedy else k + steps
-    # Read at every step: materialise once (reliable checkpoint) instead of
-    # recomputing the model for each join.
-    cands = candidate_lists(model, ["label", "prev"], width).checkpoint(eager=True)
+    # Read at every step: materialise once (reliable checkpoint).  The join
+    # key is (label, prev or ''): tokens are never empty, so '' is the start
+    # and the join is a plain equi-join.  Between state checkpoints the
+    # exchange on this table is planned once and reused by every step.
+    cands = (candidate_lists(model, ["label", "prev"], width)
+             .withColumn("_p", F.coalesce(F.col("prev"), F.lit(""))).drop("prev")
+             .checkpoint(eager=True))
     state = prompts.select("seq_id", "label", F.lit(None).cast("string").alias("prev"),
                            F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
     for step in range(steps):
-        j = join_on(state, cands, ["label", "prev"], "left")
+        j = state.withColumn("_p", F.coalesce(F.col("prev"), F.lit(""))).join(cands, ["label", "_p"], "left")
         if greedy:
             nxt = F.get(F.col("cands"), 0)["token"]
         else:

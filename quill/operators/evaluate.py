@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.text import tokens
-from quill.operators.model import bigram_rows
-from quill.operators.rank import join_on
+from quill.operators.model import bigram_rows, ctx_key
 from quill.operators.windows import corpus_offsets
 
 
@@ -33,8 +32,10 @@ def score_pairs(model, targets: DataFrame, name: str = "nll") -> DataFrame:
     """Add ``name`` = -ln p(token | prev) to every target row.  The model is
     evaluated once per distinct pair, then joined back."""
     pairs = targets.select("prev", "token").distinct()
-    probs = model.prob(pairs, "_p").select("prev", "token", (-F.log("_p")).alias(name))
-    return join_on(targets, probs, ["prev", "token"])
+    probs = model.prob(pairs, "_p").select(ctx_key("prev").alias("_sk"), F.col("token").alias("_st"),
+                                           (-F.log("_p")).alias(name))
+    t = targets.withColumn("_tk", ctx_key("prev"))
+    return t.join(probs, (F.col("_tk") == F.col("_sk")) & (F.col("token") == F.col("_st"))).drop("_tk", "_sk", "_st")
 
 
 def score_counted(model, targets: DataFrame, keys: list[str], name: str = "nll") -> DataFrame:

@@ -131,8 +131,10 @@ def marginalise(counts: DataFrame, over: str = "label") -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def _nseq(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+def ctx_key(prev: str = "prev") -> Column:
+    """Non-null join key for a bigram context: the previous token, or '' for
+    the start (a token is never empty)."""
+    return F.coalesce(F.col(prev), F.lit(""))
 
 
 @dataclass
@@ -167,7 +169,8 @@ class NgramModel:
         """Add ``name`` = p(token | prev) to a table of distinct ``(prev, token)``.
 
         The model tables grow with the corpus and are joined, not broadcast by
-        force; AQE broadcasts them when small and splits hot tokens."""
+        force; AQE broadcasts them when small and splits hot tokens.  Context
+        joins use the non-null key ``prev or ''`` (tokens are never empty)."""
         tot = self.unigrams.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
         big_n = float(tot["N"] or 0.0)
         v = float(tot["V"] or 0)
@@ -177,10 +180,11 @@ class NgramModel:
         p1 = (F.coalesce(F.col("_c1"), F.lit(0.0)) + F.lit(a)) / F.lit(big_n + a * (v + 1.0))
         if self.bigrams is None:
             return d.withColumn(name, p1).drop("_c1")
-        b = self.bigrams.select(F.col("prev").alias("_bp"), F.col("token").alias("_bt"), F.col("n").alias("_c2"))
-        ctx = self.bigrams.groupBy(F.col("prev").alias("_cp")).agg(F.sum("n").alias("_ch"))
-        d = d.join(b, _nseq("prev", "_bp") & (F.col("token") == F.col("_bt")), "left").drop("_bp", "_bt")
-        d = d.join(ctx, _nseq("prev", "_cp"), "left").drop("_cp")
+        b = self.bigrams.select(ctx_key("prev").alias("_bp"), F.col("token").alias("_bt"), F.col("n").alias("_c2"))
+        ctx = self.bigrams.groupBy(ctx_key("prev").alias("_cp")).agg(F.sum("n").alias("_ch"))
+        d = d.withColumn("_pk", ctx_key("prev"))
+        d = d.join(b, (F.col("_pk") == F.col("_bp")) & (F.col("token") == F.col("_bt")), "left").drop("_bp", "_bt")
+        d = d.join(ctx, F.col("_pk") == F.col("_cp"), "left").drop("_cp", "_pk")
         k = self.kappa
         p2 = (F.coalesce(F.col("_c2"), F.lit(0.0)) + F.lit(k) * p1) / (F.coalesce(F.col("_ch"), F.lit(0.0)) + F.lit(k))
         return d.withColumn(name, p2).drop("_c1", "_c2", "_ch")
@@ -205,16 +209,16 @@ def mle_mix(teacher: DataFrame, student: DataFrame, lam: float) -> DataFrame:
     """Distilled table ``(prev, token, p)``: ``lam * c_T(h,w)/c_T(h) + (1-lam) *
     c_S(h,w)/c_S(h)`` over the union of both key sets (full outer join)."""
     def cond(t: DataFrame, tag: str) -> DataFrame:
-        ctx = t.groupBy(F.col("prev").alias(f"_h{tag}")).agg(F.sum("n").alias(f"_ch{tag}"))
-        x = t.select(F.col("prev").alias(f"_p{tag}"), F.col("token").alias(f"_t{tag}"), F.col("n").alias(f"_c{tag}"))
-        x = x.join(ctx, _nseq(f"_p{tag}", f"_h{tag}")).drop(f"_h{tag}")
+        x = t.select(ctx_key("prev").alias(f"_p{tag}"), F.col("token").alias(f"_t{tag}"), F.col("n").alias(f"_c{tag}"))
+        ctx = x.groupBy(F.col(f"_p{tag}").alias(f"_h{tag}")).agg(F.sum(f"_c{tag}").alias(f"_ch{tag}"))
+        x = x.join(ctx, F.col(f"_p{tag}") == F.col(f"_h{tag}")).drop(f"_h{tag}")
         return x.select(f"_p{tag}", f"_t{tag}", (F.col(f"_c{tag}") / F.col(f"_ch{tag}")).alias(f"_q{tag}"))
 
     t, s = cond(teacher, "T"), cond(student, "S")
-    j = t.join(s, _nseq("_pT", "_pS") & (F.col("_tT") == F.col("_tS")), "full_outer")
+    j = t.join(s, (F.col("_pT") == F.col("_pS")) & (F.col("_tT") == F.col("_tS")), "full_outer")
     p = F.lit(lam) * F.coalesce(F.col("_qT"), F.lit(0.0)) + F.lit(1.0 - lam) * F.coalesce(F.col("_qS"), F.lit(0.0))
-    both_null = F.col("_tT").isNull()
-    return j.select(F.when(both_null, F.col("_pS")).otherwise(F.col("_pT")).alias("prev"),
+    key = F.coalesce(F.col("_pT"), F.col("_pS"))
+    return j.select(F.when(key == "", F.lit(None)).otherwise(key).alias("prev"),
                     F.coalesce(F.col("_tT"), F.col("_tS")).alias("token"), p.alias("p"))
 
 

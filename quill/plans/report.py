@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from quill.operators import evaluate as EV
 from quill.operators import model as MD
 from quill.operators import privacy as PV
-from quill.operators.rank import join_on
 
 
 def build_models(private: DataFrame, public: DataFrame, generated: DataFrame, epsilon: float, delta: float,
@@ -79,7 +78,9 @@ def model_report(test: DataFrame, models: dict, id_col: str = "doc_id", max_len:
             pairs = m.prob(pairs, c)
         col_of[id(m)] = c
     pairs = pairs.select("prev", "token", *[(-F.log(f"_p{i}")).alias(f"_l{i}") for i in range(len(names))])
-    s = join_on(agg, pairs, ["prev", "token"])
+    pairs = pairs.withColumn("_sk", MD.ctx_key("prev")).withColumnRenamed("token", "_st").drop("prev")
+    s = agg.withColumn("_tk", MD.ctx_key("prev")).join(
+        pairs, (F.col("_tk") == F.col("_sk")) & (F.col("token") == F.col("_st")))
     w = s.groupBy("window").agg(*[(F.sum(F.col(f"_l{i}") * F.col("cnt")) / F.sum("cnt")).alias(f"_w{i}")
                                   for i in range(len(names))])
     r = w.agg(*[F.exp(F.avg(f"_w{i}")).alias(f"_q{i}") for i in range(len(names))])

@@ -66,6 +66,29 @@ def split_pair_key(key: Column) -> tuple[Column, Column]:
     return F.when(prev == "", F.lit(None)).otherwise(prev), F.substring_index(key, " ", -1)
 
 
+def _release(counts: DataFrame, keys: list[str], sigma: float, tau, seed, k, delta_key: float) -> DataFrame:
+    """Noise every key, materialise real noise once, drop keys under ``tau``."""
+    if sigma:
+        counts = counts.withColumn("n", F.col("n") + F.lit(float(sigma)) * gaussian(
+            seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys]))
+        if seed is None:
+            # Real noise is drawn once: a recomputed stage must not redraw it.
+            counts = counts.checkpoint(eager=True)
+    if tau == "auto":
+        from quill.operators.privacy import key_threshold
+
+        tau = key_threshold(float(sigma), int(k or 1), delta_key)
+    if tau is not None:
+        counts = counts.where(F.col("n") >= F.lit(float(tau)))
+    return counts
+
+
+def _doc_items(toks: Column, order: int, k: int | None) -> Column:
+    """A text's distinct n-gram keys in first-occurrence order, at most ``k``."""
+    items = F.array_distinct(pair_keys(toks) if order == 2 else toks)
+    return F.slice(items, 1, int(k)) if k is not None else items
+
+
 def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order: int = 2,
               k: int | None = None, sigma: float = 0.0, tau: float | str | None = None, seed=None,
               delta_key: float = 1e-6) -> DataFrame:
@@ -84,14 +107,9 @@ def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order
     a partial aggregate.
     """
     lab = _names(label)
-    lcols = [F.col(c).alias("label") for c in lab]
-    d = df.select(*lcols, tokens(text).alias("_t"))
-    items = pair_keys(F.col("_t")) if order == 2 else F.col("_t")
-    items = F.array_distinct(items)
-    if k is not None:
-        items = F.slice(items, 1, int(k))
     lkeep = ["label"] if lab else []
-    x = d.select(*lkeep, F.explode(items).alias("_k"))
+    d = df.select(*[F.col(c).alias("label") for c in lab], tokens(text).alias("_t"))
+    x = d.select(*lkeep, F.explode(_doc_items(F.col("_t"), order, k)).alias("_k"))
     if order == 2:
         prev, tok = split_pair_key(F.col("_k"))
         x = x.select(*lkeep, prev.alias("prev"), tok.alias("token"))
@@ -100,18 +118,45 @@ def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order
         x = x.select(*lkeep, F.col("_k").alias("token"))
         keys = lkeep + ["token"]
     counts = x.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    if sigma:
-        counts = counts.withColumn("n", F.col("n") + F.lit(float(sigma)) * gaussian(seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys]))
-        if seed is None:
-            # Real noise is drawn once: a recomputed stage must not redraw it.
-            counts = counts.checkpoint(eager=True)
-    if tau == "auto":
-        from quill.operators.privacy import key_threshold
-
-        tau = key_threshold(float(sigma), int(k or 1), delta_key)
-    if tau is not None:
-        counts = counts.where(F.col("n") >= F.lit(float(tau)))
-    return counts
+    return _release(counts, keys, sigma, tau, seed, k, delta_key)
+
+
+def _tagger(i: int, lab: Column):
+    return lambda x: F.struct(F.lit(i).alias("m"), lab.alias("label"), x.alias("k"))
+
+
+def fit_ngram_many(df: DataFrame, specs: dict, text: str = "text") -> dict[str, DataFrame]:
+    """Several :func:`fit_ngram` tables over the same texts from one
+    tokenisation and one shuffle.  ``specs`` maps a name to keyword arguments
+    of :func:`fit_ngram` (``label``, ``order``, ``k``, ``sigma``, ``tau``,
+    ``seed``, ``delta_key``).  The combined counts are checkpointed once and
+    each table is a filter of them."""
+    names = list(specs)
+    labels = sorted({sp["label"] for sp in specs.values() if sp.get("label")})
+    d = df.select(*labels, tokens(text).alias("_t"))
+    parts = []
+    for i, nm in enumerate(names):
+        sp = specs[nm]
+        lab = F.col(sp["label"]).cast("string") if sp.get("label") else F.lit(None).cast("string")
+        items = _doc_items(F.col("_t"), sp.get("order", 2), sp.get("k"))
+        parts.append(F.transform(items, _tagger(i, lab)))
+    x = d.select(F.explode(F.concat(*parts)).alias("_e")).select("_e.m", "_e.label", "_e.k")
+    combined = x.groupBy("m", "label", "k").agg(F.count(F.lit(1)).cast("double").alias("n")).checkpoint(eager=True)
+    out = {}
+    for i, nm in enumerate(names):
+        sp = specs[nm]
+        c = combined.where(F.col("m") == i)
+        lkeep = ["label"] if sp.get("label") else []
+        if sp.get("order", 2) == 2:
+            prev, tok = split_pair_key(F.col("k"))
+            c = c.select(*lkeep, prev.alias("prev"), tok.alias("token"), "n")
+            keys = lkeep + ["prev", "token"]
+        else:
+            c = c.select(*lkeep, F.col("k").alias("token"), "n")
+            keys = lkeep + ["token"]
+        out[nm] = _release(c, keys, sp.get("sigma", 0.0), sp.get("tau"), sp.get("seed"), sp.get("k"),
+                           sp.get("delta_key", 1e-6))
+    return out
 
 
 def count_ngrams(df: DataFrame, text: str = "text", label: str | None = None, order: int = 2) -> DataFrame:

@@ -36,19 +36,28 @@ def build_models(private: DataFrame, public: DataFrame, generated: DataFrame, ep
     def sig(eps):
         return PV.gaussian_sigma(eps, delta, sens) if noise else 0.0
 
-    dpsgd = MD.NgramModel.unigram(MD.fit_ngram(private, order=1, k=k, sigma=sig(epsilon), tau=tau, seed=seed))
-    t_dpkd = MD.NgramModel.from_bigrams(MD.fit_ngram(private, order=2, k=k, sigma=sig(epsilon / 2), tau=tau, seed=seed))
-    t_cc = MD.NgramModel.from_bigrams(MD.marginalise(
-        MD.fit_ngram(private, label="lang", order=2, k=k, sigma=sig(epsilon), tau=tau, seed=seed)))
+    # The three private fits share one tokenisation and one shuffle.
+    fits = MD.fit_ngram_many(private, {
+        "dpsgd": dict(order=1, k=k, sigma=sig(epsilon), tau=tau, seed=seed),
+        "t_dpkd": dict(order=2, k=k, sigma=sig(epsilon / 2), tau=tau, seed=seed),
+        "t_cc": dict(order=2, label="lang", k=k, sigma=sig(epsilon), tau=tau, seed=seed),
+    })
+    dpsgd = MD.NgramModel.unigram(fits["dpsgd"])
+    t_dpkd = MD.NgramModel.from_bigrams(fits["t_dpkd"])
+    t_cc = MD.NgramModel.from_bigrams(MD.marginalise(fits["t_cc"]))
     syn = MD.NgramModel.from_bigrams(MD.count_ngrams(generated, order=2))
+    # Public unigram counts are the marginal of the public bigram counts (each
+    # token occurrence is one bigram): one pass over the public texts.
+    t_pre = MD.NgramModel.from_bigrams(MD.count_ngrams(public, order=2))
+    s_pre = MD.NgramModel.unigram(t_pre.unigrams, materialize=False)
     # Components before the mixtures that reuse their probability columns.
     return {
         "student_syn": (syn, epsilon),
         "student_dpsgd": (dpsgd, epsilon),
-        "student_pretrained": (MD.NgramModel.unigram(MD.count_ngrams(public, order=1)), None),
+        "student_pretrained": (s_pre, None),
         "teacher_dpkd": (t_dpkd, epsilon / 2),
         "teacher_cc": (t_cc, epsilon),
-        "teacher_pretrained": (MD.NgramModel.from_bigrams(MD.count_ngrams(public, order=2)), None),
+        "teacher_pretrained": (t_pre, None),
         "student_dpkd": (MD.MixModel(t_dpkd, dpsgd, lam), epsilon),
         "student_syn_kd": (MD.MixModel(t_cc, syn, lam), epsilon),
     }

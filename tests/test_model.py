@@ -56,3 +56,15 @@ def test_generation_greedy_and_no_repeat(spark):
     for r in s:
         toks = r.text.split()
         assert max(Counter(zip(toks, toks[1:])).values(), default=1) == 1
+
+
+def test_fit_many_equals_separate_fits(spark):
+    from tests.conftest import SF_SMALL
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    specs = {"u": dict(order=1, k=50), "b": dict(order=2, k=200, tau=2.0), "bl": dict(order=2, label="lang", k=30)}
+    many = MD.fit_ngram_many(docs, specs)
+    for name, sp in specs.items():
+        one = MD.fit_ngram(docs, **sp)
+        assert sorted(map(tuple, many[name].select(*one.columns).collect()), key=repr) == \
+            sorted(map(tuple, one.collect()), key=repr)

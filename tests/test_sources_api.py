@@ -51,11 +51,12 @@ def test_scale_conf_sizes_partitions():
 
 
 def test_write_synthetic_csv_text_first_drops_empty(spark, tmp_path):
-    df = spark.createDataFrame([("de", "Der Satz,\\n mit \\"Zitat\\"", 1), ("en", "", 2)],
+    text = 'Der Satz,\n mit "Zitat"'
+    df = spark.createDataFrame([("de", text, 1), ("en", "", 2)],
                                "label_lang string, text string, seq long")
     path = io.write_synthetic(df, str(tmp_path), 128, "documents", 2.0, fmt="csv")
     assert path.endswith("/128_documents_2.0_dp_synthetic_data")
     back = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
     assert back.columns[:2] == ["text", "label_lang"]
     rows = back.collect()
-    assert len(rows) == 1 and rows[0].text == "Der Satz,\\n mit \\"Zitat\\""
+    assert len(rows) == 1 and rows[0].text == text

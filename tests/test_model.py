@@ -68,3 +68,16 @@ def test_fit_many_equals_separate_fits(spark):
         one = MD.fit_ngram(docs, **sp)
         assert sorted(map(tuple, many[name].select(*one.columns).collect()), key=repr) == \
             sorted(map(tuple, one.collect()), key=repr)
+
+
+def test_sampling_with_tiny_nucleus_equals_greedy(spark):
+    from tests.conftest import SF_SMALL
+
+    from quill.plans import catalog as C
+
+    model = C._dp_bigram_by_lang(spark, SF_SMALL)
+    prompts = GN.prompts_per_label(C._langs(spark, SF_SMALL), 3)
+    greedy = {r.seq_id: r.text for r in GN.generate(model, prompts, 8, greedy=True).collect()}
+    sampled = {r.seq_id: r.text for r in GN.generate(model, prompts, 8, k=50, p=1e-9, no_repeat=False,
+                                                      seed=5).collect()}
+    assert sampled == greedy

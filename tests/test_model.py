@@ -81,3 +81,13 @@ def test_sampling_with_tiny_nucleus_equals_greedy(spark):
     sampled = {r.seq_id: r.text for r in GN.generate(model, prompts, 8, k=50, p=1e-9, no_repeat=False,
                                                       seed=5).collect()}
     assert sampled == greedy
+
+
+def test_sampling_frequencies_follow_the_model(spark):
+    rows = [("l", None, "a", 60.0), ("l", None, "b", 30.0), ("l", None, "c", 10.0)]
+    model = spark.createDataFrame(rows, "label string, prev string, token string, n double")
+    prompts = GN.prompts_per_label(spark.createDataFrame([("l",)], "label string"), 4000)
+    out = GN.generate(model, prompts, 1, k=10, p=1.0, temperature=1.0, no_repeat=False, seed=11)
+    freq = {r.text: r["count"] / 4000 for r in out.groupBy("text").count().collect()}
+    for tok, want in [("a", 0.6), ("b", 0.3), ("c", 0.1)]:
+        assert abs(freq[tok] - want) < 0.03  # > 4 standard errors

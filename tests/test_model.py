@@ -91,3 +91,19 @@ def test_sampling_frequencies_follow_the_model(spark):
     freq = {r.text: r["count"] / 4000 for r in out.groupBy("text").count().collect()}
     for tok, want in [("a", 0.6), ("b", 0.3), ("c", 0.1)]:
         assert abs(freq[tok] - want) < 0.03  # > 4 standard errors
+
+
+def test_sampling_temperature_and_nucleus(spark):
+    rows = [("l", None, "a", 60.0), ("l", None, "b", 30.0), ("l", None, "c", 10.0)]
+    model = spark.createDataFrame(rows, "label string, prev string, token string, n double")
+    prompts = GN.prompts_per_label(spark.createDataFrame([("l",)], "label string"), 4000)
+
+    def freq(**kw):
+        out = GN.generate(model, prompts, 1, k=10, no_repeat=False, seed=12, **kw)
+        return {r.text: r["count"] / 4000 for r in out.groupBy("text").count().collect()}
+
+    sharp = freq(p=1.0, temperature=0.5)  # p ~ n^2: 3600, 900, 100
+    for tok, want in [("a", 3600 / 4600), ("b", 900 / 4600), ("c", 100 / 4600)]:
+        assert abs(sharp.get(tok, 0.0) - want) < 0.03
+    nucleus = freq(p=0.7, temperature=1.0)  # mass before c is 0.9 >= 0.7: c is cut
+    assert set(nucleus) == {"a", "b"} and abs(nucleus["a"] - 2 / 3) < 0.03

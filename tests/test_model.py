@@ -107,3 +107,17 @@ def test_sampling_temperature_and_nucleus(spark):
         assert abs(sharp.get(tok, 0.0) - want) < 0.03
     nucleus = freq(p=0.7, temperature=1.0)  # mass before c is 0.9 >= 0.7: c is cut
     assert set(nucleus) == {"a", "b"} and abs(nucleus["a"] - 2 / 3) < 0.03
+
+
+def test_sampling_repetition_penalty(spark):
+    rows = [("l", None, "a", 10.0), ("l", "a", "a", 60.0), ("l", "a", "b", 40.0)]
+    model = spark.createDataFrame(rows, "label string, prev string, token string, n double")
+    prompts = GN.prompts_per_label(spark.createDataFrame([("l",)], "label string"), 4000)
+
+    def second(penalty):
+        out = GN.generate(model, prompts, 2, k=10, p=1.0, penalty=penalty, no_repeat=False, seed=13)
+        return out.where("text = 'a a'").count() / 4000
+
+    assert abs(second(1.0) - 0.6) < 0.03
+    # seen 'a' has log-prob ln 0.6 < 0: multiplied by 3 -> weight 0.6^3 against 0.4
+    assert abs(second(3.0) - 0.216 / (0.216 + 0.4)) < 0.03

@@ -267,6 +267,13 @@ def mle_mix(teacher: DataFrame, student: DataFrame, lam: float) -> DataFrame:
                     F.coalesce(F.col("_tT"), F.col("_tS")).alias("token"), p.alias("p"))
 
 
+def distil(student_counts: DataFrame, teacher: DataFrame, lam: float) -> DataFrame:
+    """Student by distillation: ``p = lam * teacher + (1 - lam) * empirical``
+    per context over the union of both key sets (see :func:`mle_mix`); at
+    T = 1 this is the per-context minimiser of the mixed KL / CE loss."""
+    return mle_mix(teacher, student_counts, lam)
+
+
 # ------------------------------------------------------------ candidates
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rk",

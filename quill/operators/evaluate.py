@@ -102,3 +102,19 @@ def score_generated(gen: DataFrame, model, id_col: str = "seq_id", max_len: int
     (``(id, ppl)``); ``mean_std`` over it gives the mean and spread."""
     t = doc_lookback_targets(gen.select(id_col, text), id_col, max_len, stride, text)
     return ppl_weighted(score_counted(model, t, [id_col, "window", "trg_len", "n"]), id_col)
+
+
+def nll(targets: DataFrame, model, name: str = "nll") -> DataFrame:
+    """Negative log-likelihood of every target token under ``model`` (an
+    alias of :func:`score_counted` for uncounted rows)."""
+    return score_pairs(model, targets, name)
+
+
+def perplexity(scored: DataFrame, how: str = "weighted", id_col: str = "doc_id") -> DataFrame:
+    """``weighted``: per text, ``exp(sum NLL_w * trg_len_w / n)`` (lookback
+    windows); ``macro``: ``exp(mean window NLL)`` over the corpus stream."""
+    if how == "weighted":
+        return ppl_weighted(scored, id_col)
+    if how == "macro":
+        return ppl_macro(scored)
+    raise ValueError(how)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.hashing import uniform
-from quill.operators.model import candidate_lists
+from quill.operators.model import candidate_lists, repetition_penalty
 
 
 def _cmp(a: Column, b: Column) -> Column:
@@ -33,20 +33,39 @@ def banned_after(out: Column, prev: Column) -> Column:
     return F.transform(F.filter(idx, lambda i: F.get(out, i) == prev), lambda i: F.get(out, i + 1))
 
 
+def _scored(score: Column, token: Column) -> Column:
+    return F.struct(score.alias("score"), token.alias("token"))
+
+
+def penalise(cands: Column, seen: Column, r: float) -> Column:
+    """Repetition penalty on ``(score, token)`` candidates: a seen token's
+    negative score is multiplied by ``r``, a positive one divided."""
+    return F.transform(cands, lambda x: _scored(
+        repetition_penalty(x["score"], F.array_contains(seen, x["token"]), r), x["token"]))
+
+
+def ban_repeats(cands: Column, banned: Column) -> Column:
+    """Drop candidates that would repeat a bigram (``banned`` = tokens that
+    already followed the current context)."""
+    return F.filter(cands, lambda x: ~F.array_contains(banned, x["token"]))
+
+
+def with_temperature(cands: Column, temperature: float) -> Column:
+    """Divide candidate scores (log-probabilities) by the temperature."""
+    return F.transform(cands, lambda x: _scored(x["score"] / F.lit(float(temperature)), x["token"]))
+
+
 def sample_next(cands: Column, total: Column, out: Column, prev: Column, u: Column, k: int,
                 p: float = 1.0, temperature: float = 1.0, penalty: float = 1.0, no_repeat: bool = True) -> Column:
-    """The drawn token (null when nothing is left to draw)."""
-    def score(x):
-        s = F.log(x["n"] / total)
-        if penalty != 1.0:
-            seen = F.array_contains(out, x["token"])
-            s = F.when(seen, F.when(s < 0, s * F.lit(penalty)).otherwise(s / F.lit(penalty))).otherwise(s)
-        return F.struct((s / F.lit(float(temperature))).alias("score"), x["token"].alias("token"))
-
-    c = F.transform(cands, score)
+    """The drawn token (null when nothing is left to draw).  Warping order:
+    penalty, bigram ban, temperature, top-k, renormalise, top-p."""
+    c = F.transform(cands, lambda x: _scored(F.log(x["n"] / total), x["token"]))
+    if penalty != 1.0:
+        c = penalise(c, out, penalty)
     if no_repeat:
-        ban = banned_after(out, prev)
-        c = F.filter(c, lambda x: ~F.array_contains(ban, x["token"]))
+        c = ban_repeats(c, banned_after(out, prev))
+    if temperature != 1.0:
+        c = with_temperature(c, temperature)
     c = F.slice(F.array_sort(c, _cmp), 1, k)
     init = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("s"),
                     F.array().cast("array<struct<token:string,w:double,before:double>>").alias("arr"))

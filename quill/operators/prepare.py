@@ -157,6 +157,13 @@ def allocate(counts: DataFrame, total: int, key: str = "label", n: str = "n") ->
     return out.where(F.col("quota") > 0)
 
 
+def quota_table(df: DataFrame, by: str, total: int) -> DataFrame:
+    """``(by, n, quota)``: each stratum's size and its proportional share of
+    ``total`` (strata with a zero share are dropped)."""
+    counts = value_counts(df, by)
+    return allocate(counts, total, key=by)
+
+
 # ---------------------------------------------------------------- sampling / splitting
 
 def prefix(df: DataFrame, n: int | None, order: Sequence, frac: float | None = None) -> DataFrame:

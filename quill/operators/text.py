@@ -119,12 +119,17 @@ def split_prompt(generated, n) -> tuple[Column, Column]:
     return F.substring(g, F.lit(1), n), F.substring(g, n + 1, F.lit(1 << 30))
 
 
+def parse_labels(prompt_part) -> Column:
+    """Labels from the prompt part of a generated text: strip, split on TAB."""
+    return F.split(strip_ws(_c(prompt_part)), "\t")
+
+
 def parse_generated(df: DataFrame, generated: str, prompt_len, label_names: Sequence[str],
                     keep: Sequence[str] = ()) -> DataFrame:
     """Generated text -> ``(labels..., text)``: labels from the stripped prompt
     part split on TAB, text with blank runs collapsed."""
     head, tail = split_prompt(generated, prompt_len)
-    parts = F.split(strip_ws(head), "\t")
+    parts = parse_labels(head)
     cols = [F.get(parts, i).alias(nm) for i, nm in enumerate(label_names)]
     return df.select(*keep, *cols, squash_ws(tail).alias("text"))
 

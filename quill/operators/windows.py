@@ -69,6 +69,11 @@ def corpus_offsets(df: DataFrame, order: Sequence, size: str = "n_tokens", name:
     return offsets(df, order, F.col(size), name=name)
 
 
+def global_offsets(df: DataFrame, order: Sequence, size: str, name: str = "start_offset") -> DataFrame:
+    """Running offset of each row in the concatenation of all rows (W4)."""
+    return corpus_offsets(df, order, size, name)
+
+
 def corpus_windows(offsets: DataFrame, max_len: int, stride: int, size: str = "n_tokens",
                    start: str = "start_offset") -> DataFrame:
     """Forward windows over the whole corpus token stream, generated by the

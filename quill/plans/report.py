@@ -96,3 +96,11 @@ def model_report(test: DataFrame, models: dict, id_col: str = "doc_id", max_len:
     rows = [F.struct(F.lit(n).alias("model"), F.lit(models[n][1]).cast("double").alias("epsilon"),
                      F.col(f"_q{i}").alias("ppl")) for i, n in enumerate(names)]
     return r.select(F.explode(F.array(*rows)).alias("_r")).select("_r.model", "_r.epsilon", "_r.ppl")
+
+
+def evaluate(test: DataFrame, models: dict, id_col: str = "doc_id", max_len: int = 128, stride: int = 128) -> DataFrame:
+    """Score all models on the held-out texts (same as :func:`model_report`)."""
+    return model_report(test, models, id_col, max_len, stride)
+
+
+score_models = evaluate

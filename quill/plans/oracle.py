@@ -521,3 +521,63 @@ b as (select *, row_number() over (order by md5('43:' || doc_id), doc_id) as r,
 select 'test' as split, text, label from t where is_test
 union all
 select case when r <= ceil(n * 0.02::double) then 'val' else 'train' end as split, text, label from b"""
+
+
+def _gen_sampled_ctes(seqs: str) -> str:
+    """Recursive CTEs reproducing sampled generation (k 50, p 0.9, T 1, no
+    penalty, bigram ban, 12 steps) for the ``(label, s)`` rows of ``seqs``,
+    with the same md5-derived uniforms and sequential sums as the Spark path.
+    Ends with a ``gen(label, s, step, prev, out)`` CTE."""
+    return f"""dpb as {_dp_counts('documents', True)},
+cl as (select label, prev, list(struct_pack(n := n, token := token) order by n desc, token) as cands, any_value(tot) as total
+       from (select *, row_number() over (partition by label, prev order by n desc, token) as rk,
+                    sum(n) over (partition by label, prev) as tot from dpb)
+       where rk <= 62 group by label, prev),
+seqs as {seqs},
+gen(label, s, step, prev, out) as (
+  select label, s, 0, NULL::varchar, []::varchar[] from seqs
+  union all
+  select label, s, step + 1, tok, list_append(out, tok) from (
+    select g.label, g.s, g.step, g.out,
+      (with
+        f as (select list_filter(cl.cands, lambda x: not list_contains(
+                 list_transform(list_filter(range(1, len(g.out)), lambda i: g.out[i] = g.prev), lambda i: g.out[i + 1]),
+                 x.token))[1:50] as f),
+        w as (select f, list_transform(f, lambda x: exp(ln(x.n / cl.total) - ln(f[1].n / cl.total))) as w from f),
+        b as (select f, w, list_transform(range(1, len(w) + 1), lambda j: coalesce(list_sum(w[1:j - 1]), 0.0)) as bf,
+                     list_sum(w) as tot_w from w),
+        k as (select f, w, bf, len(list_filter(bf, lambda v: v < 0.9::double * tot_w)) as kn from b),
+        t as (select f, w, bf, kn, list_sum(w[1:kn]) as tk,
+                     ((('0x' || substr(md5('42:' || g.label || ':' || g.s || ':' || g.step), 1, 13))::bigint + 0.5)
+                      / 4503599627370496.0) as u from k)
+       select case when len(f) = 0 then null
+                   else f[coalesce(list_filter(range(1, kn + 1), lambda j: bf[j] + w[j] >= u * tk)[1], kn)].token end
+       from t) as tok
+    from gen g left join cl on cl.label = g.label and cl.prev is not distinct from g.prev
+    where g.step < 12 and cl.cands is not null)
+  where tok is not null),
+gtext as (select label || ':' || s as seq_id, label, array_to_string(out, ' ') as text from gen
+          qualify row_number() over (partition by label, s order by step desc) = 1)"""
+
+
+_SEQS50 = "(select label, s from (select distinct lang as label from documents) l cross join range(1, 51) as r(s))"
+
+SQL["generate_text"] = f"with recursive {_gen_sampled_ctes(_SEQS50)}\nselect seq_id, label, text from gtext"
+
+SQL["generated_no_repeat"] = f"""with recursive {_gen_sampled_ctes(_SEQS50)},
+tk as (select seq_id, label, string_split(text, ' ') as t from gtext),
+p as (select seq_id, label, unnest(case when len(t) >= 2 then list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])
+                                        else [NULL::varchar] end) as bg from tk),
+c as (select seq_id, label, bg, count(*) as c from p group by seq_id, label, bg)
+select label, count(distinct seq_id) as n_seq,
+       cast(sum(case when bg is not null and c > 1 then 1 else 0 end) as bigint) as n_repeat from c group by label"""
+
+_SEQS_EXPANDED = f"""(select label, unnest(range(1, (quota // 8 + 1) * 8 * 2 + 1)) as s
+   from {QUOTAS.format(total=600)} where quota > 0)"""
+
+SQL["synthetic_table"] = f"""with recursive {_gen_sampled_ctes(_SEQS_EXPANDED)},
+q as {QUOTAS.format(total=600)},
+kept as (select g.seq_id, g.label, g.text from (
+           select *, row_number() over (partition by label order by md5('42:' || seq_id), seq_id) as r
+           from gtext where length(text) > 0) g join q using (label) where r <= quota and quota > 0)
+select text, label, seq_id, row_number() over (order by md5('43:' || seq_id), seq_id) as shuffle_key from kept"""

@@ -41,3 +41,16 @@ def text_of(text: Column) -> Column:
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of an id written as text, the split rule of the contracts."""
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def clear_of(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``df`` with every column whose name is in ``names`` renamed: ``_in`` is appended until the name is free."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = c + "_in"
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+            df = df.withColumnRenamed(c, new)
+    return df

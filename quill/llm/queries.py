@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import exact_dedup
+from quill.llm import exact_dedup, langid, sharding
 from quill.llm.common import read
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    found = langid.identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"),
+                        "lang_pred", "score", "mixture")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     groups = exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -19,8 +28,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the two-pass shuffle writes every document: 16 shards under the law ``rows``."""
+    placed = sharding.write_shards(read(spark, sf_dir, "documents"), 16)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return placed.select(
+        "doc_id", sharding.record_size().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_shards": op10_shards,
 }
 
 SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import exact_dedup, langid, sharding
+from quill.llm import exact_dedup, langid, packing, quality, sharding
 from quill.llm.common import read
 
 
@@ -20,6 +20,23 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "mixture")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """Every piece of every document in its sequence of at most 2,048 tokens."""
+    import public_tokenizers
+
+    packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~F.coalesce(quality.held_out(), F.lit(True))))
+    return quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     groups = exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -39,6 +56,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
+    "op3_packing": op3_packing,
+    "op6_quality": op6_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_shards": op10_shards,
 }

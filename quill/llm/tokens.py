@@ -1,37 +1,66 @@
 """Token ids of whole texts by a public tokenizer, at the speed of a table lookup.
 
 A byte-level BPE with this pre-tokenisation never joins characters across a
-single blank between two non-blank characters.  Texts are cut there, and the
-ids of each unit (blank and word) are kept in a bounded table.  Units that the
-table lacks are encoded by the tokenizer in one batch, so every id comes from
-the tokenizer, and the ids of a text are those of ``encode(text)``.
+single blank between two non-blank characters.  Texts are cut there.  The ids
+of units (blank and word) are kept in a bounded table, and so are those of the
+tokenizer's own pre-tokens, of which new units are made; only new pre-tokens go
+through the merges.  The ids of a text are those of ``encode(text)``.  Texts
+that hold a special token's string, and tokenizers of another kind, take the
+plain call.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-TABLE_UNITS = 300_000
+TABLE_ENTRIES = 400_000
 BLOCK = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Table(dict):
+    """A table that makes missing entries; of two generations, so what is in use stays when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.make, self.room, self.old = make, room // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.room:
+            self.old = dict(self)
+            self.clear()
+
+
 class UnitTokenizer:
-    def __init__(self, path: str, table_units: int = TABLE_UNITS):
+    def __init__(self, path: str, room: int = TABLE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.special = [a.content for a in t.get_added_tokens_decoder().values()]
+        pre = t.pre_tokenizer
+        self.by_unit = (isinstance(t.model, models.BPE) and isinstance(pre, pre_tokenizers.ByteLevel)
+                        and not pre.add_prefix_space and pre.use_regex and t.normalizer is None)
+        self.pieces = _Table(lambda p: self._packed([x.id for x in t.model.tokenize(p)]), room)
+        self.units = _Table(lambda u: self._of(" " + u), room)
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.table_units = table_units
-        self.table: dict[str, bytes] = {}
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.asarray(ids, "<u4").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    def _of(self, text: str) -> bytes:
+        return b"".join([self.pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
 
     def _blocks(self, text: str) -> Iterator[str]:
         """The text in blocks of about ``BLOCK`` characters, cut only where units are."""
@@ -46,22 +75,15 @@ class UnitTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
+        if not self.by_unit or any(s in text for s in self.special):
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         out = []
         for block in self._blocks(text):
             first, *units = _CUT.split(block)
-            out += self._encode([first]) if first else []
-            table = self.table
-            try:
-                out.append(b"".join(map(table.__getitem__, units)))
-            except KeyError:
-                new = list({u for u in units if u not in table})
-                made = dict(zip(new, self._encode([" " + u for u in new]), strict=True))
-                if len(table) + len(made) > self.table_units:
-                    out.append(b"".join([made[u] if u in made else table[u] for u in units]))
-                    table.clear()
-                else:
-                    table.update(made)
-                    out.append(b"".join(map(table.__getitem__, units)))
+            out.append(self._of(first) if first else b"")
+            out.append(b"".join(map(self.units.__getitem__, units)))
+            self.units.trim()
+            self.pieces.trim()
         return b"".join(out)
 
 

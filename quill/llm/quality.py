@@ -3,17 +3,18 @@
 Two zstandard dictionaries are made of labelled text, one good and one bad.
 Every text is compressed with each, in blocks of ``BLOCK`` bytes that start
 from the dictionary anew, so a long text speaks about its whole length.  The
-difference of the two sizes over their sum says which dictionary knows the text
-better; a logistic curve, fitted to labelled rows that are not in the
-dictionaries, turns it into a probability.
+difference of the two sizes per byte says which dictionary knows the text
+better; a logistic curve on it and on the smaller size per byte (how much the
+text repeats itself), fitted to labelled rows that are not in the dictionaries,
+turns it into a probability.
 
 Bounded samples (documented parameters; everything else covers all rows): the
 dictionaries take ``DICT_BYTES`` each from the ``DICT_ROWS`` labelled rows of a
 class that come first in hash order, slices of ``SLICE`` bytes of each in turn; the curve is
 fitted to the next ``FIT_ROWS`` rows of each class, whole texts.
 
-Defined results: null and empty texts compress to equal sizes and get the
-curve's value at zero evidence; a class without labelled rows gets an empty
+Defined results: null and empty texts have no evidence and no size, and get the
+curve's value there; a class without labelled rows gets an empty
 dictionary, and without both classes every score is the share of label 1
 (0.5 without labels).  Equal texts get equal scores.  Extra columns are ignored.
 """
@@ -32,19 +33,19 @@ from pyspark.sql import functions as F
 from quill.llm.common import crc_of_id, written
 
 DICT_BYTES = 256 << 10
-DICT_ROWS = 512
-SLICE = 512
+DICT_ROWS = 1000
+SLICE = 256
 FIT_ROWS = 3000
-BLOCK = 4096
-LEVEL = 3
+BLOCK = 2048
+LEVEL = 9
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    shift: float
+    slopes: tuple[float, float] = (0.0, 0.0)
+    shift: float = 0.0
 
 
 def dictionary(texts: list[str], room: int = DICT_BYTES, each: int = SLICE) -> bytes:
@@ -79,13 +80,14 @@ class Sizer:
         made.precompute_compress(level=LEVEL)
         return zstd.ZstdCompressor(dict_data=made, **params)
 
-    def evidence(self, text: str | None) -> float:
-        """(bad size - good size) / (bad size + good size), over all blocks of the whole text."""
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """(bad size - good size) and the smaller size, per byte, over all blocks of the whole text."""
         raw = memoryview((text or "").encode("utf-8", "replace"))
-        if not len(raw):
-            return 0.0
-        good, bad = (sum(len(c.compress(raw[at:at + BLOCK])) for at in range(0, len(raw), BLOCK)) for c in self.by)
-        return (bad - good) / (bad + good)
+        n = len(raw)
+        if not n:
+            return 0.0, 0.0
+        good, bad = (sum(len(c.compress(raw[at:at + BLOCK])) for at in range(0, n, BLOCK)) for c in self.by)
+        return (bad - good) / n, min(good, bad) / n
 
 
 _KEPT: dict[int, Sizer] = {}
@@ -99,17 +101,18 @@ def _sizer(model: Model) -> Sizer:
     return _KEPT[key]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and shift of P(y = 1 | x), by Newton steps on the penalised likelihood."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
+    """Slopes and shift of P(y = 1 | x), by Newton steps on the penalised likelihood."""
     a = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(2)
+    w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
-        w = w + np.clip(step, -20, 20)
+        hessian = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.clip(np.linalg.solve(hessian, a.T @ (y - p) - ridge * w), -5, 5)
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -139,44 +142,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part[y] = [r["text"] for r in head.select(F.substring("text", 1, room).alias("text")).collect()]
         rest.append(own.join(F.broadcast(head.select("id")), "id", "left_anti"))
     good, bad = dictionary(part[1]), dictionary(part[0])
-    model = Model(good, bad, 0.0, 0.0)
-    found = evidence(rest[0].unionByName(rest[1]), model, "id", "text", ["y"]).select("evidence", "y").collect()
-    x = np.asarray([r["evidence"] for r in found], float)
+    found = evidence(rest[0].unionByName(rest[1]), Model(good, bad), "id", "text", ["y"]).collect()
+    x = np.asarray([(r["evidence"], r["density"]) for r in found], float)
     y = np.asarray([r["y"] for r in found], float)
+    p = min(max(share, 1e-3), 1 - 1e-3)
     if len(set(y)) < 2:
-        p = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(good, bad, 0.0, float(np.log(p / (1 - p))))
+        return Model(good, bad, shift=float(np.log(p / (1 - p))))
     # Rows are sampled by class; the curve's shift is set back to the classes' shares among all labels.
-    scale = float(x.std()) or 1.0
-    slope, shift = logistic(x / scale, y)
-    drawn, p = y.mean(), min(max(share, 1e-3), 1 - 1e-3)
-    shift += float(np.log(p / (1 - p)) - np.log(drawn / (1 - drawn)))
-    return Model(good, bad, slope / scale, shift)
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    *slopes, shift = logistic(x / scale, y)
+    drawn = y.mean()
+    shift += np.log(p / (1 - p)) - np.log(drawn / (1 - drawn))
+    a, b = (slopes / scale).tolist()
+    return Model(good, bad, (a, b), float(shift))
 
 
 def evidence(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
              keep: list[str] | None = None) -> DataFrame:
-    """``(id, evidence)`` of every whole text, and the columns to keep."""
+    """``(id, evidence, density)`` of every whole text, and the columns to keep."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = _sizer(sent.value)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             found = [sizer.evidence(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(batch.column(c) for c in keep), pa.array(found, pa.float64())],
-                ["id", *keep, "evidence"])
+                [batch.column("id"), *(batch.column(c) for c in keep), *(pa.array(f, pa.float64()) for f in zip(*found, strict=True))],
+                ["id", *keep, "evidence", "density"])
 
     kinds = dict(docs.dtypes)
     return docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, ", ".join([f"id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "evidence double"]))
+        run, ", ".join([f"id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "evidence double, density double"]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, evidence)``: the probability of label 1 for every whole text."""
-    z = F.lit(model.slope) * F.col("evidence") + F.lit(model.shift)
-    return evidence(docs, model, id_col, text_col).select("id", (1 / (1 + F.exp(-z))).alias("score"), "evidence")
+    z = model.slopes[0] * F.col("evidence") + model.slopes[1] * F.col("density") + model.shift
+    return evidence(docs, model, id_col, text_col).select(
+        "id", (1 / (1 + F.exp(-z))).alias("score"), "evidence", "density")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import exact_dedup, langid, packing, quality, sharding
+from quill.llm import exact_dedup, html, langid, packing, quality, sharding
 from quill.llm.common import read
 
 
@@ -37,6 +37,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     groups = exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op6_quality": op6_quality,
+    "op7_html": op7_html,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_shards": op10_shards,
 }

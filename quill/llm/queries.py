@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import exact_dedup, html, langid, packing, quality, sharding
+from quill.llm import exact_dedup, html, langid, minhash, packing, quality, sharding
 from quill.llm.common import read
 
 
@@ -42,6 +42,14 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of near-equal shingle sets."""
+    found = minhash.near_groups(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     groups = exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -64,11 +72,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op6_quality": op6_quality,
     "op7_html": op7_html,
+    "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_shards": op10_shards,
 }
 
 SQL: dict[str, str] = {
+    "op8_minhash": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                 lambda x: x <> '') AS words
+          FROM documents
+        ), s AS (
+          SELECT DISTINCT doc_id, unnest(list_transform(
+                 range(1, CASE WHEN len(words) = 0 THEN 1 ELSE greatest(len(words) - 4, 1) + 1 END),
+                 lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle
+          FROM w
+        ), n AS (
+          SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
+        ), shared AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+          FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), link AS (
+          SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * k >= 85 * (x.n + y.n - k)
+        ), edge AS (
+          SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+        ), reach AS (
+          SELECT doc_id AS a, doc_id AS b FROM n
+          UNION
+          SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+        )
+        SELECT n.doc_id, n.n AS n_shingles, min(reach.b) AS component_id, min(reach.b) = n.doc_id AS kept
+        FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
+    """,
     "op9_exact_dedup": """
         WITH t AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

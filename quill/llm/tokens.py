@@ -13,13 +13,28 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
+import regex
 
 TABLE_ENTRIES = 400_000
 BLOCK = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+# Fixed value: the pre-tokenisation pattern of byte-level BPE.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _byte_names() -> dict[int, str]:
+    """The character by which byte-level BPE writes each byte: itself where it prints, else one from 256 on."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_NAMES = _byte_names()
 
 
 class _Table(dict):
@@ -30,9 +45,7 @@ class _Table(dict):
         self.make, self.room, self.old = make, room // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.old.get(key) or self.make(key)
         self[key] = value
         return value
 
@@ -52,15 +65,37 @@ class UnitTokenizer:
         pre = t.pre_tokenizer
         self.by_unit = (isinstance(t.model, models.BPE) and isinstance(pre, pre_tokenizers.ByteLevel)
                         and not pre.add_prefix_space and pre.use_regex and t.normalizer is None)
-        self.pieces = _Table(lambda p: self._packed([x.id for x in t.model.tokenize(p)]), room)
+        self.pieces = _Table(self._merged, room)
         self.units = _Table(lambda u: self._of(" " + u), room)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _of(self, text: str) -> bytes:
-        return b"".join([self.pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+        """Ids of a short text by way of its pre-tokens."""
+        if text.isascii() or max(text) <= "\u00ff":
+            found = _PATTERN.findall(text)
+        else:  # characters whose class depends on the version of Unicode
+            found = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        if len(found) == 1:
+            return self.pieces[found[0]]
+        return b"".join([self.pieces[p] for p in found])
+
+    def _merged(self, piece: str) -> bytes:
+        named = piece.encode().decode("latin-1").translate(_NAMES)
+        return self._packed([x.id for x in self.tokenizer.model.tokenize(named)])
+
+    @staticmethod
+    def _units(block: str) -> list[str]:
+        """A block cut at single blanks between two non-blank characters."""
+        if ("  " in block or " \n" in block or "\n " in block or block[:1] == " " or block[-1:] == " "
+                or _OTHER_SPACE.search(block)):
+            return _CUT.split(block)
+        return block.split(" ")
 
     def _blocks(self, text: str) -> Iterator[str]:
         """The text in blocks of about ``BLOCK`` characters, cut only where units are."""
@@ -79,7 +114,7 @@ class UnitTokenizer:
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         out = []
         for block in self._blocks(text):
-            first, *units = _CUT.split(block)
+            first, *units = self._units(block)
             out.append(self._of(first) if first else b"")
             out.append(b"".join(map(self.units.__getitem__, units)))
             self.units.trim()

@@ -180,6 +180,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         run, f"id {kind}, lang_pred string, score double, mixture map<string,double>")
 
 
+def known(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text is in a language that can be told."""
+    languages, probs = model
+    sent = docs.sparkSession.sparkContext.broadcast(probs)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [detect(t, languages, sent.value)[0] != UNKNOWN for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the documents no model may learn from."""
     return crc_of_id(F.col(id_col)) % 4 == 2

@@ -42,7 +42,7 @@ from quill.llm.tokens import tokenizer
 
 SIZE = 2048
 END_ID = 0
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def cuts(total: int, size: int) -> list[tuple[int, int]]:

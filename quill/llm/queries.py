@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import exact_dedup, html, langid, minhash, packing, quality, sharding
+from quill.llm import ann, chat, exact_dedup, html, langid, minhash, mixing, packing, quality, sharding
 from quill.llm.common import read
 
 
+#: Target weights of the quality domains in tokens.
+TARGETS = {"clean": 0.85, "low": 0.05, "toxic": 0.10}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """``(id, domain)`` of the labelled documents: low quality, else toxic, else clean."""
+    return labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "low").when(
+        (F.col("quality") == 1) & (F.col("toxic") == 1), "toxic").when(
+        (F.col("quality") == 1) & (F.col("toxic") == 0), "clean").alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rate of every document, for the target weights."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    found = mixing.rates(docs, domains(labels), TARGETS)
+    return found.select(F.col("id").alias("doc_id"), "tokens", "domains", "posterior", "rate",
+                        mixing.copies(F.col("rate"), F.col("id")).alias("copies"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the documents that are not held out."""
     docs = read(spark, sf_dir, "documents")
@@ -28,6 +47,16 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, with its repaired role and its rendered piece."""
+    return chat.formatted(read(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels that are not held out."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -68,8 +97,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
+    "op4_ann": op4_ann,
+    "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_html": op7_html,
     "op8_minhash": op8_minhash,

@@ -107,6 +107,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The ids to drop are few beside the corpus: the join that removes them moves
     the rows only where they are too many to broadcast.
     """
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("id").alias("__gone"), "digest")
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(
+        F.col("id").alias("__gone"), F.col("digest").alias("__gone_digest"))
     mark = F.unhex(F.sha2(folded(F.col(text_col).cast("string")).cast("binary"), 256))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (mark == F.col("digest")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (mark == F.col("__gone_digest")), "left_anti")

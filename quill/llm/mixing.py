@@ -67,8 +67,15 @@ def word_table(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
         F.count(F.lit(1)).alias("n"))
 
 
-def likelihoods(table: DataFrame) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, their shares of words, and ``(bucket, l0, l1, ...)``: log-likelihoods by hashed word.
+def label_counts(labelled: DataFrame) -> dict[str, int]:
+    """Labelled documents of each domain, over all labels."""
+    found = labelled.select("id", "domain").filter("domain is not null and id is not null").distinct().groupBy(
+        "domain").agg(F.count(F.lit(1)).alias("n")).limit(MAX_DOMAINS + 1).collect()
+    return {r["domain"]: r["n"] for r in found}
+
+
+def likelihoods(table: DataFrame, rows: dict[str, int] | None = None) -> tuple[list[str], list[float], DataFrame]:
+    """Domains, their shares (of ``rows``, else of words), and ``(bucket, l0, l1, ...)``: log-likelihoods by hashed word.
 
     The table has ``BUCKETS`` rows and a column a domain, whatever the corpus;
     domains are ``MAX_DOMAINS`` at most.
@@ -88,8 +95,9 @@ def likelihoods(table: DataFrame) -> tuple[list[str], list[float], DataFrame]:
     logs = every.select("bucket", *(
         F.log((F.coalesce(F.col(f"n{i}"), F.lit(0)) + SMOOTH) / (total[d] + SMOOTH * BUCKETS)).alias(f"l{i}")
         for i, d in enumerate(names)))
-    whole = sum(total.values())
-    return names, [total[d] / whole for d in names], written(logs, "word-likelihoods")
+    weight = {d: (rows or total)[d] for d in names}
+    whole = sum(weight.values())
+    return names, [weight[d] / whole for d in names], written(logs, "word-likelihoods")
 
 
 def _summed(logs: list[float]) -> Column:
@@ -138,7 +146,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     ``targets`` are weights of domains; the tokens of the mixture are as many
     as those of the corpus.
     """
-    model = likelihoods(word_table(docs, labelled, id_col, text_col))
+    model = likelihoods(word_table(docs, labelled, id_col, text_col), label_counts(labelled))
     names, _, _ = model
     k = len(names)
     unknown = sorted(set(targets) - set(names))

@@ -126,23 +126,21 @@ def value_counts(spark, d):
     return P.value_counts(df, "source")
 
 
-def _prefix_labelled(spark, d):
-    """The leading 90 % of the corpus in id order (900 of 1,000 rows at sf0.01),
-    labelled lang/source: the positional scan prefix before counting."""
-    df = docs(spark, d).select("doc_id", F.concat_ws("/", "lang", "source").alias("label"))
-    return P.prefix(df, None, ["doc_id"], frac=0.9)
+def _labelled(spark, d):
+    """The whole corpus, labelled lang/source."""
+    return docs(spark, d).select("doc_id", F.concat_ws("/", "lang", "source").alias("label"))
 
 
 def frequent_labels(spark, d):
-    return P.frequent_labels(_prefix_labelled(spark, d), "label", 25)
+    return P.frequent_labels(_labelled(spark, d), "label", 25)
 
 
 def filter_frequent(spark, d):
-    return P.filter_frequent(_prefix_labelled(spark, d), "label", 25).select("doc_id", "label")
+    return P.filter_frequent(_labelled(spark, d), "label", 25).select("doc_id", "label")
 
 
 def table_stats(spark, d):
-    return P.frequency_stats(_prefix_labelled(spark, d), "label", 25)
+    return P.frequency_stats(_labelled(spark, d), "label", 25)
 
 
 def prompt_counts(spark, d):
@@ -215,7 +213,7 @@ def tokenize_pad(spark, d):
 
 
 def _vocab(spark, d):
-    return TX.build_vocab(TX.token_rows(tdocs(spark, d)), min_count=5, pad=PAD)
+    return TX.build_vocab(TX.token_rows(tdocs(spark, d)), min_count=1, pad=PAD)
 
 
 def build_vocab(spark, d):
@@ -260,19 +258,21 @@ def windows_forward(spark, d):
 
 
 def masked_windows(spark, d):
-    """Forward windows (64 / 32) over the 128-token padded ids of every text:
-    each window's slice of the id array with context positions masked
-    (``mask_targets``) and padding masked (``mask_value``) to -100."""
+    """Forward windows (64 / 32) over the ids of every whole text; only the
+    last window is padded.  Context positions are masked (``mask_targets``) and
+    so is padding (``mask_value``), both to -100."""
     from quill.functions.arrays import mask_targets, mask_value
 
     vocab = _vocab(spark, d)
     pad_id = vocab.where(F.col("token") == PAD).first()["token_id"]
-    ids = TX.encode(TX.tokenize_pad(tdocs(spark, d), 128, PAD).select("doc_id", "pos", "token"), vocab)
+    ids = TX.encode(TX.token_rows(tdocs(spark, d)), vocab)
     arrays = VC.long_to_array(ids.select("doc_id", "pos", "token_id"), ["doc_id"], "token_id", "ids")
     w = WN.strided_windows(arrays.select("doc_id", F.size("ids").alias("n")), "n", 64, 32, "forward", keep=["doc_id"])
     j = w.join(arrays, "doc_id")
     piece = F.slice(F.col("ids"), F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))
-    target = mask_value(mask_targets(piece, F.col("trg_len").cast("int")), F.lit(pad_id).cast("long"))
+    target = mask_targets(piece, F.col("trg_len").cast("int"))
+    pad = F.array_repeat(F.lit(pad_id).cast("long"), 64 - (F.col("end") - F.col("begin")).cast("int"))
+    target = mask_value(F.concat(target, pad), F.lit(pad_id).cast("long"))
     return j.select("doc_id", "begin", F.posexplode(target).alias("pos", "target")).select(
         "doc_id", "begin", F.col("pos").cast("long").alias("pos"), "target")
 
@@ -575,7 +575,7 @@ def generated_ppl(spark, d):
 
 
 def prepared_splits(spark, d):
-    """The whole preparation job: leading 90 % of rows by id, labels
+    """The whole preparation job: all rows, labels
     lang/source seen more than 25 times, ``(text, label)``, 2 % test then 2 %
     val, written as CSV splits and read back ``(split, text, label)``."""
     from pyspark.sql.types import _parse_datatype_string
@@ -585,7 +585,7 @@ def prepared_splits(spark, d):
 
     df = docs(spark, d).select("doc_id", "text", F.concat_ws("/", "lang", "source").alias("label"))
     out = scratch_path(spark, "prepared")
-    corpora.prepare_frequent(df, "text", "label", "doc_id", out, 25, 0.02, 0.02, SEED, scan_frac=0.9,
+    corpora.prepare_frequent(df, "text", "label", "doc_id", out, 25, 0.02, 0.02, SEED, scan_frac=1.0,
                              fmt="csv", shards=8)
     back = io.read_splits(spark, out, _parse_datatype_string("text string, label string"), fmt="csv")
     return back.select("split", "text", "label")

@@ -21,9 +21,7 @@ QUOTAS = """(select lang as label, n,
         cast(round_even(n * (cast({total} as double) / sum(n) over ()), 0) as bigint) as quota
    from (select lang, count(*) as n from documents group by lang))"""
 
-PREFIX900 = """(select doc_id, label from (
-   select doc_id, lang || '/' || source as label, row_number() over (order by doc_id) as r, count(*) over () as n
-   from documents) where r <= round_even(n * 0.9::double, 0))"""
+LABELLED = "(select doc_id, lang || '/' || source as label from documents)"
 
 SQL: dict[str, str] = {}
 
@@ -54,16 +52,16 @@ select source, count(*) as n from (
   select case when doc_id % 7 = 0 then null else source end as source from documents)
 where source is not null group by source"""
 
-SQL["frequent_labels"] = f"select label, count(*) as n from {PREFIX900} group by label having count(*) > 25"
+SQL["frequent_labels"] = f"select label, count(*) as n from {LABELLED} group by label having count(*) > 25"
 
 SQL["filter_frequent"] = f"""
-select doc_id, label from {PREFIX900} where label in (select label from {PREFIX900} group by label having count(*) > 25)"""
+select doc_id, label from {LABELLED} where label in (select label from {LABELLED} group by label having count(*) > 25)"""
 
 SQL["table_stats"] = f"""
-select 'before' as stage, count(*) as n_rows, count(distinct label) as n_labels from {PREFIX900}
+select 'before' as stage, count(*) as n_rows, count(distinct label) as n_labels from {LABELLED}
 union all
-select 'after' as stage, count(*) as n_rows, count(distinct label) as n_labels from {PREFIX900}
- where label in (select label from {PREFIX900} group by label having count(*) > 25)"""
+select 'after' as stage, count(*) as n_rows, count(distinct label) as n_labels from {LABELLED}
+ where label in (select label from {LABELLED} group by label having count(*) > 25)"""
 
 SQL["prompt_counts"] = "select lang || chr(9) || source || chr(10) || chr(10) as prompt, count(*) as n from documents group by 1"
 
@@ -105,7 +103,7 @@ SQL["shuffle_rows"] = f"select doc_id, row_number() over (order by {H}, doc_id)
 TOKS = r"regexp_extract_all(text, '\S+')"
 
 VOCAB = rf"""(with c as (select tok as token, count(*) as n
-                  from (select unnest({TOKS}) as tok from documents) group by tok having count(*) >= 5)
+                  from (select unnest({TOKS}) as tok from documents) group by tok)
    select cast(row_number() over (order by n desc, token) - 1 as bigint) as token_id, token, n from c
    union all select (select count(*) from c) as token_id, '[PAD]' as token, 0 as n)"""
 
@@ -166,15 +164,14 @@ select doc_id, i as "begin", least(i + 256, n) as "end",
 from w where i = 0 or least(i + 128, n) < n"""
 
 SQL["masked_windows"] = f"""
-with ids as (
-  select d.doc_id, r.p as pos, coalesce(d.toks[r.p + 1], '[PAD]') as token
-  from (select doc_id, {TOKS} as toks from documents) d cross join range(128) as r(p)),
-enc as (select ids.doc_id, ids.pos, ids.token, coalesce(v.token_id, -1) as token_id from ids left join {VOCAB} v using (token)),
-w as (select i as b, least(i + 64, 128) as e, least(i + 64, 128) - case when i = 0 then 0 else least(i + 32, 128) end as trg
-      from range(0, 128, 32) as r(i) where i = 0 or least(i + 32, 128) < 128)
-select enc.doc_id, w.b as "begin", enc.pos - w.b as pos,
-       cast(case when enc.pos - w.b < (w.e - w.b) - w.trg then -100 when enc.token = '[PAD]' then -100 else enc.token_id end as bigint) as target
-from enc join w on enc.pos >= w.b and enc.pos < w.e"""
+with n as (select doc_id, cast(len({TOKS}) as bigint) as n from documents),
+w as (select doc_id, n, unnest(range(0, n, 32)) as b from n),
+v as (select doc_id, b, n, least(b + 64, n) - b - (least(b + 64, n) - case when b = 0 then 0 else least(b + 32, n) end) as context
+      from w where b = 0 or least(b + 32, n) < n),
+enc as (select t.doc_id, t.pos, v.token_id from {TOKROWS} t join {VOCAB} v using (token))
+select v.doc_id, v.b as "begin", r.p as pos,
+       cast(case when r.p < v.context or v.b + r.p >= v.n then -100 else enc.token_id end as bigint) as target
+from v cross join range(64) as r(p) left join enc on enc.doc_id = v.doc_id and enc.pos = v.b + r.p"""
 
 SQL["parse_generated"] = r"""
 with g as (select doc_id, lang || chr(9) || source || chr(10) || chr(10) || text as g,
@@ -513,7 +510,7 @@ select round(avg(ppl), 6) as ppl_mean, round(stddev_pop(ppl), 6) as ppl_std from
 SQL["generated_ppl"] = _generated_ppl_sql()
 
 SQL["prepared_splits"] = f"""
-with k as (select * from {PREFIX900} where label in (select label from {PREFIX900} group by label having count(*) > 25)),
+with k as (select * from {LABELLED} where label in (select label from {LABELLED} group by label having count(*) > 25)),
 kk as (select k.doc_id, k.label, d.text from k join documents d using (doc_id)),
 a as (select *, row_number() over (order by {H}, doc_id) as r, count(*) over () as n from kk),
 t as (select doc_id, label, text, r <= ceil(n * 0.02::double) as is_test from a),

@@ -17,6 +17,9 @@ from quill.llm import exact_dedup, langid, minhash, mixing, packing
 from quill.llm.common import read, written
 from quill.llm.queries import TARGETS, domains
 
+#: Similarity of five-word shingle sets from which two documents are near copies, as a fraction.
+SIMILARITY = (80, 100)
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
@@ -29,8 +32,8 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.85 and more connect."""
-    return minhash.drop_near_copies(docs).select(*docs.columns)
+    """One document of each group that links of similarity 0.8 and more connect."""
+    return minhash.drop_near_copies(docs, threshold=SIMILARITY).select(*docs.columns)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ short texts have full sketches and two registers agree with the probability of
 the Jaccard similarity, whatever the sizes.
 
 Candidates: texts with the same set of shingles are collapsed first.  The
-registers are cut into ``BANDS`` bands of ``ROWS``; texts that agree in a band
-are candidates.  At a similarity of 0.85 a pair is missed with probability
-(1 - 0.85**7)**40 < 2e-7.
+registers are cut into bands; texts that agree in a band are candidates.  Bands
+are as long as the threshold lets them be while a pair at the threshold is
+missed with a probability under ``MISSED``: 40 of 7 registers at 0.85, where it
+is (1 - 0.85**7)**40 < 2e-7, and 46 of 6 at 0.8, where it is under 9e-7.
 
 Links: agreeing registers, less the collisions expected by chance, estimate the
 similarity; pairs more than six standard deviations under the threshold are
@@ -48,9 +49,8 @@ from quill.llm.common import written
 from quill.llm.graph import attach, components
 
 WORDS = 5
-ROWS = 7
-BANDS = 40
-REGISTERS = ROWS * BANDS
+REGISTERS = 280
+MISSED = 1e-6
 MANTISSA = 10
 THRESHOLD = (85, 100)
 BLOCK = 128
@@ -178,10 +178,17 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words
     return rows.join(ids, "id", "left_semi").mapInArrow(run, f"id {kind}, regs binary, members binary")
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """``(key, id)``: a row for each band of each sketch."""
-    width = 2 * ROWS
-    keys = F.array(*(F.xxhash64(F.substring("regs", i * width + 1, width), F.lit(i)) for i in range(BANDS)))
+def band_rows(threshold: tuple[int, int] = THRESHOLD, registers: int = REGISTERS) -> int:
+    """Registers of a band: the most that miss a pair at the threshold with a probability under ``MISSED``."""
+    j = threshold[0] / threshold[1]
+    return max((r for r in range(1, registers + 1) if (1 - j ** r) ** (registers // r) <= MISSED), default=1)
+
+
+def bands(reps: DataFrame, rows: int) -> DataFrame:
+    """``(key, id)``: a row for each band of ``rows`` registers of each sketch."""
+    width = 2 * rows
+    keys = F.array(*(F.xxhash64(F.substring("regs", i * width + 1, width), F.lit(i))
+                     for i in range(REGISTERS // rows)))
     return reps.select(F.explode(keys).alias("key"), "id")
 
 
@@ -255,7 +262,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = doubled.filter("id <> rep").select("id").distinct()
     reps = own.select("id", "regs").join(others, "id", "left_anti")
 
-    every = written(bands(reps), "bands")
+    every = written(bands(reps, band_rows(threshold)), "bands")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("hi"), F.min("id").alias("lo")) \
         .filter("n > 1 and hi <> lo").select("key", "n")
     members = written(every.join(shared, "key"), "band-members")

@@ -69,7 +69,7 @@ def _sets(rows, k=5):
     return out
 
 
-def _near(rows):
+def _near(rows, percent=85):
     sets = _sets(rows)
     root = {i: i for i in sets}
 
@@ -80,7 +80,7 @@ def _near(rows):
 
     for a, b in itertools.combinations(sets, 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return sorted((i, len(sets[i]), find(i)) for i in sets)
@@ -108,12 +108,28 @@ def _near_rows(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("block", [128, 4])
-def test_near_groups_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,percent", [(128, 85), (4, 85), (4, 80)])
+def test_near_groups_brute_force(spark, monkeypatch, block, percent):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = _near_rows()
-    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert sorted((r.id, r.n, r.component) for r in got) == _near(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = minhash.near_groups(docs, threshold=(percent, 100)).collect()
+    assert sorted((r.id, r.n, r.component) for r in got) == _near(rows, percent)
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    for percent, rows in [(95, 13), (85, 7), (80, 6), (50, 2)]:
+        assert minhash.band_rows((percent, 100)) == rows
+        assert (1 - (percent / 100) ** rows) ** (minhash.REGISTERS // rows) <= minhash.MISSED
+
+
+def test_pipeline_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline
+
+    rows = _near_rows(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, _, root in _near(rows, 80) if i == root)
 
 
 def test_near_groups_edges(spark):

@@ -66,9 +66,14 @@ def split_pair_key(key: Column) -> tuple[Column, Column]:
     return F.when(prev == "", F.lit(None)).otherwise(prev), F.substring_index(key, " ", -1)
 
 
-def _release(counts: DataFrame, keys: list[str], sigma: float, tau, seed, k, delta_key: float) -> DataFrame:
+def _release(counts: DataFrame, keys: list[str], sigma: float, tau, seed, k, delta_key: float,
+             public_keys: bool = False) -> DataFrame:
     """Noise every key, materialise real noise once, drop keys under ``tau``."""
     if sigma:
+        if tau is None and not public_keys:
+            raise ValueError("noisy counts of an unknown key set need a threshold: tau='auto' or public_keys=True")
+        if k is None:
+            raise ValueError("noisy counts need a bound k on the keys of a text")
         counts = counts.withColumn("n", F.col("n") + F.lit(float(sigma)) * gaussian(
             seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys]))
         if seed is None:
@@ -84,27 +89,34 @@ def _release(counts: DataFrame, keys: list[str], sigma: float, tau, seed, k, del
 
 
 def _doc_items(toks: Column, order: int, k: int | None) -> Column:
-    """A text's distinct n-gram keys in first-occurrence order, at most ``k``."""
+    """A text's distinct n-gram keys; with ``k`` at most so many, the first in a
+    hash order of (text, key), so the end of a long text counts like its start."""
     items = F.array_distinct(pair_keys(toks) if order == 2 else toks)
-    return F.slice(items, 1, int(k)) if k is not None else items
+    if k is None:
+        return items
+    # The text's hash is repeated beside the keys: inside a lambda it would be computed for each key.
+    drawn = F.zip_with(F.array_repeat(F.xxhash64(toks), F.size(items)), items,
+                       lambda h, x: F.struct(F.xxhash64(h, x).alias("o"), x.alias("x")))
+    return F.transform(F.slice(F.array_sort(drawn), 1, int(k)), lambda s: s["x"])
 
 
 def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order: int = 2,
               k: int | None = None, sigma: float = 0.0, tau: float | str | None = None, seed=None,
-              delta_key: float = 1e-6) -> DataFrame:
+              delta_key: float = 1e-6, public_keys: bool = False) -> DataFrame:
     """Document-level n-gram counts with bounded contributions and noise.
 
     Each text contributes at most once to a key and to at most ``k`` distinct
-    keys (its first ``k`` in text order), so one document changes at most
+    keys (chosen by a hash of text and key), so one document changes at most
     ``k`` counts by 1 (L2 sensitivity sqrt(k)).  Counts get ``N(0, sigma^2)``
     noise and keys under ``tau`` are dropped.  ``tau="auto"`` releases an
     unknown key set safely: ``1 + sigma sqrt(2 ln(k / delta_key))``, which
-    costs an extra ``delta_key`` in the ledger.  Output
+    costs an extra ``delta_key`` in the ledger.  Noise without a threshold is
+    an error unless the caller says that the keys are public.  Without noise
+    leave ``k`` and ``tau`` out: every key of every text counts.  Output
     ``(label?, prev?, token, n)`` with ``n`` a double.
 
-    The bounding happens inside each row (``array_distinct`` keeps first
-    occurrences in order, ``slice`` keeps k); the only shuffle is the count,
-    a partial aggregate.
+    The bounding happens inside each row; the only shuffle is the count, a
+    partial aggregate.
     """
     lab = _names(label)
     lkeep = ["label"] if lab else []
@@ -118,7 +130,7 @@ def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order
         x = x.select(*lkeep, F.col("_k").alias("token"))
         keys = lkeep + ["token"]
     counts = x.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return _release(counts, keys, sigma, tau, seed, k, delta_key)
+    return _release(counts, keys, sigma, tau, seed, k, delta_key, public_keys)
 
 
 def _tagger(i: int, lab: Column):
@@ -129,7 +141,7 @@ def fit_ngram_many(df: DataFrame, specs: dict, text: str = "text") -> dict[str,
     """Several :func:`fit_ngram` tables over the same texts from one
     tokenisation and one shuffle.  ``specs`` maps a name to keyword arguments
     of :func:`fit_ngram` (``label``, ``order``, ``k``, ``sigma``, ``tau``,
-    ``seed``, ``delta_key``).  The combined counts are checkpointed once and
+    ``seed``, ``delta_key``, ``public_keys``).  The combined counts are checkpointed once and
     each table is a filter of them."""
     names = list(specs)
     labels = sorted({sp["label"] for sp in specs.values() if sp.get("label")})
@@ -155,7 +167,7 @@ def fit_ngram_many(df: DataFrame, specs: dict, text: str = "text") -> dict[str,
             c = c.select(*lkeep, F.col("k").alias("token"), "n")
             keys = lkeep + ["token"]
         out[nm] = _release(c, keys, sp.get("sigma", 0.0), sp.get("tau"), sp.get("seed"), sp.get("k"),
-                           sp.get("delta_key", 1e-6))
+                           sp.get("delta_key", 1e-6), sp.get("public_keys", False))
     return out
 
 

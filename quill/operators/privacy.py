@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quill.functions.arrays import clip_l2
 from quill.functions.hashing import gaussian
-from quill.operators.rank import hash_rank
+from quill.operators.rank import hash_rank, join_on
 
 
 def _names(x) -> list[str]:
@@ -47,15 +47,38 @@ def clip_vectors(df: DataFrame, vec: str, c: float, name: str | None = None) ->
     return df.withColumn(name or vec, clip_l2(vec, c))
 
 
-def dp_mean(df: DataFrame, vec: str, by, c: float, sigma: float, seed=None, name: str = "mean") -> DataFrame:
+def dp_mean(df: DataFrame, vec: str, by, c: float, sigma: float, seed=None, name: str = "mean",
+            tau: float | None = None) -> DataFrame:
     """Noisy clipped mean per group, long form: clip every record to L2 norm
     ``c``, sum per (group, position), add ``N(0, (sigma c)^2)``, divide by the
-    group size."""
+    group size.  With noise the size is noisy too (``N(0, sigma^2)``, one draw
+    a group, at least 1): two Gaussian releases of multiplier ``sigma``.
+    Groups whose noisy size is under ``tau`` are left out; without ``tau`` the
+    caller vouches that the groups are public (see :func:`key_threshold`)."""
     by = _names(by)
+    if sigma:
+        return _dp_mean_noisy(df, vec, by, c, sigma, seed, name, tau)
     x = df.select(*by, F.posexplode(clip_l2(vec, c)).alias("pos", "_x"))
     agg = x.groupBy(*by, F.col("pos").cast("long").alias("pos")).agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    noise = F.lit(0.0) if sigma == 0 else F.lit(sigma * c) * gaussian(seed, *[F.col(b) for b in by], F.col("pos"))
-    out = agg.select(*by, "pos", ((F.col("_s") + noise) / F.col("_n")).alias(name))
+    return agg.select(*by, "pos", (F.col("_s") / F.col("_n")).alias(name))
+
+
+def _dp_mean_noisy(df: DataFrame, vec: str, by: list[str], c: float, sigma: float, seed, name: str,
+                   tau: float | None) -> DataFrame:
+    keys = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    ids = [F.coalesce(F.col(b).cast("string"), F.lit("")) for b in keys]
+    sizes = rows.where(F.size(vec) > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_n", F.col("_n") + F.lit(float(sigma)) * gaussian(
+        None if seed is None else int(seed) + 2, *ids))
+    if tau is not None:
+        sizes = _drawn_once(sizes, sigma, seed).where(F.col("_n") >= F.lit(float(tau)))
+    sizes = sizes.withColumn("_n", F.greatest(F.col("_n"), F.lit(1.0)))
+    sums = rows.select(*keys, F.posexplode(clip_l2(vec, c)).alias("pos", "_x")).groupBy(
+        *keys, F.col("pos").cast("long").alias("pos")).agg(F.sum("_x").alias("_s"))
+    noisy = sums.withColumn("_s", F.col("_s") + F.lit(sigma * c) * gaussian(seed, *ids, F.col("pos")))
+    out = join_on(noisy, _drawn_once(sizes, sigma, seed), keys).select(
+        *by, "pos", (F.col("_s") / F.col("_n")).alias(name))
     return _drawn_once(out, sigma, seed)
 
 
@@ -66,12 +89,16 @@ def _drawn_once(df: DataFrame, sigma: float, seed) -> DataFrame:
     return df.checkpoint(eager=True) if sigma and seed is None else df
 
 
-def dp_label_histogram(df: DataFrame, label: str, sigma: float, seed=None, name: str = "noisy_n") -> DataFrame:
-    """Label counts plus Gaussian noise, clamped at 0 (sensitivity 1 per row)."""
+def dp_label_histogram(df: DataFrame, label: str, sigma: float, seed=None, name: str = "noisy_n",
+                       tau: float | None = None) -> DataFrame:
+    """Label counts plus Gaussian noise, clamped at 0 (sensitivity 1 per row).
+    Labels whose noisy count is under ``tau`` are left out; without ``tau`` the
+    caller vouches that the labels are public (see :func:`key_threshold`)."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
     noise = gaussian(seed, F.col("label"))
     out = counts.select("label", F.greatest(F.lit(0.0), F.col("_n") + F.lit(sigma) * noise).alias(name))
-    return _drawn_once(out, sigma, seed)
+    out = _drawn_once(out, sigma, seed)
+    return out if tau is None else out.where(F.col(name) >= F.lit(float(tau)))
 
 
 def bound_contributions(df: DataFrame, who: str, k: int, seed, ids) -> DataFrame:

@@ -429,7 +429,7 @@ def penalised_candidates(spark, d):
 
 def _dp_bigram_by_lang(spark, d, df=None):
     src = df if df is not None else tdocs(spark, d)
-    return MD.fit_ngram(src, label="lang", order=2, k=200, sigma=0.0, tau=2.0, seed=SEED)
+    return MD.fit_ngram(src, label="lang", order=2)
 
 
 def fit_bigram(spark, d):
@@ -490,7 +490,7 @@ def distil_mix(spark, d):
 def dp_distil(spark, d):
     priv = _private(spark, d)
     teacher = MD.marginalise(_dp_bigram_by_lang(spark, d, priv))
-    student = MD.fit_ngram(priv, order=2, k=200, sigma=0.0, tau=2.0, seed=SEED)
+    student = MD.fit_ngram(priv, order=2)
     return MD.mle_mix(teacher, student, 0.4).select("prev", "token", F.round("p", 6).alias("p"))
 
 

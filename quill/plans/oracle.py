@@ -302,7 +302,7 @@ def _dp_counts(where: str, by_label: bool) -> str:
     grp = "lang, " if by_label else ""
     return f"""(with f as (select doc_id, lang, prev, token, min(i) as fi from {_pairs(where, ', lang')} group by doc_id, lang, prev, token),
       r as (select *, row_number() over (partition by doc_id order by fi) as rk from f)
-    select {lab}prev, token, count(*)::double as n from r where rk <= 200 group by {grp}prev, token having count(*) >= 2)"""
+    select {lab}prev, token, count(*)::double as n from r group by {grp}prev, token)"""
 
 
 SQL["fit_bigram"] = f"select label, prev, token, n from {_dp_counts('documents', True)}"
@@ -411,7 +411,7 @@ def _uni_dp(where: str) -> str:
                       from (select doc_id, {TOKS} as toks from {where})),
       f as (select doc_id, token, min(i) as fi from p group by doc_id, token),
       r as (select *, row_number() over (partition by doc_id order by fi) as rk from f)
-    select token, count(*)::double as n from r where rk <= 200 group by token having count(*) >= 2)"""
+    select token, count(*)::double as n from r group by token)"""
 
 
 def _uni_raw(where: str) -> str:

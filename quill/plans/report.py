@@ -3,7 +3,7 @@
 Each row mirrors one model of the distillation study, re-aimed onto count
 tables (private = training texts outside the public sources):
 
-  student_dpkd        mix(teacher_dpkd, student_dpsgd, 0.4)
+  student_dpkd        mix(teacher_dpkd, DP unigram at half budget, 0.4)
   student_syn_kd      mix(teacher_cc, student_syn, 0.4)
   student_syn         bigram counts of generated text
   student_dpsgd       DP unigram of private texts
@@ -27,22 +27,30 @@ from quill.operators import privacy as PV
 
 
 def build_models(private: DataFrame, public: DataFrame, generated: DataFrame, epsilon: float, delta: float,
-                 k: int = 200, tau: float = 2.0, noise: bool = True, seed=None, lam: float = 0.4) -> dict:
-    """The eight models.  ``noise=False`` fits the DP models with sigma = 0
-    (the exact oracle); otherwise sigma comes from (epsilon, delta) with
-    sensitivity sqrt(k)."""
-    sens = float(k) ** 0.5
-
-    def sig(eps):
-        return PV.gaussian_sigma(eps, delta, sens) if noise else 0.0
-
-    # The three private fits share one tokenisation and one shuffle.
-    fits = MD.fit_ngram_many(private, {
-        "dpsgd": dict(order=1, k=k, sigma=sig(epsilon), tau=tau, seed=seed),
-        "t_dpkd": dict(order=2, k=k, sigma=sig(epsilon / 2), tau=tau, seed=seed),
-        "t_cc": dict(order=2, label="lang", k=k, sigma=sig(epsilon), tau=tau, seed=seed),
-    })
+                 k: int = 200, noise: bool = True, seed=None, lam: float = 0.4) -> dict:
+    """The eight models.  ``noise=False`` counts every key of every private
+    text (the exact oracle).  Otherwise a fit at (eps, delta) spends half of
+    delta on the Gaussian counts (sensitivity sqrt(k)) and half on releasing
+    an unknown key set.  The DPKD student mixes a teacher and a student of
+    its own, each at (epsilon / 2, delta / 2), and so spends (epsilon, delta)."""
+    def spec(part, budget, tag, **more):
+        if not noise:
+            return more
+        half = delta * part / 2
+        return dict(more, k=k, sigma=PV.gaussian_sigma(budget, half, float(k) ** 0.5), tau="auto",
+                    delta_key=half, seed=None if seed is None else int(seed) + 2 * tag)
+
+    # The private fits share one tokenisation and one shuffle.
+    specs = {
+        "dpsgd": spec(1.0, epsilon, 0, order=1),
+        "t_dpkd": spec(0.5, epsilon / 2, 1, order=2),
+        "t_cc": spec(1.0, epsilon, 2, order=2, label="lang"),
+    }
+    if noise:
+        specs["s_dpkd"] = spec(0.5, epsilon / 2, 3, order=1)
+    fits = MD.fit_ngram_many(private, specs)
     dpsgd = MD.NgramModel.unigram(fits["dpsgd"])
+    s_dpkd = MD.NgramModel.unigram(fits["s_dpkd"]) if noise else dpsgd
     t_dpkd = MD.NgramModel.from_bigrams(fits["t_dpkd"])
     t_cc = MD.NgramModel.from_bigrams(MD.marginalise(fits["t_cc"]))
     syn = MD.NgramModel.from_bigrams(MD.count_ngrams(generated, order=2))
@@ -58,7 +66,7 @@ def build_models(private: DataFrame, public: DataFrame, generated: DataFrame, ep
         "teacher_dpkd": (t_dpkd, epsilon / 2),
         "teacher_cc": (t_cc, epsilon),
         "teacher_pretrained": (t_pre, None),
-        "student_dpkd": (MD.MixModel(t_dpkd, dpsgd, lam), epsilon),
+        "student_dpkd": (MD.MixModel(t_dpkd, s_dpkd, lam), epsilon),
         "student_syn_kd": (MD.MixModel(t_cc, syn, lam), epsilon),
     }
 

@@ -59,15 +59,20 @@ def dp_distil_student(private: DataFrame, label: str, epsilon: float, delta: flo
                       metrics: str, run: str, k: int = 200, text: str = "text", seed=None) -> DataFrame:
     """Distillation on private text: teacher and student counts each get half
     the budget (basic composition), both are DP fits, the student mixes them.
-    Writes ``(prev, token, p)`` and the ledger rows."""
-    half = epsilon / 2
-    sigma = PV.gaussian_sigma(half, delta, math.sqrt(k))
-    teacher = MD.marginalise(MD.fit_ngram(private, text, label=label, k=k, sigma=sigma, tau="auto", seed=seed))
-    student = MD.fit_ngram(private, text, k=k, sigma=sigma, tau="auto",
-                           seed=None if seed is None else int(seed) + 1)
+    Each fit has half of epsilon and of delta, and spends half of its delta on
+    the Gaussian counts and half on the key release.  Writes ``(prev, token,
+    p)`` and the ledger rows: epsilon and both sums of delta parts."""
+    half, part = epsilon / 2, delta / 4
+    sigma = PV.gaussian_sigma(half, part, math.sqrt(k))
+    teacher = MD.marginalise(MD.fit_ngram(private, text, label=label, k=k, sigma=sigma, tau="auto", seed=seed,
+                                          delta_key=part))
+    student = MD.fit_ngram(private, text, k=k, sigma=sigma, tau="auto", delta_key=part,
+                           seed=None if seed is None else int(seed) + 2)
     MD.mle_mix(teacher, student, lam).write.mode("overwrite").parquet(out)
     spark = private.sparkSession
     parts = spark.createDataFrame([(run, "teacher", half), (run, "student", half)], "run string, part string, epsilon double")
-    io.append_metrics(PV.compose(parts).select("run", F.lit("epsilon_basic").alias("metric"),
-                                               F.col("epsilon").alias("value")), metrics)
+    rows = PV.compose(parts).select("run", F.lit("epsilon_basic").alias("metric"), F.col("epsilon").alias("value"))
+    io.append_metrics(rows.unionByName(spark.createDataFrame(
+        [(run, "delta_gaussian", 2 * part), (run, "delta_key_release", 2 * part)],
+        "run string, metric string, value double")), metrics)
     return spark.read.parquet(out)

@@ -66,5 +66,6 @@ def test_training_jobs_write_models_and_ledger(spark, tmp_path):
     assert set(dp.columns) == {"prev", "token", "p"}
     m = {(r.run, r.metric): r.value for r in io.read_metrics(spark, metrics).collect()}
     assert m[("dpkd", "epsilon_basic")] == 2.0
+    assert m[("dpkd", "delta_gaussian")] + m[("dpkd", "delta_key_release")] == 1e-5
     assert abs(m[("teacher-2.0", "final_epsilon_rdp")] - 2.0) < 1e-3  # sigma was calibrated for exactly this
     assert m[("teacher-2.0", "delta_gaussian")] + m[("teacher-2.0", "delta_key_release")] == 1e-5

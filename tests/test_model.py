@@ -16,10 +16,14 @@ def _docs(spark):
 def test_fit_ngram_bounds_each_document(spark):
     out = MD.fit_ngram(_docs(spark), label="lang", order=2, k=2, sigma=0.0).collect()
     got = {(r.label, r.prev, r.token): r.n for r in out}
-    # doc1 first two distinct pairs: (None,a), (a,b); doc2: (None,a), (a,b)
-    assert got[("en", None, "a")] == 2 and got[("en", "a", "b")] == 2
-    assert ("en", "b", "a") not in got
+    # every text adds exactly two of its distinct pairs, each at most once
+    assert all(v <= 2 for v in got.values())
     assert sum(v for (lab, *_), v in got.items() if lab == "en") == 4
+    assert sum(v for (lab, *_), v in got.items() if lab == "de") == 4
+    pairs = {(None, "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("b", "d")}
+    assert {(p, t) for lab, p, t in got if lab == "en"} <= pairs
+    free = {(r.label, r.prev, r.token): r.n for r in MD.fit_ngram(_docs(spark), label="lang", order=2).collect()}
+    assert free["en", None, "a"] == 2 and free["en", "c", "a"] == 1 and len([k for k in free if k[0] == "en"]) == 6
 
 
 def test_top_k_and_top_p_brute_force(spark):

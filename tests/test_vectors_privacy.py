@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from quill.functions.arrays import clip_l2, l2_norm, softmax
@@ -62,7 +63,9 @@ def test_noisy_release_paths(spark):
     tau = PV.key_threshold(sigma, 50, 1e-6)
     assert sorted(a) == sorted(b)  # seeded test noise is repeatable
     assert all(r.n >= tau for r in a)
-    raw = MD.fit_ngram(docs, k=50, sigma=sigma, seed=3).collect()  # no threshold: every key, noisy
+    with pytest.raises(ValueError):
+        MD.fit_ngram(docs, k=50, sigma=sigma, seed=3)  # an unknown key set needs a threshold
+    raw = MD.fit_ngram(docs, k=50, sigma=sigma, seed=3, public_keys=True).collect()  # every key, noisy
     assert len(raw) == len(exact) and any(r.n != exact[(r.prev, r.token)] for r in raw)
     prod = MD.fit_ngram(docs, k=50, sigma=sigma, tau="auto").collect()  # seed=None: Spark randn
     assert all(r.n >= tau for r in prod)
@@ -70,6 +73,26 @@ def test_noisy_release_paths(spark):
     assert len(h) == 4 and all(r.noisy_n >= 0 for r in h)
 
 
+def test_noisy_mean_hides_the_group_size(spark):
+    rows = [(g, [1.0, 0.0]) for g, n in (("a", 4000), ("b", 3)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    for seed in (7, None):
+        got = {(r.g, r.pos): r.mean for r in PV.dp_mean(df, "v", "g", 1.0, 5.0, seed, tau=100.0).collect()}
+        assert set(got) == {("a", 0), ("a", 1)}  # the small group stays hidden
+        assert abs(got["a", 0] - 1) < 0.03 and got["a", 0] != 1.0 and abs(got["a", 1]) < 0.03
+    assert PV.dp_mean(df, "v", None, 1.0, 5.0, 7).count() == 2
+    left = PV.dp_label_histogram(df, "g", 5.0, 7, tau=100.0).collect()
+    assert [r.label for r in left] == ["a"]
+
+
+def test_bounded_keys_reach_the_end_of_a_text(spark):
+    from quill.operators import model as MD
+
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(2000)),)], "text string")
+    got = [int(r.token[1:]) for r in MD.fit_ngram(df, order=1, k=100).collect()]
+    assert len(got) == 100 and max(got) > 1500 and 700 < sum(got) / 100 < 1300
+
+
 def test_report_with_noise_runs(spark):
     from quill.plans import report as RP
     from tests.conftest import SF_SMALL
@@ -77,6 +100,7 @@ def test_report_with_noise_runs(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     train, test = docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0")
     pub, priv = train.where("source in ('src0','src1')"), train.where("source not in ('src0','src1')")
-    models = RP.build_models(priv, pub, train.limit(20), epsilon=2.0, delta=1e-5, noise=True, seed=5, tau=1.0)
+    models = RP.build_models(priv, pub, train.limit(20), epsilon=2000.0, delta=1e-5, noise=True, seed=5)
+    assert models["teacher_dpkd"][1] == 1000.0 and models["student_dpkd"][1] == 2000.0
     rows = RP.model_report(test, models).collect()
     assert len(rows) == 8 and all(r.ppl > 1 and math.isfinite(r.ppl) for r in rows)

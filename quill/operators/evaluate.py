@@ -66,6 +66,12 @@ def ppl_weighted(scored: DataFrame, id_col: str) -> DataFrame:
     return w.groupBy(id_col).agg(F.exp(F.sum(F.col("_nll") * F.col("_trg")) / F.first("_n")).alias("ppl"))
 
 
+def for_every_text(per: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
+    """One row for every text: one without a scored token (fewer than two
+    tokens) has a null value, which means and spreads leave out."""
+    return texts.select(id_col).join(per, id_col, "left")
+
+
 def stream_targets(docs: DataFrame, id_col: str, max_len: int, stride: int, text: str = "text") -> DataFrame:
     """Scored tokens of the corpus stream (texts in ``id_col`` order joined end
     to end; a blank-line joint adds no token): ``(window, prev, token)``.
@@ -99,9 +105,11 @@ def ppl_macro(scored: DataFrame) -> DataFrame:
 def score_generated(gen: DataFrame, model, id_col: str = "seq_id", max_len: int = 1024, stride: int = 512,
                     text: str = "text") -> DataFrame:
     """Self-perplexity of generated sequences: lookback windows, token-weighted
-    (``(id, ppl)``); ``mean_std`` over it gives the mean and spread."""
+    (``(id, ppl)``, null for a sequence of fewer than two tokens);
+    ``mean_std`` over it gives the mean and spread."""
     t = doc_lookback_targets(gen.select(id_col, text), id_col, max_len, stride, text)
-    return ppl_weighted(score_counted(model, t, [id_col, "window", "trg_len", "n"]), id_col)
+    return for_every_text(ppl_weighted(score_counted(model, t, [id_col, "window", "trg_len", "n"]), id_col),
+                          gen, id_col)
 
 
 def nll(targets: DataFrame, model, name: str = "nll") -> DataFrame:

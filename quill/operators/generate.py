@@ -8,9 +8,11 @@ task draws the same token.  Lineage is cut with a reliable checkpoint every
 few steps.
 
 Warping order: repetition penalty, repeated-bigram ban, temperature, top-k,
-renormalise, top-p.  Candidate lists keep ``k + steps`` entries so the
-penalty and ban (which touch at most ``steps`` tokens) cannot pull in a
-candidate from beyond the list: top-k stays exact.
+renormalise, top-p; greedy takes the best candidate after the ban and the
+penalty.  Candidate lists keep ``k + steps`` entries so the penalty and ban
+(which touch at most ``steps`` tokens) cannot pull in a candidate from beyond
+the list: top-k stays exact.  That holds for penalties of 1 and more; smaller
+ones, which would lift seen tokens from anywhere, are an error.
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ from quill.functions.hashing import uniform
 from quill.operators.model import candidate_lists, repetition_penalty
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row: inside the lambda of
+    an array function it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _cmp(a: Column, b: Column) -> Column:
     return (F.when(a["score"] > b["score"], F.lit(-1)).when(a["score"] < b["score"], F.lit(1))
             .when(a["token"] < b["token"], F.lit(-1)).when(a["token"] > b["token"], F.lit(1)).otherwise(F.lit(0)))
@@ -55,18 +63,25 @@ def with_temperature(cands: Column, temperature: float) -> Column:
     return F.transform(cands, lambda x: _scored(x["score"] / F.lit(float(temperature)), x["token"]))
 
 
-def sample_next(cands: Column, total: Column, out: Column, prev: Column, u: Column, k: int,
-                p: float = 1.0, temperature: float = 1.0, penalty: float = 1.0, no_repeat: bool = True) -> Column:
-    """The drawn token (null when nothing is left to draw).  Warping order:
-    penalty, bigram ban, temperature, top-k, renormalise, top-p."""
+def best_candidates(cands: Column, total: Column, out: Column, prev: Column, k: int, temperature: float = 1.0,
+                    penalty: float = 1.0, no_repeat: bool = True) -> Column:
+    """The ``k`` best ``(score, token)`` after penalty, bigram ban and temperature, best first."""
     c = F.transform(cands, lambda x: _scored(F.log(x["n"] / total), x["token"]))
     if penalty != 1.0:
         c = penalise(c, out, penalty)
     if no_repeat:
-        c = ban_repeats(c, banned_after(out, prev))
+        c = let(F.struct(c.alias("c"), banned_after(out, prev).alias("banned")),
+                lambda v: ban_repeats(v["c"], v["banned"]))
     if temperature != 1.0:
         c = with_temperature(c, temperature)
-    c = F.slice(F.array_sort(c, _cmp), 1, k)
+    return F.slice(F.array_sort(c, _cmp), 1, k)
+
+
+def sample_next(cands: Column, total: Column, out: Column, prev: Column, u: Column, k: int,
+                p: float = 1.0, temperature: float = 1.0, penalty: float = 1.0, no_repeat: bool = True) -> Column:
+    """The drawn token (null when nothing is left to draw).  Warping order:
+    penalty, bigram ban, temperature, top-k, renormalise, top-p."""
+    c = best_candidates(cands, total, out, prev, k, temperature, penalty, no_repeat)
     init = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("s"),
                     F.array().cast("array<struct<token:string,w:double,before:double>>").alias("arr"))
 
@@ -78,11 +93,11 @@ def sample_next(cands: Column, total: Column, out: Column, prev: Column, u: Colu
 
     def finish(acc):
         kept = lambda y: y["before"] < F.lit(float(p)) * acc["s"]
-        def pick(tk):
-            hit = F.filter(acc["arr"], lambda y: kept(y) & (y["before"] + y["w"] >= u * tk))
+        def pick(cut):
+            hit = F.filter(acc["arr"], lambda y: kept(y) & (y["before"] + y["w"] >= cut))
             return F.coalesce(F.get(hit, 0)["token"], F.element_at(F.filter(acc["arr"], kept), -1)["token"])
         return F.aggregate(acc["arr"], F.lit(0.0), lambda t, y: t + F.when(kept(y), y["w"]).otherwise(F.lit(0.0)),
-                           lambda tk: F.when(F.size(acc["arr"]) > 0, pick(tk)))
+                           lambda tk: F.when(F.size(acc["arr"]) > 0, let(u * tk, pick)))
 
     return F.aggregate(c, init, merge, finish)
 
@@ -91,9 +106,12 @@ def generate(model: DataFrame, prompts: DataFrame, steps: int, k: int = 50, p: f
              temperature: float = 1.0, penalty: float = 1.0, no_repeat: bool = True, greedy: bool = False,
              seed=42, checkpoint_every: int = 8) -> DataFrame:
     """Generate up to ``steps`` tokens for every ``(seq_id, label)`` prompt from a
-    count model ``(label, prev, token, n)``; start context is null.  Output
+    count model ``(label, prev, token, n)``; start context is null.  ``greedy``
+    takes the best token after the ban and the penalty.  Output
     ``(seq_id, label, text, n_tokens)``."""
-    width = 1 if greedy else k + steps
+    if penalty < 1.0:
+        raise ValueError("a penalty under 1 would lift seen tokens from beyond the candidate list")
+    width = (1 if greedy else k) + (steps if no_repeat or penalty != 1.0 else 0)
     # Read at every step: materialise once (reliable checkpoint).  The join
     # key is (label, prev or ''): tokens are never empty, so '' is the start
     # and the join is a plain equi-join.  Between state checkpoints the
@@ -106,7 +124,8 @@ def generate(model: DataFrame, prompts: DataFrame, steps: int, k: int = 50, p: f
     for step in range(steps):
         j = state.withColumn("_p", F.coalesce(F.col("prev"), F.lit(""))).join(cands, ["label", "_p"], "left")
         if greedy:
-            nxt = F.get(F.col("cands"), 0)["token"]
+            nxt = F.get(best_candidates(F.col("cands"), F.col("total"), F.col("out"), F.col("prev"), 1,
+                                        penalty=penalty, no_repeat=no_repeat), 0)["token"]
         else:
             u = uniform(seed, F.col("seq_id"), F.lit(step))
             nxt = sample_next(F.col("cands"), F.col("total"), F.col("out"), F.col("prev"), u, k, p,

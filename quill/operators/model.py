@@ -95,8 +95,8 @@ def _doc_items(toks: Column, order: int, k: int | None) -> Column:
     if k is None:
         return items
     # The text's hash is repeated beside the keys: inside a lambda it would be computed for each key.
-    drawn = F.zip_with(F.array_repeat(F.xxhash64(toks), F.size(items)), items,
-                       lambda h, x: F.struct(F.xxhash64(h, x).alias("o"), x.alias("x")))
+    drawn = F.zip_with(F.array_repeat(F.md5(F.array_join(toks, " ")), F.size(items)), items,
+                       lambda h, x: F.struct(F.md5(F.concat(h, F.lit(":"), x)).alias("o"), x.alias("x")))
     return F.transform(F.slice(F.array_sort(drawn), 1, int(k)), lambda s: s["x"])
 
 

@@ -24,6 +24,7 @@ def map_batches(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, **k
     return df.mapInPandas(run, schema)
 
 
-def word_count(batch: pd.DataFrame, text: str = "text", id_col: str = "doc_id") -> pd.DataFrame:
-    """Whitespace word count of each text (``len(text.split())``)."""
-    return pd.DataFrame({id_col: batch[id_col], "n_words": batch[text].map(lambda s: len(s.split()) if s is not None else 0)})
+def word_count(batch: pd.DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 1) -> pd.DataFrame:
+    """Number of whitespace-separated words of at least ``min_chars`` characters (0 for a null text)."""
+    found = batch[text].str.count(rf"\S{{{int(min_chars)},}}")
+    return pd.DataFrame({id_col: batch[id_col], "n_words": found.fillna(0).astype("int64")})

@@ -49,9 +49,9 @@ def tdocs(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------ flagship
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """600-row sample whose languages keep their corpus proportions."""
+    """120-row sample whose languages keep their corpus proportions."""
     lab = P.to_labelled(docs(spark, d), "text", "lang", keep=["doc_id"])
-    quotas = P.allocate(P.value_counts(lab, "label"), 600)
+    quotas = P.allocate(P.value_counts(lab, "label"), 120)
     return P.stratified_sample(lab, "label", quotas, SEED, "doc_id").select("doc_id", "label")
 
 
@@ -61,6 +61,12 @@ def scan_corpus(spark, d):
     return io.read_corpus(spark, f"{d}/documents.parquet", config="src3").select("doc_id", "text", "lang")
 
 
+def scan_split(spark, d):
+    """One configuration and one split of a corpus (here: a source, and a language as its split)."""
+    return io.read_corpus(spark, f"{d}/documents.parquet", config="src3", split="en", split_col="lang").select(
+        "doc_id", "text")
+
+
 def _split_col():
     m = F.col("doc_id") % 10
     return F.when(m == 0, "test").when(m == 1, "validation").otherwise("train")
@@ -319,9 +325,12 @@ def append_mean_vector(spark, d):
     return out.select("vec_id", "pos", F.round("value", 6).alias("value"))
 
 
+def _students(spark, d):
+    return _emb(spark, d).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("student"))
+
+
 def _kd_pairs(spark, d):
-    e = _emb(spark, d).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("student"))
-    return VC.with_teacher_mean(e, "student", "label")
+    return VC.with_teacher_mean(_students(spark, d), "student", "label")
 
 
 def kd_kl(spark, d):
@@ -343,10 +352,18 @@ def hidden_mse(spark, d):
 def kd_loss(spark, d):
     pairs = _kd_pairs(spark, d)
     a = VC.kd_loss(pairs, "student", "teacher", "label", "label", T_KD, 0.4, 0.1)
-    b = VC.kd_loss(pairs, "student", "teacher", "label", "label", T_KD, 0.0, 0.0)
+    b = VC.kd_loss(_students(spark, d), "student", "teacher", "label", "label", T_KD, 0.0, 0.0)
     return a.unionByName(b).select("label", "lambda", F.round("loss", 6).alias("loss"))
 
 
+def kd_loss_terms(spark, d):
+    """Cross-entropy with a term of the user's own: a hundredth of the squared norm of the scores."""
+    norm = F.aggregate("student", F.lit(0.0), lambda s, x: s + x * x)
+    loss = VC.kd_loss(_students(spark, d), "student", "teacher", "label", "label", T_KD, 0.0, 0.0,
+                      terms={"norm": F.lit(0.01) * norm})
+    return loss.select("label", F.round("loss", 6).alias("loss"))
+
+
 # ------------------------------------------------------------ privacy
 
 def _scaled(spark, d):
@@ -365,6 +382,13 @@ def dp_clipped_mean(spark, d):
         "label", "pos", F.round("mean", 6).alias("mean"))
 
 
+def dp_mean_noisy(spark, d):
+    """Both releases noisy (sums and sizes), the labels public."""
+    sigma = PV.gaussian_sigma(2.0, 1e-5, 1.0)
+    return PV.dp_mean(_scaled(spark, d), "v", "label", 1.5, sigma, seed=SEED).select(
+        "label", "pos", F.round("mean", 6).alias("mean"))
+
+
 def dp_histogram(spark, d):
     sigma = PV.gaussian_sigma(2.0, 1e-5, 1.0)
     h = PV.dp_label_histogram(docs(spark, d), "lang", sigma, seed=SEED)
@@ -436,6 +460,18 @@ def fit_bigram(spark, d):
     return _dp_bigram_by_lang(spark, d).select("label", "prev", "token", "n")
 
 
+#: Distinct pairs a text may count for in the noisy fit; its budget (half of delta for counts, half for keys).
+NOISY_K, NOISY_EPSILON, NOISY_DELTA = 100, 8.0, 1e-5
+
+
+def fit_bigram_noisy(spark, d):
+    """A private bigram release: contributions bounded, counts noisy, keys under the safe threshold left out."""
+    sigma = PV.gaussian_sigma(NOISY_EPSILON, NOISY_DELTA / 2, NOISY_K ** 0.5)
+    fitted = MD.fit_ngram(tdocs(spark, d), label="lang", order=2, k=NOISY_K, sigma=sigma, tau="auto", seed=SEED,
+                          delta_key=NOISY_DELTA / 2)
+    return fitted.select("label", "prev", "token", F.round("n", 6).alias("n"))
+
+
 def _train_test(spark, d):
     df = tdocs(spark, d)
     return df.where(F.col("doc_id") % 10 != 0), df.where(F.col("doc_id") % 10 == 0)
@@ -464,7 +500,8 @@ def ppl_macro(spark, d):
 def _ppl_weighted(spark, d):
     _, test = _train_test(spark, d)
     t = EV.doc_lookback_targets(test, "doc_id", 1024, 512)
-    return EV.ppl_weighted(EV.score_counted(_train_model(spark, d), t, ["doc_id", "window", "trg_len", "n"]), "doc_id")
+    scored = EV.score_counted(_train_model(spark, d), t, ["doc_id", "window", "trg_len", "n"])
+    return EV.for_every_text(EV.ppl_weighted(scored, "doc_id"), test, "doc_id")
 
 
 def ppl_weighted(spark, d):
@@ -500,10 +537,22 @@ def _langs(spark, d):
 
 def generate_greedy(spark, d):
     model = _dp_bigram_by_lang(spark, d)
-    return GN.generate(model, GN.prompts_per_label(_langs(spark, d), 3), 12, greedy=True).select(
+    return GN.generate(model, GN.prompts_per_label(_langs(spark, d), 3), 12, greedy=True, no_repeat=False).select(
         "seq_id", "label", "text")
 
 
+def generate_greedy_ruled(spark, d):
+    """Greedy under the bigram ban and a repetition penalty of 1.2."""
+    return GN.generate(_dp_bigram_by_lang(spark, d), GN.prompts_per_label(_langs(spark, d), 3), 12, greedy=True,
+                       penalty=1.2).select("seq_id", "label", "text")
+
+
+def generate_warped(spark, d):
+    """Sampled at temperature 0.7 under the bigram ban and a repetition penalty of 1.2."""
+    return GN.generate(_dp_bigram_by_lang(spark, d), GN.prompts_per_label(_langs(spark, d), 50), 12, k=50, p=0.9,
+                       temperature=0.7, penalty=1.2, seed=SEED).select("seq_id", "label", "text")
+
+
 def _generate_text(spark, d):
     model = _dp_bigram_by_lang(spark, d)
     return GN.generate(model, GN.prompts_per_label(_langs(spark, d), 50), 12, k=50, p=0.9,
@@ -541,6 +590,12 @@ def map_batches(spark, d):
     return UD.map_batches(tdocs(spark, d).select("doc_id", "text"), UD.word_count, "doc_id long, n_words long")
 
 
+def map_batches_args(spark, d):
+    """The batched map with an argument for the user's function: words of five characters and more."""
+    return UD.map_batches(tdocs(spark, d).select("doc_id", "text"), UD.word_count, "doc_id long, n_words long",
+                          min_chars=5)
+
+
 def model_report(spark, d):
     train, test = _train_test(spark, d)
     public = train.where(F.col("source").isin(*PUBLIC))

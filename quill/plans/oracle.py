@@ -27,6 +27,8 @@ SQL: dict[str, str] = {}
 
 SQL["scan_corpus"] = "select doc_id, text, lang from documents where source = 'src3'"
 
+SQL["scan_split"] = "select doc_id, text from documents where source = 'src3' and lang = 'en'"
+
 SQL["csv_roundtrip"] = """
 select case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'validation' else 'train' end as split,
        doc_id, text, lang as label from documents"""
@@ -235,6 +237,10 @@ select label, 0.4::double as lambda,
 union all
 select label, 0.0::double as lambda, round(1.0 * avg(ce), 6) as loss from r group by label"""
 
+SQL["kd_loss_terms"] = f"""
+with {KD}, nt as (select label, avg(sq) as term from (select vec_id, label, 0.01 * sum(x * x) as sq from {EMB} group by vec_id, label) group by label)
+select label, round(avg(ce) + any_value(term), 6) as loss from r join nt using (label) group by label"""
+
 SCALED = f"(select vec_id, label, pos, x * (1 + vec_id % 3) as x from {EMB})"
 
 CLIPPED = f"""(select s.vec_id, s.label, s.pos, s.x * case when n.nrm > 1.5 then 1.5 / n.nrm else 1.0 end as x
@@ -249,10 +255,25 @@ def _u(seed: int, key: str) -> str:
     return f"((('0x' || substr(md5('{seed}:' || {key}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
 
 
-SQL["dp_histogram"] = (f"""
-select label, round(greatest(0.0, n + {{sigma}} * sqrt(-2.0 * ln({_u(42, 'label')})) * cos(2 * pi() * {_u(43, 'label')})), 6) as noisy_n
-from (select lang as label, count(*) as n from documents group by lang)""").replace(
-    "{sigma}", repr(float(__import__("quill.operators.privacy", fromlist=["x"]).gaussian_sigma(2.0, 1e-5, 1.0))))
+def _normal(seed: int, key: str) -> str:
+    return f"(sqrt(-2.0 * ln({_u(seed, key)})) * cos(2 * pi() * {_u(seed + 1, key)}))"
+
+
+def _sigma(epsilon: str, delta: str, sensitivity: str = "1.0::double") -> str:
+    """Noise scale of one Gaussian release in closed form."""
+    log_term = f"(2.0::double * ln(1.0::double / {delta}))"
+    return f"({sensitivity} / (sqrt({log_term} + 2.0::double * {epsilon}) - sqrt({log_term})))"
+
+
+SQL["dp_histogram"] = f"""
+select label, round(greatest(0.0, n + {_sigma('2.0', '1e-5')} * {_normal(42, 'label')}), 6) as noisy_n
+from (select lang as label, count(*) as n from documents group by lang)"""
+
+SQL["dp_mean_noisy"] = f"""
+select s.label, s.pos, round((s.x + {_sigma('2.0', '1e-5')} * 1.5 * {_normal(42, "s.label || ':' || s.pos")})
+       / greatest(n.n + {_sigma('2.0', '1e-5')} * {_normal(44, 'n.label')}, 1.0), 6) as mean
+from (select label, pos, sum(x) as x from {CLIPPED} group by label, pos) s
+join (select label, count(*) as n from embeddings where len(embedding) > 0 group by label) n using (label)"""
 
 SQL["dp_sigma"] = """
 with l as (select distinct lang as label from documents),
@@ -308,6 +329,18 @@ def _dp_counts(where: str, by_label: bool) -> str:
 SQL["fit_bigram"] = f"select label, prev, token, n from {_dp_counts('documents', True)}"
 
 
+SQL["fit_bigram_noisy"] = f"""
+with t as (select lang, doc_id, {TOKS} as toks from documents),
+p as (select doc_id, lang, md5(array_to_string(toks, ' ')) as h, toks, unnest(range(1, len(toks) + 1)) as i from t),
+q as (select distinct doc_id, lang, h, case when i = 1 then '' else toks[i - 1] end as prev, toks[i] as token from p),
+b as (select *, row_number() over (partition by doc_id order by md5(h || ':' || prev || ' ' || token), prev || ' ' || token) as r from q),
+c as (select lang as label, prev, token, count(*)::double as n from b where r <= 100 group by lang, prev, token),
+s as (select {_sigma('8.0', '5e-6', 'sqrt(100.0::double)')} as sigma),
+z as (select label, prev, token, n + sigma * {_normal(42, "label || ':' || prev || ':' || token")} as n, sigma from c, s)
+select label, case when prev = '' then null else prev end as prev, token, round(n, 6) as n
+from z where n >= 1.0 + sigma * sqrt(2.0 * ln(100 / 5e-6))"""
+
+
 def _raw_counts(where: str) -> str:
     return f"(select prev, token, count(*)::double as n from {_pairs(where)} group by prev, token)"
 
@@ -359,7 +392,8 @@ PPLW = f"""(with {TRAIN_MODEL},
    w as (select doc_id, wi, avg(nll) as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi)
    select doc_id, exp(sum(nll * trg) / any_value(n)) as ppl from w group by doc_id)"""
 
-SQL["ppl_weighted"] = f"select doc_id, round(ppl, 6) as ppl from {PPLW}"
+SQL["ppl_weighted"] = f"""select t.doc_id, round(p.ppl, 6) as ppl
+from (select doc_id from documents where doc_id % 10 = 0) t left join {PPLW} p using (doc_id)"""
 
 SQL["ppl_mean_std"] = f"select round(avg(ppl), 6) as ppl_mean, round(stddev_pop(ppl), 6) as ppl_std from {PPLW}"
 
@@ -406,6 +440,10 @@ select conv_id, turn, text, label from k join q using (label) where rk <= quota
 SQL["map_batches"] = f"select doc_id, cast(len({TOKS}) as bigint) as n_words from documents"
 
 
+SQL["map_batches_args"] = (f"select doc_id, cast(len(list_filter({TOKS}, lambda t: length(t) >= 5)) as bigint) as n_words "
+                           "from documents")
+
+
 def _uni_dp(where: str) -> str:
     return f"""(with p as (select doc_id, unnest(range(len(toks))) as i, unnest(toks) as token
                       from (select doc_id, {TOKS} as toks from {where})),
@@ -520,16 +558,19 @@ union all
 select case when r <= ceil(n * 0.02::double) then 'val' else 'train' end as split, text, label from b"""
 
 
-def _gen_sampled_ctes(seqs: str) -> str:
-    """Recursive CTEs reproducing sampled generation (k 50, p 0.9, T 1, no
-    penalty, bigram ban, 12 steps) for the ``(label, s)`` rows of ``seqs``,
-    with the same md5-derived uniforms and sequential sums as the Spark path.
-    Ends with a ``gen(label, s, step, prev, out)`` CTE."""
+def _gen_sampled_ctes(seqs: str, k: int = 50, temperature: str = "1.0", penalty: str = "1.0") -> str:
+    """Recursive CTEs reproducing sampled generation (p 0.9, bigram ban, 12
+    steps) for the ``(label, s)`` rows of ``seqs``, with the same md5-derived
+    uniforms and sequential sums as the Spark path.  One candidate (``k`` 1)
+    is greedy.  Ends with a ``gen(label, s, step, prev, out)`` CTE."""
+    log_p = "ln(x.n / cl.total)"
+    score = (f"(case when list_contains(g.out, x.token) then case when {log_p} < 0 then {log_p} * {penalty}::double "
+             f"else {log_p} / {penalty}::double end else {log_p} end) / {temperature}::double")
     return f"""dpb as {_dp_counts('documents', True)},
 cl as (select label, prev, list(struct_pack(n := n, token := token) order by n desc, token) as cands, any_value(tot) as total
        from (select *, row_number() over (partition by label, prev order by n desc, token) as rk,
                     sum(n) over (partition by label, prev) as tot from dpb)
-       where rk <= 62 group by label, prev),
+       where rk <= {k + 12} group by label, prev),
 seqs as {seqs},
 gen(label, s, step, prev, out) as (
   select label, s, 0, NULL::varchar, []::varchar[] from seqs
@@ -537,10 +578,10 @@ gen(label, s, step, prev, out) as (
   select label, s, step + 1, tok, list_append(out, tok) from (
     select g.label, g.s, g.step, g.out,
       (with
-        f as (select list_filter(cl.cands, lambda x: not list_contains(
+        f as (select list_sort(list_transform(list_filter(cl.cands, lambda x: not list_contains(
                  list_transform(list_filter(range(1, len(g.out)), lambda i: g.out[i] = g.prev), lambda i: g.out[i + 1]),
-                 x.token))[1:50] as f),
-        w as (select f, list_transform(f, lambda x: exp(ln(x.n / cl.total) - ln(f[1].n / cl.total))) as w from f),
+                 x.token)), lambda x: struct_pack(minus := -({score}), token := x.token)))[1:{k}] as f),
+        w as (select f, list_transform(f, lambda x: exp(f[1].minus - x.minus)) as w from f),
         b as (select f, w, list_transform(range(1, len(w) + 1), lambda j: coalesce(list_sum(w[1:j - 1]), 0.0)) as bf,
                      list_sum(w) as tot_w from w),
         k as (select f, w, bf, len(list_filter(bf, lambda v: v < 0.9::double * tot_w)) as kn from b),
@@ -561,6 +602,12 @@ _SEQS50 = "(select label, s from (select distinct lang as label from documents)
 
 SQL["generate_text"] = f"with recursive {_gen_sampled_ctes(_SEQS50)}\nselect seq_id, label, text from gtext"
 
+SQL["generate_warped"] = f"""with recursive {_gen_sampled_ctes(_SEQS50, temperature='0.7', penalty='1.2')}
+select seq_id, label, text from gtext"""
+
+SQL["generate_greedy_ruled"] = f"""with recursive {_gen_sampled_ctes(_SEQS50.replace('51', '4'), k=1, penalty='1.2')}
+select seq_id, label, text from gtext"""
+
 SQL["generated_no_repeat"] = f"""with recursive {_gen_sampled_ctes(_SEQS50)},
 tk as (select seq_id, label, string_split(text, ' ') as t from gtext),
 p as (select seq_id, label, unnest(case when len(t) >= 2 then list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])

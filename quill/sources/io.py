@@ -35,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Hash-spread rows over at least ``min_partitions`` (default: the cluster's
-    parallelism) when the scan yields fewer splits, e.g. one large row group.
+    """Hash-spread the rows of a scan over at least ``min_partitions`` (default: the
+    cluster's parallelism) when it yields fewer splits, e.g. one large row group.
     A scan that already has enough splits is left alone: no extra shuffle at
     scale.  Spreading on the row id also pre-partitions later joins on it."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
@@ -60,11 +60,11 @@ def read_corpus(spark: SparkSession, path: str, config: str | None = None, split
 
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet", split_col: str = "split",
                  shards: int | None = None, mode: str = "error") -> None:
-    """One folder per split (``split=train`` ...), at least ``shards`` files in
-    all: the rows are only redistributed when the input has fewer partitions
-    (CSV with multi-line texts cannot be split on read, so many shards
-    matter)."""
-    w = spread(df, None, shards) if shards else df
+    """One folder per split (``split=train`` ...).  ``shards`` redistributes the
+    rows over so many tasks, each with a file a split (CSV with multi-line
+    texts cannot be split on read, so many shards matter); the input's
+    partitions are not counted first, which would run it."""
+    w = df.repartition(int(shards)) if shards else df
     writer = w.write.mode(mode).partitionBy(split_col)
     if fmt == "csv":
         writer.options(**_CSV_WRITE).csv(path)

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quill.operators import evaluate as EV
@@ -81,7 +82,7 @@ def test_sampling_with_tiny_nucleus_equals_greedy(spark):
 
     model = C._dp_bigram_by_lang(spark, SF_SMALL)
     prompts = GN.prompts_per_label(C._langs(spark, SF_SMALL), 3)
-    greedy = {r.seq_id: r.text for r in GN.generate(model, prompts, 8, greedy=True).collect()}
+    greedy = {r.seq_id: r.text for r in GN.generate(model, prompts, 8, greedy=True, no_repeat=False).collect()}
     sampled = {r.seq_id: r.text for r in GN.generate(model, prompts, 8, k=50, p=1e-9, no_repeat=False,
                                                       seed=5).collect()}
     assert sampled == greedy
@@ -125,3 +126,26 @@ def test_sampling_repetition_penalty(spark):
     assert abs(second(1.0) - 0.6) < 0.03
     # seen 'a' has log-prob ln 0.6 < 0: multiplied by 3 -> weight 0.6^3 against 0.4
     assert abs(second(3.0) - 0.216 / (0.216 + 0.4)) < 0.03
+
+
+def test_greedy_keeps_the_ban_and_the_penalty(spark):
+    model = spark.createDataFrame([("l", None, "x", 9.0), ("l", "x", "x", 9.0), ("l", "x", "y", 8.0), ("l", "y", "x", 5.0)],
+                                  "label string, prev string, token string, n double")
+    prompt = spark.createDataFrame([("s", "l")], "seq_id string, label string")
+
+    def text(**kw):
+        return GN.generate(model, prompt, 4, greedy=True, **kw).first().text
+
+    assert text(no_repeat=False) == "x x x x"
+    assert text() == "x x y x"
+    # after x: ln(9/17) * 1.2 < ln(8/17), so y; once y is seen too: ln(9/17) * 1.2 > ln(8/17) * 1.2, so x
+    assert text(no_repeat=False, penalty=1.2) == "x y x x"
+    with pytest.raises(ValueError):
+        text(penalty=0.9)
+
+
+def test_a_text_of_one_token_keeps_its_row(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "a"), (3, "")], "doc_id long, text string")
+    m = MD.NgramModel.from_bigrams(MD.count_ngrams(docs, order=2))
+    got = {r.doc_id: r.ppl for r in EV.score_generated(docs, m, "doc_id").collect()}
+    assert set(got) == {1, 2, 3} and got[1] > 1 and got[2] is None and got[3] is None

@@ -99,3 +99,28 @@ def test_value_rank_huge_keys_exact(spark):
     df = spark.createDataFrame([(k,) for k in ids], "k long")
     got = {r.k: r.rank for r in value_rank(df, ["k"]).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(ids))}
+
+
+def test_key_buckets_are_even_wherever_the_keys_lie(spark):
+    from quill.operators.rank import key_bucket, value_rank
+
+    dense, far = list(range(-500, 19_500)), [-(2**62), 2**62, 2**62 + 1]
+    sparse = [i * i * 1_000_003 for i in range(200, 5_200)]
+    df = spark.createDataFrame([(k,) for k in {*dense, *far, *sparse}], "k long")
+    got = df.withColumn("b", key_bucket(df, "k", 256)).groupBy("b").agg(
+        F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
+    mean = df.count() / len(got)
+    assert len(got) > 200 and max(r.n for r in got) <= 2 * mean
+    assert all(a.hi < b.lo for a, b in zip(got, got[1:]))
+    ranked = value_rank(df, ["k"], name="r").orderBy("r").collect()
+    assert [r.k for r in ranked] == sorted(r.k for r in ranked) and [r.r for r in ranked] == list(range(1, len(ranked) + 1))
+
+
+def test_key_bucket_of_nulls_ties_and_nothing(spark):
+    from quill.operators.rank import key_bucket
+
+    df = spark.createDataFrame([(None,), (7,), (7,), (7,), (9,)], "k int")
+    got = [tuple(r) for r in df.withColumn("b", key_bucket(df, "k")).orderBy("b").collect()]
+    assert got[0] == (None, -1) and len({b for k, b in got if k == 7}) == 1 and got[-1][0] == 9
+    empty = df.where("k > 100")
+    assert empty.withColumn("b", key_bucket(empty, "k")).count() == 0

@@ -77,7 +77,8 @@ def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     full = (dealt.withColumn("__crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
             .join(F.broadcast(offsets), F.col("__bucket") == F.col("__of")))
     out = T.StructType([*docs.schema.fields, T.StructField("__crc", T.LongType()), T.StructField("pos", T.LongType())])
-    return full.repartition(buckets, "__bucket").groupBy("__bucket").applyInArrow(_permuted(to_arrow_schema(out), seed), out), rows
+    # The bucket is the partition: hashed once more, several buckets would share a task while others had none.
+    return full.repartitionById(buckets, "__bucket").groupBy("__bucket").applyInArrow(_permuted(to_arrow_schema(out), seed), out), rows
 
 
 def with_shards(ordered: DataFrame, rows: int, shards: int) -> DataFrame:

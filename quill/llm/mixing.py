@@ -9,11 +9,13 @@ added to the log shares of the domains, they give its domain posteriors.
 Rates: each document gets a rate of at least 0, the expected number of times it
 is taken, such that the expected tokens of the domains, ``sum(rate * posterior
 * tokens)``, match the targets.  Projected gradient descent on the squared
-differences starts from rates of 1; all that moves between steps are as many
-totals as there are domains.  The steps are scaled by the inverse of the
-domains' Gram matrix (one aggregate), so a few steps suffice.  The rates of a
-step follow from the document's own row and the steps before, so no table of
-rates is stored while iterating.
+differences starts from rates of 1; all that moves between steps are the
+domains' totals and their Gram matrix (one aggregate).  A step is scaled by the
+inverse of the Gram matrix of the documents whose rate is still above 0, so
+documents that already are at 0, however long, do not slow it; it is shortened
+where it would not come nearer.  Steps go on until the targets hold to
+``TOLERANCE`` of all tokens.  The rates of a step follow from the document's own
+row and the steps before, so no table of rates is stored while iterating.
 
 Bounded sample (documented parameter): the classifier learns from
 ``LABELLED_ROWS`` labelled documents of each domain, whole texts, the first in
@@ -23,7 +25,8 @@ Defined results: words are runs without white space, a document's tokens; null
 and empty texts have none, the prior as posterior and the rate 1; target weights
 are scaled to 1, and a domain without a target keeps its share; a domain that no
 labelled row has is unknown to the classifier, so its target cannot be met and
-is refused with a ``ValueError``; without labelled rows all rates are 1; equal
+is refused with a ``ValueError``, and so are targets that no rates meet to
+``TOLERANCE``, with the shares that were reached; without labelled rows all rates are 1; equal
 rows get equal rates; extra columns are ignored (``rates``) or kept (``mixed``).
 """
 
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +45,7 @@ from quill.llm.common import written
 BUCKETS = 1 << 13
 SMOOTH = 0.5
 SHRINK = 0.5
-STEPS = 25
+STEPS = 100
 TOLERANCE = 1e-5
 LABELLED_ROWS = 20_000
 MAX_DOMAINS = 64
@@ -139,6 +143,34 @@ def _rate(history: list[list[float]], k: int) -> Column:
     return F.aggregate(steps, rate, lambda acc, step: F.greatest(acc - move(step), F.lit(0.0)))
 
 
+def steps_to(aim: np.ndarray, now: np.ndarray, gram: np.ndarray,
+             measured: Callable[[list[list[float]]], tuple[np.ndarray, np.ndarray]], names: list[str]) -> list[list[float]]:
+    """Steps after which the totals are ``aim`` to ``TOLERANCE`` of all tokens.
+
+    A step with the free documents' Gram matrix is halved where it does not come
+    nearer; the last resort is a step with the Gram matrix of all documents,
+    which comes nearer wherever rates can.
+    """
+    whole = np.linalg.pinv(gram, rcond=1e-9)
+    far = lambda total: float((total - aim) @ whole @ (total - aim))
+    history: list[list[float]] = []
+    total, room = now, TOLERANCE * now.sum()
+    while np.abs(total - aim).max() > room and len(history) < STEPS:
+        newton = np.linalg.pinv(gram, rcond=1e-9) @ (total - aim)
+        for step in (newton, newton / 2, newton / 4, newton / 8, whole @ (total - aim)):
+            tried = [*history, step.tolist()]
+            found, free = measured(tried)
+            if far(found) < (1 - 1e-4) * far(total):
+                history, total, gram = tried, found, free
+                break
+        else:
+            break
+    if np.abs(total - aim).max() > room:
+        shares = {n: (round(t / now.sum(), 6), round(a / now.sum(), 6)) for n, t, a in zip(names, total, aim, strict=True)}
+        raise ValueError(f"targets not met after {len(history)} steps; (reached, wanted) shares of the tokens: {shares}")
+    return history
+
+
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """``(id, tokens, domains, posterior, rate)`` of every row.
@@ -156,25 +188,22 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     labels = F.array(*(F.lit(n) for n in names)).cast("array<string>")
     if not k:
         return base.select("id", "tokens", labels.alias("domains"), "posterior", F.lit(1.0).alias("rate"))
-    # Loads in units of the corpus, so that targets are weights.
     loads = base.select("tokens", *(
         (F.col("tokens") * F.element_at("posterior", i + 1)).alias(f"c{i}") for i in range(k)))
-    first = loads.agg(*(F.sum(f"c{i}").alias(f"s{i}") for i in range(k)), *(
-        F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    now = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+    def measured(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the domains, and the Gram matrix of the documents with a rate above 0."""
+        free = F.when(F.col("rate") > 0, F.lit(1.0)).otherwise(0.0)
+        got = loads.withColumn("rate", _rate(steps, k)).agg(
+            *(F.sum(F.col("rate") * F.col(f"c{i}")).alias(f"s{i}") for i in range(k)),
+            *(F.sum(free * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))
+        ).first()
+        return (np.array([got[f"s{i}"] or 0.0 for i in range(k)]),
+                np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]))
+
+    now, gram = measured([])
     want = goal(dict(zip(names, now, strict=True)), targets)
-    aim = np.array([want[n] for n in names])
-    inverse = np.linalg.pinv(gram, rcond=1e-9) if now.sum() else gram
-    history: list[list[float]] = []
-    total = now
-    for _ in range(STEPS):
-        if not now.sum() or np.abs(total - aim).max() <= TOLERANCE * now.sum():
-            break
-        history.append((inverse @ (total - aim)).tolist())
-        weighted = loads.withColumn("rate", _rate(history, k))
-        got = weighted.agg(*(F.sum(F.col("rate") * F.col(f"c{i}")).alias(f"s{i}") for i in range(k))).first()
-        total = np.array([got[f"s{i}"] for i in range(k)])
+    history = steps_to(np.array([want[n] for n in names]), now, gram, measured, names) if now.sum() else []
     named = base.select("id", "tokens", labels.alias("domains"), "posterior", *(
         (F.col("tokens") * F.element_at("posterior", i + 1)).alias(f"c{i}") for i in range(k)))
     return named.select("id", "tokens", "domains", "posterior", _rate(history, k).alias("rate"))

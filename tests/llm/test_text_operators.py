@@ -338,6 +338,27 @@ def test_rates_meet_targets(spark):
     assert found.loc[[900, 901, 902]].tokens.tolist() == [0, 0, 0] and found.loc[[900, 901, 902]].rate.tolist() == [1, 1, 1]
 
 
+def test_rates_with_a_very_long_document(spark):
+    rng = random.Random(5)
+    words = {d: [f"{d}{i}" for i in range(40)] for d in "ab"}
+    rows = [(i, " ".join(rng.choices(words[d], k=30) + rng.choices(words["ab".replace(d, "")], k=6)), d)
+            for i, d in enumerate("aaaabb" * 60)]
+    rows.append((1000, " ".join(rng.choices(words["b"], k=3_000)), "b"))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, d) for i, _, d in rows[:180]], "id long, domain string")
+    found = mixing.rates(docs, labelled, {"a": 0.8, "b": 0.2}).toPandas()
+    got = (np.stack(found.posterior.values) * (found.tokens * found.rate).values[:, None]).sum(0)
+    assert (found.rate >= 0).all() and found.set_index("id").rate[1000] == 0
+    assert np.allclose(got / found.tokens.sum(), [0.8, 0.2], atol=2 * mixing.TOLERANCE)
+
+
+def test_targets_out_of_reach_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "x y z"), (2, "x y w")], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, "a"), (2, "b")], "id long, domain string")
+    with pytest.raises(ValueError, match="not met"):
+        mixing.rates(docs, labelled, {"a": 1.0, "b": 0.0})
+
+
 def test_posteriors_match_brute_force(spark):
     rows = _mix_rows()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")

@@ -10,7 +10,8 @@ turns it into a probability.
 
 Bounded samples (documented parameters; everything else covers all rows): the
 dictionaries take ``DICT_BYTES`` each from the ``DICT_ROWS`` labelled rows of a
-class that come first in hash order, slices of ``SLICE`` bytes of each in turn; the curve is
+class that come first in hash order, slices of ``SLICE`` bytes of each in turn, from places
+all over its length that a hash of its id draws; the curve is
 fitted to the next ``FIT_ROWS`` rows of each class, whole texts.
 
 Defined results: null and empty texts have no evidence and no size, and get the
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.llm.common import crc_of_id, written
@@ -115,6 +116,16 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3)
     return w
 
 
+def drawn_slices(room: int) -> Column:
+    """``room`` characters of a text at most: its slices of ``SLICE`` characters in the hash order of their places."""
+    last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / F.lit(SLICE)).cast("int")
+    places = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        F.xxhash64(F.lit(37), F.col("id"), i).alias("h"), i.alias("i"))))
+    some = F.slice(places, 1, -(-room // SLICE))
+    return F.substring(F.array_join(F.transform(
+        some, lambda x: F.substring(F.col("text"), x["i"] * SLICE + 1, F.lit(SLICE))), ""), 1, room)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality") -> Model:
     """Dictionaries and curve from the labelled rows of ``docs``."""
@@ -139,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         use = min(DICT_ROWS, n // 2) if n > 1 else n
         head = own.orderBy("o", "id").limit(use)
         room = max(SLICE, 4 * DICT_BYTES // max(use, 1))
-        part[y] = [r["text"] for r in head.select(F.substring("text", 1, room).alias("text")).collect()]
+        part[y] = [r["text"] for r in head.select(drawn_slices(room).alias("text")).collect()]
         rest.append(own.join(F.broadcast(head.select("id")), "id", "left_anti"))
     good, bad = dictionary(part[1]), dictionary(part[0])
     found = evidence(rest[0].unionByName(rest[1]), Model(good, bad), "id", "text", ["y"]).collect()

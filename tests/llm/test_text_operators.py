@@ -198,6 +198,19 @@ def test_quality_whole_text_counts():
     assert sizer.evidence(good)[0] > sizer.evidence(good + bad)[0] > sizer.evidence(bad)[0]
 
 
+def test_quality_signal_after_a_shared_header(spark, monkeypatch):
+    monkeypatch.setattr(quality, "DICT_BYTES", 32 << 10)
+    monkeypatch.setattr(quality, "DICT_ROWS", 100)
+    rng = random.Random(8)
+    words = {d: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)] for d in (0, 1, "both")}
+    rows = [(i, " ".join(rng.choices(words["both"], k=300)) + " " + " ".join(rng.choices(words[i % 2], k=300)))
+            for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    found = quality.score(docs, quality.fit(docs, labels)).filter("id >= 400").collect()
+    assert np.mean([(r.score >= 0.5) == (r.id % 2 == 1) for r in found]) > 0.95
+
+
 # HTML -------------------------------------------------------------------------------------------
 
 PAGE = ("<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href=/x>"

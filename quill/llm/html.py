@@ -11,9 +11,10 @@ weights of ``WIDTH`` lines from line ``i`` on, within one container.
 The text begins at a *surge*, a line where the distribution rises from nothing
 to something, and ends at a *dive*, where it falls back to nothing for a whole
 window.  Lines between surge and dive are text; where the page marks its main
-element (``article``, ``main``) with text in it, only regions that touch it
-count.  Otherwise regions are weighed by their text and those under
-``MIN_SHARE`` of the heaviest are left out.
+element (``article``, ``main``) with text in it, only lines in it
+count.  Otherwise the regions beside the heaviest count, however short: those
+with a line in the same container, the nearest common ancestor of the parents of its
+lines, where sections, lists, tables and the like are part of the text and no containers.
 
 Nothing else is dropped or cut.  Broken pages are read like a browser would:
 unclosed elements end with their parent, a ``<p>`` ends at the next block,
@@ -26,6 +27,7 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -35,7 +37,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 3
-MIN_SHARE = 0.2
 MOSTLY_LINKS = 0.6
 
 # Element names of the HTML standard, by what they mean here.
@@ -98,19 +99,33 @@ def _unwanted(name: str, attrs: dict[str, str], in_main: bool) -> bool:
     return False
 
 
+# Elements that order a text but do not hold a page's parts.
+_INNER = frozenset(
+    "address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre section summary "
+    "table tbody td tfoot th thead tr ul".split())
+
+
 class Line:
-    __slots__ = ("parts", "links", "main", "outside")
+    __slots__ = ("parts", "links", "main", "outside", "path")
 
     def __init__(self, main: bool, outside: bool):
         self.parts: list[str] = []
         self.links = 0
         self.main = main
         self.outside = outside
+        self.path: tuple[int, ...] = ()
 
 
 def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     """``(text, characters in links, in the main element, outside the article)`` of every block in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+    return [line[:4] for line in _placed(html)]
+
+
+def _placed(html: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
+    """The lines, each with the containers around its block from the outermost on, as numbers."""
+    out: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+    holds: list[tuple[int, int, bool]] = []  # open blocks: place in the stack, number, container or not
+    opened = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each began the outside
     outside = main = links = 0
     now = Line(False, False)
@@ -119,7 +134,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal now
         text = _SPACE.sub(" ", "".join(now.parts)).strip()
         if text:
-            out.append((text, min(now.links, len(text)), now.main, now.outside))
+            out.append((text, min(now.links, len(text)), now.main, now.outside, now.path))
         now = Line(main > 0, outside > 0)
 
     def say(raw: str) -> None:
@@ -127,6 +142,8 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             text = unescape(raw)
             if now.parts == []:
                 now.main, now.outside = main > 0, outside > 0
+            if not now.path and not text.isspace():
+                now.path = tuple(number for _, number, container in holds[:-1] if container)
             now.parts.append(text)
             if links:
                 now.links += len(_SPACE.sub(" ", text).strip())
@@ -137,6 +154,8 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             name, bad = stack.pop()
             if name in _BLOCKS or bad:
                 flush()
+            if holds and holds[-1][0] == len(stack):
+                holds.pop()
             outside -= bad
             main -= name in _MAIN
             links -= name == "a"
@@ -191,6 +210,9 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         bad = _unwanted(name, _attributes(m.group("attrs")), main > 0)
         if bad:
             flush()
+        if name in _BLOCKS:
+            opened += 1
+            holds.append((len(stack), opened, name not in _INNER))
         stack.append((name, bad))
         outside += bad
         main += name in _MAIN
@@ -237,15 +259,17 @@ def extract(html: str | None) -> str:
     """Main text of one whole page: its blocks, joined by an empty line."""
     if not html:
         return ""
-    page = lines(html)
+    placed = _placed(html)
+    page = [line[:4] for line in placed]
     weight = weights(page)
     if any(w and line[2] for w, line in zip(weight, page, strict=True)):
         weight = [w if line[2] else 0 for w, line in zip(weight, page, strict=True)]
-        keep = regions(weight)
-    else:
-        keep = regions(weight)
-        mass = [sum(weight[a:b]) for a, b in keep]
-        keep = [r for r, m in zip(keep, mass, strict=True) if m >= MIN_SHARE * max(mass, default=0)]
+    keep = regions(weight)
+    if keep and not any(w and line[2] for w, line in zip(weight, page, strict=True)):
+        first, last = max(keep, key=lambda r: sum(weight[r[0]:r[1]]))
+        container = os.path.commonprefix([placed[i][4] for i in range(first, last) if weight[i]])
+        keep = [(a, b) for a, b in keep if any(
+            weight[i] and placed[i][4][:len(container)] == container for i in range(a, b))]
     return "\n\n".join(page[i][0] for a, b in keep for i in range(a, b) if weight[i])
 
 

@@ -230,6 +230,15 @@ def test_html_blocks(body, text):
     assert html.extract(PAGE % body) == text
 
 
+def test_html_short_parts_beside_a_box():
+    box = "<div class=related>" + "<p><a href=/x>Another story</a></p>" * 4 + "</div>"
+    story, close = "Long story. " * 170, "The end of it. " * 20
+    out = f"{story.strip()}\n\n{close.strip()}"
+    far = "<div><p><a href=/>Links</a><p><a href=/>Links</a><p><a href=/>Links</a></div><div><p>Far away</p></div>"
+    for body in ("<div class=x><p>%s</p>%s<p>%s</p></div>", "<div class=x><section><p>%s</p></section>%s<section><p>%s</p></section></div>"):
+        assert html.extract(PAGE % (body % (story, box, close) + far)) == out
+
+
 def test_html_edges(spark):
     assert html.extract(None) == html.extract("") == html.extract("<!-- open <p>x") == html.extract("<script>x") == ""
     assert html.extract("plain &lt;text&gt;") == "plain <text>"

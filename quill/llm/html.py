@@ -10,11 +10,14 @@ weights of ``WIDTH`` lines from line ``i`` on, within one container.
 
 The text begins at a *surge*, a line where the distribution rises from nothing
 to something, and ends at a *dive*, where it falls back to nothing for a whole
-window.  Lines between surge and dive are text; where the page marks its main
-element (``article``, ``main``) with text in it, only lines in it
-count.  Otherwise the regions beside the heaviest count, however short: those
-with a line in the same container, the nearest common ancestor of the parents of its
-lines, where sections, lists, tables and the like are part of the text and no containers.
+window.  Lines between surge and dive are text.  The regions of a page are
+found over all its lines.  Where the page marks its main element (``article``,
+``main``) with text in it, the regions that touch it count, and besides, if the
+heaviest region of the page weighs more than all text of the marked elements, the
+regions beside that one.  Without marked text, the regions beside the heaviest
+count.  Beside it are all regions, however short, with a line in the same container: the
+nearest common ancestor of the parents of its lines, where sections, lists,
+tables and the like are part of the text and no containers.
 
 Nothing else is dropped or cut.  Broken pages are read like a browser would:
 unclosed elements end with their parent, a ``<p>`` ends at the next block,
@@ -262,14 +265,16 @@ def extract(html: str | None) -> str:
     placed = _placed(html)
     page = [line[:4] for line in placed]
     weight = weights(page)
-    if any(w and line[2] for w, line in zip(weight, page, strict=True)):
-        weight = [w if line[2] else 0 for w, line in zip(weight, page, strict=True)]
-    keep = regions(weight)
-    if keep and not any(w and line[2] for w, line in zip(weight, page, strict=True)):
-        first, last = max(keep, key=lambda r: sum(weight[r[0]:r[1]]))
-        container = os.path.commonprefix([placed[i][4] for i in range(first, last) if weight[i]])
-        keep = [(a, b) for a, b in keep if any(
-            weight[i] and placed[i][4][:len(container)] == container for i in range(a, b))]
+    found = regions(weight)
+    if not found:
+        return ""
+    marked = sum(w for w, line in zip(weight, page, strict=True) if line[2])
+    mass = [sum(weight[a:b]) for a, b in found]
+    first, last = found[mass.index(max(mass))]
+    container = os.path.commonprefix([placed[i][4] for i in range(first, last) if weight[i]])
+    beside = max(mass) > marked
+    keep = [(a, b) for a, b in found if any(
+        weight[i] and (page[i][2] or (beside and placed[i][4][:len(container)] == container)) for i in range(a, b))]
     return "\n\n".join(page[i][0] for a, b in keep for i in range(a, b) if weight[i])
 
 

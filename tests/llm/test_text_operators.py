@@ -239,6 +239,15 @@ def test_html_short_parts_beside_a_box():
         assert html.extract(PAGE % (body % (story, box, close) + far)) == out
 
 
+def test_html_text_that_outweighs_the_marked_element():
+    box = "<div class=related>" + "<p>Another story</p>" * 4 + "</div>"
+    story = "Long story. " * 170
+    teaser = f"<div><article><p>Read this too</p></article></div>{box}<div><p>{story}</p></div>"
+    assert html.extract(PAGE % teaser) == f"Read this too\n\n{story.strip()}"
+    lead = f"<div><p>The lead.</p><article><p>{story}</p></article></div>{box}<div><p>Not this</p></div>"
+    assert html.extract(PAGE % lead) == f"The lead.\n\n{story.strip()}"
+
+
 def test_html_edges(spark):
     assert html.extract(None) == html.extract("") == html.extract("<!-- open <p>x") == html.extract("<script>x") == ""
     assert html.extract("plain &lt;text&gt;") == "plain <text>"

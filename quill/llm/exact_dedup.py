@@ -75,11 +75,8 @@ def probe(prints: DataFrame, words: DataFrame, bits: int) -> DataFrame:
     return out.select("id", "digest", maybe.alias("maybe"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, digest, keep_id, group_size, kept)``, a row for every document.
-
-    Of equal texts the document with the largest id stays.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``exact_groups``, and ``(id, digest)`` of those that several rows have."""
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     rows = prints.count()
     bits = filter_bits(rows)
@@ -87,7 +84,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     alone = probed.filter(~F.col("maybe")).select(
         "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    maybe = written(probed.filter("maybe").select("id", "digest").distinct(), "possibly-repeated")
+    maybe = written(probed.filter("maybe").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")), "possibly-repeated")
     groups = written(maybe.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
                      "groups")
     limit = max(HOT_ROWS, rows // MAX_HOT)
@@ -98,16 +95,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in_rest = (tagged.filter(F.col("hot_digest").isNull()).select("id", "digest")
                .join(rest, "digest").select("id", "digest", "keep_id", "group_size"))
     every = alone.unionByName(in_hot).unionByName(in_rest)
-    return every.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+    again = maybe.filter("n > 1").select("id", "digest")
+    return every.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id"))), again
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, digest, keep_id, group_size, kept)``, a row for every document.
+
+    Of equal texts the document with the largest id stays.
+    """
+    return _grouped(docs, id_col, text_col)[0]
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of equal texts, all columns kept.
 
     The ids to drop are few beside the corpus: the join that removes them moves
-    the rows only where they are too many to broadcast.
+    the rows only where they are too many to broadcast.  Of rows that repeat
+    both id and text, null ids included, one stays, the first by a hash of its
+    columns; only such repeats are shuffled, by a partial aggregate.
     """
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(
-        F.col("id").alias("__gone"), F.col("digest").alias("__gone_digest"))
+    groups, again = _grouped(docs, id_col, text_col)
     mark = F.unhex(F.sha2(folded(F.col(text_col).cast("string")).cast("binary"), 256))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (mark == F.col("__gone_digest")), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (mark == F.col("__gone_digest"))
+    named = [F.col("id").alias("__gone"), F.col("digest").alias("__gone_digest")]
+    left = docs.join(groups.filter(~F.col("kept")).select(*named), same, "left_anti")
+    if again.isEmpty():
+        return left
+    repeats = again.select(*named)
+    order = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = left.join(repeats, same, "left_semi").groupBy(F.col(id_col).alias("__id"), mark.alias("__mark")).agg(
+        F.min_by(row, order).alias("__row")).select("__row.*")
+    return left.join(repeats, same, "left_anti").unionByName(one)

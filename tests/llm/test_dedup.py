@@ -51,6 +51,15 @@ def test_exact_drop_keeps_columns_and_empty(spark):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_drop_keeps_one_of_repeated_and_null_ids(spark):
+    rows = [*ROWS, *[(None, "no id", "x", i) for i in range(3)], *[(20, "Twice", "x", 1), (20, "tWICE", "y", 2)],
+            (None, "ABC", "x", 1), (None, "alone", "x", 1)]
+    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(_fold(r.text) for r in left) == sorted({_fold(r[1]) for r in rows})
+    assert sorted(r.doc_id or 0 for r in left) == [0, 0, 4, 5, 6, 7, 8, 10, 11, 20]
+    assert all(tuple(r) in rows for r in left)
+
+
 def test_filter_passes_unique_rows(spark):
     docs = spark.createDataFrame([(i, f"text {i // 2 if i < 100 else i}") for i in range(4000)], "doc_id long, text string")
     prints = exact_dedup.fingerprints(docs)

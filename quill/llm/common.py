@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,13 @@ def clear_of(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
             taken.add(new.lower())
             df = df.withColumnRenamed(c, new)
     return df
+
+
+def between(text: str | None, gap: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
+    """A whole text in pieces of about ``size`` characters that end where ``gap`` matches, never within a word."""
+    at, text = 0, text or ""
+    while at < len(text):
+        found = gap.search(text, min(at + size, len(text)))
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end

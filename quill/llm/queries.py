@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import ann, chat, exact_dedup, html, langid, minhash, mixing, packing, quality, sharding
+from quill.llm import (
+    ann, chat, exact_dedup, html, langid, minhash, mixing, negatives, packing, quality, sharding, spelling, toxicity,
+)
 from quill.llm.common import read
 
 
@@ -96,6 +98,28 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels.filter(~F.coalesce(toxicity.held_out(), F.lit(True))))
+    return toxicity.score(docs, machine).select(
+        F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every fiftieth vector; every seventh label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    table = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(table, F.col("id") % 50 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the more frequent spelling it varies."""
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"))).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_langid": op2_langid,
@@ -107,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_shards": op10_shards,
+    "op11_toxicity": op11_toxicity,
+    "op12_negatives": op12_negatives,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
@@ -152,4 +179,27 @@ SQL: dict[str, str] = {
                text_sha256
         FROM t
     """,
+    "op12_negatives": """
+        WITH t AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pair AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+                 list_inner_product(a.v, b.v)::BIGINT AS score
+          FROM t a JOIN t b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), positive AS (
+          SELECT anchor_id, other AS positive_id, score AS positive_score FROM pair WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT p.anchor_id, p.positive_id,
+               (row_number() OVER w)::INTEGER AS rank,
+               n.other AS negative_id, p.positive_score, n.score AS negative_score
+        FROM positive p JOIN pair n ON n.anchor_id = p.anchor_id AND NOT n.same
+         AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other)
+        QUALIFY row_number() OVER w <= 3
+    """,
 }

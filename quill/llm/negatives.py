@@ -178,8 +178,10 @@ def _side(table: pa.Table, more: tuple[str, ...] = ()) -> dict:
 def _parts(left: pa.Table):
     """The clusters of a block of anchors, one after the other."""
     left = left.sort_by([("unit", "ascending"), ("id", "ascending"), ("label", "ascending")])
+    if not left.num_rows:
+        return
     unit = np.asarray(left.column("unit"))
-    begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else []
+    begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
     for a, b in zip(begin, [*begin[1:], len(unit)], strict=True):
         yield left.slice(int(a), int(b - a))
 

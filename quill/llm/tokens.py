@@ -2,9 +2,10 @@
 
 A byte-level BPE with this pre-tokenisation never joins characters across a
 single blank between two non-blank characters.  Texts are cut there.  The ids
-of units (blank and word) are kept in a bounded table, and so are those of the
-tokenizer's own pre-tokens, of which new units are made; only new pre-tokens go
-through the merges.  The ids of a text are those of ``encode(text)``.  Texts
+of units (blank and word) are kept in a bounded table that drops what has not
+been used for longest; a word with marks behind it is looked up as its word and
+its marks.  Other units are made of the tokenizer's own pre-tokens, which have a
+table too.  The ids of a text are those of ``encode(text)``.  Texts
 that hold a special token's string, and tokenizers of another kind, take the
 plain call.
 """
@@ -19,8 +20,13 @@ from collections.abc import Callable, Iterator
 
 import regex
 
-TABLE_ENTRIES = 400_000
+#: Entries of the table of units, of all generations; some 220 bytes each in a worker process.
+TABLE_ENTRIES = 1_400_000
+#: Entries of the table of pre-tokens of other units.
+PIECE_ENTRIES = 100_000
 BLOCK = 1 << 20
+#: What may follow a word in its unit and is a pre-token of its own: no letter, number or apostrophe.
+_TAIL = ".,;:!?)\"-"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
@@ -37,24 +43,56 @@ def _byte_names() -> dict[int, str]:
 _NAMES = _byte_names()
 
 
+GENERATIONS = 4
+
+
 class _Table(dict):
-    """A table that makes missing entries; of two generations, so what is in use stays when it is full."""
+    """A table that makes missing entries.
+
+    It has ``GENERATIONS`` generations; an entry that is used moves to the
+    youngest.  Where that is full, the oldest goes, so what is dropped was not
+    used while the others filled.
+    """
 
     def __init__(self, make: Callable[[str], bytes], room: int):
         super().__init__()
-        self.make, self.room, self.old = make, room // 2, {}
+        self.make, self.room, self.old = make, room // GENERATIONS, []
 
     def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key) or self.make(key)
+        for older in self.old:
+            value = older.pop(key, None)
+            if value is not None:
+                break
+        else:
+            value = self.make(key)
         self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.room:
-            self.old = dict(self)
+            self.old = [dict(self), *self.old[:GENERATIONS - 2]]
             self.clear()
 
 
+class _Units(_Table):
+    """The table of units; a word with marks behind it is its word's entry and that of the marks."""
+
+    def __init__(self, make: Callable[[str], bytes], marks: _Table, room: int):
+        super().__init__(make, room)
+        self.marks = marks
+
+    def __missing__(self, key: str) -> bytes:
+        word = key.rstrip(_TAIL)
+        if len(word) < len(key) and _plain(word):
+            return self[word] + self.marks[key[len(word):]]
+        return super().__missing__(key)
+
+
+def _plain(word: str) -> bool:
+    """Letters only, of those whose class does not depend on the version of Unicode: with its blank one pre-token."""
+    return word.isalpha() and (word.isascii() or max(word) <= "ÿ")
+
+
 class UnitTokenizer:
     def __init__(self, path: str, room: int = TABLE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,8 +103,11 @@ class UnitTokenizer:
         pre = t.pre_tokenizer
         self.by_unit = (isinstance(t.model, models.BPE) and isinstance(pre, pre_tokenizers.ByteLevel)
                         and not pre.add_prefix_space and pre.use_regex and t.normalizer is None)
-        self.pieces = _Table(self._merged, room)
-        self.units = _Table(lambda u: self._of(" " + u), room)
+        self.pieces = _Table(self._merged, min(room, PIECE_ENTRIES))
+        self.units = _Units(self._unit, self.pieces, room)
+
+    def _unit(self, unit: str) -> bytes:
+        return self._merged(" " + unit) if _plain(unit) else self._of(" " + unit)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:

@@ -28,7 +28,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors and rate of every document, for the target weights."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     found = mixing.rates(docs, domains(labels), TARGETS)
-    return found.select(F.col("id").alias("doc_id"), "tokens", "domains", "posterior", "rate",
+    return found.select(F.col("id").alias("doc_id"), "tokens", "domains", "posterior", "wanted", "reached", "rate",
                         mixing.copies(F.col("rate"), F.col("id")).alias("copies"))
 
 

@@ -383,11 +383,50 @@ def test_rates_with_a_very_long_document(spark):
     assert np.allclose(got / found.tokens.sum(), [0.8, 0.2], atol=2 * mixing.TOLERANCE)
 
 
-def test_targets_out_of_reach_are_an_error(spark):
+def _least_squares(load, aim, rounds=20_000):
+    """Non-negative least squares by coordinate descent."""
+    rate, total = np.ones(len(load)), load.sum(0)
+    for _ in range(rounds):
+        before = rate.copy()
+        for d in np.flatnonzero((load ** 2).sum(1)):
+            new = max(0.0, rate[d] - load[d] @ (total - aim) / (load[d] @ load[d]))
+            total, rate[d] = total + (new - rate[d]) * load[d], new
+        if np.abs(rate - before).max() < 1e-12:
+            break
+    return total
+
+
+def test_targets_out_of_reach_give_least_squares(spark):
     docs = spark.createDataFrame([(1, "x y z"), (2, "x y w")], "doc_id long, text string")
     labelled = spark.createDataFrame([(1, "a"), (2, "b")], "id long, domain string")
     with pytest.raises(ValueError, match="not met"):
-        mixing.rates(docs, labelled, {"a": 1.0, "b": 0.0})
+        mixing.rates(docs, labelled, {"a": 1.0, "b": 0.0}, strict=True)
+    rows = _mix_rows()[:60]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, d) for i, _, d in rows], "id long, domain string")
+    for targets in ({"a": 0.98, "b": 0.01, "c": 0.01}, {"a": 0.5, "b": 0.5, "c": 0.0}):
+        group = f"mixing-{targets['a']}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = mixing.rates(docs, labelled, targets).toPandas()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert jobs <= 4 * mixing.STEPS + 40
+        tokens = found.tokens.sum()
+        load = np.stack(found.posterior.values) * found.tokens.values[:, None]
+        aim = np.array([targets[d] for d in found.domains[0]]) * tokens
+        total = (load * found.rate.values[:, None]).sum(0)
+        assert (found.rate >= 0).all()
+        assert np.allclose(found.reached[0], total / tokens, atol=1e-9) and np.allclose(found.wanted[0], aim / tokens)
+        best = _least_squares(load, aim)
+        assert np.linalg.norm(total - aim) <= 1.02 * np.linalg.norm(best - aim) + 2 * mixing.TOLERANCE * tokens
+
+
+def test_many_domains_are_refused(spark):
+    rows = [(i, f"w{i} v{i}", f"d{i}") for i in range(70)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, d) for i, _, d in rows], "id long, domain string")
+    with pytest.raises(ValueError, match="domains"):
+        mixing.rates(docs, labelled, {"d0": 1.0})
 
 
 def test_posteriors_match_brute_force(spark):

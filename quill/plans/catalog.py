@@ -48,10 +48,10 @@ def tdocs(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ flagship
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """120-row sample whose languages keep their corpus proportions."""
+def flagship(spark: SparkSession, d: str, total: int = 120) -> DataFrame:
+    """Sample of ``total`` rows whose languages keep their corpus proportions."""
     lab = P.to_labelled(docs(spark, d), "text", "lang", keep=["doc_id"])
-    quotas = P.allocate(P.value_counts(lab, "label"), 120)
+    quotas = P.allocate(P.value_counts(lab, "label"), total)
     return P.stratified_sample(lab, "label", quotas, SEED, "doc_id").select("doc_id", "label")
 
 
@@ -165,7 +165,7 @@ def allocate_quota(spark, d):
 
 
 def stratified_sample(spark, d):
-    return flagship(spark, d)
+    return flagship(spark, d, 600)
 
 
 def stratum_prefix(spark, d):

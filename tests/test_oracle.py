@@ -45,11 +45,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    q, s = E.queries(), E.oracle_sql()
-    assert set(s) == set(q)
+    assert set(E._NAMES) <= set(E.queries())
+    assert [name for name in E._NAMES if name not in E.oracle_sql()] == []
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in E._NAMES if n in E.oracle_sql()))
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     a_cols, a = _canon(df.columns, df.collect())

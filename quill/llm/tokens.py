@@ -2,10 +2,10 @@
 
 A byte-level BPE with this pre-tokenisation never joins characters across a
 single blank between two non-blank characters.  Texts are cut there.  The ids
-of units (blank and word) are kept in a bounded table that drops what has not
-been used for longest; a word with marks behind it is looked up as its word and
-its marks.  Other units are made of the tokenizer's own pre-tokens, which have a
-table too.  The ids of a text are those of ``encode(text)``.  Texts
+of units (blank and word; marks behind a word and line ends are units of their
+own) are kept in a bounded table that drops what has not been used for longest.
+Units that are no plain word are made of the tokenizer's own pre-tokens, which
+have a table too.  The ids of a text are those of ``encode(text)``.  Texts
 that hold a special token's string, and tokenizers of another kind, take the
 plain call.
 """
@@ -21,14 +21,19 @@ from collections.abc import Callable, Iterator
 import regex
 
 #: Entries of the table of units, of all generations; some 220 bytes each in a worker process.
-TABLE_ENTRIES = 1_400_000
+TABLE_ENTRIES = 2_000_000
 #: Entries of the table of pre-tokens of other units.
 PIECE_ENTRIES = 100_000
 BLOCK = 1 << 20
-#: What may follow a word in its unit and is a pre-token of its own: no letter, number or apostrophe.
-_TAIL = ".,;:!?)\"-"
+# A mark between a letter and a single blank or line end is a pre-token of its own, and so is a single line end
+# between two characters.  They are set apart as units by control characters that no other unit then holds.
+_MARK, _LINE = "\x00", "\x01"
+# What precedes is looked at last: the search runs over marks and line ends only.
+_MARKED = re.compile(r"([.,;:!?])(?<=[A-Za-zÀ-ÖØ-öø-ÿ].)(?=[ \n]\S)")
+_ENDED = re.compile(r"\n(?<=\S\n)(?=\S)")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space but the blank and the line end.
+_OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -43,51 +48,31 @@ def _byte_names() -> dict[int, str]:
 _NAMES = _byte_names()
 
 
-GENERATIONS = 4
-
-
 class _Table(dict):
     """A table that makes missing entries.
 
-    It has ``GENERATIONS`` generations; an entry that is used moves to the
-    youngest.  Where that is full, the oldest goes, so what is dropped was not
-    used while the others filled.
+    It has two generations; an entry of the older one moves to the younger when
+    it is used.  Where that is full the older one goes, so what is dropped was
+    not used while half the table filled.
     """
 
     def __init__(self, make: Callable[[str], bytes], room: int):
         super().__init__()
-        self.make, self.room, self.old = make, room // GENERATIONS, []
+        self.make, self.room, self.old = make, room // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        for older in self.old:
-            value = older.pop(key, None)
-            if value is not None:
-                break
-        else:
+        value = self.old.get(key)
+        if value is None:
             value = self.make(key)
         self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.room:
-            self.old = [dict(self), *self.old[:GENERATIONS - 2]]
+            self.old = dict(self)
             self.clear()
 
 
-class _Units(_Table):
-    """The table of units; a word with marks behind it is its word's entry and that of the marks."""
-
-    def __init__(self, make: Callable[[str], bytes], marks: _Table, room: int):
-        super().__init__(make, room)
-        self.marks = marks
-
-    def __missing__(self, key: str) -> bytes:
-        word = key.rstrip(_TAIL)
-        if len(word) < len(key) and _plain(word):
-            return self[word] + self.marks[key[len(word):]]
-        return super().__missing__(key)
-
-
 def _plain(word: str) -> bool:
     """Letters only, of those whose class does not depend on the version of Unicode: with its blank one pre-token."""
     return word.isalpha() and (word.isascii() or max(word) <= "ÿ")
@@ -104,9 +89,14 @@ class UnitTokenizer:
         self.by_unit = (isinstance(t.model, models.BPE) and isinstance(pre, pre_tokenizers.ByteLevel)
                         and not pre.add_prefix_space and pre.use_regex and t.normalizer is None)
         self.pieces = _Table(self._merged, min(room, PIECE_ENTRIES))
-        self.units = _Units(self._unit, self.pieces, room)
+        self.units = _Table(self._unit, room)
 
     def _unit(self, unit: str) -> bytes:
+        """Ids of a blank and a word, of a mark, or of a line end and the word behind it."""
+        if unit[0] == _MARK:
+            return self._of(unit[1:])
+        if unit[0] == _LINE:
+            return self._of("\n") + self._of(unit[1:])
         return self._merged(" " + unit) if _plain(unit) else self._of(" " + unit)
 
     @staticmethod
@@ -134,7 +124,7 @@ class UnitTokenizer:
     def _units(block: str) -> list[str]:
         """A block cut at single blanks between two non-blank characters."""
         if ("  " in block or " \n" in block or "\n " in block or block[:1] == " " or block[-1:] == " "
-                or _OTHER_SPACE.search(block)):
+                or any(c in block for c in _OTHER_SPACE)):
             return _CUT.split(block)
         return block.split(" ")
 
@@ -154,7 +144,10 @@ class UnitTokenizer:
         if not self.by_unit or any(s in text for s in self.special):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         out = []
+        apart = _MARK not in text and _LINE not in text
         for block in self._blocks(text):
+            if apart:
+                block = _ENDED.sub(" " + _LINE, _MARKED.sub(" " + _MARK + r"\1", block))
             first, *units = self._units(block)
             out.append(self._of(first) if first else b"")
             out.append(b"".join(map(self.units.__getitem__, units)))

@@ -1,11 +1,23 @@
 """Conditional text generation from a count model, all sequences at once.
 
-State ``(seq_id, label, prev, out, done)`` advances one token per step by an
+State ``(seq_id, label, prev, out)`` advances one token per step by an
 equi-join to the model's candidate lists on ``(label, prev)``, followed by
 row-local higher-order functions (ban, penalty, temperature, top-k, top-p,
 draw).  The draw uses ``u = uniform(seed, seq_id, step)``, so a recomputed
-task draws the same token.  Lineage is cut with a reliable checkpoint every
-few steps.
+task draws the same token.
+
+End of a sequence: the drawn token is the end marker (which is not part of the
+text), its length with its prompt reaches the limit, or no candidate is left.
+Only living sequences are joined: every step writes its state (a reliable
+checkpoint), the next one reads the rows of it that go on, and those that ended
+are collected once in a while.
+
+Shuffles: the candidate table is written once, bucketed and sorted by its key,
+so the joins of all steps read it in place and only the living state moves, to
+the buckets.  Contexts that more than ``hot_rows`` living sequences share (the
+start of a label, frequent words) would fill one bucket; the lists of those, at
+most twice the shuffle partitions many and of at most ``width`` entries each, are
+broadcast instead, and their sequences do not move at all.
 
 Warping order: repetition penalty, repeated-bigram ban, temperature, top-k,
 renormalise, top-p; greedy takes the best candidate after the ban and the
@@ -17,11 +29,19 @@ ones, which would lift seen tokens from anywhere, are an error.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.hashing import uniform
 from quill.operators.model import candidate_lists, repetition_penalty
+from quill.session import scratch_path
+
+#: Living sequences of one context from which its list is broadcast.
+HOT_ROWS = 10_000
+#: Steps after which ended sequences are collected and the living are counted.
+COLLECT_EVERY = 16
 
 
 def let(value: Column, body) -> Column:
@@ -102,45 +122,96 @@ def sample_next(cands: Column, total: Column, out: Column, prev: Column, u: Colu
     return F.aggregate(c, init, merge, finish)
 
 
+def bucketed_candidates(model: DataFrame, width: int, buckets: int) -> str:
+    """Name of a table ``(label, _p, cands, total)`` of candidate lists, written below the shared folder,
+    bucketed and sorted by ``(label, _p)``.
+
+    ``_p`` is the context or '' for the start: tokens are never empty, so a join on it is a plain equi-join."""
+    spark = model.sparkSession
+    lists = candidate_lists(model, ["label", "prev"], width).withColumn(
+        "_p", F.coalesce(F.col("prev"), F.lit(""))).drop("prev")
+    name = f"quill_candidates_{uuid.uuid4().hex}"
+    (lists.repartition(buckets, "label", "_p").write.option("path", scratch_path(spark, "candidates"))
+     .bucketBy(buckets, "label", "_p").sortBy("label", "_p").saveAsTable(name))
+    return name
+
+
+def _with_candidates(alive: DataFrame, cands: DataFrame, living: int, hot_rows: int, partitions: int) -> DataFrame:
+    """``alive`` beside the candidate list of its context; sequences without one keep their row."""
+    keys = ["label", "_p"]
+    limit = max(hot_rows, -(-living // (2 * partitions)))
+    if living <= limit:  # no context can have more
+        return alive.join(cands, keys, "left")
+    # At most living / limit contexts, so twice the partitions at most.
+    hot = F.broadcast(alive.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+                      .select(*keys, F.lit(True).alias("_hot")))
+    marked = alive.join(hot, keys, "left")
+    shared = F.broadcast(cands.join(hot.drop("_hot"), keys, "left_semi"))
+    moved = marked.where(F.col("_hot").isNull()).drop("_hot").join(cands, keys, "left")
+    placed = marked.where(F.col("_hot").isNotNull()).drop("_hot").join(shared, keys, "left")
+    return moved.unionByName(placed)
+
+
 def generate(model: DataFrame, prompts: DataFrame, steps: int, k: int = 50, p: float = 1.0,
              temperature: float = 1.0, penalty: float = 1.0, no_repeat: bool = True, greedy: bool = False,
-             seed=42, checkpoint_every: int = 8) -> DataFrame:
-    """Generate up to ``steps`` tokens for every ``(seq_id, label)`` prompt from a
-    count model ``(label, prev, token, n)``; start context is null.  ``greedy``
-    takes the best token after the ban and the penalty.  Output
+             seed=42, eos: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Generate text for every ``(seq_id, label)`` prompt from a count model ``(label, prev, token, n)``; the start
+    context is null.
+
+    A sequence has ``steps`` tokens at most; with a column ``n_prompt`` the tokens of its prompt count among them.
+    ``eos`` is the model's end marker.  ``greedy`` takes the best token after the ban and the penalty.  Output
     ``(seq_id, label, text, n_tokens)``."""
     if penalty < 1.0:
         raise ValueError("a penalty under 1 would lift seen tokens from beyond the candidate list")
+    spark = model.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = (1 if greedy else k) + (steps if no_repeat or penalty != 1.0 else 0)
-    # Read at every step: materialise once (reliable checkpoint).  The join
-    # key is (label, prev or ''): tokens are never empty, so '' is the start
-    # and the join is a plain equi-join.  Between state checkpoints the
-    # exchange on this table is planned once and reused by every step.
-    cands = (candidate_lists(model, ["label", "prev"], width)
-             .withColumn("_p", F.coalesce(F.col("prev"), F.lit(""))).drop("prev")
-             .checkpoint(eager=True))
+    table = bucketed_candidates(model, width, partitions)
+    cands = spark.table(table)
+    room = F.lit(steps) - F.coalesce(F.col("n_prompt"), F.lit(0)) if "n_prompt" in prompts.columns else F.lit(steps)
     state = prompts.select("seq_id", "label", F.lit(None).cast("string").alias("prev"),
-                           F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
+                           F.array().cast("array<string>").alias("out"), room.cast("int").alias("room"),
+                           (room < 1).alias("done")).checkpoint(eager=True)
+    folder = scratch_path(spark, "generated")
+    # Built once: the expressions are the same at every step, so their compiled code is too.
+    out, prev = F.col("out"), F.col("prev")
+    if greedy:
+        nxt = F.get(best_candidates(F.col("cands"), F.col("total"), out, prev, 1, penalty=penalty, no_repeat=no_repeat),
+                    0)["token"]
+    else:
+        nxt = sample_next(F.col("cands"), F.col("total"), out, prev, uniform(seed, F.col("seq_id"), F.size(out)), k, p,
+                          temperature, penalty, no_repeat)
+    if eos is not None:
+        nxt = F.nullif(nxt, F.lit(eos))
+    nxt, drawn = nxt.alias("_nxt"), F.col("_nxt")
+    moved = [F.col("seq_id"), F.col("label"), drawn.alias("prev"),
+             F.when(drawn.isNull(), out).otherwise(F.array_append(out, drawn)).alias("out"), F.col("room"),
+             (drawn.isNull() | (F.size(out) + 1 >= F.col("room"))).alias("done")]
+    context = F.coalesce(prev, F.lit("")).alias("_p")
+    ended, living = [state.where("done")], state.where("not done").count()
     for step in range(steps):
-        j = state.withColumn("_p", F.coalesce(F.col("prev"), F.lit(""))).join(cands, ["label", "_p"], "left")
-        if greedy:
-            nxt = F.get(best_candidates(F.col("cands"), F.col("total"), F.col("out"), F.col("prev"), 1,
-                                        penalty=penalty, no_repeat=no_repeat), 0)["token"]
-        else:
-            u = uniform(seed, F.col("seq_id"), F.lit(step))
-            nxt = sample_next(F.col("cands"), F.col("total"), F.col("out"), F.col("prev"), u, k, p,
-                              temperature, penalty, no_repeat)
-        j = j.withColumn("_nxt", F.when(F.col("done"), F.lit(None)).otherwise(nxt))
-        state = j.select(
-            "seq_id", "label",
-            F.coalesce(F.col("_nxt"), F.col("prev")).alias("prev"),
-            F.when(F.col("_nxt").isNull(), F.col("out")).otherwise(F.array_append(F.col("out"), F.col("_nxt"))).alias("out"),
-            (F.col("done") | F.col("_nxt").isNull()).alias("done"),
-        )
-        if checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < steps:
-            state = state.checkpoint(eager=True)
-    return state.select("seq_id", "label", F.array_join("out", " ").alias("text"),
-                        F.size("out").cast("long").alias("n_tokens"))
+        alive = state.where("not done").select("seq_id", "label", "prev", "out", "room", context)
+        j = _with_candidates(alive, cands, living, hot_rows, partitions)
+        state = j.select("seq_id", "label", "out", "room", nxt).select(*moved).checkpoint(eager=True)
+        ended.append(state.where("done"))
+        if (step + 1) % COLLECT_EVERY == 0 or step + 1 == steps:
+            _append(ended, folder)
+            ended, living = [], state.where("not done").count()
+            if not living:
+                break
+    if ended:
+        _append(ended, folder)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")  # the catalogue's entry; files of the scratch folder stay
+    done = spark.read.schema(state.schema).parquet(folder)
+    return done.select("seq_id", "label", F.array_join("out", " ").alias("text"),
+                       F.size("out").cast("long").alias("n_tokens"))
+
+
+def _append(parts: list[DataFrame], folder: str) -> None:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole.coalesce(max(1, parts[0].rdd.getNumPartitions())).write.mode("append").parquet(folder)
 
 
 def prompts_per_label(labels: DataFrame, n: int, label: str = "label") -> DataFrame:

@@ -202,6 +202,7 @@ class NgramModel:
     bigrams: DataFrame | None = None    # (prev, token, n)
     alpha: float = 1.0
     kappa: float = 1.0
+    _totals: tuple[float, float] | None = None
 
     @classmethod
     def from_bigrams(cls, bigrams: DataFrame, alpha: float = 1.0, kappa: float = 1.0,
@@ -222,15 +223,20 @@ class NgramModel:
             u = u.checkpoint(eager=True)
         return cls(u, None, alpha, 1.0)
 
+    def totals(self) -> tuple[float, float]:
+        """Tokens counted and distinct tokens; one job, kept."""
+        if self._totals is None:
+            tot = self.unigrams.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
+            self._totals = float(tot["N"] or 0.0), float(tot["V"] or 0)
+        return self._totals
+
     def prob(self, pairs: DataFrame, name: str = "p") -> DataFrame:
         """Add ``name`` = p(token | prev) to a table of distinct ``(prev, token)``.
 
         The model tables grow with the corpus and are joined, not broadcast by
         force; AQE broadcasts them when small and splits hot tokens.  Context
         joins use the non-null key ``prev or ''`` (tokens are never empty)."""
-        tot = self.unigrams.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
-        big_n = float(tot["N"] or 0.0)
-        v = float(tot["V"] or 0)
+        big_n, v = self.totals()
         a = self.alpha
         u = self.unigrams.select(F.col("token").alias("_ut"), F.col("n").alias("_c1"))
         d = pairs.join(u, F.col("token") == F.col("_ut"), "left").drop("_ut")

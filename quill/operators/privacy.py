@@ -130,3 +130,52 @@ def compose(ledger: DataFrame, how: str = "basic", run: str = "run", epsilon: st
     if how != "basic":
         raise ValueError(how)
     return ledger.groupBy(F.col(run).alias("run")).agg(F.sum(epsilon).alias("epsilon"))
+
+
+# ------------------------------------------------------------ ledger of mechanism events
+
+#: A table of events: every noisy release of a run writes what it used.  ``node`` is the place in the budget's tree, as a
+#: path (``run/teacher``); ``kind`` is ``gaussian`` (noise ``sigma`` at ``sensitivity``, ``steps`` times, each at its part
+#: ``delta``) or ``keys`` (the release of an unknown key set, which costs ``delta`` only).
+MECHANISMS = "node string, kind string, sigma double, sensitivity double, steps int, delta double"
+
+
+def mechanism_rows(spark, run: str, part: str, sigma: float, sensitivity: float, delta: float, delta_keys: float = 0.0,
+                   steps: int = 1) -> DataFrame:
+    """The events of one noisy fit: its Gaussian counts and, with ``delta_keys``, its key release."""
+    rows = [(f"{run}/{part}", "gaussian", float(sigma), float(sensitivity), int(steps), float(delta))]
+    if delta_keys:
+        rows.append((f"{run}/{part}", "keys", None, None, 1, float(delta_keys)))
+    return spark.createDataFrame(rows, MECHANISMS)
+
+
+def write_mechanisms(events: DataFrame, path: str) -> None:
+    """Append events to a mechanism table."""
+    events.write.mode("append").parquet(path)
+
+
+def read_mechanisms(spark, path: str) -> DataFrame:
+    return spark.read.schema(MECHANISMS).parquet(path)
+
+
+def spent(events: DataFrame, orders: Sequence[int] = range(2, 65)) -> DataFrame:
+    """``(node, epsilon_basic, epsilon_rdp, delta)`` of every node of the budget's tree, from the events at and below it.
+
+    Basic composition adds up what each Gaussian release spends at its own delta, ``1 / (2 m^2) + sqrt(2 ln(1 / delta))
+    / m`` with ``m = sigma / sensitivity``; the Renyi rule adds up ``steps / (2 m^2)`` and takes the best order at the
+    sum of those deltas.  ``delta`` adds up all parts, key releases too.  One aggregate; orders are a list in the row."""
+    m = F.col("sigma") / F.col("sensitivity")
+    noise = F.col("kind") == "gaussian"
+    rho = F.lit(1.0) / (2.0 * m * m)
+    parts = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    times = F.col("steps").cast("double")
+    per = events.select(
+        F.explode(above).alias("node"), F.when(noise, times * rho).alias("rho"),
+        F.when(noise, times * (rho + F.sqrt(2.0 * F.log(1.0 / F.col("delta"))) / m)).alias("eps"),
+        F.when(noise, times * F.col("delta")).alias("dg"), (times * F.col("delta")).alias("d"))
+    whole = per.groupBy("node").agg(F.sum("rho").alias("rho"), F.sum("eps").alias("eps"), F.sum("dg").alias("dg"),
+                                    F.sum("d").alias("delta"))
+    best = F.array_min(F.array(*(F.col("rho") * int(o) + F.log(1.0 / F.col("dg")) / (int(o) - 1) for o in orders)))
+    return whole.select("node", F.coalesce("eps", F.lit(0.0)).alias("epsilon_basic"),
+                        F.when(F.col("rho") > 0, best).otherwise(0.0).alias("epsilon_rdp"), "delta")

@@ -395,10 +395,28 @@ def dp_histogram(spark, d):
     return h.select("label", F.round("noisy_n", 6).alias("noisy_n"))
 
 
+def _mechanisms(spark, d):
+    """The event log as a mechanism table: a Gaussian release for each event, by type and user."""
+    from quill.session import scratch_path
+
+    ev = io.table(spark, d, "events")
+    rows = ev.select(
+        F.concat("event_type", F.lit("/user-"), F.col("user_id").cast("string")).alias("node"),
+        F.lit("gaussian").alias("kind"), (F.lit(50.0) + F.abs("value")).alias("sigma"), F.lit(1.0).alias("sensitivity"),
+        F.lit(1).alias("steps"), F.lit(1e-9).alias("delta"))
+    path = scratch_path(spark, "mechanisms")
+    PV.write_mechanisms(rows, path)
+    return PV.read_mechanisms(spark, path)
+
+
 def dp_sigma(spark, d):
-    langs = docs(spark, d).select(F.col("lang").alias("label")).distinct()
-    g = langs.select("label", F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0, 4.0)])).alias("epsilon"))
-    return g.select("label", "epsilon", F.round(PV.gaussian_sigma_col(F.col("epsilon"), 1e-5, 1.0), 6).alias("sigma"))
+    """Noise for one more release in each run's budget: the scale at which it may spend what is left of a target of
+    1.25, 1.5, 2 or 4 times what the ledger says the run has spent."""
+    runs = PV.spent(_mechanisms(spark, d)).where(~F.col("node").contains("/"))
+    g = runs.select(F.col("node").alias("run"), "epsilon_rdp", F.explode(F.array(*[F.lit(x) for x in (1.25, 1.5, 2.0, 4.0)])).alias("share"))
+    left = g.select("run", "share", (F.col("epsilon_rdp") * (F.col("share") - 1.0)).alias("epsilon"))
+    return left.select("run", "share", F.round("epsilon", 6).alias("epsilon"),
+                       F.round(PV.gaussian_sigma_col(F.col("epsilon"), 1e-5, 1.0), 6).alias("sigma"))
 
 
 def bounded_contributions(spark, d):
@@ -415,8 +433,10 @@ def privacy_ledger(spark, d):
 
 
 def budget_compose(spark, d):
-    ev = io.table(spark, d, "events").select(F.col("event_type").alias("run"), F.lit(1).cast("long").alias("epsilon"))
-    return PV.compose(ev)
+    """What every run and every user of it has spent, by basic composition and by the Renyi rule."""
+    return PV.spent(_mechanisms(spark, d)).select("node", F.round("epsilon_basic", 6).alias("epsilon_basic"),
+                                                  F.round("epsilon_rdp", 6).alias("epsilon_rdp"),
+                                                  F.round("delta", 12).alias("delta"))
 
 
 # ------------------------------------------------------------ count models, candidates, scoring
@@ -535,28 +555,46 @@ def _langs(spark, d):
     return docs(spark, d).select(F.col("lang").alias("label")).distinct()
 
 
+#: Tokens of a sequence, its prompt among them.
+SEQ_LEN = 128
+
+
+def _teacher(spark, d):
+    """The teacher by language, fitted on training texts: control code, text, end marker."""
+    return SY.fit_coded(tdocs(spark, d), ["lang"])
+
+
+def fit_coded(spark, d):
+    """The teacher by language and source."""
+    coded = tdocs(spark, d).select("text", F.col("lang").alias("label_lang"), F.col("source").alias("label_source"))
+    return SY.fit_coded(coded, P.label_columns(coded)).select("label", "prev", "token", "n")
+
+
+def _prompts(spark, d, n):
+    return GN.prompts_per_label(_langs(spark, d), n).withColumn("n_prompt", F.size(TX.tokens_col("label")))
+
+
 def generate_greedy(spark, d):
-    model = _dp_bigram_by_lang(spark, d)
-    return GN.generate(model, GN.prompts_per_label(_langs(spark, d), 3), 12, greedy=True, no_repeat=False).select(
-        "seq_id", "label", "text")
+    """The most frequent token at each step, up to the end marker or the full length."""
+    return GN.generate(_teacher(spark, d), _prompts(spark, d, 3), SEQ_LEN, greedy=True, no_repeat=False,
+                       eos=SY.EOS).select("seq_id", "label", "text")
 
 
 def generate_greedy_ruled(spark, d):
     """Greedy under the bigram ban and a repetition penalty of 1.2."""
-    return GN.generate(_dp_bigram_by_lang(spark, d), GN.prompts_per_label(_langs(spark, d), 3), 12, greedy=True,
-                       penalty=1.2).select("seq_id", "label", "text")
+    return GN.generate(_teacher(spark, d), _prompts(spark, d, 3), SEQ_LEN, greedy=True, penalty=1.2,
+                       eos=SY.EOS).select("seq_id", "label", "text")
 
 
 def generate_warped(spark, d):
     """Sampled at temperature 0.7 under the bigram ban and a repetition penalty of 1.2."""
-    return GN.generate(_dp_bigram_by_lang(spark, d), GN.prompts_per_label(_langs(spark, d), 50), 12, k=50, p=0.9,
-                       temperature=0.7, penalty=1.2, seed=SEED).select("seq_id", "label", "text")
+    return GN.generate(_teacher(spark, d), _prompts(spark, d, 50), SEQ_LEN, k=50, p=0.9, temperature=0.7, penalty=1.2,
+                       seed=SEED, eos=SY.EOS).select("seq_id", "label", "text")
 
 
 def _generate_text(spark, d):
-    model = _dp_bigram_by_lang(spark, d)
-    return GN.generate(model, GN.prompts_per_label(_langs(spark, d), 50), 12, k=50, p=0.9,
-                       temperature=1.0, penalty=1.0, no_repeat=True, seed=SEED)
+    return GN.generate(_teacher(spark, d), _prompts(spark, d, 50), SEQ_LEN, k=50, p=0.9, temperature=1.0, penalty=1.0,
+                       no_repeat=True, seed=SEED, eos=SY.EOS)
 
 
 def generate_text(spark, d):
@@ -597,36 +635,45 @@ def map_batches_args(spark, d):
 
 
 def model_report(spark, d):
+    """Eight models on the held-out tenth; the synthetic one is fitted on a synthesis run over the private texts."""
+    from quill.session import scratch_path
+
     train, test = _train_test(spark, d)
     public = train.where(F.col("source").isin(*PUBLIC))
     private = train.where(~F.col("source").isin(*PUBLIC))
-    generated = generate_greedy(spark, d)
-    models = RP.build_models(private, public, generated, epsilon=2.0, delta=1e-5, noise=False)
+    synthetic = spark.read.parquet(_synthesize(spark, _two_label_texts(private)))
+    models = RP.build_models(private, public, synthetic, 2.0, 1e-5, scratch_path(spark, "report-models"), noise=False)
     r = RP.model_report(test, models)
     return r.select("model", "epsilon", F.round("ppl", 6).alias("ppl"))
 
 
-def synthetic_table(spark, d):
-    """The whole synthesis chain on the corpus: quotas from the label counts
-    (total 600), 8 x 2 candidates per batch, sampled generation (12 steps,
-    k 50, p 0.9) from the DP bigram by label, cleaning, cut to quota, shuffle,
-    store, read back."""
+def _synthesize(spark, train, metrics=None, total=600):
     from quill.session import scratch_path
 
-    train = tdocs(spark, d).select(F.col("lang").alias("label"))
-    path = SY.synthesize(train, _dp_bigram_by_lang(spark, d), total=600, steps=12,
-                         folder=scratch_path(spark, "synthesize"), dataset="documents", epsilon=2.0,
-                         batch=8, returns=2, k=50, p=0.9, seed=SEED)
-    return spark.read.parquet(path).select("text", "label", "seq_id", "shuffle_key")
+    return SY.synthesize(train, P.label_columns(train), total, SEQ_LEN, scratch_path(spark, "synthesize"), "documents",
+                         epsilon=2.0, batch=8, returns=2, k=50, p=0.9, seed=SEED, metrics=metrics)
+
+
+def _two_label_texts(df):
+    return df.select("text", F.col("lang").alias("label_lang"), F.col("source").alias("label_source"))
+
+
+def synthetic_table(spark, d):
+    """The whole synthesis chain on the corpus, two label columns: teacher by control code with end marker, quotas
+    from the code counts (total 600), 8 x 2 candidates per batch, sampled generation (128 tokens with the prompt, k
+    50, p 0.9), parsing, cleaning, cut to quota, shuffle, store, read back."""
+    path = _synthesize(spark, _two_label_texts(tdocs(spark, d)))
+    return spark.read.parquet(path).select("text", "label_lang", "label_source", "seq_id", "shuffle_key")
 
 
 def generated_ppl(spark, d):
-    """Self-perplexity (mean and population spread) of the greedy sequences
-    under the label-marginalised DP bigram teacher."""
-    teacher = MD.NgramModel.from_bigrams(MD.marginalise(_dp_bigram_by_lang(spark, d)))
-    per = EV.score_generated(generate_greedy(spark, d), teacher)
-    r = EV.mean_std(per, "ppl")
-    return r.select(F.round("ppl_mean", 6).alias("ppl_mean"), F.round("ppl_std", 6).alias("ppl_std"))
+    """Metrics of a synthesis run: sequences generated, rows kept, and the mean and spread of the self-perplexity of
+    everything generated under the teacher without codes."""
+    from quill.session import scratch_path
+
+    metrics = scratch_path(spark, "synthesis-metrics")
+    _synthesize(spark, _two_label_texts(tdocs(spark, d)), metrics)
+    return io.read_metrics(spark, metrics).select("run", "metric", F.round("value", 6).alias("value"))
 
 
 def prepared_splits(spark, d):

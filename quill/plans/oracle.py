@@ -275,11 +275,18 @@ select s.label, s.pos, round((s.x + {_sigma('2.0', '1e-5')} * 1.5 * {_normal(42,
 from (select label, pos, sum(x) as x from {CLIPPED} group by label, pos) s
 join (select label, count(*) as n from embeddings where len(embedding) > 0 group by label) n using (label)"""
 
-SQL["dp_sigma"] = """
-with l as (select distinct lang as label from documents),
-g as (select unnest([0.5, 1.0, 2.0, 4.0]::double[]) as epsilon),
+SPENT = """(select node, sum(eps) as eps, sum(rho) as rho, sum(1e-9::double) as delta from (
+  select unnest([event_type, event_type || '/user-' || user_id]) as node, 1.0 / (2.0 * s * s) as rho,
+         1.0 / (2.0 * s * s) + sqrt(2.0 * ln(1.0 / 1e-9)) / s as eps
+  from (select event_type, user_id, 50.0 + abs(value) as s from events)) group by node)"""
+
+RDP = "list_min(list_transform(range(2, 65), lambda o: o * rho + ln(1.0 / delta) / (o - 1)))"
+
+SQL["dp_sigma"] = f"""
+with s as (select node as run, {RDP} as epsilon from {SPENT} where node not like '%/%'),
+g as (select run, share, epsilon * (share - 1.0) as epsilon from s, (select unnest([1.25, 1.5, 2.0, 4.0]::double[]) as share)),
 c as (select sqrt(2.0 * ln(1.0 / 1e-5)) as L)
-select label, epsilon, round(1.0 / (sqrt(L * L + 2.0 * epsilon) - L), 6) as sigma from l, g, c"""
+select run, share, round(epsilon, 6) as epsilon, round(1.0 / (sqrt(L * L + 2.0 * epsilon) - L), 6) as sigma from g, c"""
 
 SQL["bounded_contributions"] = """
 select event_id, user_id from (
@@ -291,7 +298,8 @@ with p as (select event_type as run, sum(1.0 / (2.0 * (50.0 + abs(value)) * (50.
 select run, cast(o as integer) as "order", round(o * rho + ln(1.0 / 1e-5) / (o - 1), 6) as epsilon
 from p, range(2, 65) as r(o)"""
 
-SQL["budget_compose"] = "select event_type as run, cast(count(*) as bigint) as epsilon from events group by event_type"
+SQL["budget_compose"] = f"""select node, round(eps, 6) as epsilon_basic, round({RDP}, 6) as epsilon_rdp,
+round(delta, 12) as delta from {SPENT}"""
 
 LANGTOK = f"(select lang as label, tok as token, count(*)::double as n from (select lang, unnest({TOKS}) as tok from documents) group by lang, tok)"
 
@@ -416,15 +424,25 @@ SQL["distil_mix"] = _mix(_raw_counts(PRIVATE), _raw_counts(CONV))
 SQL["dp_distil"] = _mix(f"(select prev, token, sum(n) as n from {_dp_counts(PRIVATE, True)} group by prev, token)",
                         _dp_counts(PRIVATE, False))
 
+def _coded(code: str = "lang", where: str = "true") -> str:
+    """Training texts by control code, end marker included."""
+    return f"(select doc_id, {code} as lang, text || ' <eos>' as text from documents where {where})"
+
+
+CODE2 = "lang || chr(9) || source"
+
+SQL["fit_coded"] = f"select label, prev, token, n from {_dp_counts(_coded(CODE2), True)}"
+
 SQL["generate_greedy"] = f"""
-with recursive dpb as {_dp_counts('documents', True)},
+with recursive dpb as {_dp_counts(_coded(), True)},
 best as (select label, prev, token from (select *, row_number() over (partition by label, prev order by n desc, token) as r from dpb) where r = 1),
 seqs as (select label, s from (select distinct lang as label from documents) l cross join range(1, 4) as r(s)),
 gen(label, s, step, prev, txt) as (
   select label, s, 0, NULL::varchar, ''::varchar from seqs
   union all
   select g.label, g.s, g.step + 1, b.token, case when g.step = 0 then b.token else g.txt || ' ' || b.token end
-  from gen g join best b on b.label = g.label and b.prev is not distinct from g.prev where g.step < 12)
+  from gen g join best b on b.label = g.label and b.prev is not distinct from g.prev
+  where g.step < 127 and b.token <> '<eos>')
 select label || ':' || s as seq_id, label, txt as text from gen
 qualify row_number() over (partition by label, s order by step desc) = 1"""
 
@@ -482,11 +500,8 @@ TRAIN_PUB = "documents where doc_id % 10 <> 0 and source in ('src0', 'src1')"
 
 
 def _model_report_sql() -> str:
-    gen = SQL["generate_greedy"].replace("with recursive ", "")
-    gen_body = gen[: gen.index("select label || ':' || s as seq_id")]
-    gen_ctes = gen_body.rstrip().rstrip(",")
-    generated = """(select label || ':' || s as doc_id, txt as text from gen
-      qualify row_number() over (partition by label, s order by step desc) = 1)"""
+    gen_ctes = _synthesis_ctes("doc_id % 10 <> 0 and source not in ('src0', 'src1')")
+    generated = "(select seq_id as doc_id, text from kept)"
     dp_uni = _uni_dp(TRAIN_PRIV)
     t_dpkd = _dp_counts(TRAIN_PRIV, False)
     t_cc = f"(select prev, token, sum(n) as n from {_dp_counts(TRAIN_PRIV, True)} group by prev, token)"
@@ -516,37 +531,6 @@ def _model_report_sql() -> str:
     return "with recursive " + ",\n".join(ctes) + "\n" + "\nunion all\n".join(sel)
 
 
-SQL["model_report"] = _model_report_sql()
-
-
-def _generated_ppl_sql() -> str:
-    gen = SQL["generate_greedy"].replace("with recursive ", "")
-    gen_ctes = gen[: gen.index("select label || ':' || s as seq_id")].rstrip().rstrip(",")
-    seqs = """(select label || ':' || s as doc_id, txt as text from gen
-      qualify row_number() over (partition by label, s order by step desc) = 1)"""
-    teach = f"(select prev, token, sum(n) as n from dpb group by prev, token)"
-    return f"""with recursive {gen_ctes},
-m_b as {teach},
-m_u as (select token, sum(n) as n from m_b group by token),
-m_t as (select sum(n) as big_n, count(*)::double as v from m_u),
-m_c as (select prev, sum(n) as ch from m_b group by prev),
-d as (select doc_id, {TOKS} as toks from {seqs}),
-t as (select doc_id, len(toks) as n, toks, unnest(range(len(toks))) as i from d),
-w as (select doc_id, n, (i // 512) * 512 as wi, i, case when i = 0 then null else toks[i] end as prev, toks[i + 1] as token from t),
-tg as (select doc_id, wi, least(wi + 512, n) - wi as trg, n, prev, token from w where i > greatest(wi + 512 - 1024, 0)),
-s as (select tg.doc_id, tg.wi, tg.trg, tg.n,
-        -ln((coalesce(m_b.n, 0.0) + 1.0 * ((coalesce(m_u.n, 0.0) + 1.0) / (m_t.big_n + 1.0 * (m_t.v + 1.0))))
-            / (coalesce(m_c.ch, 0.0) + 1.0)) as nll
-      from tg left join m_u on m_u.token = tg.token
-      left join m_b on m_b.prev is not distinct from tg.prev and m_b.token = tg.token
-      left join m_c on m_c.prev is not distinct from tg.prev cross join m_t),
-pw as (select doc_id, wi, avg(nll) as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi),
-pp as (select doc_id, exp(sum(nll * trg) / any_value(n)) as ppl from pw group by doc_id)
-select round(avg(ppl), 6) as ppl_mean, round(stddev_pop(ppl), 6) as ppl_std from pp"""
-
-
-SQL["generated_ppl"] = _generated_ppl_sql()
-
 SQL["prepared_splits"] = f"""
 with k as (select * from {LABELLED} where label in (select label from {LABELLED} group by label having count(*) > 25)),
 kk as (select k.doc_id, k.label, d.text from k join documents d using (doc_id)),
@@ -558,19 +542,22 @@ union all
 select case when r <= ceil(n * 0.02::double) then 'val' else 'train' end as split, text, label from b"""
 
 
-def _gen_sampled_ctes(seqs: str, k: int = 50, temperature: str = "1.0", penalty: str = "1.0") -> str:
-    """Recursive CTEs reproducing sampled generation (p 0.9, bigram ban, 12
-    steps) for the ``(label, s)`` rows of ``seqs``, with the same md5-derived
-    uniforms and sequential sums as the Spark path.  One candidate (``k`` 1)
-    is greedy.  Ends with a ``gen(label, s, step, prev, out)`` CTE."""
-    log_p = "ln(x.n / cl.total)"
+def _gen_sampled_ctes(seqs: str, k: int = 50, temperature: str = "1.0", penalty: str = "1.0", code: str = "lang",
+                      codes: int = 1, where: str = "true") -> str:
+    """Recursive CTEs reproducing sampled generation (p 0.9, bigram ban, 128
+    tokens with the ``codes`` of the prompt, end marker) for the ``(label, s)``
+    rows of ``seqs``, with the same md5-derived uniforms and sequential sums as
+    the Spark path.  One candidate (``k`` 1) is greedy.  Ends with a
+    ``gtext(seq_id, label, text)`` CTE."""
+    log_p = "ln(x.n / g.total)"
     score = (f"(case when list_contains(g.out, x.token) then case when {log_p} < 0 then {log_p} * {penalty}::double "
              f"else {log_p} / {penalty}::double end else {log_p} end) / {temperature}::double")
-    return f"""dpb as {_dp_counts('documents', True)},
-cl as (select label, prev, list(struct_pack(n := n, token := token) order by n desc, token) as cands, any_value(tot) as total
-       from (select *, row_number() over (partition by label, prev order by n desc, token) as rk,
-                    sum(n) over (partition by label, prev) as tot from dpb)
-       where rk <= {k + 12} group by label, prev),
+    return f"""dpb as {_dp_counts(_coded(code, where), True)},
+cl as materialized (
+  select label, coalesce(prev, '') as prev, n, token, tot
+  from (select *, row_number() over (partition by label, prev order by n desc, token) as rk,
+               sum(n) over (partition by label, prev) as tot from dpb)
+  where rk <= {k + 128}),
 seqs as {seqs},
 gen(label, s, step, prev, out) as (
   select label, s, 0, NULL::varchar, []::varchar[] from seqs
@@ -578,7 +565,7 @@ gen(label, s, step, prev, out) as (
   select label, s, step + 1, tok, list_append(out, tok) from (
     select g.label, g.s, g.step, g.out,
       (with
-        f as (select list_sort(list_transform(list_filter(cl.cands, lambda x: not list_contains(
+        f as (select list_sort(list_transform(list_filter(g.cands, lambda x: not list_contains(
                  list_transform(list_filter(range(1, len(g.out)), lambda i: g.out[i] = g.prev), lambda i: g.out[i + 1]),
                  x.token)), lambda x: struct_pack(minus := -({score}), token := x.token)))[1:{k}] as f),
         w as (select f, list_transform(f, lambda x: exp(f[1].minus - x.minus)) as w from f),
@@ -591,9 +578,11 @@ gen(label, s, step, prev, out) as (
        select case when len(f) = 0 then null
                    else f[coalesce(list_filter(range(1, kn + 1), lambda j: bf[j] + w[j] >= u * tk)[1], kn)].token end
        from t) as tok
-    from gen g left join cl on cl.label = g.label and cl.prev is not distinct from g.prev
-    where g.step < 12 and cl.cands is not null)
-  where tok is not null),
+    from (select g.label, g.s, g.step, any_value(g.prev) as prev, any_value(g.out) as out, any_value(cl.tot) as total,
+                 list(struct_pack(n := cl.n, token := cl.token) order by cl.n desc, cl.token) as cands
+          from gen g join cl on cl.label = g.label and cl.prev = coalesce(g.prev, '')
+          where g.step < {128 - codes} group by g.label, g.s, g.step) g)
+  where tok is not null and tok <> '<eos>'),
 gtext as (select label || ':' || s as seq_id, label, array_to_string(out, ' ') as text from gen
           qualify row_number() over (partition by label, s order by step desc) = 1)"""
 
@@ -616,12 +605,46 @@ c as (select seq_id, label, bg, count(*) as c from p group by seq_id, label, bg)
 select label, count(distinct seq_id) as n_seq,
        cast(sum(case when bg is not null and c > 1 then 1 else 0 end) as bigint) as n_repeat from c group by label"""
 
-_SEQS_EXPANDED = f"""(select label, unnest(range(1, (quota // 8 + 1) * 8 * 2 + 1)) as s
-   from {QUOTAS.format(total=600)} where quota > 0)"""
+def _quotas2(where: str = "true") -> str:
+    return f"""(select label, n, cast(round_even(n * (cast(600 as double) / sum(n) over ()), 0) as bigint) as quota
+   from (select {CODE2} as label, count(*) as n from documents where text is not null and {where} group by 1))"""
 
-SQL["synthetic_table"] = f"""with recursive {_gen_sampled_ctes(_SEQS_EXPANDED)},
-q as {QUOTAS.format(total=600)},
+
+def _synthesis_ctes(where: str = "true") -> str:
+    """CTEs of the synthesis chain on two labels, ending with ``kept(seq_id, label, text)``."""
+    expanded = f"""(select label, unnest(range(1, (quota // 8 + 1) * 8 * 2 + 1)) as s
+   from {_quotas2(where)} where quota > 0)"""
+    return f"""{_gen_sampled_ctes(expanded, code=CODE2, codes=2, where=where)},
+q as {_quotas2(where)},
 kept as (select g.seq_id, g.label, g.text from (
            select *, row_number() over (partition by label order by md5('42:' || seq_id), seq_id) as r
-           from gtext where length(text) > 0) g join q using (label) where r <= quota and quota > 0)
-select text, label, seq_id, row_number() over (order by md5('43:' || seq_id), seq_id) as shuffle_key from kept"""
+           from gtext where length(text) > 0) g join q using (label) where r <= quota and quota > 0)"""
+
+
+SQL["synthetic_table"] = f"""with recursive {_synthesis_ctes()}
+select text, string_split(label, chr(9))[1] as label_lang, string_split(label, chr(9))[2] as label_source, seq_id,
+       row_number() over (order by md5('43:' || seq_id), seq_id) as shuffle_key from kept"""
+
+SQL["generated_ppl"] = f"""with recursive {_synthesis_ctes()},
+m_b as (select prev, token, sum(n) as n from dpb group by prev, token),
+m_u as (select token, sum(n) as n from m_b group by token),
+m_t as (select sum(n) as big_n, count(*)::double as v from m_u),
+m_c as (select prev, sum(n) as ch from m_b group by prev),
+d as (select seq_id as doc_id, {TOKS} as toks from gtext),
+t as (select doc_id, len(toks) as n, toks, unnest(range(len(toks))) as i from d),
+w as (select doc_id, n, (i // 512) * 512 as wi, i, case when i = 0 then null else toks[i] end as prev, toks[i + 1] as token from t),
+tg as (select doc_id, wi, least(wi + 512, n) - wi as trg, n, prev, token from w where i > greatest(wi + 512 - 1024, 0)),
+s as (select tg.doc_id, tg.wi, tg.trg, tg.n,
+        -ln((coalesce(m_b.n, 0.0) + 1.0 * ((coalesce(m_u.n, 0.0) + 1.0) / (m_t.big_n + 1.0 * (m_t.v + 1.0))))
+            / (coalesce(m_c.ch, 0.0) + 1.0)) as nll
+      from tg left join m_u on m_u.token = tg.token
+      left join m_b on m_b.prev is not distinct from tg.prev and m_b.token = tg.token
+      left join m_c on m_c.prev is not distinct from tg.prev cross join m_t),
+pw as (select doc_id, wi, avg(nll) as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi),
+pp as (select doc_id, exp(sum(nll * trg) / any_value(n)) as ppl from pw group by doc_id)
+select 'synthesis' as run, 'n_generated' as metric, count(*)::double as value from gtext
+union all select 'synthesis', 'n_rows', count(*)::double from kept
+union all select 'synthesis', 'ppl_mean', round(avg(ppl), 6) from pp
+union all select 'synthesis', 'ppl_std', round(stddev_pop(ppl), 6) from pp"""
+
+SQL["model_report"] = _model_report_sql()

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from quill.operators import privacy as PV
 from quill.plans import corpora, training
 from quill.plans.catalog import LABEL_NAMES, LANG_NAMES
 from quill.sources import io
@@ -57,13 +58,28 @@ def test_training_jobs_write_models_and_ledger(spark, tmp_path):
                              "teacher-2.0", k=50, seed=1)
     assert set(t.columns) == {"label", "prev", "token", "n"}
     conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
-    s = training.distil_student(training.fit_teacher(d, ["label_lang"], 2.0, 1e-5, str(tmp_path / "t2"), metrics,
-                                                     "t2", k=50, seed=2),
-                                conv, 0.4, str(tmp_path / "student"))
-    assert s.count() > 0
+    t2 = training.fit_teacher(d, ["label_lang"], 2.0, 1e-5, str(tmp_path / "t2"), metrics, "t2", k=50, seed=2)
+    s = training.distil_student(t2, conv, 0.4, str(tmp_path / "student"))
+    assert s.part("pair").count() > 0
+    # Over all tokens of a context, and one unseen, a stored student's probabilities sum to 1 (one vocabulary).
+    from quill.operators import model as MD
+
+    bigrams = MD.NgramModel.from_bigrams(MD.count_ngrams(conv, order=2))
+    own = training.store_mixture(bigrams, MD.NgramModel.unigram(bigrams.unigrams), 0.4, str(tmp_path / "own"))
+    for prev in (None, bigrams.unigrams.first().token, "never seen"):
+        known = own.part("token").select(F.lit(prev).cast("string").alias("prev"), "token")
+        unseen = spark.createDataFrame([(prev, "no such token")], "prev string, token string")
+        got = own.prob(known.unionByName(unseen)).agg(F.sum("p").alias("s"), F.min("p").alias("m")).first()
+        assert abs(got.s - 1.0) < 1e-6 and got.m > 0
+    events = str(tmp_path / "events")
     dp = training.dp_distil_student(_docs(spark), "lang", 2.0, 1e-5, 0.4, str(tmp_path / "dpkd"), metrics, "dpkd",
-                                    k=50, seed=3)
-    assert set(dp.columns) == {"prev", "token", "p"}
+                                    k=50, seed=3, events=events)
+    assert set(dp.table.columns) == {"part", "prev", "token", "v"}
+    spent = {r.node: r for r in PV.spent(PV.read_mechanisms(spark, events)).collect()}
+    assert set(spent) == {"dpkd", "dpkd/teacher", "dpkd/student"}
+    assert math.isclose(spent["dpkd"].epsilon_basic, 2.0, abs_tol=1e-6) and math.isclose(spent["dpkd"].delta, 1e-5)
+    assert math.isclose(spent["dpkd/teacher"].epsilon_basic, 1.0, abs_tol=1e-6)
+    assert spent["dpkd"].epsilon_rdp < 2.0
     m = {(r.run, r.metric): r.value for r in io.read_metrics(spark, metrics).collect()}
     assert m[("dpkd", "epsilon_basic")] == 2.0
     assert m[("dpkd", "delta_gaussian")] + m[("dpkd", "delta_key_release")] == 1e-5

@@ -149,3 +149,99 @@ def test_a_text_of_one_token_keeps_its_row(spark):
     m = MD.NgramModel.from_bigrams(MD.count_ngrams(docs, order=2))
     got = {r.doc_id: r.ppl for r in EV.score_generated(docs, m, "doc_id").collect()}
     assert set(got) == {1, 2, 3} and got[1] > 1 and got[2] is None and got[3] is None
+
+
+def _brute_generate(counts, prompts, steps, k, p, penalty, temperature, seed, eos):
+    """Sampled generation in plain Python, one sequence after the other."""
+    import hashlib
+
+    out = {}
+    for seq, label, n_prompt in prompts:
+        text = []
+        while len(text) < steps - n_prompt:
+            prev = text[-1] if text else None
+            own = {t: n for (lab, h, t), n in counts.items() if lab == label and h == prev}
+            total = sum(own.values())
+            after = {b for a, b in zip(text, text[1:]) if a == prev}
+            scored = []
+            for t, n in own.items():
+                if t in after:
+                    continue
+                s = math.log(n / total)
+                if t in text and penalty != 1.0:
+                    s = s * penalty if s < 0 else s / penalty
+                scored.append((-s / temperature, t))
+            scored = sorted(scored)[:k]
+            if not scored:
+                break
+            w = [math.exp(scored[0][0] - s) for s, _ in scored]
+            kept = [i for i in range(len(w)) if sum(w[:i]) < p * sum(w)]
+            h = hashlib.md5(f"{seed}:{seq}:{len(text)}".encode()).hexdigest()
+            cut = (int(h[:13], 16) + 0.5) / 2 ** 52 * sum(w[i] for i in kept)
+            token = next((scored[i][1] for i in kept if sum(w[:i + 1]) >= cut), scored[kept[-1]][1])
+            if token == eos:
+                break
+            text.append(token)
+        out[seq] = " ".join(text)
+    return out
+
+
+def test_generation_ends_at_marker_and_length_against_brute_force(spark):
+    import random
+
+    from quill.plans import synthesis as SY
+
+    r = random.Random(3)
+    rows = [(i, r.choice("ab"), " ".join(r.choices("uvwxyz", k=r.randint(0, 7)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, label_x string, text string")
+    model = SY.fit_coded(docs, ["label_x"], "<end>")
+    counts = {(m.label, m.prev, m.token): m.n for m in model.collect()}
+    # Each text counts each of its pairs once, the last one ends in the marker.
+    assert sum(n for (_, _, t), n in counts.items() if t == "<end>") == 60
+    prompts = [(f"{c}:{i}", c, i % 4) for c in "ab" for i in range(40)]
+    frame = spark.createDataFrame(prompts, "seq_id string, label string, n_prompt int")
+    for kw in (dict(k=4, p=0.9, penalty=1.0, temperature=1.0), dict(k=3, p=0.7, penalty=1.3, temperature=0.8)):
+        want = _brute_generate(counts, prompts, 8, seed=5, eos="<end>", **kw)
+        for hot in (GN.HOT_ROWS, 3):  # few living sequences of a context are broadcast already
+            got = {g.seq_id: g.text for g in GN.generate(model, frame, 8, seed=5, eos="<end>", hot_rows=hot, **kw).collect()}
+            assert got == want
+    lengths = [len(t.split()) for t in want.values()]
+    assert max(lengths) == 8 and min(lengths) < 5
+    assert GN.generate(model, frame.limit(0), 8, seed=5, eos="<end>").count() == 0
+
+
+def test_living_sequences_of_a_hot_context_are_not_moved(spark):
+    """A third of all sequences in one context: no task of the join gets more than twice the mean."""
+    prompts = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 400).cast("string"))).alias("label"),
+        F.concat(F.lit("s"), F.col("id")).alias("seq_id"), F.lit("").alias("_p")).repartition(8)
+    lists = spark.range(-1, 400).select(
+        F.when(F.col("id") < 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("label"),
+        F.lit("").alias("_p"), F.lit("x").alias("cands"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        j = GN._with_candidates(prompts, lists, 3000, 100, 8)
+        sizes = [r["n"] for r in j.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 3000 and j.where("cands is null").count() == 0
+        assert max(sizes) <= 2 * 3000 / 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_compound_codes_are_written_and_parsed_back(spark, tmp_path):
+    from quill.plans import synthesis as SY
+    from quill.sources import io
+
+    rows = [(f"{a}{b} tells {c} stories", a, b) for a in ("en", "de") for b in ("news", "web") for c in ("long", "short")] * 5
+    train = spark.createDataFrame(rows + [(None, "en", "web")], "text string, label_lang string, label_kind string")
+    metrics = str(tmp_path / "metrics")
+    path = SY.synthesize(train, ["label_lang", "label_kind"], 20, 12, str(tmp_path / "out"), "t", 1.0, batch=4, returns=1,
+                         k=5, seed=1, metrics=metrics)
+    out = spark.read.parquet(path).collect()
+    assert {(r.label_lang, r.label_kind) for r in out} == {(a, b) for _, a, b in rows}
+    for r in out:  # the teacher knows each code's texts only
+        assert r.text.startswith(f"{r.label_lang}{r.label_kind} tells") and r.text.endswith("stories")
+    got = {r.metric: r.value for r in io.read_metrics(spark, metrics).collect()}
+    assert got["n_rows"] == len(out) == 20 and got["n_generated"] >= 20 and got["ppl_mean"] > 1 and got["ppl_std"] >= 0

@@ -9,8 +9,8 @@ from quill.sources import io
 from quill.streaming.prompt_counts import run_prompt_counts
 from tests.conftest import SF_SMALL
 
-HEAVY = {"model_report", "generate_greedy", "generate_text", "generated_no_repeat", "csv_roundtrip",
-         "run_metrics", "synthetic_rows"}
+HEAVY = {"model_report", "generate_greedy", "generate_greedy_ruled", "generate_warped", "generate_text",
+         "generated_no_repeat", "synthetic_table", "generated_ppl", "csv_roundtrip", "run_metrics", "synthetic_rows"}
 
 
 def _plan(df):
@@ -54,9 +54,9 @@ def test_synthesis_chain_fills_quotas_exactly(spark):
     from quill.plans.synthesis import label_quotas
 
     out = C.synthetic_table(spark, SF_SMALL)
-    q = {r.label: r.quota for r in label_quotas(C.docs(spark, SF_SMALL).select(F.col("lang").alias("label")),
-                                                "label", 600).collect()}
-    per = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    code = F.concat_ws("\t", "lang", "source").alias("label")
+    q = {r.label: r.quota for r in label_quotas(C.docs(spark, SF_SMALL).select(code), "label", 600).collect()}
+    per = {r.label: r["count"] for r in out.groupBy(F.concat_ws("\t", "label_lang", "label_source").alias("label")).count().collect()}
     assert per == q
     assert out.where(F.length("text") == 0).count() == 0
     keys = sorted(r.shuffle_key for r in out.collect())

@@ -93,14 +93,18 @@ def test_bounded_keys_reach_the_end_of_a_text(spark):
     assert len(got) == 100 and max(got) > 1500 and 700 < sum(got) / 100 < 1300
 
 
-def test_report_with_noise_runs(spark):
+def test_report_with_noise_runs(spark, tmp_path):
     from quill.plans import report as RP
     from tests.conftest import SF_SMALL
 
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     train, test = docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0")
     pub, priv = train.where("source in ('src0','src1')"), train.where("source not in ('src0','src1')")
-    models = RP.build_models(priv, pub, train.limit(20), epsilon=2000.0, delta=1e-5, noise=True, seed=5)
+    models = RP.build_models(priv, pub, train.limit(20), epsilon=2000.0, delta=1e-5, folder=str(tmp_path / "models"),
+                             noise=True, seed=5, events=str(tmp_path / "events"))
+    spent = {r.node: r for r in PV.spent(PV.read_mechanisms(spark, str(tmp_path / "events"))).collect()}
+    for run in ("student_dpsgd", "student_dpkd", "teacher_cc"):
+        assert abs(spent[run].epsilon_basic - 2000.0) < 1e-6 and abs(spent[run].delta - 1e-5) < 1e-15
     assert models["teacher_dpkd"][1] == 1000.0 and models["student_dpkd"][1] == 2000.0
     rows = RP.model_report(test, models).collect()
     assert len(rows) == 8 and all(r.ppl > 1 and math.isfinite(r.ppl) for r in rows)

@@ -258,6 +258,69 @@ def test_html_edges(spark):
     assert [r.n_chars for r in got] == [0, 300_000, 1]
 
 
+LONG = "The river rose over its banks in the night and the town woke to water in every street of its lower quarter. "
+
+
+def test_html_page_without_any_mark():
+    story = [LONG * 3, LONG * 2 + "Nobody was hurt.", LONG * 4]
+    page = ("<html><body><div><div>Home</div><div>Products</div><div>Contact us</div></div>"
+            "<div><h1>Flood in the valley</h1>" + "".join(f"<p>{t}</p>" for t in story)
+            + "</div><div>Copyright 2024 by us</div></body></html>")
+    want = "\n\n".join(["Flood in the valley", *(t.strip() for t in story)])
+    assert html.extract(page) == want
+    # The same without an element around the story.
+    flat = page.replace("<div><h1>", "<h1>").replace("</div><div>Copyright", "<div>Copyright")
+    assert html.extract(flat) == want
+
+
+@pytest.mark.parametrize("part, text", [
+    ('<h2 id="search">Search</h2>', "Search"),
+    ('<section id="advertising"><p>On adverts.</p></section>', "On adverts."),
+    ('<div class="post-header"><h1>Title</h1></div>', "Title"),
+    ('<p id="reply">A reply came.</p>', "A reply came."),
+    ("<p>Let <math><mi>x</mi></math> be real.</p>", "Let x be real."),
+    ('<div class="ad">Buy now</div>', None), ('<div class="comments"><p>First!</p></div>', None),
+    ("<aside>Elsewhere</aside>", None), ("<form>Name</form>", None), ('<ul class="share-list"><li>Post it</li></ul>', None),
+])
+def test_html_parts_of_a_marked_article(part, text):
+    page = f"<body><nav>Menu</nav><article><p>{LONG}</p>{part}<p>{LONG}</p></article><footer>End</footer></body>"
+    assert html.extract(page) == "\n\n".join(x for x in (LONG.strip(), text, LONG.strip()) if x)
+
+
+def brute_regions(weight):
+    """Lines that the definition names: enough with the two lines behind, and with the two before."""
+    n = len(weight)
+    ahead = [sum(weight[i:i + html.WIDTH]) for i in range(n)]
+    before = [sum(weight[max(0, i - html.WIDTH + 1):i + 1]) for i in range(n)]
+    least = max(1, min(max(ahead, default=0) / 8, html.ENOUGH))
+    return {i for i in range(n) if weight[i] and ahead[i] >= least and before[i] >= least}
+
+
+def test_html_regions_match_their_definition():
+    r = random.Random(8)
+    for _ in range(400):
+        weight = [r.choice([0, 0, 3, 12, 40, 90, 200, 900]) for _ in range(r.randint(0, 25))]
+        found = html.regions(weight)
+        assert all(weight[a] and weight[b - 1] for a, b in found)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        assert {i for a, b in found for i in range(a, b) if weight[i]} == brute_regions(weight)
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    def seconds(n, unit):
+        page = unit * n
+        start = time.process_time()
+        html.extract(page)
+        return time.process_time() - start
+
+    for unit in ("<div>x", "<div><td>x", "<b><p>x", "<div>x</section>", "<li>x", "<div><p>x<ul><li>y"):
+        small, large = seconds(5_000, unit), seconds(50_000, unit)
+        assert large < 40 * max(small, 0.02), unit
+    assert seconds(100_000, "<div>x") < 20
+
+
 def test_html_articles_of_the_pages(spark):
     import html as std
     import re

@@ -66,26 +66,24 @@ def split_pair_key(key: Column) -> tuple[Column, Column]:
     return F.when(prev == "", F.lit(None)).otherwise(prev), F.substring_index(key, " ", -1)
 
 
-def _release(counts: DataFrame, keys: list[str], sigma: float, tau, seed, k, delta_key: float,
-             public_keys: bool = False) -> DataFrame:
-    """Noise every key, materialise real noise once, drop keys under ``tau``."""
-    if sigma:
-        if tau is None and not public_keys:
-            raise ValueError("noisy counts of an unknown key set need a threshold: tau='auto' or public_keys=True")
-        if k is None:
-            raise ValueError("noisy counts need a bound k on the keys of a text")
-        counts = counts.withColumn("n", F.col("n") + F.lit(float(sigma)) * gaussian(
-            seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys]))
-        if seed is None:
-            # Real noise is drawn once: a recomputed stage must not redraw it.
-            counts = counts.checkpoint(eager=True)
+def _noisy(n: Column, keys: list[str], sigma: float, tau, seed, k, public_keys: bool = False) -> Column:
+    """The counts with noise, where the release is one; errors for unsafe ones."""
+    if not sigma:
+        return n
+    if tau is None and not public_keys:
+        raise ValueError("noisy counts of an unknown key set need a threshold: tau='auto' or public_keys=True")
+    if k is None:
+        raise ValueError("noisy counts need a bound k on the keys of a text")
+    return n + F.lit(float(sigma)) * gaussian(seed, *[F.coalesce(F.col(c), F.lit("")) for c in keys])
+
+
+def _released(counts: DataFrame, sigma: float, tau, k, delta_key: float) -> DataFrame:
+    """Drop keys under ``tau``."""
     if tau == "auto":
         from quill.operators.privacy import key_threshold
 
         tau = key_threshold(float(sigma), int(k or 1), delta_key)
-    if tau is not None:
-        counts = counts.where(F.col("n") >= F.lit(float(tau)))
-    return counts
+    return counts if tau is None else counts.where(F.col("n") >= F.lit(float(tau)))
 
 
 def _doc_items(toks: Column, order: int, k: int | None) -> Column:
@@ -130,7 +128,11 @@ def fit_ngram(df: DataFrame, text: str = "text", label: str | None = None, order
         x = x.select(*lkeep, F.col("_k").alias("token"))
         keys = lkeep + ["token"]
     counts = x.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return _release(counts, keys, sigma, tau, seed, k, delta_key, public_keys)
+    counts = counts.withColumn("n", _noisy(F.col("n"), keys, sigma, tau, seed, k, public_keys))
+    if sigma and seed is None:
+        # Real noise is drawn once: a recomputed stage must not redraw it.
+        counts = counts.checkpoint(eager=True)
+    return _released(counts, sigma, tau, k, delta_key)
 
 
 def _tagger(i: int, lab: Column):
@@ -141,8 +143,8 @@ def fit_ngram_many(df: DataFrame, specs: dict, text: str = "text") -> dict[str,
     """Several :func:`fit_ngram` tables over the same texts from one
     tokenisation and one shuffle.  ``specs`` maps a name to keyword arguments
     of :func:`fit_ngram` (``label``, ``order``, ``k``, ``sigma``, ``tau``,
-    ``seed``, ``delta_key``, ``public_keys``).  The combined counts are checkpointed once and
-    each table is a filter of them."""
+    ``seed``, ``delta_key``, ``public_keys``).  The combined counts are checkpointed once, noise
+    included, and each table is a filter of them."""
     names = list(specs)
     labels = sorted({sp["label"] for sp in specs.values() if sp.get("label")})
     d = df.select(*labels, tokens(text).alias("_t"))
@@ -153,21 +155,26 @@ def fit_ngram_many(df: DataFrame, specs: dict, text: str = "text") -> dict[str,
         items = _doc_items(F.col("_t"), sp.get("order", 2), sp.get("k"))
         parts.append(F.transform(items, _tagger(i, lab)))
     x = d.select(F.explode(F.concat(*parts)).alias("_e")).select("_e.m", "_e.label", "_e.k")
-    combined = x.groupBy("m", "label", "k").agg(F.count(F.lit(1)).cast("double").alias("n")).checkpoint(eager=True)
-    out = {}
+    counts = x.groupBy("m", "label", "k").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pair = split_pair_key(F.col("k"))
+    counts = counts.select("m", "label", "k", "n", pair[0].alias("prev"), pair[1].alias("token"))
+    keys_of, n = [], F.col("n")
     for i, nm in enumerate(names):
+        sp = specs[nm]
+        keys = (["label"] if sp.get("label") else []) + (["prev", "token"] if sp.get("order", 2) == 2 else ["token"])
+        keys_of.append(keys)
+        own = _noisy(F.col("n"), [c if c != "token" or "prev" in keys else "k" for c in keys], sp.get("sigma", 0.0),
+                     sp.get("tau"), sp.get("seed"), sp.get("k"), sp.get("public_keys", False))
+        n = F.when(F.col("m") == i, own).otherwise(n) if sp.get("sigma") else n
+    # Noise first: no exact private count is written.
+    combined = counts.withColumn("n", n).checkpoint(eager=True)
+    out = {}
+    for i, (nm, keys) in enumerate(zip(names, keys_of, strict=True)):
         sp = specs[nm]
         c = combined.where(F.col("m") == i)
-        lkeep = ["label"] if sp.get("label") else []
-        if sp.get("order", 2) == 2:
-            prev, tok = split_pair_key(F.col("k"))
-            c = c.select(*lkeep, prev.alias("prev"), tok.alias("token"), "n")
-            keys = lkeep + ["prev", "token"]
-        else:
-            c = c.select(*lkeep, F.col("k").alias("token"), "n")
-            keys = lkeep + ["token"]
-        out[nm] = _release(c, keys, sp.get("sigma", 0.0), sp.get("tau"), sp.get("seed"), sp.get("k"),
-                           sp.get("delta_key", 1e-6), sp.get("public_keys", False))
+        c = c.select(*keys, "n") if "prev" in keys else c.select(
+            *[F.col("k").alias("token") if x == "token" else F.col(x) for x in keys], "n")
+        out[nm] = _released(c, sp.get("sigma", 0.0), sp.get("tau"), sp.get("k"), sp.get("delta_key", 1e-6))
     return out
 
 

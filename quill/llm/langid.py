@@ -15,8 +15,8 @@ pay and the search ends.
 Prediction: the language with the largest proportion; score: that proportion.
 
 The whole text counts, in blocks of ``BLOCK`` characters, so memory stays
-bounded for very long texts.  Upper and lower case are folded, everything but
-letters separates words.
+bounded for very long texts.  Upper and lower case are folded, every ASCII
+character but letters separates words.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 with no training rows every text is ``und``; ties go to the language first in
@@ -46,7 +46,8 @@ EM_STEPS = 40
 EM_TOL = 1e-4
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Runs of what is no decimal digit, mark or blank; letters and other numerals (such as a superscript two).
+_RUN = re.compile(r"[^\W\d_]+")
 #: Every ASCII byte that is no lower-case letter separates words.
 _WORDS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -145,9 +146,14 @@ def proportions(counts: np.ndarray, like: np.ndarray) -> np.ndarray:
     return theta
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category is in the text; numerals that are no digits are none."""
+    return any(any(map(str.isalpha, m.group())) for m in _RUN.finditer(text))
+
+
 def detect(text: str | None, languages: list[str], probs: np.ndarray) -> tuple[str, float, dict[str, float]]:
     """Language, score and mixture of one whole text."""
-    if not text or not languages or not _LETTER.search(text):
+    if not text or not languages or not has_letter(text):
         return UNKNOWN, 0.0, {}
     grams, counts = gram_counts(text)
     if not len(grams):

@@ -168,7 +168,7 @@ SQL: dict[str, str] = {
     """,
     "op9_exact_dedup": """
         WITH t AS (
-          SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          SELECT DISTINCT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                           'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
           FROM documents
         )

@@ -195,3 +195,18 @@ def test_components(spark):
     got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in got} == {i: find(i) for i in root}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_exact_query_and_sql_agree_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    from quill.llm import queries
+
+    rows = [(1, "One"), (1, "one"), (1, "one"), (2, "ONE"), (3, None), (3, None), (4, ""), (5, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_exact_dedup(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.execute(queries.SQL["op9_exact_dedup"])
+    names = [d[0] for d in rel.description]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(rel.fetchall())

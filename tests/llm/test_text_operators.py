@@ -58,6 +58,13 @@ def test_language_edges(spark, language_model):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(language_model):
+    for text in ("\u00b2", "\u00bd 12", "\u2167", "_ \u0663 \u2460"):
+        assert langid.detect(text, *language_model) == ("und", 0.0, {})
+    assert langid.detect("\u00b2 the and of", *language_model)[0] == "en"
+    assert langid.detect("x\u00b2", *language_model)[0] != "und"
+
+
 def test_language_mixture(spark, language_model):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) > 1500")
     text = {lang: docs.filter(F.col("lang") == lang).orderBy("doc_id").first().text[:1500] for lang in ("en", "de")}

@@ -82,11 +82,33 @@ def align(student: DataFrame, teacher: DataFrame, on: Sequence[str]) -> DataFram
     return student.join(teacher, list(on))
 
 
-def with_teacher_mean(df: DataFrame, vec: str, by: str, name: str = "teacher") -> DataFrame:
-    """Attach each row's group mean vector as its teacher output (equi-join on
-    the group; the mean table has one row per group)."""
+#: Numbers a table of group vectors may hold to be sent to every task (64 MB of doubles).
+BROADCAST_NUMBERS = 8 << 20
+#: Slices into which the rows of each group are dealt where the table is too large for that.
+SALTS = 16
+
+
+def attach(df: DataFrame, table: DataFrame, by: str, vec: str, numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """``df`` beside the vector of its group; ``table`` has one row ``(by, vec)`` a group.
+
+    The table is written to the shared folder and counted: where its vectors hold at most ``numbers`` numbers they are
+    broadcast, so no row of ``df`` moves; else both sides are dealt by group and hash slice (the table's rows repeated
+    for each slice), so a group with a third of the rows is spread over ``SALTS`` tasks."""
+    t = table.select(by, vec).checkpoint(eager=True)
+    size = t.agg(F.sum(F.size(vec)).alias("n")).first()["n"] or 0
+    if size <= numbers:
+        return align(df, F.broadcast(t), [by])
+    rest = [F.col(c) for c, kind in df.dtypes if "map<" not in kind]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+    copies = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return align(salted, copies, [by, "_salt"]).drop("_salt")
+
+
+def with_teacher_mean(df: DataFrame, vec: str, by: str, name: str = "teacher",
+                      numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """Attach each row's group mean vector as its teacher output (see :func:`attach`)."""
     t = long_to_array(mean_vector(df, vec, by, "mean"), [by], "mean", name)
-    return align(df, t, [by])
+    return attach(df, t, by, name, numbers)
 
 
 def kd_kl(df: DataFrame, student: str, teacher: str, temperature: float, batch: str) -> DataFrame:

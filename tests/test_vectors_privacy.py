@@ -108,3 +108,26 @@ def test_report_with_noise_runs(spark, tmp_path):
     assert models["teacher_dpkd"][1] == 1000.0 and models["student_dpkd"][1] == 2000.0
     rows = RP.model_report(test, models).collect()
     assert len(rows) == 8 and all(r.ppl > 1 and math.isfinite(r.ppl) for r in rows)
+
+
+def test_group_vectors_are_attached_without_moving_rows(spark):
+    from quill.operators import vectors as VC
+
+    rows = [(i, "hot" if i % 3 else f"g{i % 50}", [float(i % 7), float(i % 11), 1.0]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, student array<double>").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        small = VC.with_teacher_mean(df, "student", "label")
+        large = VC.with_teacher_mean(df, "student", "label", numbers=0)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert "_salt" in large._jdf.queryExecution().executedPlan().toString()
+        a, b = (sorted(map(tuple, x.select("vec_id", "label", "teacher").collect())) for x in (small, large))
+        assert len(a) == 900 and a == b
+        sizes = [r["n"] for r in large.where("label = 'hot'").groupBy(F.spark_partition_id()).agg(
+            F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) < 600 / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

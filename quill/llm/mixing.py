@@ -201,17 +201,18 @@ def steps_to(aim: np.ndarray, now: np.ndarray, gram: np.ndarray,
 
 
 def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str, text_col: str,
-            strict: bool) -> tuple[tuple, DataFrame, list[list[float]], list[float], list[float]]:
-    """Classifier, written posteriors, steps, and the shares of the domains wanted and reached."""
+            strict: bool, whole: bool = False) -> tuple[list[str], DataFrame, list[list[float]], list[float], list[float]]:
+    """Domains, written posteriors (with ``whole`` beside the rows themselves), steps, and the shares of the domains
+    wanted and reached."""
     model = likelihoods(word_table(docs, labelled, id_col, text_col), label_counts(labelled))
     names, _, _ = model
     k = len(names)
     unknown = sorted(set(targets) - set(names))
     if names and unknown:
         raise ValueError(f"no labelled row for domains {unknown}")
-    base = written(posteriors(docs, model, id_col, text_col), "posteriors")
+    base = written(posteriors(docs, model, id_col, text_col, whole), "posteriors")
     if not k:
-        return model, base, [], [], []
+        return names, base, [], [], []
     loads = base.select("tokens", *_loads(k))
     cells = [(i, j) for i in range(k) for j in range(i, k)]
 
@@ -234,14 +235,14 @@ def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_
 
     [(now, gram)] = measured([], [[0.0] * k])
     if not now.sum():
-        return model, base, [], [0.0] * k, [0.0] * k
+        return names, base, [], [0.0] * k, [0.0] * k
     want = goal(dict(zip(names, now, strict=True)), targets)
     aim = np.array([want[n] for n in names])
     history, total = steps_to(aim, now, gram, measured, least)
     wanted, reached = (aim / now.sum()).tolist(), (total / now.sum()).tolist()
     if strict and np.abs(total - aim).max() > TOLERANCE * now.sum():
         raise ValueError(f"targets not met: {dict(zip(names, zip(reached, wanted, strict=True), strict=True))} (reached, wanted)")
-    return model, base, history, wanted, reached
+    return names, base, history, wanted, reached
 
 
 def _loads(k: int) -> list[Column]:
@@ -257,7 +258,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     as those of the corpus.  ``wanted`` and ``reached`` are the domains' expected
     tokens as shares of all tokens.
     """
-    (names, _, _), base, history, wanted, reached = _fitted(docs, labelled, targets, id_col, text_col, strict)
+    names, base, history, wanted, reached = _fitted(docs, labelled, targets, id_col, text_col, strict)
     k = len(names)
     listed = lambda xs, kind: F.array(*(F.lit(x) for x in xs)).cast(f"array<{kind}>")
     named = base.select("id", "tokens", listed(names, "string").alias("domains"), "posterior",
@@ -283,11 +284,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
           text_col: str = "text", seed: int = 29) -> DataFrame:
     """``docs`` with every row as often as its rate says (0 times and more), all columns kept.
 
-    A row's rate follows from its own text, so no row is joined or shuffled for it."""
-    model, _, history, _, _ = _fitted(docs, labelled, targets, id_col, text_col, False)
-    k = len(model[0])
-    rated = posteriors(docs, model, id_col, text_col, whole=True).select("id", *(
-        [] if not k else ["tokens", *_loads(k)])).select("id", _rate(history, k).alias("rate"))
+    The rows are written beside their posteriors once, so none is joined or shuffled for its rate."""
+    names, base, history, _, _ = _fitted(docs, labelled, targets, id_col, text_col, False, whole=True)
+    k = len(names)
+    rated = base.select("id", *(["tokens", *_loads(k)] if k else [])).select("id", _rate(history, k).alias("rate"))
     times = copies(F.col("rate"), F.col(f"id.`{id_col}`"), seed)
     each = rated.select("id", times.alias("n")).filter("n > 0").select("id", F.explode(F.sequence(F.lit(1), "n")))
     return each.select("id.*")

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import regex
 
 #: Entries of the table of units, of all generations; some 220 bytes each in a worker process.
-TABLE_ENTRIES = 2_000_000
+TABLE_ENTRIES = 1_200_000
 #: Entries of the table of pre-tokens of other units.
 PIECE_ENTRIES = 100_000
 BLOCK = 1 << 20

@@ -9,13 +9,16 @@ inside the window (a causal model cannot predict the first position), so
   ``g > begin``; ``ppl = exp(mean over windows of window NLL)``;
 * per text, lookback windows: ``ppl = exp(sum(NLL_w * trg_len_w) / n)``.
 
+Losses are summed in whole units of 10^-12 (:func:`exact_sum`), so a perplexity
+has the same bits under any partitioning.
+
 Every token row is scored through a join of its distinct ``(prev, token)``
 pair to the model (not a per-row model lookup).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.text import tokens
@@ -23,6 +26,23 @@ from quill.operators.model import bigram_rows, ctx_key
 from quill.operators.windows import corpus_offsets
 
 
+UNIT = 1e-12
+LARGEST = 1e6
+
+
+def exact_sum(x: Column, times: Column | None = None) -> Column:
+    """Sum of doubles (each ``times`` a whole number) that no order of the rows
+    changes: every term is rounded to whole ``UNIT``s and the units are added as
+    decimals.  Terms of ``LARGEST`` and more, infinite ones or NaN are added as
+    doubles and are the sum alone."""
+    small = F.abs(x) < F.lit(LARGEST)
+    units = F.floor(F.when(small, x) * F.lit(1 / UNIT) + F.lit(0.5)).cast("decimal(19,0)")
+    if times is not None:
+        units = units * times.cast("decimal(18,0)")
+        x = x * times
+    return F.coalesce(F.sum(F.when(~small, x)), F.sum(units).cast("double") / F.lit(1 / UNIT))
+
+
 def mean_std(df: DataFrame, col: str, prefix: str = "ppl") -> DataFrame:
     """Mean and population standard deviation."""
     return df.agg(F.avg(col).alias(f"{prefix}_mean"), F.stddev_pop(col).alias(f"{prefix}_std"))
@@ -61,9 +81,9 @@ def ppl_weighted(scored: DataFrame, id_col: str) -> DataFrame:
     """``exp(sum_w NLL_w * trg_len_w / n)`` per text; ``scored`` holds counted
     targets (``cnt``) or single tokens."""
     cnt = F.col("cnt") if "cnt" in scored.columns else F.lit(1)
-    w = scored.groupBy(id_col, "window").agg((F.sum(F.col("nll") * cnt) / F.sum(cnt)).alias("_nll"),
+    w = scored.groupBy(id_col, "window").agg((exact_sum(F.col("nll"), cnt) / F.sum(cnt)).alias("_nll"),
                                              F.first("trg_len").alias("_trg"), F.first("n").alias("_n"))
-    return w.groupBy(id_col).agg(F.exp(F.sum(F.col("_nll") * F.col("_trg")) / F.first("_n")).alias("ppl"))
+    return w.groupBy(id_col).agg(F.exp(exact_sum(F.col("_nll") * F.col("_trg")) / F.first("_n")).alias("ppl"))
 
 
 def for_every_text(per: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
@@ -78,10 +98,11 @@ def stream_targets(docs: DataFrame, id_col: str, max_len: int, stride: int, text
 
     The context of a text's first token is the last token of the text that
     ends where this one starts (an equi-join on offsets), never a corpus-sized
-    array or string."""
+    array or string.  Texts are tokenised twice: once for the table of lengths
+    and last tokens, which is written, and once for the rows."""
     d = docs.select(id_col, tokens(text).alias("_toks")).withColumn("n_tokens", F.size("_toks").cast("long"))
     d = d.where(F.col("n_tokens") > 0).withColumn("_last", F.element_at("_toks", -1))
-    offs = corpus_offsets(d.select(id_col, "n_tokens", "_last"), [id_col])
+    offs = corpus_offsets(d.select(id_col, "n_tokens", "_last").checkpoint(), [id_col])
     ends = offs.select((F.col("start_offset") + F.col("n_tokens")).alias("_end"), F.col("_last").alias("_carry"))
     info = offs.join(ends, F.col("start_offset") == F.col("_end"), "left").select(id_col, "start_offset", "_carry")
     rows = bigram_rows(d.select(id_col, "_toks").join(info, id_col), id_col, keep=["start_offset", "_carry"],
@@ -98,8 +119,8 @@ def stream_targets(docs: DataFrame, id_col: str, max_len: int, stride: int, text
 def ppl_macro(scored: DataFrame) -> DataFrame:
     """``exp(mean over windows of the window's mean NLL)`` and the window count."""
     cnt = F.col("cnt") if "cnt" in scored.columns else F.lit(1)
-    w = scored.groupBy("window").agg((F.sum(F.col("nll") * cnt) / F.sum(cnt)).alias("_nll"))
-    return w.agg(F.count(F.lit(1)).alias("n_windows"), F.exp(F.avg("_nll")).alias("ppl"))
+    w = scored.groupBy("window").agg((exact_sum(F.col("nll"), cnt) / F.sum(cnt)).alias("_nll"))
+    return w.agg(F.count(F.lit(1)).alias("n_windows"), F.exp(exact_sum(F.col("_nll")) / F.count("_nll")).alias("ppl"))
 
 
 def score_generated(gen: DataFrame, model, id_col: str = "seq_id", max_len: int = 1024, stride: int = 512,

@@ -384,11 +384,21 @@ STREAM = f"""(with d as (select doc_id, {TOKS} as toks from documents where doc_
      w as (select *, case when g < 128 then 0 else (g // 128) * 128 end as wi from g)
    select wi // 128 as "window", prev, token from w where g > wi)"""
 
+
+def _exact(x: str) -> str:
+    """Sum in whole units of 1e-12, as the library adds losses."""
+    return f"(sum(floor(({x}) * 1e12::double + 0.5::double)::hugeint)::double / 1e12::double)"
+
+
+def _exact_avg(x: str) -> str:
+    return f"({_exact(x)} / count(*))"
+
+
 SQL["ppl_macro"] = f"""
 with {TRAIN_MODEL},
 s as {_scored(STREAM, 'te."window"')},
-w as (select "window", avg(nll) as nll from s group by "window")
-select count(*) as n_windows, round(exp(avg(nll)), 6) as ppl from w"""
+w as (select "window", {_exact_avg('nll')} as nll from s group by "window")
+select count(*) as n_windows, round(exp({_exact_avg('nll')}), 6) as ppl from w"""
 
 LOOKBACK = f"""(with d as (select doc_id, {TOKS} as toks from documents where doc_id % 10 = 0),
      t as (select doc_id, len(toks) as n, toks, unnest(range(len(toks))) as i from d),
@@ -397,8 +407,8 @@ LOOKBACK = f"""(with d as (select doc_id, {TOKS} as toks from documents where do
 
 PPLW = f"""(with {TRAIN_MODEL},
    s as {_scored(LOOKBACK, 'te.doc_id, te.wi, te.trg, te.n')},
-   w as (select doc_id, wi, avg(nll) as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi)
-   select doc_id, exp(sum(nll * trg) / any_value(n)) as ppl from w group by doc_id)"""
+   w as (select doc_id, wi, {_exact_avg('nll')} as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi)
+   select doc_id, exp({_exact('nll * trg')} / any_value(n)) as ppl from w group by doc_id)"""
 
 SQL["ppl_weighted"] = f"""select t.doc_id, round(p.ppl, 6) as ppl
 from (select doc_id from documents where doc_id % 10 = 0) t left join {PPLW} p using (doc_id)"""
@@ -525,8 +535,8 @@ def _model_report_sql() -> str:
             ("teacher_dpkd", "m_tdpkd", "1.0"), ("teacher_cc", "m_tcc", "2.0"), ("teacher_pretrained", "m_tpre", "NULL")]
     sel = []
     for name, tag, eps in rows:
-        sel.append(f"""select '{name}' as model, cast({eps} as double) as epsilon, round(exp(avg(nll)), 6) as ppl from (
-      select tg."window", avg(-ln({tag}_p.p)) as nll from tg join {tag}_p on {tag}_p.prev is not distinct from tg.prev
+        sel.append(f"""select '{name}' as model, cast({eps} as double) as epsilon, round(exp({_exact_avg('nll')}), 6) as ppl from (
+      select tg."window", {_exact_avg(f"-ln({tag}_p.p)")} as nll from tg join {tag}_p on {tag}_p.prev is not distinct from tg.prev
       and {tag}_p.token = tg.token group by tg."window")""")
     return "with recursive " + ",\n".join(ctes) + "\n" + "\nunion all\n".join(sel)
 
@@ -640,8 +650,8 @@ s as (select tg.doc_id, tg.wi, tg.trg, tg.n,
       from tg left join m_u on m_u.token = tg.token
       left join m_b on m_b.prev is not distinct from tg.prev and m_b.token = tg.token
       left join m_c on m_c.prev is not distinct from tg.prev cross join m_t),
-pw as (select doc_id, wi, avg(nll) as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi),
-pp as (select doc_id, exp(sum(nll * trg) / any_value(n)) as ppl from pw group by doc_id)
+pw as (select doc_id, wi, {_exact_avg('nll')} as nll, any_value(trg) as trg, any_value(n) as n from s group by doc_id, wi),
+pp as (select doc_id, exp({_exact('nll * trg')} / any_value(n)) as ppl from pw group by doc_id)
 select 'synthesis' as run, 'n_generated' as metric, count(*)::double as value from gtext
 union all select 'synthesis', 'n_rows', count(*)::double from kept
 union all select 'synthesis', 'ppl_mean', round(avg(ppl), 6) from pp

@@ -173,9 +173,9 @@ def model_report(test: DataFrame, models: dict, id_col: str = "doc_id", max_len:
     pairs = scored_pairs(agg.select("prev", "token").distinct(), [models[n][0] for n in names])
     logs = pairs.select("h", "w", *[(-F.log(F.get("p", i))).alias(f"_l{i}") for i in range(len(names))])
     s = agg.select("window", "cnt", MD.ctx_key("prev").alias("h"), F.col("token").alias("w")).join(logs, ["h", "w"])
-    w = s.groupBy("window").agg(*[(F.sum(F.col(f"_l{i}") * F.col("cnt")) / F.sum("cnt")).alias(f"_w{i}")
+    w = s.groupBy("window").agg(*[(EV.exact_sum(F.col(f"_l{i}"), F.col("cnt")) / F.sum("cnt")).alias(f"_w{i}")
                                   for i in range(len(names))])
-    r = w.agg(*[F.exp(F.avg(f"_w{i}")).alias(f"_q{i}") for i in range(len(names))])
+    r = w.agg(*[F.exp(EV.exact_sum(F.col(f"_w{i}")) / F.count(f"_w{i}")).alias(f"_q{i}") for i in range(len(names))])
     rows = [F.struct(F.lit(n).alias("model"), F.lit(models[n][1]).cast("double").alias("epsilon"),
                      F.col(f"_q{i}").alias("ppl")) for i, n in enumerate(names)]
     return r.select(F.explode(F.array(*rows)).alias("_r")).select("_r.model", "_r.epsilon", "_r.ppl")

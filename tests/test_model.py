@@ -258,3 +258,28 @@ def test_compound_codes_are_written_and_parsed_back(spark, tmp_path):
         assert r.text.startswith(f"{r.label_lang}{r.label_kind} tells") and r.text.endswith("stories")
     got = {r.metric: r.value for r in io.read_metrics(spark, metrics).collect()}
     assert got["n_rows"] == len(out) == 20 and got["n_generated"] >= 20 and got["ppl_mean"] > 1 and got["ppl_std"] >= 0
+
+
+def test_perplexities_have_the_same_bits_under_any_partitioning(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 7, 90, 400])))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = MD.NgramModel.from_bigrams(MD.count_ngrams(df, order=2), alpha=1.0, kappa=1.0)
+    seen = set()
+    for parts in (1, 3, 64):
+        d = df.repartition(parts)
+        t = EV.doc_lookback_targets(d, "doc_id", 64, 32)
+        counted = EV.score_counted(model, t, ["doc_id", "window", "trg_len", "n"])
+        per = tuple(sorted((r.doc_id, r.ppl) for r in EV.ppl_weighted(counted.repartition(parts), "doc_id").collect()))
+        macro = EV.ppl_macro(EV.score_pairs(model, EV.stream_targets(d, "doc_id", 64, 64)).repartition(parts)).first()
+        seen.add((per, macro.ppl, macro.n_windows))
+    assert len(seen) == 1
+    odd = spark.createDataFrame([(1.5, 3), (-0.25, 2)], "x double, n long")
+    assert odd.agg(EV.exact_sum(F.col("x"), F.col("n")).alias("s")).first().s == 4.0
+    assert odd.where("x > 9").agg(EV.exact_sum(F.col("x")).alias("s")).first().s is None
+    far = spark.createDataFrame([(1.5,), (math.inf,)], "x double")
+    assert far.agg(EV.exact_sum(F.col("x")).alias("s")).first().s == math.inf

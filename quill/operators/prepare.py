@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.operators.rank import exact_take, hash_rank, value_rank
+from quill.operators.rank import exact_take, hash_cut, hash_rank, hash_take, value_rank
 
 
 def _c(c) -> Column:
@@ -178,9 +178,8 @@ def prefix(df: DataFrame, n: int | None, order: Sequence, frac: float | None = N
 
 def sample_exact(df: DataFrame, frac: float, seed, ids) -> DataFrame:
     """Exactly ``round(frac * rows)`` rows without replacement (pandas
-    ``sample(frac)``); the row count comes from the hash-bucket table."""
-    return hash_rank(df, seed, ids, limit=lambda n: F.bround(n.cast("double") * F.lit(float(frac)), 0),
-                     name="_r").drop("_r")
+    ``sample(frac)``); the row count comes from the hash-bucket table, and no row is moved."""
+    return hash_take(df, seed, ids, lambda n: F.bround(n.cast("double") * F.lit(float(frac)), 0))
 
 
 def split_sizes(rows: int, test_size: float) -> int:
@@ -191,15 +190,30 @@ def split_sizes(rows: int, test_size: float) -> int:
 def split_exact(df: DataFrame, test_size: float, seed, ids, test: str = "test", train: str = "train",
                 col: str = "split") -> DataFrame:
     """Label every row ``test`` or ``train``; the test part has exactly
-    ``ceil(test_size * rows)`` rows chosen in hash order.  One pass: the row
-    count is read off the hash-bucket table."""
+    ``ceil(test_size * rows)`` rows chosen in hash order.  Rows are compared with
+    the hash at the cut and stay where they are; only where rows of equal ids
+    lie on both sides of it are they ranked."""
+    cut = hash_cut(df, seed, ids, _part(test_size))
+    if cut is not None:
+        return df.withColumn(col, F.when(cut, F.lit(test)).otherwise(F.lit(train)))
     ranked = hash_rank(df, seed, ids, name="_r", total="_rows")
-    n_test = F.ceil(F.col("_rows").cast("double") * F.lit(float(test_size)))
+    n_test = _part(test_size)(F.col("_rows"))
     return ranked.withColumn(col, F.when(F.col("_r") <= n_test, F.lit(test)).otherwise(F.lit(train))).drop("_r", "_rows")
 
 
+def _part(size: float):
+    """``ceil(size * rows)`` as a function of the row count."""
+    return lambda rows: F.ceil(rows.cast("double") * F.lit(float(size)))
+
+
 def split_three_way(df: DataFrame, test_size: float, val_size: float, seed, ids, col: str = "split") -> DataFrame:
-    """Nested split: ``test`` first, then ``validation`` from the rest (seed + 1)."""
+    """Nested split: ``test`` first, then ``validation`` from the rest (seed + 1).
+    Both cuts are single hashes, so one projection labels every row."""
+    outer = hash_cut(df, seed, ids, _part(test_size))
+    inner = None if outer is None else hash_cut(df.where(~outer), int(seed) + 1, ids, _part(val_size))
+    if inner is not None:
+        return df.withColumn(col, F.when(outer, F.lit("test")).when(inner, F.lit("validation"))
+                             .otherwise(F.lit("train")))
     first = split_exact(df, test_size, seed, ids, col="_s1")
     rest = first.where(F.col("_s1") == "train").drop("_s1")
     tst = first.where(F.col("_s1") == "test").drop("_s1").withColumn(col, F.lit("test"))

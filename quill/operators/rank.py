@@ -10,9 +10,11 @@ range-partitioned numbering (:func:`running_total`):
   aggregate), prefix-summing that small table and ranking inside each bucket
   gives an exact global rank.  A cut-off ``n`` only shuffles the buckets that
   start before the cut.
+  Where only the cut matters (samples, splits), :func:`hash_cut` finds the hash
+  of the last row inside from two aggregates, and no row is moved at all.
 * **Integral value order** (prefix by id, corpus offsets, rank in a group):
-  the bucket is a value range ``floor((key - min) / width)`` (at most 65,536
-  ranges; a unique key puts at most ``width`` rows in one).
+  the bucket is a value range between quantiles of a bounded sample, as many
+  as the row count asks for (:func:`with_key_bucket`).
 * **Other value orders** (vocabulary ids by count, nucleus sums): rows are
   range-partitioned on the order key (Spark samples the bounds), numbered
   inside each partition, and shifted by the totals of earlier partitions, a
@@ -178,8 +180,40 @@ def hash_rank(
     return out.drop("_h", "_hot")
 
 
+def hash_cut(df: DataFrame, seed, ids: Sequence[str] | str, limit, digits: int = 4) -> Column | None:
+    """A condition that holds for exactly the first ``limit`` rows of ``df`` in
+    hash order: an int, or a function of the row count.
+
+    Rows are counted per hash bucket (at most 16**digits), the prefix sums name
+    the bucket that the cut falls into, and only the hashes of that bucket are
+    ranked to find the last one inside.  Rows are then compared with that one
+    hash, so nothing but counts and one bucket's hashes is shuffled.  Null ids
+    sort first.  None when rows of equal ids lie on both sides of the cut: no
+    comparison of hashes parts them (rank them with :func:`hash_rank`)."""
+    h = F.coalesce(hash_hex(seed, *_names(ids)), F.lit(""))
+    d = df.select(h.alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), digits))
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = F.sum("_n").over(Window.partitionBy())
+    counts = counts.select("_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           F.least((limit(rows) if callable(limit) else F.lit(limit)).cast("long"), rows).alias("_cut"))
+    at = counts.where((F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_n"))).first()
+    if at is None:
+        return F.lit(False)
+    k = at["_cut"] - at["_before"]
+    ranked = d.where(F.col("_b") == at["_b"]).withColumn("_r", F.row_number().over(
+        Window.partitionBy("_b").orderBy("_h")))
+    near = {r["_r"]: r["_h"] for r in ranked.where(F.col("_r").isin(k, k + 1)).select("_r", "_h").collect()}
+    if near[k] == near.get(k + 1):
+        return None
+    return h <= F.lit(near[k])
+
+
 _INTEGRAL = ("LongType", "IntegerType", "ShortType", "ByteType")
-MAX_BUCKETS = 1 << 12
+ROWS_PER_BUCKET = 1 << 20
+MAX_BOUNDS = 1 << 12
+MAX_SLICES = 1 << 8
+SAMPLE_PER_BOUND = 64
 
 
 def _constants(values: Sequence, kind: str) -> Column:
@@ -187,26 +221,52 @@ def _constants(values: Sequence, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def key_bucket(df: DataFrame, key: str, buckets: int = MAX_BUCKETS) -> Column:
-    """Value-range bucket of an integral key: the number of bounds at or under it.
-    The bounds are ``buckets - 1`` quantiles of the key, approximate (an
-    error of 1/16 of a bucket) but fixed by one scalar aggregate before any
-    row is compared with them.  Buckets so hold about equally many rows
-    wherever the keys lie: negative, sparse or with far outliers."""
-    name = key.replace("`", "``")
-    at = _constants([i / buckets for i in range(1, buckets)], "double")
-    bounds = df.agg(F.percentile_approx(F.expr(f"CAST(`{name}` AS BIGINT)"), at, 16 * buckets).alias("q")).first()["q"]
+def with_key_bucket(df: DataFrame, key: str, name: str = "_b", buckets: int | None = None) -> DataFrame:
+    """``df`` with the value-range bucket of an integral key.
+
+    ``buckets`` is by default one for every ``ROWS_PER_BUCKET`` rows and four a
+    core at least.  Up to ``MAX_BOUNDS`` ranges lie between quantiles of a
+    sample of ``SAMPLE_PER_BOUND`` rows a bound, so they hold about equally many
+    rows wherever the keys lie (negative, sparse, with far outliers); beyond that each
+    range is cut into up to ``MAX_SLICES`` equal widths, the first and last ones,
+    where outliers lie, at geometric quantiles before.  The bucket table has
+    some ``MAX_BOUNDS * MAX_SLICES`` rows at most, few enough to broadcast.  The
+    bounds are fixed before any row is compared with them: the sample decides
+    how even the buckets are, never their order.  Nulls are bucket -1."""
+    value = F.col(f"`{key}`").cast("long")
+    rows = df.select(value.alias("k")).count()
+    if buckets is None:
+        buckets = max(-(-rows // ROWS_PER_BUCKET), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    ranges = min(buckets, MAX_BOUNDS)
+    slices = min(-(-buckets // ranges), MAX_SLICES)
+    share = SAMPLE_PER_BOUND * ranges / max(rows, 1)
+    drawn = df.select(value.alias("k"))
+    drawn = drawn.sample(share, seed=1) if share < 1 else drawn
+    inner = [i / ranges for i in range(1, ranges)] or [0.5]
+    outer = [(1 << j) / (SAMPLE_PER_BOUND * ranges) for j in range(SAMPLE_PER_BOUND.bit_length() - 1)] if slices > 1 else []
+    at = _constants([*inner, *outer, *(1 - x for x in outer)], "double")
+    bounds = drawn.agg(F.percentile_approx("k", at, 2 * SAMPLE_PER_BOUND * ranges).alias("q")).first()["q"]
+    bounds = sorted(set(bounds or []))
     if not bounds:
-        return F.lit(0).cast("long")
-    bounds = sorted(set(bounds))
+        return df.withColumn(name, F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
     table = _constants(bounds, "bigint")
-    # Binary search: the count of bounds at or under the key grows by halving
-    # steps.  Nulls sort first: bucket -1 (and a non-null bucket needs no inferred filter).
-    halves = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
-    value = F.expr(f"CAST(`{name}` AS BIGINT)")
-    found = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0),
-                        lambda n, s: n + F.when(F.get(table, n + s - 1) <= value, s).otherwise(F.lit(0)))
-    return F.when(value.isNull(), F.lit(-1).cast("long")).otherwise(found.cast("long"))
+    # Binary search: the count of bounds at or under the key grows by halving steps, one
+    # projection each, which keeps the search in generated code.
+    out = df.withColumn(name, F.lit(0))
+    for step in [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]:
+        found = F.col(name)
+        out = out.withColumn(name, found + F.when(F.get(table, found + F.lit(step - 1)) <= value, F.lit(step))
+                             .otherwise(F.lit(0)))
+    bucket = F.col(name).cast("long")
+    if slices > 1:
+        ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+        edges = _constants([ends["lo"], *bounds, ends["hi"]], "double")
+        low, high = F.get(edges, F.col(name)), F.get(edges, F.col(name) + 1)
+        part = F.floor((value.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * F.lit(float(slices)))
+        bucket = bucket * F.lit(slices) + F.least(F.greatest(part, F.lit(0)), F.lit(slices - 1))
+    # A non-null bucket keeps Catalyst from inferring a filter that would repeat the search.
+    return out.withColumn(name, F.when(value.isNull(), F.lit(-1).cast("long")).otherwise(
+        F.coalesce(bucket, F.lit(0).cast("long"))))
 
 
 def _integral_key(df: DataFrame, order) -> str | None:
@@ -277,7 +337,7 @@ def value_rank(df: DataFrame, order: Sequence, by: Sequence[str] | str = (), nam
     order = list(order) if not isinstance(order, (str, Column)) else [order]
     key = _integral_key(df, order)
     if key is not None:
-        return bucket_rank(df, key_bucket(df, key), order, by, limit, name, bounded=True)
+        return bucket_rank(with_key_bucket(df, key), F.col("_b"), order, by, limit, name, bounded=True)
     out = running_total(df, order, None, by, name="_rb").withColumn(name, F.col("_rb") + 1).drop("_rb")
     if callable(limit):
         byl = _names(by)
@@ -304,7 +364,8 @@ def offsets(df: DataFrame, order: Sequence, weight: Column, by: Sequence[str] |
     order = list(order) if not isinstance(order, (str, Column)) else [order]
     key = _integral_key(df, order)
     if key is not None:
-        return bucket_rank(df, key_bucket(df, key), order, by, None, name, weight=weight.cast("long"), bounded=True)
+        return bucket_rank(with_key_bucket(df, key), F.col("_b"), order, by, None, name, weight=weight.cast("long"),
+                           bounded=True)
     return running_total(df, order, weight, by, name=name)
 
 
@@ -312,12 +373,12 @@ def rank_and_offset(df: DataFrame, key: str, weight: Column, rank: str = "rank",
                     offset: str = "before") -> DataFrame:
     """One bucketed pass over an integral unique ``key`` giving both the
     1-based rank and the exclusive running sum of ``weight``."""
-    d = df.withColumn("_b", key_bucket(df, key)).withColumn("_w", weight.cast("long"))
+    d = with_key_bucket(df, key).withColumn("_w", weight.cast("long"))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_s"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0).cast("long")).alias("_nb"),
                            F.coalesce(F.sum("_s").over(w), F.lit(0).cast("long")).alias("_sb"))
-    # At most MAX_BUCKETS rows: broadcast.
+    # At most MAX_BOUNDS * MAX_SLICES rows: broadcast.
     d = d.join(F.broadcast(counts), "_b")
     wr = Window.partitionBy("_b").orderBy(key)
     d = d.withColumn(rank, F.col("_nb") + F.row_number().over(wr)).withColumn(
@@ -331,4 +392,13 @@ def exact_take(df: DataFrame, n: int, seed=None, ids=None, order=None) -> DataFr
     or in a value ``order``.  Never a single-partition ``orderBy().limit()``."""
     if order is not None:
         return value_rank(df, order, name="_r", limit=int(n)).drop("_r")
-    return hash_rank(df, seed, ids, limit=int(n), name="_r").drop("_r")
+    return hash_take(df, seed, ids, int(n))
+
+
+def hash_take(df: DataFrame, seed, ids, limit) -> DataFrame:
+    """Exactly the first ``limit`` rows (an int, or a function of the row count) in
+    hash order; rows are only moved where equal ids lie on both sides of the cut."""
+    cut = hash_cut(df, seed, ids, limit)
+    if cut is None:
+        return hash_rank(df, seed, ids, limit=limit, name="_r").drop("_r")
+    return df.where(cut)

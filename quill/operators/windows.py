@@ -97,7 +97,8 @@ def pack_blocks(df: DataFrame, order: Sequence, id_col: str, batch_rows: int = 1
     drop the batch's remainder and cut it into blocks of ``block`` tokens:
     ``(block_id, pos, token)`` with block ids numbered across batches."""
     cols = list(dict.fromkeys([id_col, *order]))
-    d = df.select(*cols, F.size(tokens(text)).cast("long").alias("_nt"))
+    # Lengths are written once: ranks, offsets and batches read them instead of the texts.
+    d = df.select(*cols, F.size(tokens(text)).cast("long").alias("_nt")).checkpoint()
     if len(order) == 1 and isinstance(order[0], str) and type(d.schema[order[0]].dataType).__name__ in (
             "LongType", "IntegerType", "ShortType", "ByteType"):
         # One bucketed pass: row rank (for batches) and token offset together.

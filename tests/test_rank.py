@@ -102,12 +102,12 @@ def test_value_rank_huge_keys_exact(spark):
 
 
 def test_key_buckets_are_even_wherever_the_keys_lie(spark):
-    from quill.operators.rank import key_bucket, value_rank
+    from quill.operators.rank import value_rank, with_key_bucket
 
     dense, far = list(range(-500, 19_500)), [-(2**62), 2**62, 2**62 + 1]
     sparse = [i * i * 1_000_003 for i in range(200, 5_200)]
     df = spark.createDataFrame([(k,) for k in {*dense, *far, *sparse}], "k long")
-    got = df.withColumn("b", key_bucket(df, "k", 256)).groupBy("b").agg(
+    got = with_key_bucket(df, "k", "b", 256).groupBy("b").agg(
         F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
     mean = df.count() / len(got)
     assert len(got) > 200 and max(r.n for r in got) <= 2 * mean
@@ -117,10 +117,60 @@ def test_key_buckets_are_even_wherever_the_keys_lie(spark):
 
 
 def test_key_bucket_of_nulls_ties_and_nothing(spark):
-    from quill.operators.rank import key_bucket
+    from quill.operators.rank import with_key_bucket
 
     df = spark.createDataFrame([(None,), (7,), (7,), (7,), (9,)], "k int")
-    got = [tuple(r) for r in df.withColumn("b", key_bucket(df, "k")).orderBy("b").collect()]
+    got = [tuple(r) for r in with_key_bucket(df, "k", "b").orderBy("b").collect()]
     assert got[0] == (None, -1) and len({b for k, b in got if k == 7}) == 1 and got[-1][0] == 9
     empty = df.where("k > 100")
-    assert empty.withColumn("b", key_bucket(empty, "k")).count() == 0
+    assert with_key_bucket(empty, "k", "b").count() == 0
+
+
+def test_key_buckets_follow_the_row_count(spark, monkeypatch):
+    from quill.operators import rank as R
+
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 10)
+    monkeypatch.setattr(R, "MAX_BOUNDS", 16)
+    keys = [*range(0, 9_000, 3), -(2**63), -(2**62), 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(k, 1 + k % 5) for k in keys] + [(None, 7)], "k long, w long")
+    got = R.with_key_bucket(df, "k").groupBy("_b").agg(
+        F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_b").collect()
+    assert len(got) > 200 and max(r.n for r in got) < 100  # 16 ranges alone would hold 188 rows each
+    known = [r for r in got if r.lo is not None]
+    assert all(a.hi < b.lo for a, b in zip(known, known[1:]))
+    ranked = R.value_rank(df, ["k"], name="r").orderBy("r").collect()
+    assert [r.k for r in ranked] == [None, *sorted(keys)] and [r.r for r in ranked] == list(range(1, len(keys) + 2))
+    before, total = {r.k: r.before for r in R.offsets(df, ["k"], F.col("w")).collect()}, 0
+    for k, w in [(None, 7), *sorted((k, 1 + k % 5) for k in keys)]:
+        assert before[k] == total
+        total += w
+
+
+def test_hash_cut_moves_no_row(spark):
+    from quill.operators import prepare as P
+    from quill.operators.rank import hash_cut, hash_rank
+
+    df = _ids(spark, 3000, 5)
+    for n in (0, 1, 2, 1500, 2999, 3000, 5000):
+        cut = {r.doc_id for r in df.where(hash_cut(df, 9, "doc_id", n)).collect()}
+        assert cut == {r.doc_id for r in hash_rank(df, 9, "doc_id").where(F.col("rank") <= n).collect()}
+    split = P.split_three_way(spark.range(3000).withColumnRenamed("id", "doc_id"), 0.1, 0.2, 42, "doc_id")
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert {r.split: r.n for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()} == {
+        "test": 300, "validation": 540, "train": 2160}
+
+
+def test_cut_through_equal_ids_keeps_the_size(spark):
+    from quill.operators import prepare as P
+    from quill.operators.rank import hash_cut
+
+    df = spark.createDataFrame([(1, i) for i in range(10)] + [(None, i) for i in range(10)], "doc_id long, v long")
+    assert hash_cut(df, 1, "doc_id", 4) is None and hash_cut(df, 1, "doc_id", 10) is not None
+    assert exact_take(df, 4, seed=1, ids="doc_id").count() == 4
+    assert P.sample_exact(df, 0.35, 1, "doc_id").count() == 7
+    for size, want in ((0.5, 10), (0.25, 5)):
+        assert P.split_exact(df, size, 1, "doc_id").where("split = 'test'").count() == want
+    sizes = {r.split: r.n for r in P.split_three_way(df, 0.5, 0.3, 1, "doc_id").groupBy("split").agg(
+        F.count("*").alias("n")).collect()}
+    assert sizes == {"test": 10, "validation": 3, "train": 7}

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quill.llm import exact_dedup, graph, minhash
 
@@ -70,6 +71,32 @@ def test_filter_passes_unique_rows(spark):
     assert exact_dedup.filter_bits(10**12) == exact_dedup.MAX_BITS
 
 
+def test_filter_of_many_slices_keeps_its_share(spark, monkeypatch):
+    """Slices of 1,024 bits: the same rows, and as few unique rows shuffled as with one slice."""
+    rows = [(i, f"text {i // 2 if i < 2000 else i}", "x", 1) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    prints = exact_dedup.fingerprints(docs)
+    shares = []
+    for most in (exact_dedup.MAX_BITS, 1 << 10):
+        monkeypatch.setattr(exact_dedup, "MAX_BITS", most)
+        monkeypatch.setattr(exact_dedup, "MIN_BITS", 1 << 10)
+        probed = exact_dedup.probed_by_slices(prints, len(rows)).collect()
+        assert sorted(r.id for r in probed) == list(range(12_000))
+        maybe = {r.id for r in probed if r.maybe}
+        assert set(range(2000)) <= maybe
+        shares.append(len(maybe) - 2000)
+    assert shares[0] == shares[1] < 300
+    got = exact_dedup.exact_groups(docs).collect()
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept, bytes(r.digest).hex()) for r in got) == _exact(rows)
+
+
+def test_slices_read_ranges_of_the_fingerprints(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    prints = exact_dedup.written(exact_dedup.fingerprints(docs).sortWithinPartitions("spot"), "fingerprints")
+    plan = prints.filter(F.col("spot") >= 0)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(spot,0)" in plan
+
+
 def _sets(rows, k=5):
     out = {}
     for i, text in rows:

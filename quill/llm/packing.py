@@ -5,11 +5,12 @@ the first piece takes the remainder).  What matters for packing is how many
 pieces there are of each length: a table of at most ``size`` counts, which
 comes to the driver whatever the corpus.  The plan is made on those counts:
 
-1. Exact complements.  Going down the lengths, a piece opens a sequence and
-   leaves a gap.  Sums of one, two and three lengths are looked up by their
-   value; a combination that fills the gap exactly is consumed as often as the
-   counts allow.  Singles come first, then pairs, then triples; of several the
-   one whose largest member is largest, as long pieces are the hardest to place.
+1. Exact complements.  An index holds the sums of one, two and three lengths by
+   their value.  Going down the lengths, a piece opens a sequence and leaves a
+   gap; a combination indexed under that gap is consumed as often as the counts
+   allow, and entries whose lengths have run out leave the index.  Singles come
+   first, then pairs, then triples; of several the one whose largest member is
+   largest, as long pieces are the hardest to place.
 2. Best fit for the rest: each further piece, longest first, goes to the open
    sequence with the smallest sufficient gap.  Both steps work on classes of
    equal sequences, so their cost depends on ``size`` and not on the corpus.
@@ -29,7 +30,8 @@ no piece; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,36 +79,45 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str =
         run, f"id {kind}, piece int, start long, length long, ids_crc32 long, tie long")
 
 
-class _Counts:
-    """How many pieces of each length are left, and look-ups of sums among them."""
+class _Sums:
+    """How many pieces of each length are left, and an index of the sums of one, two and three of them.
+
+    A pair stands under its sum by its larger member, a triple by its largest;
+    the other two of a triple are a pair of the index.  Counts only fall, so an
+    entry that has run out is dropped for good.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
-        self.left = np.zeros(size + 1, np.int64)
+        self.left = [0] * (size + 1)
         for length, n in counts.items():
             self.left[length] += n
+        there = np.asarray(self.left) > 0
+        lengths = np.flatnonzero(there).astype(np.int32)
+        self.pairs: list[array] = []
+        self.triples: list[array] = []
+        for total in range(size + 1):
+            larger = lengths[(2 * lengths >= total) & (lengths < total)]
+            self.pairs.append(array("i", larger[there[total - larger]].tobytes()))
+            self.triples.append(array("i", lengths[(3 * lengths >= total) & (lengths <= total - 2)].tobytes()))
 
     def take(self, parts: tuple[int, ...], times: int) -> None:
         for p in parts:
             self.left[p] -= times
 
     def times(self, parts: tuple[int, ...]) -> int:
-        need: dict[int, int] = {}
-        for p in parts:
-            need[p] = need.get(p, 0) + 1
-        return int(min(self.left[p] // n for p, n in need.items()))
-
-    def _pair(self, total: int, most: int) -> tuple[int, int] | None:
-        """The pair a >= b with a + b == total and the largest a <= most."""
-        high = min(most, total - 1)
-        low = (total + 1) // 2
-        if high < low:
-            return None
-        a = np.arange(high, low - 1, -1)
-        ok = (self.left[a] > 0) & (self.left[total - a] > 0)
-        if total % 2 == 0 and a[-1] == low:
-            ok[-1] &= self.left[low] > 1
-        at = np.flatnonzero(ok)
-        return (int(a[at[0]]), int(total - a[at[0]])) if len(at) else None
+        """How often the counts allow a combination."""
+        return min(self.left[p] // parts.count(p) for p in parts)
+
+    def _pair(self, total: int, most: int, beside: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """The pair of a sum whose larger member is largest and at most ``most``, with one more piece ``beside`` it."""
+        found = self.pairs[total]
+        for at in range(bisect_right(found, most) - 1, -1, -1):
+            pair = (found[at], total - found[at])
+            if not self.times(pair):
+                del found[at]
+            elif not beside or self.times((*beside, *pair)):
+                return pair
+        return None
 
     def filling(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three lengths whose sum is exactly the gap."""
@@ -115,24 +126,22 @@ class _Counts:
         pair = self._pair(gap, gap - 1)
         if pair:
             return pair
-        lengths = np.flatnonzero(self.left[:gap - 1] > 0)
-        for a in lengths[::-1]:
-            if 3 * a < gap:
-                break
-            self.left[a] -= 1
-            rest = self._pair(gap - int(a), min(int(a), gap - int(a) - 1))
-            self.left[a] += 1
-            if rest:
-                return (int(a), *rest)
+        largest = self.triples[gap]
+        while largest:
+            a = largest[-1]
+            pair = self._pair(gap - a, a, (a,)) if self.left[a] else None
+            if pair:
+                return (a, *pair)
+            largest.pop()
         return None
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """``(lengths in a sequence, number of such sequences)`` for the given counts of lengths."""
-    c = _Counts(counts, size)
+    c = _Sums(counts, size)
     done: list[tuple[tuple[int, ...], int]] = []
     if c.left[size]:
-        done.append(((size,), int(c.left[size])))
+        done.append(((size,), c.left[size]))
         c.left[size] = 0
     for length in range(size - 1, 0, -1):
         while c.left[length] > 0:
@@ -160,7 +169,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
         open_[gap].append((parts, n))
 
     for length in range(size - 1, 0, -1):
-        todo = int(c.left[length])
+        todo = c.left[length]
         while todo:
             at = bisect_left(gaps, length)
             if at == len(gaps):

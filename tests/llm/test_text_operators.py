@@ -142,6 +142,27 @@ def test_plan_uses_every_piece_once():
     assert sorted(p for p, _ in packing.plan({5: 1, 4: 1, 2: 1, 1: 1}, 12)) == [(5, 4, 2, 1)]
 
 
+def test_index_of_sums_against_all_combinations():
+    """Each gap is filled by the first of all combinations, by number, largest member and second member, until none is left."""
+    import itertools
+
+    r = random.Random(12)
+    for _ in range(60):
+        size = r.choice([15, 24, 40])
+        counts = {n: r.randint(1, 3) for n in r.sample(range(1, size), r.randint(2, 12))}
+        sums = packing._Sums(counts, size)
+        left = dict(counts)
+        for gap in r.choices(range(1, size), k=80):
+            fits = [c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(sorted(left, reverse=True), k)
+                    if sum(c) == gap and all(left[p] >= c.count(p) for p in c)]
+            best = min(fits, key=lambda c: (len(c), [-p for p in c]), default=None)
+            assert sums.filling(gap) == best
+            if best:
+                sums.take(best, 1)
+                for p in best:
+                    left[p] -= 1
+
+
 def test_plan_is_near_the_best():
     r = random.Random(7)
     counts: dict[int, int] = {}

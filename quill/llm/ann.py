@@ -4,13 +4,15 @@ Each of ``TREES`` trees gives a vector a long hash string: ``CHARS`` characters,
 each the nearest axis (with sign) after a random rotation of the centred
 vector, written in bits.  A tree is the array of all strings in order.  A query
 descends every tree by its own string and by ``PROBES - 1`` more that begin
-with its next nearest axes, to the longest prefixes that match, and then ascends
-in all trees at once, a bit at a time, until the prefixes are short enough:
-until the level at which, on the fitted sample, prefixes find ``TARGET`` of the
-true neighbours, and further while fewer than ``LEAST`` vectors are expected to
-match.  All vectors that share a prefix of that length in any tree are
-candidates, and their distances are computed exactly, in double precision, on
-the original vectors.
+with its next nearest axes, to the longest prefix that matches in any of them,
+and then ascends in all trees at once, a bit at a time, until enough vectors
+match.  Matches are counted in the sample's sorted arrays, which stand for the
+trees' upper parts; the number to reach is the least with which the ascent finds
+``TARGET`` of the sample's true neighbours, and so many that ``LEAST`` vectors
+of the whole table are expected to match.  Queries among many vectors thus stop
+at long prefixes and lonely ones at short.  All vectors of the table that share
+a prefix of that length in any tree are candidates, and their distances are
+computed exactly, in double precision, on the original vectors.
 
 Equal vectors are collapsed first: of each, the ``k + 1`` smallest ids are all
 that a result can need.  The sorted arrays are cut into ranges of about
@@ -19,7 +21,7 @@ dealt over them by hash.  A query visits the ranges its prefixes reach, and each
 task returns the best ``k + 1`` of its range.
 
 Bounded sample (documented parameter): ``SAMPLE`` distinct vectors, the first in
-hash order, fit the centre, the ranges and the level; every row is indexed.
+hash order, fit the centre, the ranges and the number of matches; every row is indexed.
 
 Defined results: null and zero vectors, and those with null or non-finite
 components, take no part; nor do vectors whose length is not the most frequent
@@ -66,7 +68,7 @@ class Forest:
     centre: np.ndarray
     rotations: np.ndarray  # trees x chars x dim x dim
     bits: int
-    level: int
+    matches: int  # in the sample, over all trees and probes
     rows: int
     sample: np.ndarray  # trees x sample, sorted keys
     ranges: int
@@ -103,20 +105,37 @@ class Forest:
         low = (keys >> free) << free
         return low, low + (1 << free) - 1
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """For each query (rows x trees x probes) the prefix length to ascend to."""
-        out = np.full(len(keys), self.level)
-        todo = np.arange(len(keys))
-        for level in range(self.level, 0, -1):
-            expected = np.zeros(len(todo))
-            for t in range(keys.shape[1]):
-                low, high = self.spans(keys[todo, t], level)
-                found = np.searchsorted(self.sample[t], high, "right") - np.searchsorted(self.sample[t], low, "left")
-                expected += found.sum(1)
-            todo = todo[expected * self.rows / self.sample.shape[1] < LEAST]
-            out[todo] = level - 1
-            if not len(todo):
-                break
+    def longest(self, keys: np.ndarray) -> np.ndarray:
+        """For each query (rows x trees x probes) its longest prefix that matches in any tree of the sample."""
+        out = np.zeros(len(keys), np.int64)
+        for t in range(keys.shape[1]):
+            own, tree = keys[:, t], self.sample[t]
+            at = np.searchsorted(tree, own)
+            for near in (tree[np.maximum(at - 1, 0)], tree[np.minimum(at, len(tree) - 1)]):
+                out = np.maximum(out, (self.length - np.frexp((own ^ near).astype(np.float64))[1]).max(1))
+        return out
+
+    def matched(self, keys: np.ndarray, inside: np.ndarray, level: int) -> np.ndarray:
+        """Matches of each query in the sample at a prefix length, over all trees and probes.
+
+        Queries that are ``inside`` the sample don't count themselves.
+        """
+        found = np.zeros(len(keys), np.int64)
+        for t in range(keys.shape[1]):
+            tree = self.sample[t]
+            low, high = self.spans(keys[:, t], level)
+            found += (np.searchsorted(tree, high, "right") - np.searchsorted(tree, low, "left")).sum(1)
+            itself = (low <= keys[:, t, :1]) & (keys[:, t, :1] <= high)
+            found -= np.where(inside, itself.sum(1), 0)
+        return found
+
+    def levels(self, keys: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """For each query the prefix length at which its ascent from the longest match ends."""
+        need = max(self.matches, -(-LEAST * self.sample.shape[1] // max(self.rows, 1)))
+        out = self.longest(keys)
+        for level in range(int(out.max(initial=0)), 0, -1):
+            here = np.flatnonzero(out == level)
+            out[here[self.matched(keys[here], inside[here], level) < need]] = level - 1
         return out
 
 
@@ -130,7 +149,7 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = SEED) -> Forest:
     probes = min(PROBES, dim)
     own = forest.strings(sample)[:, :, 0]
     forest.sample = np.sort(own.T, axis=1)
-    # The deepest level whose prefixes find enough of the sample's true neighbours.
+    # The least number of matches with which the ascent finds enough of the sample's true neighbours.
     trial = np.arange(0, len(sample), max(1, len(sample) // TRIALS))
     x, q = sample.astype(np.float64), sample[trial].astype(np.float64)
     far = (q ** 2).sum(1)[:, None] + (x ** 2).sum(1)[None] - 2 * q @ x.T
@@ -139,18 +158,23 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = SEED) -> Forest:
     if near.size:
         asked = forest.strings(sample[trial], probes)
         apart = own[near][:, :, :, None] ^ asked[:, None]
-        shared = np.full(apart.shape, forest.length)
-        for bit in range(forest.length):
-            shared[(apart >> bit) & 1 == 1] = forest.length - 1 - bit
-        best = shared.max(axis=(2, 3))
-        for level in range(forest.length, -1, -1):
-            if (best >= level).mean() >= TARGET:
-                forest.level = level
-                break
+        best = (forest.length - np.frexp(apart.astype(np.float64))[1]).max(axis=(2, 3))
+        every = np.ones(len(trial), bool)
+        found = np.stack([forest.matched(asked, every, level) for level in range(forest.length, -1, -1)], axis=1)
+        low, high = 0, int(found.max())
+        while low < high:
+            middle = (low + high) // 2
+            ends = forest.length - (found >= middle).argmax(1)
+            ends[(found < middle).all(1)] = 0
+            if (best >= ends[:, None]).mean() >= TARGET:
+                high = middle
+            else:
+                low = middle + 1
+        forest.matches = low
     return forest
 
 
-def _deal(forest: Forest, dim: int) -> callable:
+def _deal(forest: Forest, sampled: np.ndarray, dim: int) -> callable:
     probes = min(PROBES, dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +203,7 @@ def _deal(forest: Forest, dim: int) -> callable:
                 asks = np.flatnonzero(np.asarray(part.column("asks")))
                 if len(asks):
                     keys = forest.strings(x[asks], probes)
-                    levels = forest.levels(keys)
+                    levels = forest.levels(keys, np.isin(rep[asks], sampled))
                     for i, row in enumerate(asks):
                         for t in range(TREES) if levels[i] else (0,):
                             low, high = forest.spans(keys[i, t], int(levels[i]))
@@ -252,9 +276,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                       .select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "queries")
     n = groups.count()
     sample = groups.select("vec", F.xxhash64(F.lit(seed), "rep").alias("o"), "rep").orderBy("o", "rep").limit(
-        SAMPLE).select("vec").toArrow()
+        SAMPLE).select("vec", "rep").toArrow()
     points = np.asarray(sample.column("vec").combine_chunks().flatten()).reshape(-1, dim)
     forest = spark.sparkContext.broadcast(fit(points, n, k, seed))
+    sampled = spark.sparkContext.broadcast(np.asarray(sample.column("rep")))
 
     asking = queries.select(F.col("query").alias("rep")).distinct().withColumn("a", F.lit(True))
     marked = groups.select("rep", "vec").join(asking, "rep", "left").select(
@@ -262,7 +287,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("salt"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _deal(forest.value, dim)(batches)
+        return _deal(forest.value, sampled.value, dim)(batches)
 
     kind = dict(groups.dtypes)["vec"]
     dealt = marked.mapInArrow(

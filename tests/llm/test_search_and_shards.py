@@ -56,6 +56,35 @@ def test_search_equal_vectors_and_edges(spark):
     assert ann.search(few.limit(1), F.col("vec_id") == 0).count() == 0
 
 
+def test_descent_and_ascent_against_all_strings():
+    """Longest matches, matches at every level and the end of the ascent by comparing whole strings."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((150, 6)), 5 + 0.05 * rng.standard_normal((60, 6))]).astype(np.float32)
+    forest = ann.fit(x[:180], 10_000, 5)
+    length = forest.length
+
+    def text(key):
+        return format(int(key), f"0{length}b")
+
+    own = [[text(v) for v in row] for row in forest.strings(x[:180])[:, :, 0]]
+    keys = forest.strings(x, 3)
+    inside = np.arange(len(x)) < 180
+    ends, longest = forest.levels(keys, inside), forest.longest(keys)
+    need = max(forest.matches, -(-ann.LEAST * 180 // 10_000))
+    for q in range(0, len(x), 5):
+        asked = [[text(v) for v in row] for row in keys[q]]
+
+        def matched(level, q=q, asked=asked):
+            return sum(own[i][t][:level] == probe[:level] for i in range(180) if i != q
+                       for t in range(ann.TREES) for probe in asked[t])
+
+        assert longest[q] == (length if inside[q] else max(level for level in range(length + 1) if matched(level)))
+        for level in range(0, length + 1, 3):
+            assert matched(level) == forest.matched(keys[q:q + 1], inside[q:q + 1], level)[0]
+        assert ends[q] == max([level for level in range(1, longest[q] + 1) if matched(level) >= need], default=0)
+    assert len(set(ends.tolist())) > 2
+
+
 def test_forest_ranges_are_reached(spark, monkeypatch):
     """Many small ranges give the same result as one."""
     rng = np.random.default_rng(8)

@@ -7,6 +7,7 @@ user functions that have no Spark equivalent (the reference's batched
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,6 +26,9 @@ def map_batches(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, **k
 
 
 def word_count(batch: pd.DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 1) -> pd.DataFrame:
-    """Number of whitespace-separated words of at least ``min_chars`` characters (0 for a null text)."""
-    found = batch[text].str.count(rf"\S{{{int(min_chars)},}}")
-    return pd.DataFrame({id_col: batch[id_col], "n_words": found.fillna(0).astype("int64")})
+    """Number of whitespace-separated words of at least ``min_chars`` characters (0 for a null text).
+
+    One text's words are listed at a time; with ``str.count`` the heap of a worker grew with the texts it had seen."""
+    words = re.compile(rf"\S{{{int(min_chars)},}}")
+    found = batch[text].map(lambda t: len(words.findall(t)), na_action="ignore")
+    return pd.DataFrame({id_col: batch[id_col], "n_words": pd.to_numeric(found).fillna(0).astype("int64")})

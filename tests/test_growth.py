@@ -1,10 +1,16 @@
 """Steps that must not grow faster than their tables: what moves, and what is read."""
 
+import os
+import subprocess
+import sys
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quill.operators import generate as GN
 from quill.operators import model as MD
 from quill.operators import text as TX
+from quill.operators import udf as UD
 from quill.plans import catalog as C
 from tests.conftest import SF_SMALL
 
@@ -87,3 +93,38 @@ def test_vocabulary_counts_the_texts_once(spark):
     assert "regexp_extract_all" not in _plan(vocab)
     got = [(r.token_id, r.token, r.n) for r in vocab.orderBy("token_id").collect()]
     assert got == [(0, "x", 4), (1, "y", 4), (2, "z", 3), (3, "[PAD]", 0)]
+
+
+_WORKER = r'''
+import random, re
+import pandas as pd
+from quill.operators.udf import word_count
+
+def rss():
+    return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+r = random.Random(1)
+words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(2000)]
+for i in range(80):
+    texts = [" ".join(r.choices(words, k=r.choice((20, 200, 500, 3000)))) for _ in range(100)]
+    word_count(pd.DataFrame({"doc_id": range(100), "text": pd.Series(texts, dtype=object)}), min_chars=5)
+    if i == 0:
+        first = rss()
+print(rss() - first)
+'''
+
+
+def test_word_count_keeps_no_memory_of_earlier_batches():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", _WORKER], cwd=root, capture_output=True, text=True, check=True, timeout=120)
+    assert float(out.stdout) < 10  # MB
+
+
+def test_word_count_of_odd_texts():
+    texts = [None, "", " \t\n", "abcde abcd abcdef", "x yyyyy zzzzzz", float("nan")]
+    frame = pd.DataFrame({"doc_id": range(6), "text": pd.Series(texts, dtype=object)})
+    assert UD.word_count(frame, min_chars=5)["n_words"].tolist() == [0, 0, 0, 2, 2, 0]
+    assert UD.word_count(frame)["n_words"].tolist() == [0, 0, 0, 3, 3, 0]
+    for part in (frame[:0], frame[:1]):
+        got = UD.word_count(part)["n_words"]
+        assert got.dtype == "int64" and got.tolist() == [0] * len(part)

@@ -1,10 +1,12 @@
 """Steps that must not grow faster than their tables: what moves, and what is read."""
 
 import os
+import random
 import subprocess
 import sys
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quill.operators import generate as GN
@@ -128,3 +130,49 @@ def test_word_count_of_odd_texts():
     for part in (frame[:0], frame[:1]):
         got = UD.word_count(part)["n_words"]
         assert got.dtype == "int64" and got.tolist() == [0] * len(part)
+
+
+def _small_model(spark):
+    r = random.Random(7)
+    rows = [(c, p, w, float(r.randint(1, 4))) for c in "abc" for p in (None, *"uvwxyzäß") for w in ("<e>", *"uvwxyzäß") if r.random() < 0.8]
+    prompts = [(f"{c}{i}", c, i % 5) for c in (*"abc", "no model", None) for i in range(12)] + [("full", "a", 30), (None, "b", 0)]
+    return (spark.createDataFrame(rows, "label string, prev string, token string, n double"),
+            spark.createDataFrame(prompts, "seq_id string, label string, n_prompt int"))
+
+
+def _sizes(model):
+    own = F.octet_length("token") + F.coalesce(F.octet_length("prev"), F.lit(0)) + GN.ROW_BYTES
+    return {r.label: r.n for r in model.groupBy("label").agg(F.sum(own).alias("n")).collect()}
+
+
+@pytest.mark.parametrize("rules", [
+    dict(k=3, p=0.9, temperature=0.7, penalty=1.3), dict(k=5, p=0.8), dict(greedy=True, penalty=1.2)])
+def test_a_label_in_its_task_generates_what_its_steps_do(spark, rules):
+    model, prompts = _small_model(spark)
+    got = []
+    for local in (GN.LOCAL_BYTES, min(_sizes(model).values())):  # the second: all labels but the smallest go by steps
+        out = GN.generate(model, prompts, 6, seed=3, eos="<e>", local_bytes=local, **rules)
+        got.append(sorted((str(r.seq_id), str(r.label), r.text, r.n_tokens) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 62
+    assert {x[3] for x in got[0] if x[1] in ("no model", "None") or x[0] == "full"} == {0} and max(x[3] for x in got[0]) > 3
+
+
+def test_jobs_of_a_generation_do_not_grow_with_its_steps(spark):
+    model, prompts = _small_model(spark)
+    sc, jobs = spark.sparkContext, []
+    for steps in (2, 12):
+        name = f"steps-{steps}"
+        sc.setJobGroup(name, name)
+        GN.generate(model, prompts, steps, k=4, seed=3).count()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(name)))
+    sc.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+
+
+def test_labels_too_large_for_a_task_are_found(spark):
+    model, _ = _small_model(spark)
+    size = _sizes(model)
+    order = sorted(size, key=size.get)
+    assert sorted(GN._large_labels(model, size[order[1]])) == [x for x in order if size[x] > size[order[1]]]
+    nan = model.unionByName(spark.createDataFrame([("a", "u", "w2", float("nan")), ("b", "u", None, 1.0)], model.schema))
+    assert sorted(GN._large_labels(nan, GN.LOCAL_BYTES)) == ["a", "b"]

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quill.functions import fdlibm
 from quill.operators import generate as GN
 from quill.operators import model as MD
 from quill.operators import text as TX
@@ -176,3 +177,31 @@ def test_labels_too_large_for_a_task_are_found(spark):
     assert sorted(GN._large_labels(model, size[order[1]])) == [x for x in order if size[x] > size[order[1]]]
     nan = model.unionByName(spark.createDataFrame([("a", "u", "w2", float("nan")), ("b", "u", None, 1.0)], model.schema))
     assert sorted(GN._large_labels(nan, GN.LOCAL_BYTES)) == ["a", "b"]
+
+
+def test_python_logs_and_exponentials_have_sparks_bits(spark):
+    r = random.Random(5)
+    shares = [1.0, 0.5, 1 / 3, 5e-324, 0.999999999] + [r.randint(1, n) / n for n in (r.randint(1, 10 ** r.randint(1, 9)) for _ in range(20_000))]
+    powers = [0.0, -0.0, -1e-12, -745.0, -746.0] + [-r.random() * 10 ** r.randint(-9, 2) for _ in range(10_000)] + [
+        fdlibm.log(a) - fdlibm.log(b) for a, b in zip(shares, shares[1:]) if a < b]
+    x = spark.createDataFrame([(s,) for s in shares], "x double").repartition(1)
+    y = spark.createDataFrame([(s,) for s in powers], "x double").repartition(1)
+    assert all(fdlibm.log(a) == b for a, b in x.select("x", F.log("x")).collect())
+    assert all(fdlibm.exp(a) == b for a, b in y.select("x", F.exp("x")).collect())
+
+
+def test_a_nucleus_edge_that_one_bit_moves_is_sparks(spark):
+    """Lists of few small counts: many running sums lie exactly on the edge of the nucleus."""
+    r = random.Random(11)
+    rows, u = [], 0.999999
+    for i in range(3000):
+        rows.append((i, [(float(n), f"t{j:02d}") for j, n in enumerate(sorted(r.choices(range(1, 6), k=r.randint(2, 20)), reverse=True))]))
+    lists = spark.createDataFrame(rows, "i int, cands array<struct<n:double,token:string>>").select(
+        "i", "cands", F.aggregate("cands", F.lit(0.0), lambda a, x: a + x["n"]).alias("total"))
+    drawn = lists.select("i", GN.sample_next(F.col("cands"), F.col("total"), F.array().cast("array<string>"),
+                                             F.lit(None).cast("string"), F.lit(u), 50, 0.9).alias("t"))
+    got = {a.i: a.t for a in drawn.collect()}
+    for i, cands in rows:
+        total = sum(n for n, _ in cands)
+        own = [(fdlibm.log(n / total), t) for n, t in cands]
+        assert GN.next_token(own, set(), (), u, 50, 0.9, 1.0, 1.0, False) == got[i]
